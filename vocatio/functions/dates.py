@@ -5,19 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from vocatio import presets
-
 
 def parse_date(text: Column, as_of: Column | None = None) -> Column:
     """Full dates and year-month dates; placeholders and other texts give null.
 
-    "Present" is ``as_of`` where that is given.
+    The pattern is told from the text's shape: trying one format after the other would raise and
+    catch an exception for every date in the second one. "Present" is ``as_of`` where that is given.
     """
-    parsed = F.coalesce(
-        F.try_to_date(text, "yyyy-MM-dd"),
-        F.try_to_date(text, "yyyy-MM"),
+    dated = F.when(text.rlike(r"^\d{4}-\d{2}-\d{2}$"), text.try_cast("date")).when(
+        text.rlike(r"^\d{4}-\d{2}$"), F.concat(text, F.lit("-01")).try_cast("date")
     )
-    dated = F.when(~text.isin(*presets.PLACEHOLDERS), parsed)
     return dated if as_of is None else F.when(text == "Present", as_of).otherwise(dated)
 
 

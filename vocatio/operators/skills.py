@@ -47,6 +47,14 @@ def _measure(phrase_table: DataFrame) -> tuple[int, int]:
     return row["words"] or 0, row["bytes"] or 0
 
 
+def _words(texts: DataFrame, text_column: str, *keep: str) -> DataFrame:
+    """The words of each text as a column of their own.
+
+    Building runs refers to the words at every position; as a column they are cut only once.
+    """
+    return texts.select(*keep, tokens(F.col(text_column)).alias("words"))
+
+
 def _lookup(runs: DataFrame, phrase_table: DataFrame, n_bytes: int, spread: Column, limit: int) -> DataFrame:
     """Left join of the runs of words with the phrases.
 
@@ -76,10 +84,10 @@ def find_phrases(
     are never shuffled.
     """
     longest, n_bytes = _measure(phrase_table)
-    words = tokens(F.col(text_column))
+    words = F.col("words")
     all_runs = F.array_distinct(F.concat(*[ngrams(words, n) for n in range(1, longest + 1)])) if longest else words
     marker = F.array(F.lit(None).cast("string"))
-    runs = texts.select(id_column, F.explode(F.concat(marker, all_runs)).alias("run"))
+    runs = _words(texts, text_column, id_column).select(id_column, F.explode(F.concat(marker, all_runs)).alias("run"))
     joined = _lookup(runs, phrase_table, n_bytes, draw(F.col(id_column)), broadcast_limit)
     return (
         joined.filter(F.col("phrase").isNotNull() | F.col("run").isNull())
@@ -98,7 +106,7 @@ def find_phrases_in_order(
     """(id, found): distinct phrases longer than one character by first position, shorter first."""
     usable = phrase_table.filter(F.length("phrase") > 1)
     longest, n_bytes = _measure(usable)
-    words = tokens(F.col(text_column))
+    words = F.col("words")
 
     def placed(n: int) -> Column:
         return F.transform(
@@ -107,7 +115,7 @@ def find_phrases_in_order(
         )
 
     nothing = F.struct(F.lit(None).cast("string").alias("run"), F.lit(-1).alias("at"), F.lit(0).alias("words"))
-    runs = texts.select(
+    runs = _words(texts, text_column, id_column).select(
         id_column, F.explode(F.concat(F.array(nothing), *[placed(n) for n in range(1, longest + 1)])).alias("r")
     ).select(id_column, "r.run", "r.at", "r.words")
     joined = _lookup(runs, usable, n_bytes, draw(F.col(id_column)), broadcast_limit)
@@ -141,9 +149,8 @@ def new_terms(terms: DataFrame, known: DataFrame, min_count: int = 2) -> DataFra
 
 def refresh_terms(texts: DataFrame, text_column: str, longest: int = 3) -> DataFrame:
     """Candidate rows for a dictionary refresh: every run of up to ``longest`` words."""
-    words = tokens(F.col(text_column))
-    runs = F.concat(*[ngrams(words, n) for n in range(1, longest + 1)])
-    return texts.select(F.explode(runs).alias("skill")).filter(
+    runs = F.concat(*[ngrams(F.col("words"), n) for n in range(1, longest + 1)])
+    return _words(texts, text_column).select(F.explode(runs).alias("skill")).filter(
         (F.length("skill") > 2) & ~F.col("skill").isin(*presets.REFRESH_STOP_TERMS)
     )
 

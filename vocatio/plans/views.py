@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vocatio.session import spread
+
 TITLE_PREFIXES = ["Senior", "Junior", "Lead", "Intern", "Principal", "", "International", "Sr."]
 OCCUPATIONS = [
     "Sales", "Engineer", "Data Analyst", "Truck Driver", "Manager", "Nurse", "Clerk", "Store Cook", "Electrician",
@@ -28,6 +30,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def pick(values: list, at: Column) -> Column:
     """``values[at]`` as a column."""
     return F.get(F.array(*[F.lit(v).cast("string") for v in values]), at.cast("int"))
@@ -63,7 +69,9 @@ def posting_skills(spark: SparkSession, sf_dir: str) -> DataFrame:
 def raw_cvs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(id, source, raw_data): one nested JSON document per order, some of them broken."""
     order, cust, date = F.col("o_orderkey"), F.col("o_custkey"), F.col("o_orderdate").cast("date")
-    orders = table(spark, sf_dir, "orders").join(
+    orders = spread(
+        table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate", "o_orderpriority", "o_orderstatus")
+    ).join(
         table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_mktsegment"), "o_custkey"
     )
 

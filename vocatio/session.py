@@ -71,3 +71,12 @@ def broadcast_if_small(df: DataFrame, row_bytes: Column, limit: int = BROADCAST_
     """
     total = df.agg(F.coalesce(F.sum(row_bytes.cast("long")), F.lit(0)).alias("b")).first()["b"]
     return (F.broadcast(df), True) if total <= limit else (df, False)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Rows over all cores where the scan yields fewer partitions, as a single small file does.
+
+    Large tables have splits enough and are left as they are.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
