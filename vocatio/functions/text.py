@@ -1,4 +1,4 @@
-"""Text helpers: prefixes, tokens, n-grams, candidate terms, posting fields."""
+"""Text helpers: prefixes, tokens, candidate terms, posting fields."""
 
 from __future__ import annotations
 
@@ -51,15 +51,6 @@ def normal_phrase(text: Column) -> Column:
     return F.array_join(tokens(text), " ")
 
 
-def ngrams(words: Column, size: int) -> Column:
-    """All runs of ``size`` consecutive words, joined by blanks."""
-    if size == 1:
-        return words
-    starts = F.sequence(F.lit(1), F.size(words) - (size - 1))
-    runs = F.transform(starts, lambda i: F.array_join(F.slice(words, i, size), " "))
-    return F.when(F.size(words) >= size, runs).otherwise(F.array().cast("array<string>"))
-
-
 def split_trim(text: Column, separator: str = ",") -> Column:
     return F.transform(F.split(text, separator), lambda s: F.trim(s))
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from vocatio import presets
 from vocatio.functions.hashing import draw
 from vocatio.functions.rules import is_quality_skill
-from vocatio.functions.text import candidate_terms, ngrams, normal_phrase, split_trim, tokens
+from vocatio.functions.text import candidate_terms, normal_phrase, split_trim, tokens
 from vocatio.session import BROADCAST_LIMIT_BYTES
 
 # Copies of a dictionary that is too large to broadcast; a frequent phrase is then spread over
@@ -47,12 +47,28 @@ def _measure(phrase_table: DataFrame) -> tuple[int, int]:
     return row["words"] or 0, row["bytes"] or 0
 
 
-def _words(texts: DataFrame, text_column: str, *keep: str) -> DataFrame:
-    """The words of each text as a column of their own.
+def word_runs(texts: DataFrame, text_column: str, longest: int, *keep: str) -> DataFrame:
+    """(keep..., pos, words, run): every run of 1..longest words of each text, with its place.
 
-    Building runs refers to the words at every position; as a column they are cut only once.
+    The words are zipped with themselves shifted by one, two, ... places and unrolled, so runs are
+    joined by generated code. A run beyond the last word is null; a text without words keeps one
+    row with a null place.
     """
-    return texts.select(*keep, tokens(F.col(text_column)).alias("words"))
+    words = texts.select(*keep, tokens(F.col(text_column)).alias("w"))
+    shifted = [F.slice("w", F.lit(n), F.size("w")).alias(f"w{n}") for n in range(1, max(longest, 1) + 1)]
+    placed = words.select(*keep, F.posexplode_outer(F.arrays_zip(*shifted)).alias("pos", "z"))
+
+    def run(n: int) -> Column:
+        pieces = [piece for i in range(1, n + 1) for piece in (F.lit(" "), F.col(f"z.w{i}"))][1:]
+        return F.struct(F.lit(n).alias("words"), F.concat(*pieces).alias("run"))
+
+    runs = F.explode(F.array(*[run(n) for n in range(1, len(shifted) + 1)])).alias("r")
+    return placed.select(*keep, "pos", runs).select(*keep, "pos", "r.words", "r.run")
+
+
+def _marks_text(pos: Column, words: Column) -> Column:
+    """True for one run of every text, which is kept so that texts without a phrase are too."""
+    return (words == 1) & (F.coalesce(pos, F.lit(0)) == 0)
 
 
 def _lookup(runs: DataFrame, phrase_table: DataFrame, n_bytes: int, spread: Column, limit: int) -> DataFrame:
@@ -79,18 +95,15 @@ def find_phrases(
 ) -> DataFrame:
     """(id, found): sorted distinct phrases of the table that occur in each text; [] if none.
 
-    Overlapping phrases all count. Runs of words are made distinct within their row and looked up
-    by an equi-join; one marker row per text keeps texts without a phrase, so the texts themselves
-    are never shuffled.
+    Overlapping phrases all count. Runs of words are looked up by an equi-join; one run of every
+    text is kept in any case, so texts without a phrase stay and no text is ever shuffled: what
+    leaves a task is one row per text with its phrases.
     """
     longest, n_bytes = _measure(phrase_table)
-    words = F.col("words")
-    all_runs = F.array_distinct(F.concat(*[ngrams(words, n) for n in range(1, longest + 1)])) if longest else words
-    marker = F.array(F.lit(None).cast("string"))
-    runs = _words(texts, text_column, id_column).select(id_column, F.explode(F.concat(marker, all_runs)).alias("run"))
+    runs = word_runs(texts, text_column, longest, id_column)
     joined = _lookup(runs, phrase_table, n_bytes, draw(F.col(id_column)), broadcast_limit)
     return (
-        joined.filter(F.col("phrase").isNotNull() | F.col("run").isNull())
+        joined.filter(F.col("phrase").isNotNull() | _marks_text(F.col("pos"), F.col("words")))
         .groupBy(id_column)
         .agg(F.array_sort(F.collect_set("phrase")).alias("found"))
     )
@@ -106,22 +119,11 @@ def find_phrases_in_order(
     """(id, found): distinct phrases longer than one character by first position, shorter first."""
     usable = phrase_table.filter(F.length("phrase") > 1)
     longest, n_bytes = _measure(usable)
-    words = F.col("words")
-
-    def placed(n: int) -> Column:
-        return F.transform(
-            ngrams(words, n),
-            lambda run, i: F.struct(run.alias("run"), i.cast("int").alias("at"), F.lit(n).alias("words")),
-        )
-
-    nothing = F.struct(F.lit(None).cast("string").alias("run"), F.lit(-1).alias("at"), F.lit(0).alias("words"))
-    runs = _words(texts, text_column, id_column).select(
-        id_column, F.explode(F.concat(F.array(nothing), *[placed(n) for n in range(1, longest + 1)])).alias("r")
-    ).select(id_column, "r.run", "r.at", "r.words")
+    runs = word_runs(texts, text_column, longest, id_column)
     joined = _lookup(runs, usable, n_bytes, draw(F.col(id_column)), broadcast_limit)
-    hits = F.array_sort(F.collect_list(F.when(F.col("phrase").isNotNull(), F.struct("at", "words", "phrase"))))
+    hits = F.array_sort(F.collect_list(F.when(F.col("phrase").isNotNull(), F.struct("pos", "words", "phrase"))))
     return (
-        joined.filter(F.col("phrase").isNotNull() | F.col("run").isNull())
+        joined.filter(F.col("phrase").isNotNull() | _marks_text(F.col("pos"), F.col("words")))
         .groupBy(id_column)
         .agg(F.array_distinct(F.transform(hits, lambda s: s["phrase"])).alias("found"))
     )
@@ -149,10 +151,8 @@ def new_terms(terms: DataFrame, known: DataFrame, min_count: int = 2) -> DataFra
 
 def refresh_terms(texts: DataFrame, text_column: str, longest: int = 3) -> DataFrame:
     """Candidate rows for a dictionary refresh: every run of up to ``longest`` words."""
-    runs = F.concat(*[ngrams(F.col("words"), n) for n in range(1, longest + 1)])
-    return _words(texts, text_column).select(F.explode(runs).alias("skill")).filter(
-        (F.length("skill") > 2) & ~F.col("skill").isin(*presets.REFRESH_STOP_TERMS)
-    )
+    runs = word_runs(texts, text_column, longest).select(F.col("run").alias("skill"))
+    return runs.filter((F.length("skill") > 2) & ~F.col("skill").isin(*presets.REFRESH_STOP_TERMS))
 
 
 def refreshed_dictionary(known: DataFrame, terms: DataFrame, min_count: int = 2) -> DataFrame:
