@@ -99,7 +99,8 @@ def unit_vectors(df: DataFrame, vector: str, low: float = 0.99, high: float = 1.
     measured = df.withColumn("_norm", vectors.norm(F.col(vector)))
     mean = measured.agg(F.avg("_norm").alias("m")).scalar()
     by = F.when((mean < low) | (mean > high), F.col("_norm")).otherwise(F.lit(1.0))
-    return measured.withColumn(vector, vectors.normalised(F.col(vector), by)).drop("_norm")
+    scaled = measured.withColumn("_by", by)
+    return scaled.withColumn(vector, vectors.normalised(F.col(vector), F.col("_by"))).drop("_norm", "_by")
 
 
 def reconciled(sent: DataFrame, received: DataFrame, key: str) -> DataFrame:

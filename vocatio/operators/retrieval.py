@@ -32,6 +32,9 @@ BLOCK_BYTES = 32 * 1024 * 1024
 
 
 def _arrow_matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
+    """A list column as one double matrix."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
     flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
     return flat.reshape(len(column), -1)
 
@@ -74,7 +77,7 @@ def _rows_of(df: DataFrame, id_column: str) -> tuple[np.ndarray, np.ndarray]:
     """A side of checked size as arrays, for a broadcast variable."""
     table = df.select(id_column, "vector").toArrow()
     ids = np.array(table.column(id_column).to_pylist())
-    return ids, _arrow_matrix(table.column("vector").combine_chunks())
+    return ids, _arrow_matrix(table.column("vector"))
 
 
 def _with_items_everywhere(queries: DataFrame, items: DataFrame, k: int, schema: str) -> DataFrame:
@@ -113,7 +116,6 @@ def _with_queries_everywhere(queries: DataFrame, items: DataFrame, k: int, schem
 def _block_search(k: int):
     def search(left: pa.Table, right: pa.Table) -> pa.Table:
         names = ["query_id", "item_id", "score"]
-        left, right = left.combine_chunks(), right.combine_chunks()
         if not left.num_rows or not right.num_rows:
             empty = pa.array([], pa.float64())
             return pa.table([left.column("query_id").slice(0, 0), right.column("item_id").slice(0, 0), empty], names)
