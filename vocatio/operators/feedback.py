@@ -6,9 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vocatio import presets
-from vocatio.functions.hashing import draw
 from vocatio.functions.rules import action_weight
 from vocatio.operators.sampling import sample_n
+from vocatio.session import written
 
 
 def logged(actions: DataFrame) -> DataFrame:
@@ -38,7 +38,11 @@ def normalised_pairs(pairs: DataFrame) -> DataFrame:
 
 
 def aggregated(events: DataFrame) -> DataFrame:
-    return normalised_pairs(pair_sums(events))
+    """Pair aggregate with normalised scores.
+
+    The sums are written before the largest is looked up, so the events are read and shuffled once.
+    """
+    return normalised_pairs(written(pair_sums(events), "feedback-pairs"))
 
 
 def action_summary(actions: DataFrame) -> DataFrame:
@@ -48,19 +52,23 @@ def action_summary(actions: DataFrame) -> DataFrame:
     of rows, so the log is read once.
     """
     cells = actions.groupBy("action", "role").agg(F.count("*").alias("n"), F.sum("weight").alias("w"))
-    keyed = cells.select(
-        F.explode(
-            F.array(
-                F.struct(F.lit("total").alias("metric"), F.lit("").alias("key"), F.lit(None).cast("double").alias("w")),
-                F.struct(F.lit("action"), F.col("action"), F.col("w")),
-                F.struct(F.lit("role"), F.col("role"), F.lit(None).cast("double")),
-            )
-        ).alias("r"),
-        "n",
-    )
+    no_weight = F.lit(None).cast("double")
+
+    def entry(metric: str, key: Column, weight: Column) -> Column:
+        return F.struct(F.lit(metric).alias("metric"), key.alias("key"), weight.alias("w"))
+
+    entries = [
+        entry("total", F.lit(""), no_weight), entry("action", F.col("action"), F.col("w")), entry("role", F.col("role"), no_weight),
+    ]
+    keyed = cells.select(F.explode(F.array(*entries)).alias("r"), "n")
     return keyed.groupBy("r.metric", "r.key").agg(F.sum("n").alias("count"), F.sum("r.w").alias("weight"))
 
 
+def append_actions(actions: DataFrame, path: str) -> None:
+    """Add weighted actions to the log, a table that only grows."""
+    logged(actions).write.mode("append").parquet(path)
+
+
 def retrain_due(actions: DataFrame, threshold: int = presets.RETRAIN_THRESHOLD) -> DataFrame:
     """Number of actions that mean something, and whether they suffice."""
     return actions.agg(F.count_if(F.col("weight") != 0).alias("actions")).withColumn(
@@ -145,7 +153,3 @@ def log_training(actions: DataFrame, pairs: DataFrame, version: str, previous: s
         F.lit(float(seconds)).alias("training_time_sec"),
         at.alias("timestamp"),
     )
-
-
-def shuffled_pairs(pairs: DataFrame, key: Column, seed: int = 42) -> DataFrame:
-    return pairs.orderBy(draw(key, seed))

@@ -6,16 +6,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vocatio import presets
-from vocatio.functions.hashing import RANGE, draw, uniform
+from vocatio.functions.hashing import draw, uniform
+from vocatio.session import written
 
 
 def allocation(counts: DataFrame, target: int, minimum: int) -> DataFrame:
     """Rows to draw per stratum from (stratum, count): (stratum, count, allotted, fraction).
 
     Strata below the minimum are taken whole, strata whose share falls below it get the minimum,
-    the rest share what remains in proportion. ``counts`` has one row per stratum; the totals are
-    scalar subqueries, so nothing is collected.
+    the rest share what remains in proportion. ``counts`` has one row per stratum; it is written
+    once, since three scalar subqueries read it and would count the rows again.
     """
+    counts = written(counts, "strata")
     total = counts.agg(F.sum("count").alias("t")).scalar()
     share = F.col("count") * (F.lit(float(target)) / total)
     fixed = counts.withColumn(
@@ -64,25 +66,30 @@ def stratum_summary(before: DataFrame, after: DataFrame, stratum: str) -> DataFr
 def sample_n(df: DataFrame, id_column: str, n: int, seed: int = 42) -> DataFrame:
     """Exactly ``n`` rows (or all), chosen by the smallest draws.
 
-    A histogram of the draws over 4096 bins finds the bin in which row ``n`` falls; rows of lower
-    bins are taken by a filter and only that one bin is sorted, so the cost does not grow with n.
+    The draw of row ``n`` is found from two histograms of at most 65,536 bins, over the upper and
+    then the lower half of the draw's bits. All rows below it pass a filter; only rows with exactly
+    that draw are sorted. So the cost does not grow with ``n`` and no task holds the sample.
     """
-    bins = 4096
     drawn = df.withColumn("_draw", draw(F.col(id_column), seed))
-    binned = drawn.withColumn("_bin", F.floor(F.col("_draw") / F.lit(RANGE // bins)))
-    counts = {r["_bin"]: r["count"] for r in binned.groupBy("_bin").count().collect()}  # at most 4096 rows
-    taken, edge = 0, bins
-    for number in range(bins):
-        if taken + counts.get(number, 0) > n:
-            edge = number
-            break
-        taken += counts.get(number, 0)
-    whole = binned.filter(F.col("_bin") < edge)
-    if edge < bins and taken < n:
-        whole = whole.unionByName(
-            binned.filter(F.col("_bin") == edge).orderBy("_draw", id_column).limit(n - taken)
-        )
-    return whole.drop("_draw", "_bin")
+    half = 1 << 16
+    low, taken = 0, 0
+    for width in (half, 1):
+        part = drawn.filter((F.col("_draw") >= low) & (F.col("_draw") < low + width * half))
+        bins = part.groupBy(F.floor((F.col("_draw") - low) / width).alias("bin")).count().orderBy("bin").collect()
+        for row in bins:
+            if taken + row["count"] > n:
+                low += row["bin"] * width
+                break
+            taken += row["count"]
+        else:
+            if width == half:
+                return df
+            low += half
+    below = drawn.filter(F.col("_draw") < low)
+    if taken < n:
+        at = drawn.filter(F.col("_draw") == low).orderBy(id_column).limit(n - taken)
+        below = below.unionByName(at)
+    return below.drop("_draw")
 
 
 def split_of(key: Column, seed: int = 42, fractions=presets.SPLIT_FRACTIONS) -> Column:

@@ -207,12 +207,17 @@ def flagged(spark: SparkSession, sf_dir: str) -> DataFrame:
     return skills.with_approvals(rows, approvals)
 
 
-TRACKED_COLUMNS = 'skill_name, frequency, first_seen AT TIME ZONE \'UTC\' AS first_seen, last_seen AT TIME ZONE \'UTC\' AS last_seen'
+TRACKED_COLUMNS = "skill_name, frequency, first_seen, last_seen"
+
+
+def _plain_times(rows: DataFrame) -> DataFrame:
+    """Times without a zone, as the other tables have them."""
+    return rows.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("first_seen", "last_seen")})
 
 
 @query("approved_skills", TRACKED_SQL + f"SELECT {TRACKED_COLUMNS}, added_to_dict FROM flagged")
 def approved_skills(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return flagged(spark, sf_dir)
+    return _plain_times(flagged(spark, sf_dir))
 
 
 @query(
@@ -249,7 +254,7 @@ def stream_skill_tracker(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = work_path(spark, "skill-tracker")
     running.track_skills(texts, ["text", "job_text"], "seen_at", out).awaitTermination()
     current = running.latest(spark, out, ["skill_name"], running.TRACKED_SCHEMA)
-    return current.join(known_words(spark, sf_dir).select(F.col("skill").alias("skill_name")), "skill_name", "left_anti")
+    return _plain_times(current).join(known_words(spark, sf_dir).select(F.col("skill").alias("skill_name")), "skill_name", "left_anti")
 
 
 @query(

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from vocatio import presets
+from vocatio.session import broadcast_if_small, written
 
 
 def read_csv(
@@ -53,7 +54,9 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
     )
     splits = lines.groupBy("file", "block").agg(F.min("seq").alias("first"), F.count("*").alias("n"))
     earlier = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = splits.select("file", "block", (F.coalesce(F.sum("n").over(earlier), F.lit(0)) - F.col("first")).alias("shift"))
+    shift = F.coalesce(F.sum("n").over(earlier), F.lit(0)) - F.col("first")
+    offsets = written(splits.select("file", "block", shift.alias("shift")), "line-offsets")
+    offsets, _ = broadcast_if_small(offsets, F.octet_length("file") + 16)
     return lines.join(offsets, ["file", "block"]).select("file", (F.col("seq") + F.col("shift")).alias("line"), "value")
 
 
