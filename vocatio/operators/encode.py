@@ -42,7 +42,8 @@ def hash_encode(df: DataFrame, id_column: str, text_column: str, dimensions: int
             row = np.repeat(np.arange(n), np.diff(ends))
             flat = slots.flatten().to_numpy(zero_copy_only=False)
             cell = row * dimensions + flat // 2
-            sums = np.bincount(cell, weights=1.0 - 2.0 * (flat % 2), minlength=n * dimensions).reshape(n, dimensions)
+            signs = 1.0 - 2.0 * (flat % 2)
+            sums = np.bincount(cell, weights=signs, minlength=n * dimensions).astype(np.float64).reshape(n, dimensions)
             length = np.sqrt((sums * sums).sum(axis=1, keepdims=True))
             unit = np.divide(sums, length, out=sums, where=length > 0)
             vectors = pa.ListArray.from_arrays(

@@ -129,24 +129,17 @@ def _block_search(k: int):
     return search
 
 
-def _in_blocks(queries: DataFrame, items: DataFrame, k: int, schema: str, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def _in_blocks(queries: DataFrame, items: DataFrame, k: int, schema: str) -> DataFrame:
     """Top-k within each ``cell`` shared by both sides, block by block.
 
-    Each cell is cut by a hash of the ids into as many blocks as its measured size asks for, so a
-    cell that holds a third of all rows becomes many small tasks, not one large one.
+    Both sides carry ``query_blocks`` and ``item_blocks``, the numbers of blocks their cell is cut
+    into by a hash of the ids. They follow from the measured size, so a cell that holds a third of
+    all rows becomes many small tasks, not one large one.
     """
 
-    def counted(side: DataFrame, name: str) -> DataFrame:
-        size = F.sum(F.size("vector").cast("long") * 8)
-        return side.groupBy("cell").agg(F.ceil(size / F.lit(block_bytes)).alias(name))
-
-    # One row per cell: bounded by the number of cells, so every task may hold it.
-    blocks = F.broadcast(counted(queries, "query_blocks").join(counted(items, "item_blocks"), "cell"))
-
     def cut(side: DataFrame, id_column: str, own: str, other: str) -> DataFrame:
         return (
-            side.join(blocks, "cell")
-            .withColumn(own, F.pmod(draw(F.col(id_column)), F.col(f"{own}s")))
+            side.withColumn(own, F.pmod(draw(F.col(id_column)), F.col(f"{own}s")))
             .withColumn(other, F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(f"{other}s") - 1)))
             .select("cell", "query_block", "item_block", id_column, "vector")
         )
@@ -157,6 +150,10 @@ def _in_blocks(queries: DataFrame, items: DataFrame, k: int, schema: str, block_
     return left.cogroup(right).applyInArrow(_block_search(k), schema)
 
 
+def _blocks(n_bytes: int, block_bytes: int) -> int:
+    return max(1, -(-n_bytes // block_bytes))
+
+
 def ranked(candidates: DataFrame, k: int, group: str = "query_id", item: str = "item_id") -> DataFrame:
     """Rank 1..k per group by score, smaller id first on ties; Spark cuts to k before the shuffle."""
     order = Window.partitionBy(group).orderBy(F.desc("score"), F.asc(item))
@@ -164,7 +161,11 @@ def ranked(candidates: DataFrame, k: int, group: str = "query_id", item: str = "
 
 
 def top_k(
-    queries: DataFrame, items: DataFrame, k: int = presets.CANDIDATES, broadcast_limit: int = BROADCAST_LIMIT_BYTES
+    queries: DataFrame,
+    items: DataFrame,
+    k: int = presets.CANDIDATES,
+    broadcast_limit: int = BROADCAST_LIMIT_BYTES,
+    block_bytes: int = BLOCK_BYTES,
 ) -> DataFrame:
     """The ``k`` most similar items of every query: (query_id, item_id, score, rank).
 
@@ -179,8 +180,12 @@ def top_k(
     elif query_bytes <= broadcast_limit:
         found = _with_queries_everywhere(queries, items, k, schema)
     else:
-        whole = F.lit(0)
-        found = _in_blocks(queries.withColumn("cell", whole), items.withColumn("cell", whole), k, schema)
+        cut = {
+            "cell": F.lit(0),
+            "query_blocks": F.lit(_blocks(query_bytes, block_bytes)).cast("bigint"),
+            "item_blocks": F.lit(_blocks(item_bytes, block_bytes)).cast("bigint"),
+        }
+        found = _in_blocks(queries.withColumns(cut), items.withColumns(cut), k, schema)
     return ranked(found, k)
 
 
@@ -259,14 +264,22 @@ def cell_top_k(
     centres: DataFrame,
     k: int = presets.CANDIDATES,
     probes: int = presets.IVF_PROBES,
+    block_bytes: int = BLOCK_BYTES,
 ) -> DataFrame:
     """Top-k among the items of the ``probes`` nearest cells of each query.
 
     Fewer than ``k`` rows come back where the probed cells hold fewer items.
     """
     probed = probed_cells(queries, centres, probes)
-    found = _in_blocks(probed, placed_items, k, _result_schema(queries, placed_items))
-    return ranked(found, k)
+
+    def counted(side: DataFrame, name: str) -> DataFrame:
+        size = F.sum(F.size("vector").cast("long") * 8)
+        return side.groupBy("cell").agg(F.ceil(size / F.lit(block_bytes)).alias(name))
+
+    # One row per cell: bounded by the number of cells, so every task may hold it.
+    cells = F.broadcast(counted(probed, "query_blocks").join(counted(placed_items, "item_blocks"), "cell"))
+    schema = _result_schema(queries, placed_items)
+    return ranked(_in_blocks(probed.join(cells, "cell"), placed_items.join(cells, "cell"), k, schema), k)
 
 
 def best_match(scored: DataFrame) -> DataFrame:
