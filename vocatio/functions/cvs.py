@@ -80,12 +80,11 @@ def skill_names(cv: Column) -> Column:
 
     The names are gathered inside the row, so no shuffle is needed.
     """
-    groups = [_strings(F.transform(cv["skills"]["technical"][g], lambda s: s["name"])) for g in presets.SKILL_GROUPS]
-    used = _strings(
-        F.flatten(F.transform(cv["experience"], lambda e: _strings(e["technical_environment"]["technologies"])))
-    )
-    names = F.filter(F.concat(*groups, used), lambda s: clean(s).isNotNull())
-    return F.when(F.size(names) > 0, F.array_sort(F.array_distinct(names)))
+    groups = [_strings(cv["skills"]["technical"][g]["name"]) for g in presets.SKILL_GROUPS]
+    used = F.filter(cv["experience"]["technical_environment"]["technologies"], lambda t: t.isNotNull())
+    unknown = F.array(F.lit(None).cast("string"), *[F.lit(p) for p in presets.PLACEHOLDERS])
+    names = F.array_except(F.concat(*groups, _strings(F.flatten(used))), unknown)
+    return F.when(F.size(names) > 0, F.array_sort(names))
 
 
 def education(cv: Column) -> Column:

@@ -96,15 +96,16 @@ def training_mix(
     Both inputs have (anchor_text, positive_text); ``original`` also has a key column for the
     draw. Without positives, or with fewer than the least number of pairs, the result is empty.
     """
-    n_positive = positives.count()
+    n_positive, least = positives.count(), presets.MIN_TRAINING_PAIRS
     wanted = int(n_positive * (1 - mix_ratio) / mix_ratio)
-    drawn = sample_n(original, original_id, wanted, seed) if n_positive else original.limit(0)
+    n_original = min(wanted, original.limit(least).count()) if n_positive < least else 0
+    enough = n_positive > 0 and n_positive + n_original >= least
+    drawn = sample_n(original, original_id, wanted, seed) if enough else original.limit(0)
     texts = ["anchor_text", "positive_text"]
     mixed = positives.select(*texts, F.lit("feedback").alias("origin")).unionByName(
         drawn.select(*texts, F.lit("original").alias("origin"))
     )
-    enough = n_positive + min(wanted, original.count()) >= presets.MIN_TRAINING_PAIRS
-    return mixed if n_positive and enough else mixed.limit(0)
+    return mixed if enough else mixed.limit(0)
 
 
 def weight_grid(pairs: DataFrame, grid: dict[str, list[float]] | None = None) -> DataFrame:

@@ -67,10 +67,14 @@ def _result_schema(queries: DataFrame, items: DataFrame) -> str:
     return f"query_id {query_type}, item_id {item_type}, score double"
 
 
-def _size(df: DataFrame) -> tuple[int, int]:
-    """Rows and bytes of a vector table; both come from the footers or one narrow scan."""
-    row = df.agg(F.count("*").alias("n"), F.max(F.size("vector")).alias("d")).first()
-    return row["n"], row["n"] * ((row["d"] or 0) * 8 + 64)
+def _dimension(df: DataFrame) -> int:
+    first = df.select(F.size("vector").alias("d")).first()
+    return first["d"] if first else 0
+
+
+def _bytes(df: DataFrame) -> int:
+    """Size of a vector table in memory: its row count, which file footers tell, times one row."""
+    return df.count() * (_dimension(df) * 8 + 64)
 
 
 def _rows_of(df: DataFrame, id_column: str) -> tuple[np.ndarray, np.ndarray]:
@@ -174,10 +178,11 @@ def top_k(
     """
     _same_encoder(queries, items)
     schema = _result_schema(queries, items)
-    (_, query_bytes), (_, item_bytes) = _size(queries), _size(items)
+    item_bytes = _bytes(items)
     if item_bytes <= broadcast_limit:
-        found = _with_items_everywhere(queries, items, k, schema)
-    elif query_bytes <= broadcast_limit:
+        return ranked(_with_items_everywhere(queries, items, k, schema), k)
+    query_bytes = _bytes(queries)
+    if query_bytes <= broadcast_limit:
         found = _with_queries_everywhere(queries, items, k, schema)
     else:
         cut = {
@@ -192,7 +197,8 @@ def top_k(
 def _same_encoder(queries: DataFrame, items: DataFrame) -> None:
     if "encoder" not in queries.columns or "encoder" not in items.columns:
         return
-    names = {r[0] for side in (queries, items) for r in side.select("encoder").distinct().limit(3).collect()}
+    both = queries.select("encoder").unionAll(items.select("encoder"))
+    names = {r[0] for r in both.distinct().limit(3).collect()}
     if len(names) > 1:
         raise ValueError(f"vectors come from different encoders: {sorted(map(str, names))}")
 
@@ -211,7 +217,7 @@ def train_cells(items: DataFrame, cells: int = presets.IVF_CELLS, train_rows: in
     sample = items if share == 1.0 else items.filter(draw(F.col("item_id"), seed) < int(share * (1 << 32)))
     points = sample.select(array_to_vector(F.col("vector").cast("array<double>")).alias("features")).persist()
     try:
-        model = KMeans(k=cells, seed=seed, distanceMeasure="cosine", maxIter=20).fit(points)
+        model = KMeans(k=cells, seed=seed, distanceMeasure="cosine", maxIter=10).fit(points)
     finally:
         points.unpersist()
     rows = [(i, [float(x) for x in centre]) for i, centre in enumerate(model.clusterCenters())]
@@ -272,9 +278,10 @@ def cell_top_k(
     """
     probed = probed_cells(queries, centres, probes)
 
+    row_bytes = _dimension(centres) * 8
+
     def counted(side: DataFrame, name: str) -> DataFrame:
-        size = F.sum(F.size("vector").cast("long") * 8)
-        return side.groupBy("cell").agg(F.ceil(size / F.lit(block_bytes)).alias(name))
+        return side.groupBy("cell").agg(F.ceil(F.count("*") * row_bytes / F.lit(block_bytes)).alias(name))
 
     # One row per cell: bounded by the number of cells, so every task may hold it.
     cells = F.broadcast(counted(probed, "query_blocks").join(counted(placed_items, "item_blocks"), "cell"))

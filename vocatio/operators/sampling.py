@@ -75,8 +75,8 @@ def sample_n(df: DataFrame, id_column: str, n: int, seed: int = 42) -> DataFrame
     low, taken = 0, 0
     for width in (half, 1):
         part = drawn.filter((F.col("_draw") >= low) & (F.col("_draw") < low + width * half))
-        bins = part.groupBy(F.floor((F.col("_draw") - low) / width).alias("bin")).count().orderBy("bin").collect()
-        for row in bins:
+        bins = part.groupBy(F.floor((F.col("_draw") - low) / width).alias("bin")).count().collect()
+        for row in sorted(bins, key=lambda r: r["bin"]):
             if taken + row["count"] > n:
                 low += row["bin"] * width
                 break

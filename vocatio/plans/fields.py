@@ -12,6 +12,7 @@ from vocatio.operators import joins, quality
 from vocatio.plans import views
 from vocatio.plans.ingest import OCCUPATION_SQL
 from vocatio.plans.registry import query
+from vocatio.session import spread
 
 AS_OF = "2002-01-01"
 
@@ -170,7 +171,8 @@ def experience_years(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(key % 3 == 1, F.date_format(F.date_add(date, (key % 900).cast("int") - 50), "yyyy-MM-dd"))
         .otherwise("Not Provided")
     )
-    spans = views.table(spark, sf_dir, "orders").select(
+    orders = spread(views.table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate"))
+    spans = orders.select(
         "o_custkey", months(parse_date(begin), parse_date(finish, F.to_date(F.lit(AS_OF)))).alias("m")
     )
     return (

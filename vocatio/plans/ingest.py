@@ -9,7 +9,7 @@ from vocatio.functions.rules import occupation_group, occupation_name
 from vocatio.operators import joins, quality, sampling
 from vocatio.plans import views
 from vocatio.plans.registry import query
-from vocatio.session import work_path
+from vocatio.session import spread, work_path
 from vocatio.sources import files, messages, postings
 from vocatio.streaming import ingest
 
@@ -192,10 +192,9 @@ def stream_ingest_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def dedup_by_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The batch form: first delivery of each id, and how often it came."""
-    sent = _event_messages(views.table(spark, sf_dir, "events"))
+    sent = _event_messages(spread(views.table(spark, sf_dir, "events")))
     rows = messages.records(messages.parsed(sent.unionAll(sent)), extra=("timestamp",))
-    first = messages.first_of_each_id(rows, "timestamp").select("id", "job_title")
-    return first.join(rows.groupBy("id").agg(F.count("*").alias("deliveries")), "id")
+    return messages.first_of_each_id(rows, "timestamp").select("id", "job_title", "deliveries")
 
 
 def _document_messages(documents: DataFrame) -> DataFrame:

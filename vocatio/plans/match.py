@@ -311,9 +311,10 @@ def match(
     asked = queries.withColumn("text", text.ensure_query_prefix(F.col("text")))
     offered = items.withColumn("text", text.ensure_prefix(F.col("text"), presets.PASSAGE_PREFIX))
     candidates = k if pair_score is None else candidates
-    hits = retrieval.top_k(
-        encode.hash_encode(asked, "query_id", "text"), encode.hash_encode(offered, "item_id", "text"), candidates
-    )
+    # Written, so that measuring and searching the vectors does not encode the texts again.
+    query_vectors = written(encode.hash_encode(asked, "query_id", "text"), "query-vectors")
+    item_vectors = written(encode.hash_encode(offered, "item_id", "text"), "item-vectors")
+    hits = retrieval.top_k(query_vectors, item_vectors, candidates)
     if pair_score is None:
         return hits
     plain = offered.select("item_id", text.strip_prefixes(F.col("text")).alias("item_text"))

@@ -198,7 +198,7 @@ def tracked(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def flagged(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tracked skills with those approved that have four letters or name a place."""
-    rows = tracked(spark, sf_dir)
+    rows = written(tracked(spark, sf_dir), "tracked-skills")
     places = views.table(spark, sf_dir, "nation").select(F.col("n_name").alias("skill_name")).unionByName(
         views.table(spark, sf_dir, "region").select(F.col("r_name").alias("skill_name"))
     )

@@ -60,17 +60,22 @@ def read_topic(spark, servers: str, topic: str) -> DataFrame:
 def parsed(messages: DataFrame, schema: T.StructType = POSTING_SCHEMA, value: str = "value") -> DataFrame:
     """Fields of each message with ``error_type``, null for good ones; absent fields become ''.
 
-    A message that is no JSON, one that is no object, and one without an id are errors.
+    A message that is no JSON, one that is no object, and one without an id are errors. The text
+    is parsed once, into a variant column; the fields are looked up in that.
     """
-    json = F.try_parse_json(value)
-    kind = F.schema_of_variant(json)
-    record = F.from_json(F.col(value), schema)
-    blank = F.coalesce(record["id"], F.lit("")) == ""
+    read = messages.withColumn("_json", F.try_parse_json(value))
+    is_object = F.ltrim(F.col(value), F.lit(" \t\r\n")).startswith("{")
+
+    def field(name: str) -> Column:
+        return F.coalesce(F.try_variant_get("_json", f"$.{name}", "string"), F.lit(""))
+
     error = (
-        F.when(json.isNull(), "JSONDecodeError").when(~kind.startswith("OBJECT"), "AttributeError").when(blank, "ValueError")
+        F.when(F.col("_json").isNull(), "JSONDecodeError")
+        .when(~is_object, "AttributeError")
+        .when(field("id") == "", "ValueError")
     )
-    fields = [F.coalesce(record[f.name], F.lit("")).alias(f.name) for f in schema.fields]
-    return messages.select("*", error.alias("error_type"), *fields)
+    fields = [field(f.name).alias(f.name) for f in schema.fields]
+    return read.select(*messages.columns, error.alias("error_type"), *fields)
 
 
 def records(parsed_messages: DataFrame, schema: T.StructType = POSTING_SCHEMA, extra: tuple[str, ...] = ()) -> DataFrame:
@@ -93,9 +98,10 @@ def dead_letters(parsed_messages: DataFrame, value: str = "value", at: Column |
 
 
 def first_of_each_id(rows: DataFrame, order: str) -> DataFrame:
-    """The earliest row of every id; repeats are dropped before the shuffle.
+    """The earliest row of every id and how often it came; repeats are dropped before the shuffle.
 
     A batch has no arrival order of its own, so ``order`` names the column that stands for it.
     """
     row = F.struct(*[F.col(c) for c in rows.columns])
-    return rows.groupBy("id").agg(F.min_by(row, F.col(order)).alias("_r")).select("_r.*")
+    first = F.min_by(row, F.col(order)).alias("_r")
+    return rows.groupBy("id").agg(first, F.count("*").alias("deliveries")).select("_r.*", "deliveries")
