@@ -9,6 +9,9 @@ from vocatio import presets
 from vocatio.functions.hashing import draw, uniform
 from vocatio.session import written
 
+# Rows of one bin of draws that may be sorted at once for an exact sample.
+SORTED_AT_ONCE = 100_000
+
 
 def allocation(counts: DataFrame, target: int, minimum: int) -> DataFrame:
     """Rows to draw per stratum from (stratum, count): (stratum, count, allotted, fraction).
@@ -66,29 +69,33 @@ def stratum_summary(before: DataFrame, after: DataFrame, stratum: str) -> DataFr
 def sample_n(df: DataFrame, id_column: str, n: int, seed: int = 42) -> DataFrame:
     """Exactly ``n`` rows (or all), chosen by the smallest draws.
 
-    The draw of row ``n`` is found from two histograms of at most 65,536 bins, over the upper and
-    then the lower half of the draw's bits. All rows below it pass a filter; only rows with exactly
-    that draw are sorted. So the cost does not grow with ``n`` and no task holds the sample.
+    A histogram over the upper half of the draw's bits (at most 65,536 bins) tells the bin of row
+    ``n``; a bin that is itself large is cut once more by the lower half. All rows below the bin
+    pass a filter and only the rows of the bin are sorted, so the cost does not grow with ``n`` and
+    no task holds the sample.
     """
     drawn = df.withColumn("_draw", draw(F.col(id_column), seed))
     half = 1 << 16
-    low, taken = 0, 0
-    for width in (half, 1):
+    low, taken, width = 0, 0, half
+    while True:
         part = drawn.filter((F.col("_draw") >= low) & (F.col("_draw") < low + width * half))
         bins = part.groupBy(F.floor((F.col("_draw") - low) / width).alias("bin")).count().collect()
+        edge = None
         for row in sorted(bins, key=lambda r: r["bin"]):
             if taken + row["count"] > n:
-                low += row["bin"] * width
+                edge = row
                 break
             taken += row["count"]
-        else:
-            if width == half:
-                return df
-            low += half
+        if edge is None:
+            return df
+        low += edge["bin"] * width
+        if edge["count"] <= SORTED_AT_ONCE or width == 1:
+            break
+        width = 1
     below = drawn.filter(F.col("_draw") < low)
     if taken < n:
-        at = drawn.filter(F.col("_draw") == low).orderBy(id_column).limit(n - taken)
-        below = below.unionByName(at)
+        at = drawn.filter((F.col("_draw") >= low) & (F.col("_draw") < low + width))
+        below = below.unionByName(at.orderBy("_draw", id_column).limit(n - taken))
     return below.drop("_draw")
 
 

@@ -355,7 +355,7 @@ DOCUMENT_TYPE_SQL = """CASE WHEN list_sum([CAST(contains(lower(text), w) AS INTE
 SELECT id, {DOCUMENT_TYPE_SQL} AS type FROM typed""",
 )
 def document_type(spark: SparkSession, sf_dir: str) -> DataFrame:
-    documents = views.table(spark, sf_dir, "documents").select(F.concat(F.lit("d"), "doc_id").alias("id"), "text")
+    documents = views.documents(spark, sf_dir).select(F.concat(F.lit("d"), "doc_id").alias("id"), "text")
     turns = views.table(spark, sf_dir, "conversations").select(F.concat(F.lit("c"), "conv_id", F.lit("-"), "turn").alias("id"), "text")
     key = F.col("id").cast("bigint")
     ads = views.postings(spark, sf_dir).select(
@@ -376,7 +376,7 @@ def document_type(spark: SparkSession, sf_dir: str) -> DataFrame:
 FROM documents WHERE length(trim(text)) >= 10""",
 )
 def text_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sized = quality.text_sizes(views.table(spark, sf_dir, "documents"), "text")
+    sized = quality.text_sizes(views.documents(spark, sf_dir), "text")
     return sized.filter(F.length(F.trim("text")) >= presets.MIN_DOCUMENT_CHARS).select(
         "doc_id", F.col("char_count").cast("bigint").alias("char_count"), F.col("word_count").cast("bigint").alias("word_count"),
         text.preview(F.col("text"), 300).alias("preview"),
