@@ -32,11 +32,11 @@ def test_ingest_keeps_each_id_once_over_restarts(spark, tmp_path):
 def test_dead_letters_and_repeated_batches(spark, tmp_path):
     box, out = tmp_path / "in", str(tmp_path / "out")
     drop(box, "1.json", [{"value": '{"id":"a"}'}, {"value": "{bad"}])
-    drop(box, "2.json", [{"value": '{"id":""}'}, {"value": "[]"}])
+    drop(box, "2.json", [{"value": '{"id":""}'}, {"value": "[]"}, {"value": '{"id":"a","source":"late"}'}, {"value": '{"id":"b"}'}, {"value": '{"id":"b"}'}])
     ingest.ingest_with_dead_letters(source(spark, box, "value string"), out).awaitTermination()
     kinds = sorted(r["error_type"] for r in spark.read.parquet(f"{out}/dead").collect())
     assert kinds == ["AttributeError", "JSONDecodeError", "ValueError"]
-    assert spark.read.parquet(f"{out}/rows").count() == 1
+    assert sorted((r["id"], r["source"]) for r in spark.read.parquet(f"{out}/rows").collect()) == [("a", ""), ("b", "")]
     write = ingest.batch_table(f"{out}/again")
     write(spark.range(5), 0)
     write(spark.range(5), 0)

@@ -186,6 +186,21 @@ def stream_ingest_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{out}/rows").select("id", "source", "job_title", "company", "description", "job_link")
 
 
+@query(
+    "stream_ingest_exact",
+    """SELECT CAST(event_id AS VARCHAR) AS id, 'events' AS source, event_type AS job_title,
+  CAST(user_id AS VARCHAR) AS company, props AS description, '' AS job_link FROM events""",
+)
+def stream_ingest_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same deliveries, with repeats told by the rows already written."""
+    twice = _event_messages(_table_stream(spark, sf_dir, "events")).union(
+        _event_messages(_table_stream(spark, sf_dir, "events"))
+    )
+    out = work_path(spark, "stream-exact")
+    ingest.ingest_with_dead_letters(twice, out, order="timestamp").awaitTermination()
+    return spark.read.parquet(f"{out}/rows").select("id", "source", "job_title", "company", "description", "job_link")
+
+
 @query(
     "dedup_by_id",
     """SELECT CAST(event_id AS VARCHAR) AS id, event_type AS job_title, CAST(2 AS BIGINT) AS deliveries FROM events""",

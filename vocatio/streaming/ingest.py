@@ -9,15 +9,20 @@ from pyspark.sql.streaming import StreamingQuery
 
 from vocatio import presets
 from vocatio.functions.text import word_count
+from vocatio.operators import joins
 from vocatio.sources import messages
 
 
-def distinct_ids(rows: DataFrame, time: str, delay: str) -> DataFrame:
+def distinct_ids(rows: DataFrame, time: str, delay: str, salts: int = 16) -> DataFrame:
     """Drop repeats of an id that arrive within ``delay`` of each other.
 
-    The watermark bounds the state; a repeat that comes later than the delay passes again.
+    The watermark bounds the state; a repeat that comes later than the delay passes again. Repeats
+    are first dropped per id and part of the input, so an id that makes up a third of a batch is
+    spread over ``salts`` tasks and only one row of each reaches the task that keeps the id.
     """
-    return rows.withWatermark(time, delay).dropDuplicatesWithinWatermark(["id"])
+    salted = rows.withColumn("_salt", F.pmod(F.spark_partition_id(), F.lit(salts)))
+    once = salted.withWatermark(time, delay).dropDuplicatesWithinWatermark(["id", "_salt"])
+    return once.drop("_salt").dropDuplicatesWithinWatermark(["id"])
 
 
 def ingest(
@@ -45,13 +50,27 @@ def batch_table(path: str):
     return write
 
 
-def ingest_with_dead_letters(stream: DataFrame, out: str, at: Column | None = None, schema: T.StructType = messages.POSTING_SCHEMA) -> StreamingQuery:
-    """Good messages and dead letters of one stream into two tables, batch by batch."""
+def ingest_with_dead_letters(
+    stream: DataFrame, out: str, order: str | None = None, at: Column | None = None, schema: T.StructType = messages.POSTING_SCHEMA
+) -> StreamingQuery:
+    """Good messages, each id once, and dead letters of one stream into two tables, batch by batch.
+
+    Repeats are told without a watermark, however late they come: each batch is reduced to one row
+    per id, the earliest by ``order``, before its shuffle, and ids that earlier batches wrote are
+    taken out by an anti join. Only folders of earlier batches are read, so a batch that runs again
+    gives the same rows.
+    """
 
     def write(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
         parsed = messages.parsed(batch, schema).persist()
         try:
-            batch_table(f"{out}/rows")(messages.records(parsed, schema), batch_id)
+            extra = (order,) if order else ()
+            rows = messages.first_of_each_id(messages.records(parsed, schema, extra), order or "id").drop(*extra, "deliveries")
+            if batch_id:
+                seen = spark.read.schema("id string, batch_id bigint").parquet(f"{out}/rows")
+                rows = joins.without(rows, seen.filter(F.col("batch_id") < batch_id), "id")
+            batch_table(f"{out}/rows")(rows, batch_id)
             batch_table(f"{out}/dead")(messages.dead_letters(parsed, at=at), batch_id)
         finally:
             parsed.unpersist()
