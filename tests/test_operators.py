@@ -38,6 +38,22 @@ def test_all_forms_of_search_agree_with_brute_force(spark):
     assert as_set(retrieval.top_k(queries, items.repartition(5), 7, broadcast_limit=0)) == expected
 
 
+def test_copies_and_small_steps(spark, monkeypatch):
+    """A third of all items are the same vector; every path must break the ties by id."""
+    rng = np.random.default_rng(5)
+    rows = [(n, [1.0, 1.0, 0.0]) if n % 3 == 0 else (n, [float(x) for x in rng.integers(-1, 2, 3)]) for n in range(400)]
+    rng.shuffle(rows)
+    leaders = retrieval._Leaders(np.array([[1.0, 1.0, 0.0], [0.0, 0.0, 1.0]]), 9)
+    monkeypatch.setattr(retrieval, "ITEMS_AT_ONCE", 32)
+    monkeypatch.setattr(retrieval, "SCORES_AT_ONCE", 40)
+    matrix, ids = np.array([v for _, v in rows]), np.array([n for n, _ in rows])
+    for at in range(0, 400, 70):
+        leaders.offer(matrix[at : at + 70], ids[at : at + 70])
+    got = list(zip(*(column.tolist() for column in leaders.result())))
+    queries = [(0, [1.0, 1.0, 0.0]), (1, [0.0, 0.0, 1.0])]
+    assert got == sorted(((q, i, s) for q, i, _, s in brute(queries, rows, 9)), key=lambda r: (r[0], -r[2], r[1]))
+
+
 def test_many_blocks(spark):
     q, queries = vectors(spark, 50, "query_id", 1)
     i, items = vectors(spark, 200, "item_id", 2)

@@ -2,7 +2,6 @@
 
 import re
 
-import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
@@ -60,14 +59,6 @@ def test_missing_links_do_not_meet_in_one_partition(spark):
     assert sum(sizes) == 20000 and max(sizes) < 20000 / 4
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
-def test_no_cross_join(spark, sf, name):
-    if name.startswith("stream") or name == "folder_documents":
-        pytest.skip("reads the result of a stream")
-    text = plan(entry.queries()[name](spark, sf))
-    assert "CartesianProduct" not in text and "NestedLoopJoin" not in text
-
-
 def test_entry(spark):
     first = entry.entry(spark)
     assert first.columns == ["skill", "count"] and first.count() > 0

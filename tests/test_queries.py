@@ -14,6 +14,8 @@ def con(sf):
 @pytest.mark.parametrize("name", sorted(entry.queries()))
 def test_query(spark, sf, con, name):
     result = entry.queries()[name](spark, sf)
+    text = result._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in text and "NestedLoopJoin" not in text
     sql = entry.oracle_sql().get(name)
     if sql is None:
         assert result.count() > 0

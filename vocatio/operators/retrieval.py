@@ -29,6 +29,9 @@ from vocatio.session import BROADCAST_LIMIT_BYTES
 SCALE = 1_000_000
 # Vectors of one block, as doubles; a task holds one block of each side.
 BLOCK_BYTES = 32 * 1024 * 1024
+# Scores computed in one go, and items they are computed for.
+SCORES_AT_ONCE = 4_000_000
+ITEMS_AT_ONCE = 8_192
 
 
 def _arrow_matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
@@ -39,26 +42,57 @@ def _arrow_matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1)
 
 
-def _best(query_vectors: np.ndarray, item_vectors: np.ndarray, item_ids: np.ndarray, k: int):
-    """Row numbers (query, item) and scores of the best ``k`` items per query.
+class _Leaders:
+    """The best ``k`` items so far of each query of a block.
 
-    The score in units of 1e-6 and the item's place among the sorted ids make one whole number,
-    so the partial sort already knows how ties end.
+    Once a query has ``k`` items, its lowest score is a bar that most later items fail in one
+    comparison; only those that reach it are sorted, by score and then by id.
     """
-    n = len(item_ids)
-    k = min(k, n)
-    place = np.empty(n, dtype=np.int64)
-    place[np.argsort(item_ids, kind="stable")] = np.arange(n)
-    rows, cols, scores = [], [], []
-    step = max(1, 8_000_000 // n)
-    for start in range(0, len(query_vectors), step):
-        units = np.floor(query_vectors[start : start + step] @ item_vectors.T * SCALE + 0.5).astype(np.int64)
-        key = units * n + (n - 1 - place)
-        top = np.argpartition(key, n - k, axis=1)[:, n - k :]
-        rows.append(np.repeat(np.arange(start, start + len(units)), k))
-        cols.append(top.ravel())
-        scores.append(np.take_along_axis(units, top, axis=1).ravel())
-    return np.concatenate(rows), np.concatenate(cols), np.concatenate(scores) / SCALE
+
+    def __init__(self, queries: np.ndarray, k: int):
+        self.queries, self.k = queries, k
+        self.bar = np.full(len(queries), -np.inf)
+        self.parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.pending = 0
+
+    def offer(self, items: np.ndarray, ids: np.ndarray) -> None:
+        n = len(items)
+        for at in range(0, n, ITEMS_AT_ONCE):
+            self._offer(items[at : at + ITEMS_AT_ONCE], ids[at : at + ITEMS_AT_ONCE])
+
+    def _offer(self, items: np.ndarray, ids: np.ndarray) -> None:
+        n, k = len(items), self.k
+        step = max(1, SCORES_AT_ONCE // n)
+        for start in range(0, len(self.queries), step):
+            units = np.floor(self.queries[start : start + step] @ items.T * SCALE + 0.5)
+            bar = self.bar[start : start + step]
+            new = np.isneginf(bar)
+            if n > k and new.any():
+                bar[new] = np.partition(units[new], n - k, axis=1)[:, n - k]
+            rows, cols = np.nonzero(units >= bar[:, None])
+            self.parts.append((rows + start, ids[cols], units[rows, cols]))
+            self.pending += len(rows)
+            if self.pending > max(SCORES_AT_ONCE, 4 * k * len(self.queries)):
+                self._sort()
+
+    def _sort(self) -> None:
+        rows, ids, units = (np.concatenate(column) for column in zip(*self.parts))
+        order = np.lexsort((ids, -units, rows))
+        rows, ids, units = rows[order], ids[order], units[order]
+        place = np.arange(len(rows)) - np.searchsorted(rows, rows, side="left")
+        last = place == self.k - 1
+        self.bar[rows[last]] = units[last]
+        kept = place < self.k
+        self.parts = [(rows[kept], ids[kept], units[kept])]
+        self.pending = 0
+
+    def result(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Row numbers of the queries, item ids and scores."""
+        if not self.parts:
+            return np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64), np.empty(0)
+        self._sort()
+        rows, ids, units = self.parts[0]
+        return rows, ids, units / SCALE
 
 
 def _result_schema(queries: DataFrame, items: DataFrame) -> str:
@@ -77,23 +111,29 @@ def _bytes(df: DataFrame) -> int:
     return df.count() * (_dimension(df) * 8 + 64)
 
 
-def _rows_of(df: DataFrame, id_column: str) -> tuple[np.ndarray, np.ndarray]:
+def _ids(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
+    return np.array(column.to_pylist())
+
+
+def _rows_of(df: DataFrame, id_column: str) -> tuple[np.ndarray, np.ndarray, pa.DataType]:
     """A side of checked size as arrays, for a broadcast variable."""
     table = df.select(id_column, "vector").toArrow()
-    ids = np.array(table.column(id_column).to_pylist())
-    return ids, _arrow_matrix(table.column("vector"))
+    column = table.column(id_column)
+    return _ids(column), _arrow_matrix(table.column("vector")), column.type
 
 
 def _with_items_everywhere(queries: DataFrame, items: DataFrame, k: int, schema: str) -> DataFrame:
     shared = queries.sparkSession.sparkContext.broadcast(_rows_of(items, "item_id"))
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, matrix = shared.value
+        ids, matrix, id_type = shared.value
         for batch in batches:
             if batch.num_rows and len(ids):
-                rows, cols, scores = _best(_arrow_matrix(batch.column("vector")), matrix, ids, k)
+                leaders = _Leaders(_arrow_matrix(batch.column("vector")), k)
+                leaders.offer(matrix, ids)
+                rows, found, scores = leaders.result()
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("query_id").take(pa.array(rows)), pa.array(ids[cols]), pa.array(scores)],
+                    [batch.column("query_id").take(pa.array(rows)), pa.array(found, type=id_type), pa.array(scores)],
                     names=["query_id", "item_id", "score"],
                 )
 
@@ -104,15 +144,18 @@ def _with_queries_everywhere(queries: DataFrame, items: DataFrame, k: int, schem
     shared = queries.sparkSession.sparkContext.broadcast(_rows_of(queries, "query_id"))
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, matrix = shared.value
+        ids, matrix, id_type = shared.value
+        leaders, item_type = _Leaders(matrix, k), None
         for batch in batches:
             if batch.num_rows and len(ids):
-                item_ids = np.array(batch.column("item_id").to_pylist())
-                rows, cols, scores = _best(matrix, _arrow_matrix(batch.column("vector")), item_ids, k)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids[rows]), batch.column("item_id").take(pa.array(cols)), pa.array(scores)],
-                    names=["query_id", "item_id", "score"],
-                )
+                item_type = batch.column("item_id").type
+                leaders.offer(_arrow_matrix(batch.column("vector")), _ids(batch.column("item_id")))
+        if item_type is not None:
+            rows, found, scores = leaders.result()
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(ids[rows], type=id_type), pa.array(found, type=item_type), pa.array(scores)],
+                names=["query_id", "item_id", "score"],
+            )
 
     return items.select("item_id", "vector").mapInArrow(search, schema)
 
@@ -120,15 +163,13 @@ def _with_queries_everywhere(queries: DataFrame, items: DataFrame, k: int, schem
 def _block_search(k: int):
     def search(left: pa.Table, right: pa.Table) -> pa.Table:
         names = ["query_id", "item_id", "score"]
+        query_ids, item_type = left.column("query_id"), right.column("item_id").type
         if not left.num_rows or not right.num_rows:
-            empty = pa.array([], pa.float64())
-            return pa.table([left.column("query_id").slice(0, 0), right.column("item_id").slice(0, 0), empty], names)
-        ids = np.array(right.column("item_id").to_pylist())
-        rows, cols, scores = _best(_arrow_matrix(left.column("vector")), _arrow_matrix(right.column("vector")), ids, k)
-        return pa.table(
-            [left.column("query_id").take(pa.array(rows)), right.column("item_id").take(pa.array(cols)), pa.array(scores)],
-            names,
-        )
+            return pa.table([query_ids.slice(0, 0), pa.array([], item_type), pa.array([], pa.float64())], names)
+        leaders = _Leaders(_arrow_matrix(left.column("vector")), k)
+        leaders.offer(_arrow_matrix(right.column("vector")), _ids(right.column("item_id")))
+        rows, found, scores = leaders.result()
+        return pa.table([query_ids.take(pa.array(rows)), pa.array(found, type=item_type), pa.array(scores)], names)
 
     return search
 
@@ -236,19 +277,20 @@ def probed_cells(queries: DataFrame, centres: DataFrame, probes: int) -> DataFra
 
     The centres are bounded by the number of cells; queries are read once and not shuffled.
     """
-    cells, matrix = _rows_of(centres, "cell")
-    shared = queries.sparkSession.sparkContext.broadcast((cells, matrix))
+    shared = queries.sparkSession.sparkContext.broadcast(_rows_of(centres, "cell"))
     vector_type = queries.schema["vector"].dataType.simpleString()
     query_type = queries.schema["query_id"].dataType.simpleString()
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, centre = shared.value
+        ids, centre, id_type = shared.value
         for batch in batches:
             if batch.num_rows:
-                rows, cols, _ = _best(_arrow_matrix(batch.column("vector")), centre, ids, probes)
+                leaders = _Leaders(_arrow_matrix(batch.column("vector")), probes)
+                leaders.offer(centre, ids)
+                rows, cells, _ = leaders.result()
                 take = pa.array(rows)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("query_id").take(take), batch.column("vector").take(take), pa.array(ids[cols].astype("int32"))],
+                    [batch.column("query_id").take(take), batch.column("vector").take(take), pa.array(cells, type=id_type)],
                     names=["query_id", "vector", "cell"],
                 )
 
