@@ -29,9 +29,9 @@ from vocatio.session import BROADCAST_LIMIT_BYTES
 SCALE = 1_000_000
 # Vectors of one block, as doubles; a task holds one block of each side.
 BLOCK_BYTES = 32 * 1024 * 1024
-# Scores computed in one go, and items they are computed for.
-SCORES_AT_ONCE = 4_000_000
-ITEMS_AT_ONCE = 8_192
+# Scores computed in one go, few enough to stay in a core's cache, and items they are computed for.
+SCORES_AT_ONCE = 500_000
+ITEMS_AT_ONCE = 2_048
 
 
 def _arrow_matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
@@ -42,6 +42,11 @@ def _arrow_matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1)
 
 
+def _units(scores: np.ndarray) -> np.ndarray:
+    """Scores in whole units of 1e-6."""
+    return np.floor(scores * SCALE + 0.5)
+
+
 class _Leaders:
     """The best ``k`` items so far of each query of a block.
 
@@ -64,13 +69,18 @@ class _Leaders:
         n, k = len(items), self.k
         step = max(1, SCORES_AT_ONCE // n)
         for start in range(0, len(self.queries), step):
-            units = np.floor(self.queries[start : start + step] @ items.T * SCALE + 0.5)
+            scores = self.queries[start : start + step] @ items.T
             bar = self.bar[start : start + step]
             new = np.isneginf(bar)
             if n > k and new.any():
-                bar[new] = np.partition(units[new], n - k, axis=1)[:, n - k]
-            rows, cols = np.nonzero(units >= bar[:, None])
-            self.parts.append((rows + start, ids[cols], units[rows, cols]))
+                bar[new] = _units(np.partition(scores[new], n - k, axis=1)[:, n - k])
+            # A little below the bar, so that rounding keeps every item that may reach it.
+            near = np.flatnonzero(scores >= ((bar - 0.5 - 1e-3) / SCALE)[:, None])
+            rows, cols = np.divmod(near, n)
+            units = _units(scores.ravel()[near])
+            kept = units >= bar[rows]
+            rows, cols, units = rows[kept], cols[kept], units[kept]
+            self.parts.append((rows + start, ids[cols], units))
             self.pending += len(rows)
             if self.pending > max(SCORES_AT_ONCE, 4 * k * len(self.queries)):
                 self._sort()

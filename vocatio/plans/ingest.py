@@ -45,7 +45,7 @@ def _json_lines(spark: SparkSession, sf_dir: str) -> str:
         F.when(key % 7 == 0, F.concat(F.lit('{"doc_id": '), key.cast("string"))),
     )
     path = work_path(spark, "json-lines")
-    documents = views.table(spark, sf_dir, "documents")
+    documents = spread(views.table(spark, sf_dir, "documents").select("doc_id", "lang", "text"))
     documents.select(F.explode(lines).alias("value")).filter(F.col("value").isNotNull()).write.text(path)
     return path
 
@@ -92,6 +92,15 @@ def embedding_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.schema(embeddings.schema).parquet(path).select("vec_id", "label", F.round(total, 5).alias("total"))
 
 
+@query("batched_write", "SELECT count(*) AS rows, true AS bounded FROM orders")
+def batched_write(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders written in files of at most 10,000 rows, counted per file when read back."""
+    path = work_path(spark, "batched")
+    files.write_rows(views.table(spark, sf_dir, "orders"), path)
+    per_file = spark.read.parquet(path).groupBy(F.col("_metadata.file_path").alias("file")).agg(F.count("*").alias("n"))
+    return per_file.agg(F.sum("n").alias("rows"), (F.max("n") <= 10_000).alias("bounded"))
+
+
 @query(
     "unify_sources",
     """SELECT 'p' || p_partkey AS id, 'linkedin' AS source, 'link/' || p_partkey AS job_link, p_name AS job_title,

@@ -100,6 +100,30 @@ def ivf_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.cell_top_k(views.cv_vectors(spark, sf_dir).drop("label"), placed, centres, 10, 4)
 
 
+@query(
+    "cell_probe",
+    VEC_SQL
+    + """, centres AS (SELECT cell, list(a ORDER BY pos) AS v FROM (SELECT label AS cell, pos, round(avg(x), 6) AS a
+    FROM (SELECT label, unnest(v) AS x, generate_subscripts(v, 1) AS pos FROM job_vec) GROUP BY 1, 2) GROUP BY 1),
+placed AS (SELECT item_id, j.v, cell FROM job_vec j, centres c
+  QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY floor(list_dot_product(j.v, c.v) * 1000000 + 0.5) DESC, cell) = 1),
+probed AS (SELECT query_id, q.v, cell FROM cv_vec q, centres c
+  QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY floor(list_dot_product(q.v, c.v) * 1000000 + 0.5) DESC, cell) <= 3),
+near AS (SELECT query_id, item_id, floor(list_dot_product(q.v, p.v) * 1000000 + 0.5) / 1000000 AS score FROM probed q JOIN placed p USING (cell))
+SELECT query_id, item_id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id) AS INTEGER) AS rank FROM near QUALIFY rank <= 10""",
+)
+def cell_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three of ten cells probed; the mean vector of each label is its centre."""
+    items = views.job_vectors(spark, sf_dir)
+    means = items.select("label", F.posexplode("vector")).groupBy("label", "pos").agg(F.round(F.avg("col"), 6).alias("mean"))
+    centres = means.groupBy(F.col("label").alias("cell")).agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("pos", "mean"))), lambda s: s["mean"]).alias("vector")
+    )
+    centres = written(centres, "label-centres")
+    placed = written(retrieval.assign_cells(items.drop("label"), centres), "placed")
+    return retrieval.cell_top_k(views.cv_vectors(spark, sf_dir).drop("label"), placed, centres, 10, 3)
+
+
 # True pair of a CV: the first posting of its label; some pairs name a CV that is not known.
 TRUTH_SQL = """, truth AS (SELECT CASE WHEN CAST(substr(query_id, 2) AS BIGINT) % 10 = 0 THEN 'X' || query_id ELSE query_id END AS anchor,
   (SELECT min(item_id) FROM job_vec j WHERE j.label = c.label) AS match FROM cv_vec c)
@@ -253,6 +277,25 @@ def encode_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return entries.filter(F.col("value") != 0).withColumn("value", F.round("value", 6))
 
 
+def letter_model(texts):
+    """Length and two letter counts of each text: a stand-in for a user's encoder."""
+    import numpy as np
+
+    return np.array([[len(t), t.count("e"), t.count("a")] for t in texts], dtype=float).reshape(len(texts), 3)
+
+
+@query(
+    "encode_with_model",
+    """WITH c AS (SELECT doc_id, [length(text), length(text) - length(replace(text, 'e', '')), length(text) - length(replace(text, 'a', ''))]::DOUBLE[] AS v FROM documents)
+SELECT doc_id, 'letters' AS encoder, CAST(generate_subscripts(v, 1) - 1 AS INTEGER) AS dim, round(unnest(v) / sqrt(list_dot_product(v, v)), 6) AS value FROM c""",
+)
+def encode_with_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents through a user's encoder, as unit vectors."""
+    encoded = encode.encode(views.documents(spark, sf_dir), "doc_id", "text", letter_model, "letters")
+    entries = encoded.select("doc_id", "encoder", F.posexplode("vector").alias("dim", "value"))
+    return entries.withColumn("value", F.round("value", 6))
+
+
 def overlap_model(pairs):
     """Share of the right text's words that the left text has: a stand-in for a user's pair model."""
     import numpy as np
