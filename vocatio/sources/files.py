@@ -118,7 +118,7 @@ def write_summary(df: DataFrame, path: str) -> None:
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
     """(filename, file_type, text) of whole text files in a folder."""
     name = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1)
-    return spark.read.option("wholetext", True).text(path).select(
+    return spark.read.text(path, wholetext=True).select(
         name.alias("filename"), F.lower(F.regexp_extract(name, r"(\.[^.]*)$", 1)).alias("file_type"), F.col("value").alias("text")
     )
 
