@@ -183,6 +183,13 @@ def test_sample_is_exact_and_repeatable(spark):
     assert a <= {r["id"] for r in sampling.sample_n(rows, "id", 60).collect()}
 
 
+def test_sample_of_large_bins(spark, monkeypatch):
+    rows = spark.range(3000)
+    expected = {r["id"] for r in sampling.sample_n(rows, "id", 1234).collect()}
+    monkeypatch.setattr(sampling, "SORTED_AT_ONCE", 0)
+    assert {r["id"] for r in sampling.sample_n(rows, "id", 1234).collect()} == expected and len(expected) == 1234
+
+
 def test_sample_with_equal_draws(spark):
     rows = spark.createDataFrame([(7,)] * 10 + [(i,) for i in range(100, 120)], "id bigint")
     for n in range(0, 31, 5):
@@ -252,6 +259,13 @@ def test_action_reports(spark):
     assert feedback.latest_model(spark.createDataFrame([], "model_version string"), "base").first()[0] == "base"
 
 
+def test_action_log_grows(spark, tmp_path):
+    path = str(tmp_path / "log")
+    for action in ("apply", "dance"):
+        feedback.append_actions(spark.createDataFrame([(1, action)], "id int, action string"), path)
+    assert {(r["action"], r["weight"]) for r in spark.read.parquet(path).collect()} == {("apply", 1.0), ("dance", 0.0)}
+
+
 def test_hash_encoder(spark):
     texts = spark.createDataFrame([(1, "a b c"), (2, "a b c"), (3, ""), (4, None)], "id int, text string")
     got = {r["id"]: r["vector"] for r in encode.hash_encode(texts.repartition(3), "id", "text").collect()}

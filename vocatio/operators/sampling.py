@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vocatio import presets
-from vocatio.functions.hashing import draw, uniform
+from vocatio.functions.hashing import RANGE, draw, uniform
 from vocatio.session import written
 
 # Rows of one bin of draws that may be sorted at once for an exact sample.
@@ -69,16 +69,15 @@ def stratum_summary(before: DataFrame, after: DataFrame, stratum: str) -> DataFr
 def sample_n(df: DataFrame, id_column: str, n: int, seed: int = 42) -> DataFrame:
     """Exactly ``n`` rows (or all), chosen by the smallest draws.
 
-    A histogram over the upper half of the draw's bits (at most 65,536 bins) tells the bin of row
-    ``n``; a bin that is itself large is cut once more by the lower half. All rows below the bin
-    pass a filter and only the rows of the bin are sorted, so the cost does not grow with ``n`` and
-    no task holds the sample.
+    A histogram over the upper bits of the draw (at most 4096 bins) tells the bin of row ``n``; a
+    bin that is itself large is cut again by the bits below. All rows below the bin pass a filter
+    and only the rows of the bin are sorted, so the cost does not grow with ``n`` and no task holds
+    the sample.
     """
     drawn = df.withColumn("_draw", draw(F.col(id_column), seed))
-    half = 1 << 16
-    low, taken, width = 0, 0, half
-    while True:
-        part = drawn.filter((F.col("_draw") >= low) & (F.col("_draw") < low + width * half))
+    low, taken, span = 0, 0, RANGE
+    for width in (1 << 20, 1 << 8, 1):
+        part = drawn.filter((F.col("_draw") >= low) & (F.col("_draw") < low + span))
         bins = part.groupBy(F.floor((F.col("_draw") - low) / width).alias("bin")).count().collect()
         edge = None
         for row in sorted(bins, key=lambda r: r["bin"]):
@@ -88,13 +87,12 @@ def sample_n(df: DataFrame, id_column: str, n: int, seed: int = 42) -> DataFrame
             taken += row["count"]
         if edge is None:
             return df
-        low += edge["bin"] * width
-        if edge["count"] <= SORTED_AT_ONCE or width == 1:
+        low, span = low + edge["bin"] * width, width
+        if edge["count"] <= SORTED_AT_ONCE:
             break
-        width = 1
     below = drawn.filter(F.col("_draw") < low)
     if taken < n:
-        at = drawn.filter((F.col("_draw") >= low) & (F.col("_draw") < low + width))
+        at = drawn.filter((F.col("_draw") >= low) & (F.col("_draw") < low + span))
         below = below.unionByName(at.orderBy("_draw", id_column).limit(n - taken))
     return below.drop("_draw")
 

@@ -75,6 +75,21 @@ def recent_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("id", "session_id", "role", "action", "similarity_score", F.col("timestamp").cast("timestamp_ntz").alias("timestamp"))
 
 
+@query(
+    "action_totals_sql",
+    ACTIONS_SQL
+    + """SELECT action, role, count(*) AS actions, round(sum(weight), 6) AS total_weight FROM actions WHERE weight <> 0
+GROUP BY action, role ORDER BY actions DESC, action, role""",
+)
+def action_totals_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A user's SQL over the feedback store's tables."""
+    views.register(spark, sf_dir)
+    return spark.sql(
+        "SELECT action, role, COUNT(*) AS actions, ROUND(SUM(weight), 6) AS total_weight FROM user_actions "
+        "WHERE weight != 0 GROUP BY action, role ORDER BY actions DESC, action, role"
+    )
+
+
 TRAINING_SQL = ACTIONS_SQL + """, labelled AS (SELECT *, CASE WHEN weight >= 0.5 THEN 'positive' WHEN weight < 0 THEN 'hard_negative' END AS label
   FROM actions WHERE cv_text IS NOT NULL AND job_text IS NOT NULL)
 """

@@ -218,6 +218,14 @@ def job_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def register(spark: SparkSession, sf_dir: str) -> None:
+    """Temporary views for SQL: jobs, job_skills, raw_cvs, feedback_events, user_actions."""
+    for name, build in {
+        "jobs": postings, "job_skills": posting_skills, "raw_cvs": raw_cvs, "feedback_events": feedback, "user_actions": actions,
+    }.items():
+        build(spark, sf_dir).createOrReplaceTempView(name)
+
+
 def _quoted(values: list) -> str:
     return "[" + ", ".join("NULL" if v is None else "'" + v.replace("'", "''") + "'" for v in values) + "]"
 

@@ -74,7 +74,7 @@ def broadcast_if_small(df: DataFrame, row_bytes: Column, limit: int = BROADCAST_
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Rows over all cores where the scan yields fewer partitions, as a single small file does.
+    """Rows of a scan over all cores where it yields fewer partitions, as a single small file does.
 
     Large tables have splits enough and are left as they are.
     """
