@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from vocatio.functions import rules
-from vocatio.operators import joins, sampling, skills
+from vocatio.operators import feedback, joins, quality, retrieval, sampling, skills
 from vocatio.plans import views
 
 
@@ -46,6 +46,20 @@ def test_phrases_shuffle_once_and_never_the_texts(spark, sf):
     assert "salt" in large
 
 
+def test_search_trims_before_it_shuffles(spark, sf):
+    queries, items = views.cv_vectors(spark, sf).drop("label"), views.job_vectors(spark, sf).drop("label")
+    for limit in (64 << 20, 0):
+        text = plan(retrieval.top_k(queries, items, 5, broadcast_limit=limit))
+        assert "WindowGroupLimit" in text and "Partial" in text
+        assert text.index("Exchange") < text.rindex("WindowGroupLimit")
+
+
+def test_totals_are_no_windows_over_everything(spark, sf):
+    events = views.feedback(spark, sf)
+    text = plan(feedback.aggregated(events)) + plan(quality.group_share(events, "event_type"))
+    assert "Window" not in text and "NestedLoop" not in text
+
+
 def test_missing_links_do_not_meet_in_one_partition(spark):
     rows = spark.range(0, 20000).select(F.col("id").cast("string").alias("id"), F.lit(None).cast("string").alias("job_link"))
     lists = spark.createDataFrame([("a", "x")], "job_link string, job_skills string")

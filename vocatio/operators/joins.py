@@ -11,13 +11,12 @@ from vocatio import presets
 def skills_by_link(skills: DataFrame) -> DataFrame:
     """One row per link, so that the join cannot multiply postings: different lists are merged.
 
-    Copies of a list go first, spread by link and list, so a link that fills a third of the table
-    leaves only its different lists to be merged.
+    Copies of a list fall away before the shuffle, so a link that fills a third of the table leaves
+    only its different lists to be merged.
     """
     return (
         skills.select("job_link", "job_skills")
         .filter(F.col("job_link").isNotNull() & F.col("job_skills").isNotNull())
-        .distinct()
         .groupBy("job_link")
         .agg(F.array_join(F.array_sort(F.collect_set("job_skills")), ", ").alias("skills"))
     )

@@ -27,8 +27,9 @@ from vocatio.functions.hashing import draw
 from vocatio.session import BROADCAST_LIMIT_BYTES
 
 SCALE = 1_000_000
-# Vectors of one block, as doubles; a task holds one block of each side.
-BLOCK_BYTES = 32 * 1024 * 1024
+# Vectors of one block, as doubles; a task holds one block of each side. Every row is sent once per
+# block of the other side, so blocks should be as large as a task can hold, and equal on both sides.
+BLOCK_BYTES = 128 * 1024 * 1024
 # Scores computed in one go, few enough to stay in a core's cache, and items they are computed for.
 SCORES_AT_ONCE = 500_000
 ITEMS_AT_ONCE = 2_048
@@ -194,7 +195,7 @@ def _in_blocks(queries: DataFrame, items: DataFrame, k: int, schema: str) -> Dat
 
     def cut(side: DataFrame, id_column: str, own: str, other: str) -> DataFrame:
         return (
-            side.withColumn(own, F.pmod(draw(F.col(id_column)), F.col(f"{own}s")))
+            side.withColumn(own, F.pmod(F.xxhash64(id_column), F.col(f"{own}s")))
             .withColumn(other, F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(f"{other}s") - 1)))
             .select("cell", "query_block", "item_block", id_column, "vector")
         )

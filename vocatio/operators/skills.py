@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vocatio import presets
-from vocatio.functions.hashing import draw
 from vocatio.functions.rules import is_quality_skill
 from vocatio.functions.text import candidate_terms, normal_phrase, split_trim, tokens
 from vocatio.session import BROADCAST_LIMIT_BYTES
@@ -101,7 +100,7 @@ def find_phrases(
     """
     longest, n_bytes = _measure(phrase_table)
     runs = word_runs(texts, text_column, longest, id_column)
-    joined = _lookup(runs, phrase_table, n_bytes, draw(F.col(id_column)), broadcast_limit)
+    joined = _lookup(runs, phrase_table, n_bytes, F.xxhash64(id_column), broadcast_limit)
     return (
         joined.filter(F.col("phrase").isNotNull() | _marks_text(F.col("pos"), F.col("words")))
         .groupBy(id_column)
@@ -120,7 +119,7 @@ def find_phrases_in_order(
     usable = phrase_table.filter(F.length("phrase") > 1)
     longest, n_bytes = _measure(usable)
     runs = word_runs(texts, text_column, longest, id_column)
-    joined = _lookup(runs, usable, n_bytes, draw(F.col(id_column)), broadcast_limit)
+    joined = _lookup(runs, usable, n_bytes, F.xxhash64(id_column), broadcast_limit)
     hits = F.array_sort(F.collect_list(F.when(F.col("phrase").isNotNull(), F.struct("pos", "words", "phrase"))))
     return (
         joined.filter(F.col("phrase").isNotNull() | _marks_text(F.col("pos"), F.col("words")))
