@@ -64,9 +64,9 @@ def test_placeholders(spark):
 
 def test_dates(spark):
     as_of = F.to_date(F.lit("2024-06-01"))
-    values = ["2020-05-17", "2020-05", "Present", "Unknown", "", "May 2020", "2020-13-01", None]
+    values = ["2020-05-17", "2020-05", "Present", "Unknown", "", "May 2020", "2020-13-01", None, "2020-5-7", "2020-5"]
     found = [str(d) if d else None for d in column(spark, lambda c: dates.parse_date(c, as_of), values)]
-    assert found == ["2020-05-17", "2020-05-01", "2024-06-01", None, None, None, None, None]
+    assert found == ["2020-05-17", "2020-05-01", "2024-06-01", None, None, None, None, None, "2020-05-07", "2020-05-01"]
     assert one(spark, dates.years(dates.months(F.to_date(F.lit("2020-01-01")), F.to_date(F.lit("2021-07-01"))))) == 1.5
     assert one(spark, dates.months(F.to_date(F.lit("2021-01-01")), F.to_date(F.lit("2020-07-01")))) is None
 

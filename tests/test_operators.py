@@ -302,3 +302,5 @@ def test_messages(spark):
     first = {r["id"]: r["source"] for r in messages.first_of_each_id(rows, "at").collect()}
     assert first == {"1": "s", "2": ""}
     assert messages.dead_letters(parsed).count() == 5
+    twice = messages.parsed(spark.createDataFrame([('{"id":"1","id":"2"}',)], "value string")).first()
+    assert (twice["error_type"], twice["id"]) == (None, "2")

@@ -12,8 +12,8 @@ def parse_date(text: Column, as_of: Column | None = None) -> Column:
     The pattern is told from the text's shape: trying one format after the other would raise and
     catch an exception for every date in the second one. "Present" is ``as_of`` where that is given.
     """
-    dated = F.when(text.rlike(r"^\d{4}-\d{2}-\d{2}$"), text.try_cast("date")).when(
-        text.rlike(r"^\d{4}-\d{2}$"), F.concat(text, F.lit("-01")).try_cast("date")
+    dated = F.when(text.rlike(r"^\d{4}-\d{1,2}-\d{1,2}$"), text.try_cast("date")).when(
+        text.rlike(r"^\d{4}-\d{1,2}$"), F.concat(text, F.lit("-01")).try_cast("date")
     )
     return dated if as_of is None else F.when(text == "Present", as_of).otherwise(dated)
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from vocatio import presets
-from vocatio.functions.rules import is_blank, lookup
+from vocatio.functions.rules import is_blank, lookup, stripped
 from vocatio.functions.text import add_prefix, first_items
 
 
@@ -54,7 +54,7 @@ def job_text_full(
     """Second job template: defaults for title and company, salary and work type where known."""
 
     def present(value: Column) -> Column:
-        return F.when(~is_blank(value), F.trim(value))
+        return F.when(~is_blank(value), stripped(value))
 
     role = F.concat_ws(
         "",
@@ -68,7 +68,7 @@ def job_text_full(
     wanted = F.when(~is_blank(skills), _text("Required skills: ", first_items(skills, presets.JOB_SKILLS_SHORT), "."))
 
     def phrase(value: Column, phrases: Mapping[str, str]) -> Column:
-        return F.when(~is_blank(value), lookup(F.trim(F.lower(value)), phrases, value))
+        return F.when(~is_blank(value), lookup(stripped(F.lower(value)), phrases, value))
 
     level = _text("Experience level: ", phrase(seniority, presets.LEVEL_PHRASES_LONG), ".")
     salary = F.when(

@@ -27,8 +27,13 @@ def any_of(text: Column, words: Sequence[str]) -> Column:
     return text.rlike("|".join(re.escape(w) for w in words))
 
 
+def stripped(value: Column) -> Column:
+    """Without white space at either end."""
+    return F.btrim(value, F.lit(" \t\n\r\f\v"))
+
+
 def is_blank(value: Column) -> Column:
-    return value.isNull() | (F.trim(value) == "")
+    return value.isNull() | (stripped(value) == "")
 
 
 def seniority_by_regex(title: Column) -> Column:

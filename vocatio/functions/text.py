@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from vocatio import presets
-from vocatio.functions.rules import seniority_by_substring
+from vocatio.functions.rules import seniority_by_substring, stripped
 
 TOKEN = r"[\p{L}\p{N}+#]+"
 
@@ -51,12 +51,13 @@ def normal_phrase(text: Column) -> Column:
     return F.array_join(tokens(text), " ")
 
 
-def split_trim(text: Column, separator: str = ",") -> Column:
-    return F.transform(F.split(text, separator), lambda s: F.trim(s))
+def split_trim(text: Column) -> Column:
+    """Items of a comma-separated list without the blanks around them."""
+    return F.transform(F.split(text, ","), lambda s: F.trim(s))
 
 
-def first_items(text: Column, limit: int, separator: str = ",") -> Column:
-    return F.array_join(F.slice(split_trim(text, separator), 1, limit), ", ")
+def first_items(text: Column, limit: int) -> Column:
+    return F.array_join(F.transform(F.slice(F.split(text, ","), 1, limit), stripped), ", ")
 
 
 def word_count(text: Column) -> Column:
@@ -82,7 +83,7 @@ def candidate_terms(text: Column) -> Column:
     folded = F.regexp_replace(text, r"[^\P{L}\x00-\x7F]|[^\P{N}\x00-\x7F]", "_")
     found = [F.regexp_extract_all(folded, F.lit(p), F.lit(1)) for p in presets.CANDIDATE_TERM_PATTERNS]
     section = F.regexp_extract(F.lower(text), presets.CANDIDATE_SECTION_PATTERN, 1)
-    items = F.transform(F.split(section, presets.CANDIDATE_SECTION_SEPARATOR), lambda s: F.btrim(s, F.lit(" \t\n\r\f\v")))
+    items = F.transform(F.split(section, presets.CANDIDATE_SECTION_SEPARATOR), stripped)
     terms = F.transform(F.concat(*found, items), lambda t: F.lower(t))
     kept = F.array_distinct(F.filter(terms, lambda t: F.length(t) > 2))
     return F.coalesce(kept, F.array().cast("array<string>"))
@@ -91,12 +92,12 @@ def candidate_terms(text: Column) -> Column:
 def posting_fields(text: Column) -> Column:
     """Title, company, location, salary range, years, work type and seniority of a pasted posting."""
     width = presets.POSTING_FIELD_CHARS
-    lines = F.transform(F.split(text, "\n"), lambda line: F.btrim(line, F.lit(" \t\r")))
+    lines = F.transform(F.split(text, "\n"), stripped)
     titled = F.filter(lines, lambda line: (line != "") & ~F.lower(line).rlike(presets.POSTING_TITLE_SKIP))
     title = F.coalesce(F.substring(F.get(titled, 0), 1, width), F.lit(""))
 
     def labelled(pattern: str) -> Column:
-        return F.substring(F.btrim(F.regexp_extract(text, pattern, 1), F.lit(" \t\r")), 1, width)
+        return F.substring(stripped(F.regexp_extract(text, pattern, 1)), 1, width)
 
     def amount(group: int) -> Column:
         digits = F.replace(F.regexp_extract(text, presets.POSTING_SALARY_PATTERN, group), F.lit(","), F.lit(""))

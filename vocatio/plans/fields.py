@@ -373,11 +373,11 @@ def document_type(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "text_stats",
     """SELECT doc_id, length(text) AS char_count, CAST(len(regexp_extract_all(text, '\\S+')) AS BIGINT) AS word_count, substr(text, 1, 300) AS preview
-FROM documents WHERE length(trim(text)) >= 10""",
+FROM documents WHERE length(trim(text, E' \\t\\n\\r\\f\\v')) >= 10""",
 )
 def text_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     sized = quality.text_sizes(views.documents(spark, sf_dir), "text")
-    return sized.filter(F.length(F.trim("text")) >= presets.MIN_DOCUMENT_CHARS).select(
+    return sized.filter(F.length(rules.stripped(F.col("text"))) >= presets.MIN_DOCUMENT_CHARS).select(
         "doc_id", F.col("char_count").cast("bigint").alias("char_count"), F.col("word_count").cast("bigint").alias("word_count"),
         text.preview(F.col("text"), 300).alias("preview"),
     )

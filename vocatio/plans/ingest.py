@@ -273,7 +273,7 @@ def stream_dead_letters(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "folder_documents",
     """SELECT 'cv' AS type, '.txt' AS file_type, text, CAST(len(regexp_extract_all(text, '\\S+')) AS BIGINT) AS word_count
-FROM benchmark WHERE length(trim(text)) >= 10""",
+FROM benchmark WHERE length(trim(text, E' \\t\\n\\r\\f\\v')) >= 10""",
 )
 def folder_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every benchmark text as a file of its own, picked up from a folder by a stream."""

@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from vocatio import presets
+from vocatio.functions.rules import stripped
 from vocatio.functions.text import word_count
 from vocatio.operators import joins
 from vocatio.sources import messages
@@ -112,4 +113,4 @@ def document_messages(files: DataFrame, kind: str, at: Column) -> DataFrame:
         extension.alias("file_type"),
         word_count(F.col("text")).alias("word_count"),
         at.alias("timestamp"),
-    ).filter(F.col("file_type").isin(*presets.DOCUMENT_EXTENSIONS) & (F.length(F.trim("text")) >= presets.MIN_DOCUMENT_CHARS))
+    ).filter(F.col("file_type").isin(*presets.DOCUMENT_EXTENSIONS) & (F.length(stripped(F.col("text"))) >= presets.MIN_DOCUMENT_CHARS))
