@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable, Mapping, Sequence
 from functools import reduce
 
@@ -21,9 +22,10 @@ def first_match(rules: Iterable[tuple[Column, object]], default: object = None)
 def any_of(text: Column, words: Sequence[str]) -> Column:
     """True if ``text`` holds one of ``words`` as a plain substring.
 
-    Byte-wise searches for the single words take half the time of one regular expression.
+    One alternation per rule keeps the plan small. A search per word takes half the time per row,
+    but seconds more to plan and compile in every query.
     """
-    return reduce(lambda a, b: a | b, (F.contains(text, F.lit(w)) for w in words))
+    return text.rlike("|".join(re.escape(w) for w in words))
 
 
 def stripped(value: Column) -> Column:
