@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from vocatio.llm import bpe, packing, quality, simhash, tokencounts
+from vocatio.llm import bpe, linededup, packing, quality, secrets, sharding, simhash, tokencounts
 from vocatio.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -42,11 +43,45 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencounts.count_tokens(table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"))
 
 
+@query(
+    "op4_line_dedup_runs",
+    """
+    WITH cut AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+    lines AS (SELECT doc_id, len(ls) AS n, unnest(ls) AS line, unnest(range(len(ls))) AS pos FROM cut),
+    keyed AS (
+        SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+            'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM lines),
+    firsts AS (SELECT key, min(doc_id) AS keeper FROM keyed WHERE length(key) >= 10 GROUP BY key),
+    judged AS (SELECT k.*, f.keeper IS NOT NULL AND f.keeper <> k.doc_id AS gone FROM keyed k LEFT JOIN firsts f ON f.key = k.key)
+    SELECT doc_id, CAST(any_value(n) AS BIGINT) AS n_lines, CAST(count(*) FILTER (gone) AS BIGINT) AS n_dropped,
+        sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256
+    FROM judged GROUP BY doc_id
+    """,
+)
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.report(table(spark, sf_dir, "documents"))
+
+
 @query("op6_line_first_quality")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.measure(table(spark, sf_dir, "documents"))
 
 
+@query("op7_feistel_shards")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard(table(spark, sf_dir, "documents"))
+
+
+@query("op8_secret_forest")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every candidate with the forest's verdict; the value itself stays out of the report."""
+    found = secrets.scan(table(spark, sf_dir, "documents"))
+    return found.select(
+        F.col("id").alias("doc_id"), "pos", "start", F.length("value").cast("long").alias("length"),
+        F.sha2(F.col("value").cast("binary"), 256).alias("value_sha256"), "probability", "is_secret",
+    )
+
+
 @query("op9_simhash_components")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.components(table(spark, sf_dir, "documents"))
