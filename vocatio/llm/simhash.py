@@ -27,7 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vocatio.llm.common import arrow_map, fresh, union, written
+from vocatio.llm.common import arrow_map, fresh, texts_of, union
+from vocatio.session import written
 
 BITS = 64
 LEAF, FAN = 32, 8
@@ -59,14 +60,17 @@ def fingerprint(text: str, shingle: int = 3) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
-    """Id and ``fp`` (the fingerprint's bits as a signed long) of every row."""
+    """(id, t, fp) of every row: a hash of its text, and the fingerprint's bits as a signed long."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("t"), text.alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = np.array([fingerprint(t or "", shingle) for t in batch.column(text_col).to_pylist()], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(id_col), pa.array(found.view(np.int64))], names=[id_col, "fp"])
+            found = np.array([fingerprint(t, shingle) for t in texts_of(batch, "text")], np.uint64)
+            columns = [batch.column("id"), batch.column("t"), pa.array(found.view(np.int64))]
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "t", "fp"])
 
-    return arrow_map(docs.select(id_col, text_col), run, f"`{id_col}` {dict(docs.dtypes)[id_col]}, fp long")
+    return arrow_map(rows, run, f"id {dict(rows.dtypes)['id']}, t long, fp long")
 
 
 def stretches(bits: list[int], n: int) -> list[list[int]]:
@@ -257,6 +261,14 @@ def components_of(edges: DataFrame, name: str = "simhash") -> DataFrame:
         state = now
 
 
+def _grouped(docs: DataFrame, d: int, shingle: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """(id, t, fp) of the rows, and (fp, root) of the different fingerprints."""
+    prints = written(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
+    entries = written(prints.select("fp").distinct(), "entries")
+    roots = components_of(link_edges(entries, d))
+    return prints, entries.join(roots, entries.fp == roots.node, "left").select("fp", F.coalesce("root", "fp").alias("root"))
+
+
 def components(
     docs: DataFrame, d: int = 3, shingle: int = 3, id_col: str = "doc_id", text_col: str = "text",
 ) -> DataFrame:
@@ -264,24 +276,27 @@ def components(
 
     The component's id is the smallest id among the rows that a row reaches over links of at most ``d`` bits.
     """
-    prints = written(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
-    entries = written(prints.groupBy("fp").agg(F.min(id_col).alias("least")), "entries")
-    roots = components_of(link_edges(entries.select("fp"), d))
-    placed = entries.join(roots, entries.fp == roots.node, "left").withColumn("root", F.coalesce("root", "fp"))
-    named = placed.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = placed.select("fp", "root").join(named, "root").select("fp", "component_id")
+    prints, placed = _grouped(docs, d, shingle, id_col, text_col)
+    least = prints.groupBy("fp").agg(F.min("id").alias("least")).join(placed, "fp")
+    named = least.groupBy("root").agg(F.min("least").alias("component_id"))
+    of_print = placed.join(named, "root").select("fp", "component_id")
     hexed = F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint")
-    return prints.join(named, "fp").select(id_col, hexed, "component_id")
+    return prints.join(of_print, "fp").select(F.col("id").alias(id_col), hexed, "component_id")
 
 
 def keep_one(docs: DataFrame, d: int = 3, shingle: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row of each component: that of its smallest id, the first in the order of texts where an id has several."""
-    row, rank = fresh(docs, "row_hash"), fresh(docs, "row_rank")
-    found = components(docs, d, shingle, id_col, text_col)
-    leads = found.groupBy("component_id").agg(F.min(id_col).alias("lead")).select(F.col("lead").alias("lead_id"))
-    kept = docs.join(leads.distinct(), docs[id_col].eqNullSafe(F.col("lead_id")), "left_semi")
-    # Rows with the same id: the least one stays. Rows with another id are alone in their group.
-    kept = kept.withColumn(row, F.xxhash64(F.col(id_col), F.col(text_col)))
-    least = kept.groupBy(F.col(id_col).alias(f"{rank}_id")).agg(F.min(row).alias(rank))
-    firsts = kept.join(least, kept[id_col].eqNullSafe(F.col(f"{rank}_id")) & (F.col(row) == F.col(rank)), "left_semi")
-    return firsts.dropDuplicates([id_col, row]).select(*docs.columns)
+    """One row of each component, with all its columns: that of the smallest id, nulls last, then of the least text hash.
+
+    Rows that agree in id and text are one row; which of their other columns stay is left open.
+    """
+    prints, placed = _grouped(docs, d, shingle, id_col, text_col)
+    rows = prints.groupBy("fp", "id", "t").agg(F.count(F.lit(1)).alias("n")).join(placed, "fp")
+    first = F.min(F.struct(F.col("id").isNull().alias("last"), "id", "t", "n")).alias("first")
+    leads = rows.groupBy("root").agg(first).select("first.id", "first.t", "first.n")
+    # Written, so that its size is known before the joins are planned.
+    leads = written(leads.select(*(F.col(c).alias(fresh(docs, f"_{c}")) for c in leads.columns)), "leads")
+    i, t, n = leads.columns
+    met = F.col(id_col).eqNullSafe(F.col(i)) & (F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))) == F.col(t))
+    single = docs.join(leads.filter(F.col(n) == 1), met, "left_semi")
+    repeated = docs.join(leads.filter(F.col(n) > 1), met, "left_semi")
+    return single.unionByName(repeated.dropDuplicates([id_col, text_col]))
