@@ -244,8 +244,9 @@ def components_of(edges: DataFrame, name: str = "simhash") -> DataFrame:
     depends on an executor that is gone.
     """
     edges = written(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a != b").distinct(), f"{name}-edges")
-    state = None
-    while True:
+    mark = (F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")))
+    state = edges.agg(*mark).first()
+    while state[0]:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         # Large star: every greater neighbour of a node is linked to the node's least neighbour.
@@ -255,10 +256,10 @@ def components_of(edges: DataFrame, name: str = "simhash") -> DataFrame:
         small = large.join(least, "a")
         edges = small.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
         edges = written(edges.filter("a != b").distinct(), f"{name}-stars")
-        now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if now == state:
-            return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
+        if (now := edges.agg(*mark).first()) == state:
+            break
         state = now
+    return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
 def _grouped(docs: DataFrame, d: int, shingle: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
