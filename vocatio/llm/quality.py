@@ -109,7 +109,10 @@ def repeated_words(counts: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     at = np.flatnonzero(doc[: len(rolled)] == doc[WINDOW - 1 :])
     order = at[np.argsort(rolled[at], kind="stable")]
     same = rolled[order][1:] == rolled[order][:-1]
-    found = order[np.append(same, False) | np.append(False, same)]
+    twice = np.zeros(len(order), bool)
+    twice[1:] |= same
+    twice[:-1] |= same
+    found = order[twice]
     edges = np.zeros(n + 1, np.int64)
     np.add.at(edges, found, 1)
     np.add.at(edges, found + WINDOW, -1)

@@ -223,7 +223,7 @@ def routed(entries: DataFrame, d: int, limit: int = ROUTE_LIMIT) -> DataFrame:
     for i in range(d + 1):
         rest = [p for k, p in enumerate(parts) if k != i]
         # The remaining stretches are cut again: each gives (d + 1) / d stretches, so at least d + 1 in all.
-        cut = [x for p in rest for x in stretches(p, -(-(d + 1) // max(1, d)))] if d else rest
+        cut = [x for p in rest for x in stretches(p, -(-(d + 1) // d))]
         struct = F.array(*(F.struct(F.lit(j).alias("j"), _taken(F.col("fp"), x).alias("w")) for j, x in enumerate(cut)))
         again = marked.filter((F.col("i") == i) & F.col("hot")).select("fp", "i", "v", F.explode(struct).alias("s"))
         more.append(again.select(F.xxhash64("i", "v", "s.j", "s.w").alias("route"), "fp"))
@@ -232,6 +232,8 @@ def routed(entries: DataFrame, d: int, limit: int = ROUTE_LIMIT) -> DataFrame:
 
 def link_edges(entries: DataFrame, d: int, limit: int = ROUTE_LIMIT) -> DataFrame:
     """Edges (a, b) between fingerprints; their components are those of all pairs within ``d`` bits."""
+    if d == 0:  # different fingerprints have no links then
+        return entries.limit(0).select(F.col("fp").alias("a"), F.col("fp").alias("b"))
     routes = routed(entries, d, limit)
     placed = routes.repartition("route").sortWithinPartitions("route")
     return arrow_map(placed, _route_edges(d), "a long, b long")
