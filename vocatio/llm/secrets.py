@@ -110,7 +110,8 @@ def features(value: Column, before: Column, after: Column, path: Column) -> dict
 
 def with_features(findings: DataFrame) -> DataFrame:
     """Add the vector ``features`` to findings (value, before, after, path, ...)."""
-    made = features(F.col("value"), F.coalesce("before", F.lit("")), F.coalesce("after", F.lit("")), F.coalesce("path", F.lit("")))
+    before, after, path = (F.coalesce(c, F.lit("")) for c in ("before", "after", "path"))
+    made = features(F.col("value"), F.right(before, F.lit(CONTEXT)), F.left(after, F.lit(CONTEXT)), path)
     wide = findings.withColumns({f"f_{k}": c.cast("double") for k, c in made.items()})
     vector = VectorAssembler(inputCols=[f"f_{k}" for k in made], outputCol="features").transform(wide)
     return vector.drop(*(f"f_{k}" for k in made))
