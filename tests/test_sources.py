@@ -33,8 +33,36 @@ def test_line_numbers_over_many_splits(spark, tmp_path):
         spark.conf.set("spark.sql.files.maxPartitionBytes", old)
 
 
+def test_lines_of_many_files_have_ids_of_their_own(spark, tmp_path):
+    for name in "ab":
+        (tmp_path / f"{name}.jsonl").write_text('{"n": 1}\n{"n": 2}\n{"n": 3}\n')
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    good, _ = files.read_json_lines(spark, str(tmp_path), "s")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "8")  # splits change between building and reading
+        ids = [r["id"] for r in good.collect()]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert len(ids) == len(set(ids)) == 6
+
+
+def test_csv_columns_are_found_by_name(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('job_link,first_seen,job_title,company\nl1,2020,"Night\nnurse",Ward\n')
+    (tmp_path / "b.csv").write_text("company,job_title,job_link\nMill,Clerk,l2\nonly one\nMill,Smith,l3,too,many\n")
+    schema = "job_title string, company string, job_link string"
+    rows = files.read_csv(spark, str(tmp_path), schema, multi_line=True).collect()
+    assert sorted(tuple(r) for r in rows) == [("Clerk", "Mill", "l2"), ("Night\nnurse", "Ward", "l1")]
+    bad = files.rejected_csv(spark, str(tmp_path), schema, multi_line=True).collect()
+    assert sorted(r["original_message"] for r in bad) == ["Mill,Smith,l3,too,many", "only one"]
+    with pytest.raises(ValueError, match="no column"):
+        files.read_csv(spark, str(tmp_path), "salary string")
+    typed = files.read_csv(spark, str(tmp_path / "a.csv"), "first_seen int, job_link string", multi_line=True).first()
+    assert typed["first_seen"] == 2020
+    assert files.rejected_csv(spark, str(tmp_path / "a.csv"), "company int", multi_line=True).first()["error_type"] == "TypeMismatch"
+
+
 def test_csv_sources_to_one_schema(spark, tmp_path):
-    (tmp_path / "in.csv").write_text('job_title,company,location,summary\n"Nurse, night",Ward,nan,\nClerk,,Rome,"say ""hi"""\n')
+    (tmp_path / "in.csv").write_text('summary,job_title,company,location\n,"Nurse, night",Ward,nan\n"say ""hi""",Clerk,,Rome\n')
     rows = postings.unified(postings.read_source(spark, "indeed", str(tmp_path / "in.csv")), "indeed")
     got = {r["job_title"]: r.asDict() for r in rows.collect()}
     assert got["Nurse, night"]["job_location"] == "" and got["Nurse, night"]["description"] == ""

@@ -26,7 +26,12 @@ def test_ingest_keeps_each_id_once_over_restarts(spark, tmp_path):
     ingest.ingest(source(spark, box, schema), out).awaitTermination()
     drop(box, "2.json", [message("b", 3), message("c", 4), {"value": "{bad", "timestamp": "2024-01-01T00:05:00Z"}])
     ingest.ingest(source(spark, box, schema), out).awaitTermination()
-    assert sorted(r["id"] for r in spark.read.parquet(f"{out}/rows").collect()) == ["a", "b", "c"]
+    # An id whose first message is far older than all before is no late repeat.
+    drop(box, "3.json", [{"value": '{"id":"d"}', "timestamp": "2020-01-01T00:00:00Z"}, message("a", 9)])
+    ingest.ingest(source(spark, box, schema), out).awaitTermination()
+    assert sorted(r["id"] for r in spark.read.parquet(f"{out}/rows").collect()) == ["a", "b", "c", "d"]
+    assert [r["error_type"] for r in spark.read.parquet(f"{out}/dead").collect()] == ["JSONDecodeError"]
+    assert ingest.ingest_counts(spark, out).first().asDict() == {"received": 8, "malformed": 1, "kept": 4, "repeated": 3}
 
 
 def test_dead_letters_and_repeated_batches(spark, tmp_path):
@@ -37,6 +42,7 @@ def test_dead_letters_and_repeated_batches(spark, tmp_path):
     kinds = sorted(r["error_type"] for r in spark.read.parquet(f"{out}/dead").collect())
     assert kinds == ["AttributeError", "JSONDecodeError", "ValueError"]
     assert sorted((r["id"], r["source"]) for r in spark.read.parquet(f"{out}/rows").collect()) == [("a", ""), ("b", "")]
+    assert ingest.ingest_counts(spark, out).first().asDict() == {"received": 7, "malformed": 3, "kept": 2, "repeated": 2}
     write = ingest.batch_table(f"{out}/again")
     write(spark.range(5), 0)
     write(spark.range(5), 0)
@@ -82,9 +88,13 @@ def test_folder_messages(spark, tmp_path):
     (box / "a.txt").write_text("a long enough text")
     (box / "b.txt").write_text("short")
     (box / "c.bin").write_text("a long enough text")
+    (box / "d.pdf").write_text("%PDF-1.4 a long enough text")
     out = str(tmp_path / "out")
     seen = ingest.document_messages(ingest.watch_folder(spark, str(box)), "cv", F.current_timestamp())
     seen.writeStream.foreachBatch(ingest.batch_table(out)).option("checkpointLocation", out + "-cp").trigger(availableNow=True).start().awaitTermination()
     got = spark.read.parquet(out).collect()
     assert [(r["filename"], r["file_type"], r["word_count"]) for r in got] == [("a.txt", ".txt", 4)]
     assert got[0]["id"].startswith("cv_")
+    still = spark.read.text(str(box), wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
+    dead = ingest.document_dead_letters(still, F.current_timestamp()).collect()
+    assert sorted((r["original_message"].rsplit("/", 1)[1], r["error_type"]) for r in dead) == [("b.txt", "TooShort"), ("c.bin", "UnsupportedFormat"), ("d.pdf", "BinaryFormat")]

@@ -36,6 +36,29 @@ def csv_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.read_csv(spark, path, documents.schema, multi_line=True)
 
 
+@query(
+    "csv_by_name",
+    """SELECT 'good' AS kind, CAST(doc_id AS VARCHAR) AS id, text FROM documents WHERE doc_id % 10 <> 3
+UNION ALL SELECT 'HeaderMismatch', 'r' || doc_id || ',only two fields', NULL FROM documents WHERE doc_id % 10 = 3""",
+)
+def csv_by_name(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files whose columns differ in order and company, with quoted line breaks, and rows that do not fit."""
+    documents = views.table(spark, sf_dir, "documents").select("doc_id", "lang", "text", "source")
+    path = work_path(spark, "csv-by-name")
+    key = F.col("doc_id") % 10
+    files.write_csv(documents.filter(key < 3).select("text", "doc_id"), f"{path}/a")
+    files.write_csv(documents.filter(key > 3).select("source", "doc_id", "lang", "text"), f"{path}/b")
+    broken = documents.filter(key == 3).select(F.concat(F.lit("r"), "doc_id", F.lit(",only two fields")).alias("value"))
+    lines = spark.createDataFrame([("doc_id,lang,text",)], "value string").unionAll(broken)
+    lines.coalesce(1).write.text(f"{path}/c")
+    folders, schema = [f"{path}/{x}" for x in "abc"], "doc_id string, text string"
+    good = files.read_csv(spark, folders, schema, multi_line=True)
+    bad = files.rejected_csv(spark, folders, schema, multi_line=True)
+    return good.select(F.lit("good").alias("kind"), F.col("doc_id").alias("id"), "text").unionByName(
+        bad.select(F.col("error_type").alias("kind"), F.col("original_message").alias("id"), F.lit(None).cast("string").alias("text"))
+    )
+
+
 def _json_lines(spark: SparkSession, sf_dir: str) -> str:
     """Documents as JSON lines, with blank and broken lines in between."""
     key = F.col("doc_id")
@@ -67,7 +90,7 @@ def jsonl_line_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     good, bad = files.read_json_lines(spark, path, "documents")
     per_file = files.read_lines(spark, path).groupBy("file").agg(F.max("line").alias("last"))
     return per_file.agg((F.sum("last") + F.count("*")).alias("lines")).select(
-        good.agg(F.countDistinct("id", "raw_data").alias("n")).scalar().alias("messages"),
+        good.agg(F.countDistinct("id").alias("n")).scalar().alias("messages"),
         bad.agg(F.count("*").alias("n")).scalar().alias("dead"),
         "lines",
     )
@@ -180,21 +203,48 @@ def _table_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
 
 
+def _delivered(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """Events as a stream of three batches, late days of all months first; each comes again with the next batch.
+
+    The first batch has the latest time of all, so a watermark would take nearly everything after it for late.
+    Each batch holds one broken message.
+    """
+    path, day = work_path(spark, name), F.dayofmonth("timestamp")
+    sent = _event_messages(views.table(spark, sf_dir, "events"))
+    sent = sent.withColumn("part", F.when(day > 20, 1).when(day > 10, 2).otherwise(3))
+    broken = spark.createDataFrame([('{"id": ',)], "value string").withColumn("timestamp", F.lit("2024-01-01").cast("timestamp"))
+    for part in (1, 2, 3):
+        batch = sent.filter(F.col("part").isin(part, part - 1)).drop("part").unionByName(broken)
+        # One file is one batch of the stream.
+        batch.coalesce(1).write.mode("append").parquet(path)
+    return spark.readStream.schema(batch.schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
 @query(
     "stream_ingest_dedup",
     """SELECT CAST(event_id AS VARCHAR) AS id, 'events' AS source, event_type AS job_title,
   CAST(user_id AS VARCHAR) AS company, props AS description, '' AS job_link FROM events""",
 )
 def stream_ingest_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every event is delivered twice; each id is kept once."""
-    twice = _event_messages(_table_stream(spark, sf_dir, "events")).union(
-        _event_messages(_table_stream(spark, sf_dir, "events"))
-    )
+    """Events of several batches, each delivered up to twice; each id is kept once, none is lost."""
     out = work_path(spark, "stream-ingest")
-    ingest.ingest(twice, out).awaitTermination()
+    ingest.ingest(_delivered(spark, sf_dir, "stream-dedup-in"), out).awaitTermination()
     return spark.read.parquet(f"{out}/rows").select("id", "source", "job_title", "company", "description", "job_link")
 
 
+@query(
+    "stream_ingest_late",
+    """SELECT count(*) + count(*) FILTER (WHERE day(ts) > 10) + 3 AS received, CAST(3 AS BIGINT) AS malformed, count(*) AS kept,
+  count(*) FILTER (WHERE day(ts) > 10) AS repeated, CAST(3 AS BIGINT) AS dead FROM events""",
+)
+def stream_ingest_late(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What has become of the deliveries of batches that come in falling order of time."""
+    out = work_path(spark, "stream-late")
+    ingest.ingest(_delivered(spark, sf_dir, "stream-late-in"), out).awaitTermination()
+    dead = spark.read.parquet(f"{out}/dead").agg(F.count("*").alias("n")).scalar()
+    return ingest.ingest_counts(spark, out).withColumn("dead", dead)
+
+
 @query(
     "stream_ingest_exact",
     """SELECT CAST(event_id AS VARCHAR) AS id, 'events' AS source, event_type AS job_title,
@@ -273,24 +323,34 @@ def stream_dead_letters(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "folder_documents",
     """SELECT 'cv' AS type, '.txt' AS file_type, text, CAST(len(regexp_extract_all(text, '\\S+')) AS BIGINT) AS word_count
-FROM benchmark WHERE length(trim(text, E' \\t\\n\\r\\f\\v')) >= 10""",
+FROM benchmark WHERE length(trim(text, E' \\t\\n\\r\\f\\v')) >= 10
+UNION ALL SELECT 'BinaryFormat', '.pdf', 'scan.pdf', NULL FROM region WHERE r_regionkey = 0""",
 )
 def folder_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every benchmark text as a file of its own, picked up from a folder by a stream."""
+    """Every benchmark text as a file of its own, picked up from a folder by a stream; a PDF becomes a dead letter."""
     folder, out = work_path(spark, "folder"), work_path(spark, "folder-out")
     views.table(spark, sf_dir, "benchmark").select("text", "item_id").write.partitionBy("item_id").text(folder)
-    seen = ingest.document_messages(ingest.watch_folder(spark, f"{folder}/item_id=*"), "cv", F.current_timestamp())
-    stream = (
-        seen.writeStream.foreachBatch(ingest.batch_table(f"{out}/rows"))
-        .option("checkpointLocation", f"{out}/checkpoint")
-        .trigger(availableNow=True)
-        .start()
-    )
-    stream.awaitTermination()
+    # The first region's name stands for the bytes of a file in a binary format.
+    pdf = views.table(spark, sf_dir, "region").filter("r_regionkey = 0").select(F.col("r_name").alias("text"), F.lit("scan.pdf").alias("path"))
+    pdf.write.parquet(f"{out}/pdf")
+    now = F.current_timestamp()
+    seen = ingest.watch_folder(spark, f"{folder}/item_id=*", max_files=1000)
+    binary = spark.readStream.schema("text string, path string").parquet(f"{out}/pdf")
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        ingest.batch_table(f"{out}/rows")(ingest.document_messages(batch, "cv", now), batch_id)
+        ingest.batch_table(f"{out}/dead")(ingest.document_dead_letters(batch, now), batch_id)
+
+    files_in = seen.unionByName(binary)
+    files_in.writeStream.foreachBatch(write).option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).start().awaitTermination()
     # A text file ends with a line break of its own.
-    return spark.read.parquet(f"{out}/rows").select(
+    good = spark.read.parquet(f"{out}/rows").select(
         "type", "file_type", F.regexp_replace("text", r"\n$", "").alias("text"), F.col("word_count").cast("bigint")
     )
+    dead = spark.read.parquet(f"{out}/dead").filter("error_type = 'BinaryFormat'")
+    return good.unionByName(
+        dead.select(F.col("error_type").alias("type"), F.lit(".pdf").alias("file_type"), F.col("original_message").alias("text"), F.lit(None).cast("bigint").alias("word_count"))
+    )
 
 
 @query("action_log_weights", views.with_views("actions") + "SELECT id, session_id, role, action, weight FROM actions")

@@ -19,10 +19,17 @@ from vocatio.sources import files, messages, postings
 Encoder = Callable[[DataFrame, str, str], DataFrame]
 
 
-def ingest_postings(spark: SparkSession, paths: Mapping[str, str], out: str, max_rows: int | None = None) -> None:
-    """CSV files of the sources to one table of unified rows."""
-    rows = [postings.unified(postings.read_source(spark, s, p, max_rows), s) for s, p in paths.items()]
+def ingest_postings(
+    spark: SparkSession, paths: Mapping[str, str], out: str, max_rows: int | None = None, multi_line: bool = True
+) -> None:
+    """CSV files of the sources to one table of unified rows, and the rows that do not fit to the dead letters.
+
+    Descriptions have line breaks, so files are read with ``multi_line`` unless all are known to have none.
+    """
+    rows = [postings.unified(postings.read_source(spark, s, p, max_rows, multi_line), s) for s, p in paths.items()]
     files.write_rows(postings.union_all(rows), f"{out}/raw_postings")
+    bad = [files.rejected_csv(spark, p, postings.source_schema(s), multi_line) for s, p in paths.items()]
+    postings.union_all(bad).write.mode("overwrite").parquet(f"{out}/dead_postings")
 
 
 def ingest_messages(sent: DataFrame, order: str, out: str, at: Column | None = None) -> None:

@@ -139,28 +139,32 @@ OCCUPATION_NAMES = {
 }
 
 # --- fixed values: words that are not skills ----------------------------------------------------
-STOPWORDS = (
-    "a an the and or but in on at to for of with by from as is was are were been be have has had do does did "
-    "will would could should may might must shall can need our we you your they their its it that this which "
-    "what who whom any all some more most other each few many such no not only same so than too very just also "
-    "now"
-).split()
-GENERIC_WORDS = (
-    "experience years strong team work working position ability able excellent good great skills knowledge "
-    "understanding familiarity proficiency expertise demonstrated proven equivalent gain various different "
-    "multiple new within across using including related required preferred minimum ideal desirable essential "
-    "degree bachelor master diploma intern internship job role opportunity employment company organization "
-    "business environment requirements responsibilities status seeking level current support"
-).split()
-GENERIC_SINGLE_WORDS = (
-    "data information process systems solutions pull building tools supporting identification preparation "
-    "methodology investigations engagement developer engineer analyst scientist manager coordinator director "
-    "supervisor administrator assistant associate officer executive remote exposure issues structure structures "
-    "oversight computer lead maintenance"
-).split()
+STOPWORDS = [
+    "a", "an", "the", "and", "or", "but", "in", "on", "at", "to", "for", "of", "with", "by", "from", "as", "is",
+    "was", "are", "were", "been", "be", "have", "has", "had", "do", "does", "did", "will", "would", "could", "should",
+    "may", "might", "must", "shall", "can", "need", "our", "we", "you", "your", "they", "their", "its", "it", "that",
+    "this", "which", "what", "who", "whom", "any", "all", "some", "more", "most", "other", "each", "few", "many",
+    "such", "no", "not", "only", "same", "so", "than", "too", "very", "just", "also", "now",
+]
+GENERIC_WORDS = [
+    "experience", "years", "strong", "team", "work", "working", "position", "ability", "able", "excellent", "good",
+    "great", "skills", "knowledge", "understanding", "familiarity", "proficiency", "expertise", "demonstrated",
+    "proven", "equivalent", "gain", "various", "different", "multiple", "new", "within", "across", "using",
+    "including", "related", "required", "preferred", "minimum", "ideal", "desirable", "essential", "degree",
+    "bachelor", "master", "diploma", "intern", "internship", "job", "role", "opportunity", "employment", "company",
+    "organization", "business", "environment", "requirements", "responsibilities", "status", "seeking", "level",
+    "current", "support",
+]
+GENERIC_SINGLE_WORDS = [
+    "data", "information", "process", "systems", "solutions", "pull", "building", "tools", "supporting",
+    "identification", "preparation", "methodology", "investigations", "engagement", "developer", "engineer",
+    "analyst", "scientist", "manager", "coordinator", "director", "supervisor", "administrator", "assistant",
+    "associate", "officer", "executive", "remote", "exposure", "issues", "structure", "structures", "oversight",
+    "computer", "lead", "maintenance",
+]
 MIN_SKILL_LENGTH = 3
 MIN_DICTIONARY_COUNT = 100
-REFRESH_STOP_TERMS = "experience years skills work team project".split()
+REFRESH_STOP_TERMS = ["experience", "years", "skills", "work", "team", "project"]
 
 # --- fixed values: document type by keyword -----------------------------------------------------
 CV_KEYWORDS = [
@@ -241,6 +245,8 @@ SPLIT_FRACTIONS = (("train", 0.8), ("val", 0.1), ("test", 0.1))
 MESSAGES_PER_FILE = 10_000
 EMBEDDINGS_PER_FILE = 50_000
 QUERY_PREFIX, PASSAGE_PREFIX = "query: ", "passage: "
-DOCUMENT_EXTENSIONS = [".pdf", ".docx", ".doc", ".txt", ".csv"]
+DOCUMENT_EXTENSIONS = [".txt", ".csv"]
+# Supported formats that are no text; they need a parser of their own and go to the dead letters.
+BINARY_EXTENSIONS = [".pdf", ".docx", ".doc"]
 MIN_DOCUMENT_CHARS = 10
 JOB_SKILLS_SHORT, JOB_SKILLS_LONG, CV_SKILLS = 10, 15, 15

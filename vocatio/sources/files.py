@@ -10,21 +10,75 @@ from vocatio import presets
 from vocatio.session import broadcast_if_small, written
 
 
+def _headers(spark: SparkSession, path: str | list[str], multi_line: bool) -> dict[tuple[str, ...], list[str]]:
+    """Files of each different header; only the first line of a file is read."""
+    listed = spark.read.format("binaryFile").load(path).select("path").collect()
+    by_header: dict[tuple[str, ...], list[str]] = {}
+    for (file,) in listed:
+        names = spark.read.option("header", True).option("escape", '"').option("multiLine", multi_line).csv(file).columns
+        by_header.setdefault(tuple(names), []).append(file)
+    return by_header
+
+
+def _read_by_name(
+    spark: SparkSession, path: str | list[str], schema: T.StructType | str, multi_line: bool
+) -> tuple[DataFrame, list[str]]:
+    """Rows under the names of ``schema``, still as text, and the line that does not fit its file's header in ``_rejected``."""
+    wanted = T._parse_datatype_string(schema) if isinstance(schema, str) else schema
+    names = [f.name for f in wanted.fields]
+    parts = []
+    for header, found in _headers(spark, path, multi_line).items():
+        missing = [n for n in names if n not in header]
+        if missing:
+            raise ValueError(f"no column {missing} in {found[0]}, which has {list(header)}")
+        own = T.StructType([T.StructField(c, T.StringType()) for c in (*header, "_rejected")])
+        reader = spark.read.schema(own).option("header", True).option("escape", '"').option("multiLine", multi_line)
+        rows = reader.option("columnNameOfCorruptRecord", "_rejected").csv(found)
+        parts.append(rows.select(*(F.col(f"`{n}`") for n in names), "_rejected"))
+    if not parts:
+        empty = T.StructType([T.StructField(c, T.StringType()) for c in (*names, "_rejected")])
+        parts = [spark.createDataFrame([], empty)]
+    rows = parts[0]
+    for part in parts[1:]:
+        rows = rows.unionByName(part)
+    return rows, names
+
+
+def _fits(schema: T.StructType | str, rows: DataFrame) -> tuple[list[Column], Column]:
+    """The columns in the types of ``schema``, and whether a row fits its header and these types."""
+    wanted = T._parse_datatype_string(schema) if isinstance(schema, str) else schema
+    typed = [F.col(f"`{f.name}`").try_cast(f.dataType).alias(f.name) for f in wanted.fields]
+    fit = F.col("_rejected").isNull()
+    for f, value in zip(wanted.fields, typed):
+        fit = fit & (F.col(f"`{f.name}`").isNull() | value.isNotNull())
+    return typed, fit
+
+
 def read_csv(
-    spark: SparkSession, path: str, schema: T.StructType | str, max_rows: int | None = None, multi_line: bool = False
+    spark: SparkSession, path: str | list[str], schema: T.StructType | str, max_rows: int | None = None, multi_line: bool = False
 ) -> DataFrame:
-    """CSV with a header under an explicit schema; inferring one would read the file twice.
+    """The columns of ``schema`` from CSV files with a header, found by name in whatever order and company they stand.
 
-    ``multi_line`` allows line breaks inside quoted values, at the price that a file is not split.
+    Files may differ in their other columns; a missing column is an error, a row that does not fit its
+    header or the types is left to :func:`rejected_csv`. ``multi_line`` allows line breaks inside quoted
+    values, at the price that a file is not split. ``max_rows`` is the operator's own limit on the rows.
     """
-    rows = (
-        spark.read.schema(schema)
-        .option("header", True)
-        .option("escape", '"')
-        .option("multiLine", multi_line)
-        .csv(path)
+    rows, _ = _read_by_name(spark, path, schema, multi_line)
+    typed, fit = _fits(schema, rows)
+    kept = rows.filter(fit).select(*typed)
+    return kept.limit(max_rows) if max_rows is not None else kept
+
+
+def rejected_csv(spark: SparkSession, path: str | list[str], schema: T.StructType | str, multi_line: bool = False) -> DataFrame:
+    """(original_message, error_type, error_message, failed_at) of the rows that :func:`read_csv` leaves out."""
+    rows, names = _read_by_name(spark, path, schema, multi_line)
+    _, fit = _fits(schema, rows)
+    return rows.filter(~fit).select(
+        F.coalesce("_rejected", F.to_json(F.struct(*(F.col(f"`{n}`") for n in names)))).alias("original_message"),
+        F.when(F.col("_rejected").isNotNull(), "HeaderMismatch").otherwise("TypeMismatch").alias("error_type"),
+        F.lit("row does not fit the columns").alias("error_message"),
+        F.current_timestamp().alias("failed_at"),
     )
-    return rows.limit(max_rows) if max_rows is not None else rows
 
 
 def write_csv(df: DataFrame, path: str) -> None:
@@ -42,15 +96,19 @@ def write_csv(df: DataFrame, path: str) -> None:
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
     """(file, line, value): every line of the files with its number, from 0 and blanks included.
 
-    Spark reads the splits of a file independently. Rows of one split are numbered in file order
-    by ``monotonically_increasing_id``; the number of lines before each split (one row per split)
-    makes that a line number of the file without shuffling the lines.
+    Spark reads the splits of a file independently. Rows of one split are numbered in file order by
+    ``monotonically_increasing_id`` and written once; the number of lines before each split (one row per
+    split) then follows from the written rows themselves, so however a later read cuts the files, no line
+    is lost or numbered anew, and the lines are not shuffled.
     """
-    lines = spark.read.text(path).select(
-        F.col("_metadata.file_path").alias("file"),
-        F.col("_metadata.file_block_start").alias("block"),
-        F.monotonically_increasing_id().alias("seq"),
-        "value",
+    lines = written(
+        spark.read.text(path).select(
+            F.col("_metadata.file_path").alias("file"),
+            F.col("_metadata.file_block_start").alias("block"),
+            F.monotonically_increasing_id().alias("seq"),
+            "value",
+        ),
+        "lines",
     )
     splits = lines.groupBy("file", "block").agg(F.min("seq").alias("first"), F.count("*").alias("n"))
     earlier = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
@@ -63,13 +121,17 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
 def read_json_lines(spark: SparkSession, path: str, source: str) -> tuple[DataFrame, DataFrame]:
     """CV messages (id, source, raw_data) and dead letters of JSON-lines files.
 
-    The id is ``A`` and the line number; blank lines are skipped but counted, malformed ones are
+    The id is ``A`` and the line number; where there are several files, a digest of the file stands before
+    the line, so that no two rows share an id. Blank lines are skipped but counted, malformed ones are
     counted and go to the dead letters.
     """
-    lines = read_lines(spark, path).withColumn("value", F.trim("value")).filter(F.col("value") != "")
+    every = read_lines(spark, path)
+    several = every.agg(F.min("file") != F.max("file")).first()[0]
+    lines = every.withColumn("value", F.trim("value")).filter(F.col("value") != "")
     parsed = lines.withColumn("_json", F.try_parse_json("value"))
+    of_file = [F.substring(F.md5(F.col("file").cast("binary")), 1, 16), F.lit("-")] if several else []
     good = parsed.filter(F.col("_json").isNotNull()).select(
-        F.concat(F.lit("A"), F.col("line").cast("string")).alias("id"),
+        F.concat(F.lit("A"), *of_file, F.col("line").cast("string")).alias("id"),
         F.lit(source).alias("source"),
         F.col("value").alias("raw_data"),
     )

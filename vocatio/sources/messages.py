@@ -45,10 +45,13 @@ def write_topic(messages: DataFrame, servers: str, topic: str) -> None:
     )
 
 
-def read_topic(spark, servers: str, topic: str) -> DataFrame:
-    """(value, timestamp) stream of a topic from its start."""
+def read_topic(spark, servers: str, topic: str, max_offsets: int | None = None) -> DataFrame:
+    """(value, timestamp) stream of a topic from its start, at most ``max_offsets`` messages a batch."""
+    reader = spark.readStream.format("kafka")
+    if max_offsets:
+        reader = reader.option("maxOffsetsPerTrigger", max_offsets)
     return (
-        spark.readStream.format("kafka")
+        reader
         .option("kafka.bootstrap.servers", servers)
         .option("subscribe", topic)
         .option("startingOffsets", "earliest")
@@ -97,11 +100,12 @@ def dead_letters(parsed_messages: DataFrame, value: str = "value", at: Column |
     )
 
 
-def first_of_each_id(rows: DataFrame, order: str) -> DataFrame:
+def first_of_each_id(rows: DataFrame, order: str | None) -> DataFrame:
     """The earliest row of every id and how often it came; repeats are dropped before the shuffle.
 
-    A batch has no arrival order of its own, so ``order`` names the column that stands for it.
+    A batch has no arrival order of its own, so ``order`` names the column that stands for it; of rows
+    that agree in it, or without one, the least row stays.
     """
     row = F.struct(*[F.col(c) for c in rows.columns])
-    first = F.min_by(row, F.col(order)).alias("_r")
+    first = F.min_by(row, F.struct(F.col(order), row) if order else row).alias("_r")
     return rows.groupBy("id").agg(first, F.count("*").alias("deliveries")).select("_r.*", "deliveries")

@@ -14,25 +14,34 @@ from vocatio.operators import joins
 from vocatio.sources import messages
 
 
-def distinct_ids(rows: DataFrame, time: str, delay: str, salts: int = 16) -> DataFrame:
-    """Drop repeats of an id that arrive within ``delay`` of each other.
+class Streams(list):
+    """Streaming queries that belong together."""
 
-    The watermark bounds the state; a repeat that comes later than the delay passes again. Repeats
-    are first dropped per id and part of the input, so an id that makes up a third of a batch is
-    spread over ``salts`` tasks and only one row of each reaches the task that keeps the id.
+    def awaitTermination(self) -> None:  # noqa: N802 - as a single query has it
+        for query in self:
+            query.awaitTermination()
+
+
+def distinct_ids(rows: DataFrame, salts: int = 16) -> DataFrame:
+    """The first row of every id, however late it or its repeats come.
+
+    The ids are kept in the stream's state (RocksDB, so on disk) without a watermark: a watermark
+    would bound the state, but would also throw away ids that are seen for the first time after it.
+    Repeats are first dropped per id and part of the input, so an id that makes up a third of a
+    batch is spread over ``salts`` tasks and only one row of each reaches the task that keeps the id.
     """
     salted = rows.withColumn("_salt", F.pmod(F.spark_partition_id(), F.lit(salts)))
-    once = salted.withWatermark(time, delay).dropDuplicatesWithinWatermark(["id", "_salt"])
-    return once.drop("_salt").dropDuplicatesWithinWatermark(["id"])
+    return salted.dropDuplicates(["id", "_salt"]).drop("_salt").dropDuplicates(["id"])
 
 
-def ingest(
-    stream: DataFrame, out: str, time: str = "timestamp", delay: str = "1 day", schema: T.StructType = messages.POSTING_SCHEMA
-) -> StreamingQuery:
-    """Good messages of a (value, time) stream to parquet, each id once, in files of bounded size."""
-    good = messages.records(messages.parsed(stream, schema), schema, (time,))
-    return (
-        distinct_ids(good, time, delay)
+def ingest(stream: DataFrame, out: str, schema: T.StructType = messages.POSTING_SCHEMA, at: Column | None = None) -> Streams:
+    """Messages of a (value, ...) stream to tables below ``out``: ``rows`` has each id once, ``dead`` what cannot be read.
+
+    ``counts`` gets a row for each batch, so that :func:`ingest_counts` can tell how many deliveries were repeats.
+    """
+    parsed = messages.parsed(stream, schema)
+    rows = (
+        distinct_ids(messages.records(parsed, schema))
         .writeStream.format("parquet")
         .option("path", f"{out}/rows")
         .option("checkpointLocation", f"{out}/checkpoint-rows")
@@ -41,6 +50,33 @@ def ingest(
         .start()
     )
 
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.persist()
+        try:
+            batch_table(f"{out}/dead")(messages.dead_letters(batch, at=at), batch_id)
+            batch_table(f"{out}/counts")(_counts(batch), batch_id)
+        finally:
+            batch.unpersist()
+
+    dead = (
+        parsed.writeStream.foreachBatch(write)
+        .option("checkpointLocation", f"{out}/checkpoint-dead")
+        .trigger(availableNow=True)
+        .start()
+    )
+    return Streams([rows, dead])
+
+
+def _counts(parsed: DataFrame) -> DataFrame:
+    return parsed.agg(F.count("*").alias("received"), F.count("error_type").alias("malformed"))
+
+
+def ingest_counts(spark, out: str) -> DataFrame:
+    """One row on what has been ingested: received, malformed, kept and repeated messages."""
+    kept = spark.read.parquet(f"{out}/rows").agg(F.count("*").alias("n")).scalar()
+    sums = spark.read.parquet(f"{out}/counts").agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("received", "malformed")))
+    return sums.withColumn("kept", kept).withColumn("repeated", F.col("received") - F.col("malformed") - F.col("kept"))
+
 
 def batch_table(path: str):
     """A ``foreachBatch`` writer: one folder per batch id, so a repeated batch replaces itself."""
@@ -51,15 +87,19 @@ def batch_table(path: str):
     return write
 
 
+# Buckets of the ids that batches have written; a batch reads those of its own ids only.
+ID_BUCKETS = 64
+
+
 def ingest_with_dead_letters(
     stream: DataFrame, out: str, order: str | None = None, at: Column | None = None, schema: T.StructType = messages.POSTING_SCHEMA
 ) -> StreamingQuery:
-    """Good messages, each id once, and dead letters of one stream into two tables, batch by batch.
+    """Good messages, each id once, and dead letters of one stream into tables, batch by batch.
 
-    Repeats are told without a watermark, however late they come: each batch is reduced to one row
-    per id, the earliest by ``order``, before its shuffle, and ids that earlier batches wrote are
-    taken out by an anti join. Only folders of earlier batches are read, so a batch that runs again
-    gives the same rows.
+    As :func:`ingest`, but all tables of a batch are written together and replace themselves if the
+    batch runs again. A batch is reduced to one row per id, the earliest by ``order`` (without one, the
+    least row), before its shuffle. Ids of earlier batches are taken out by an anti join with a table of
+    ids alone, in buckets by hash, of which only those that the batch has ids in are read.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
@@ -67,12 +107,18 @@ def ingest_with_dead_letters(
         parsed = messages.parsed(batch, schema).persist()
         try:
             extra = (order,) if order else ()
-            rows = messages.first_of_each_id(messages.records(parsed, schema, extra), order or "id").drop(*extra, "deliveries")
+            rows = messages.first_of_each_id(messages.records(parsed, schema, extra), order).drop(*extra, "deliveries")
+            bucket = F.pmod(F.xxhash64("id"), F.lit(ID_BUCKETS)).cast("int")
             if batch_id:
-                seen = spark.read.schema("id string, batch_id bigint").parquet(f"{out}/rows")
-                rows = joins.without(rows, seen.filter(F.col("batch_id") < batch_id), "id")
+                # At most ID_BUCKETS rows.
+                buckets = [r[0] for r in parsed.filter("error_type IS NULL").select(bucket).distinct().collect()]
+                seen = spark.read.schema("id string, batch_id bigint, bucket int").parquet(f"{out}/ids")
+                rows = joins.without(rows, seen.filter((F.col("batch_id") < batch_id) & F.col("bucket").isin(buckets)), "id")
             batch_table(f"{out}/rows")(rows, batch_id)
+            ids = spark.read.schema("id string").parquet(f"{out}/rows/batch_id={batch_id}").withColumn("bucket", bucket)
+            ids.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{out}/ids/batch_id={batch_id}")
             batch_table(f"{out}/dead")(messages.dead_letters(parsed, at=at), batch_id)
+            batch_table(f"{out}/counts")(_counts(parsed), batch_id)
         finally:
             parsed.unpersist()
 
@@ -84,13 +130,17 @@ def ingest_with_dead_letters(
     )
 
 
-def watch_folder(spark, folder: str, archive: str | None = None, glob: str | None = None) -> DataFrame:
-    """Stream of whole text files (path, text, size) dropped into a folder.
+def watch_folder(
+    spark, folder: str, archive: str | None = None, glob: str | None = None, max_files: int | None = None
+) -> DataFrame:
+    """Stream of whole text files (path, text, size) dropped into a folder, at most ``max_files`` a batch.
 
     Writers put a file elsewhere and move it in, so a file is complete when it is seen. Files that
     were read move to ``archive`` where one is given.
     """
     reader = spark.readStream.format("text").option("wholetext", True)
+    if max_files:
+        reader = reader.option("maxFilesPerTrigger", max_files)
     if glob:
         reader = reader.option("pathGlobFilter", glob)
     if archive:
@@ -98,19 +148,39 @@ def watch_folder(spark, folder: str, archive: str | None = None, glob: str | Non
     return reader.load(folder).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
 
 
+def _described(files: DataFrame) -> DataFrame:
+    """(path, text, filename, file_type, reason) of files; ``reason`` tells why a file is no text document."""
+    name = F.element_at(F.split(F.col("path"), "/"), -1)
+    extension = F.lower(F.regexp_extract(name, r"(\.[^.]*)$", 1))
+    # Binary formats read as text give bytes, not a document: parsing them needs a library of their own.
+    reason = (
+        F.when(extension.isin(*presets.BINARY_EXTENSIONS), "BinaryFormat")
+        .when(~extension.isin(*presets.DOCUMENT_EXTENSIONS), "UnsupportedFormat")
+        .when(F.col("text").contains("\u0000"), "BinaryFormat")
+        .when(F.length(stripped(F.col("text"))) < presets.MIN_DOCUMENT_CHARS, "TooShort")
+    )
+    return files.select("path", "text", name.alias("filename"), extension.alias("file_type"), reason.alias("reason"))
+
+
 def document_messages(files: DataFrame, kind: str, at: Column) -> DataFrame:
-    """Messages of the files with a supported extension and enough text.
+    """Messages of the text files with a supported extension and enough text.
 
     The id is the kind and a digest of the path, so reading a file again gives the same id.
     """
-    name = F.element_at(F.split(F.col("path"), "/"), -1)
-    extension = F.lower(F.regexp_extract(name, r"(\.[^.]*)$", 1))
-    return files.select(
+    return _described(files).filter(F.col("reason").isNull()).select(
         F.concat(F.lit(f"{kind}_"), F.substring(F.md5(F.col("path").cast("binary")), 1, 16)).alias("id"),
         F.lit(kind).alias("type"),
         "text",
-        name.alias("filename"),
-        extension.alias("file_type"),
+        "filename",
+        "file_type",
         word_count(F.col("text")).alias("word_count"),
         at.alias("timestamp"),
-    ).filter(F.col("file_type").isin(*presets.DOCUMENT_EXTENSIONS) & (F.length(stripped(F.col("text"))) >= presets.MIN_DOCUMENT_CHARS))
+    )
+
+
+def document_dead_letters(files: DataFrame, at: Column) -> DataFrame:
+    """(original_message, error_type, error_message, failed_at) of the files that give no message; the path stands for the file."""
+    return _described(files).filter(F.col("reason").isNotNull()).select(
+        F.col("path").alias("original_message"), F.col("reason").alias("error_type"), F.concat(F.lit("no text document: "), "filename").alias("error_message"),
+        at.alias("failed_at"),
+    )
