@@ -33,11 +33,116 @@ def test_all_forms_of_search_agree_with_brute_force(spark):
     expected = brute(q, i, 7)
     assert as_set(retrieval.top_k(queries, items.repartition(5), 7)) == expected
     # Only the query side fits, then neither does.
-    few = 40 * (8 * 8 + 64)
+    few = 40 * (8 * 8 + 64 + 4 * 2)
     assert as_set(retrieval.top_k(queries, items.repartition(5), 7, broadcast_limit=few)) == expected
     assert as_set(retrieval.top_k(queries, items.repartition(5), 7, broadcast_limit=0)) == expected
 
 
+def test_bars_let_few_candidates_leave_and_change_no_row(spark, monkeypatch):
+    q, queries = vectors(spark, 10, "query_id", 1)
+    i, items = vectors(spark, 3000, "item_id", 2)
+    monkeypatch.setattr(retrieval, "BAR_ITEMS", 600)
+    few = 10 * (8 * 8 + 64 + 4)
+    assert as_set(retrieval.top_k(queries, items.repartition(30), 5, broadcast_limit=few)) == brute(q, i, 5)
+    schema = "query_id bigint, item_id bigint, score double"
+    sent = retrieval._with_queries_everywhere(queries, items.repartition(30), 5, schema).count()
+    assert sent < 10 * 5 * 30 / 2  # without bars all tasks would send five for each query
+
+
+def test_vectors_that_cannot_be_compared_take_no_part(spark):
+    q, queries = vectors(spark, 8, "query_id", 1)
+    good, _ = vectors(spark, 100, "item_id", 2)
+    size, nan, inf = len(good[0][1]), float("nan"), float("inf")
+    bad = [(1000, None), (1001, [nan] * size), (1002, [inf] * size), (1003, [1.0] * (size + 2)), (1004, [1.0] * (size - 2)), (1005, []), (1006, [None] * size)]
+    bad += [(2000 + n, [nan] + [9.0] * (size - 1)) for n in range(6)]
+    items = spark.createDataFrame(good + bad, "item_id bigint, vector array<double>")
+    more = queries.unionByName(spark.createDataFrame([(77, [nan] * size), (78, None)], "query_id bigint, vector array<double>"))
+    expected = brute(q, good, 5)
+    for limit in (64 << 20, 8 * (8 * size + 64 + 8), 0):
+        assert as_set(retrieval.top_k(more, items, 5, broadcast_limit=limit)) == expected
+    reasons = {r["reason"]: r["count"] for r in retrieval.rejected_vectors(items).collect()}
+    assert reasons == {"null vector": 1, "NaN": 7, "infinite": 1, "wrong dimension": 3, "null component": 1}
+
+
+def test_forms_agree_on_scores_at_a_rounding_edge(spark):
+    rng = np.random.default_rng(3)
+    rows = [(n, (np.round(rng.normal(size=16), 3) / 1000).tolist()) for n in range(500)]
+    items = spark.createDataFrame(rows, "item_id bigint, vector array<double>")
+    queries = spark.createDataFrame(rows[:20], "query_id bigint, vector array<double>")
+    forms = [as_set(retrieval.top_k(queries, items.repartition(n), 9, limit, block)) for n, limit, block in ((1, 64 << 20, 1 << 20), (7, 20 * 300, 1 << 20), (3, 0, 900))]
+    assert forms[0] == forms[1] == forms[2]
+
+
+def test_a_long_id_counts_for_all_in_the_size_check(spark):
+    rows = spark.createDataFrame([("x" * 2000, [1.0])] + [(str(n), [1.0]) for n in range(10)], "item_id string, vector array<double>")
+    assert retrieval._bytes(rows, "item_id", 1) >= 11 * 4 * 2000
+
+
+def test_probing_reads_the_probed_cells_only(spark, tmp_path):
+    rng = np.random.default_rng(2)
+    rows = [(n, (np.eye(6)[n % 6] + rng.normal(size=6) / 50).tolist()) for n in range(300)]
+    items = spark.createDataFrame(rows, "item_id bigint, vector array<double>")
+    centres = spark.createDataFrame([(c, np.eye(6)[c].tolist()) for c in range(6)], "cell int, vector array<double>")
+    retrieval.write_cell_index(items.repartition(20), centres, str(tmp_path))
+    assert len(list((tmp_path / "items").glob("cell=*/*.parquet"))) == 6
+    stored = spark.read.parquet(str(tmp_path / "centres"))
+    assert {r["cell"]: r["n"] for r in stored.collect()} == {c: 50 for c in range(6)}
+    placed = spark.read.parquet(str(tmp_path / "items"))
+    query = spark.createDataFrame([(1, rows[0][1]), (2, [float("nan")] * 6)], "query_id bigint, vector array<double>")
+    found = retrieval.cell_top_k(query, placed, stored, 5, 1)
+    assert {r[:3] for r in as_set(found)} == {r[:3] for r in brute([(1, rows[0][1])], [r for r in rows if r[0] % 6 == 0], 5)}
+    read = retrieval.probed_items(placed, spark.createDataFrame([(0,), (4,)], "cell int"))
+    assert "PartitionFilters: [isnotnull" in (plan := read._jdf.queryExecution().executedPlan().toString()) or "PartitionFilters: [cell" in plan
+    assert {f.split("cell=")[1][0] for f in read.select("_metadata.file_path").distinct().toPandas()["file_path"]} == {"0", "4"}
+
+
+def test_cells_grow_with_the_table():
+    assert retrieval.cells_for(0) == 1 and retrieval.cells_for(100) == 40
+    assert retrieval.cells_for(1_350_000) > 1500 and retrieval.cells_for(10**10) == 4 * 10**5
+
+
+def test_nan_scores_come_last(spark):
+    rows = [("q", "a", 1, float("nan")), ("q", "b", 2, 0.5), ("q", "c", 3, None)]
+    scored = spark.createDataFrame(rows, "query_id string, item_id string, rank int, pair_score double")
+    assert [r["item_id"] for r in retrieval.rerank(scored, 1).collect()] == ["b"]
+    assert retrieval.best_match(scored.withColumnRenamed("pair_score", "score")).first()["match"] == "b"
+
+
+def test_a_long_entry_makes_no_rows_where_it_does_not_start(spark):
+    long_entry = " ".join(f"w{n}" for n in range(30))
+    table = spark.createDataFrame([("python",), ("machine learning",), (long_entry,)], "phrase string")
+    texts = spark.createDataFrame([(1, "we use Python and machine learning " * 20), (2, f"so {long_entry} here"), (3, None), (4, "w0 w1")], "id bigint, text string")
+    for limit in (64 << 20, 0):
+        assert {r["id"]: r["found"] for r in skills.find_phrases(texts, table, "id", "text", limit).collect()} == {
+            1: ["machine learning", "python"], 2: [long_entry], 3: [], 4: []
+        }
+        assert {r["id"]: r["found"] for r in skills.find_phrases_in_order(texts, table, "id", "text", limit).collect()}[1] == ["python", "machine learning"]
+    hits = skills.phrase_hits(texts, table, "id", "text", 64 << 20).groupBy("id").count().collect()
+    assert {r["id"]: r["count"] for r in hits} == {1: 41, 2: 2, 3: 1, 4: 1}
+
+
+@pytest.mark.parametrize("values", [[], [5.0], [1.0, 2.0], [3.0, 1.0, 2.0, 2.0, None], [7.0] * 40 + [8.0] * 39, [7.0] * 4 + [8.0] * 4, list(map(float, range(101)))])
+def test_median_from_counts(spark, values):
+    from statistics import median
+
+    got = quality.distribution(spark.createDataFrame([(v,) for v in values], "x double"), "x").first()
+    present = [v for v in values if v is not None]
+    assert got["median"] == (median(present) if present else None) and got["max"] == (max(present) if present else None)
+
+
+def test_exact_sample_with_repeated_ids(spark):
+    rows = spark.createDataFrame([(n % 7,) for n in range(70)] + [(None,)] * 5, "id bigint")
+    for n in (0, 1, 5, 33, 74, 75, 80):
+        assert sampling.sample_n(rows, "id", n).count() == min(n, 75)
+
+
+def test_a_hot_id_in_chained_joins_is_split(spark):
+    assert spark.conf.get("spark.sql.adaptive.forceOptimizeSkewedJoin") == "true"
+    base = spark.range(3000).select(F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id")).alias("id"), F.col("id").alias("row"))
+    one, two = (spark.range(3000).select("id", F.lit(n).alias(n)) for n in ("a", "b"))
+    assert joins.enriched(base, one, two).filter("a = 'a' AND b = 'b'").count() == 3000
+
+
 def test_copies_and_small_steps(spark, monkeypatch):
     """A third of all items are the same vector; every path must break the ties by id."""
     rng = np.random.default_rng(5)

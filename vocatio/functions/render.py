@@ -71,6 +71,8 @@ def job_text_full(
         return F.when(~is_blank(value), lookup(stripped(F.lower(value)), phrases, value))
 
     level = _text("Experience level: ", phrase(seniority, presets.LEVEL_PHRASES_LONG), ".")
+    # NaN sorts above all numbers in Spark, but is no salary.
+    salary_min, salary_max = (F.when(~F.isnan(c), c) for c in (salary_min, salary_max))
     salary = F.when(
         salary_min > 0,
         F.when(

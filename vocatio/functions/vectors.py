@@ -30,3 +30,9 @@ def quantised(score: Column) -> Column:
 def jaccard(a: Column, b: Column) -> Column:
     union = F.size(F.array_union(a, b))
     return F.when(union > 0, F.size(F.array_intersect(a, b)) / union).otherwise(F.lit(0.0))
+
+
+def is_finite(vector: Column) -> Column:
+    """True for a vector whose components are all there and finite."""
+    bad = F.exists(vector, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
+    return F.coalesce(~bad, F.lit(False))

@@ -93,11 +93,13 @@ def one_per_group(df: DataFrame, group: str, by: Column) -> DataFrame:
 def with_stable_id(df: DataFrame, key: str, prefix: str = "B") -> DataFrame:
     """Keep the old id as ``original_uuid`` and add a ``job_id`` that depends on it alone.
 
-    A number per partition and row would change with every new layout of the files. 60 bits of the
-    key's hash stay the same; :func:`id_collisions` counts the ids that two keys share.
+    A number per partition and row would change with every new layout of the files. 120 bits of the
+    key's hash stay the same, as two numbers of 19 digits, so that even among 10^12 keys no two are
+    expected to meet; :func:`id_collisions` counts the ids that two keys share.
     """
-    number = F.conv(F.substring(F.md5(F.col(key).cast("string").cast("binary")), 1, 15), 16, 10)
-    return df.withColumn("job_id", F.concat(F.lit(prefix), number)).withColumnRenamed(key, "original_uuid")
+    digest = F.md5(F.col(key).cast("string").cast("binary"))
+    halves = [F.lpad(F.conv(F.substring(digest, at, 15), 16, 10), 19, "0") for at in (1, 16)]
+    return df.withColumn("job_id", F.concat(F.lit(prefix), *halves)).withColumnRenamed(key, "original_uuid")
 
 
 def id_collisions(df: DataFrame) -> DataFrame:

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vocatio.functions import vectors
 from vocatio.functions.text import word_count
+from vocatio.session import written
 
 
 def group_counts(df: DataFrame, *keys: str) -> DataFrame:
@@ -56,12 +57,27 @@ def column_summary(df: DataFrame, column: str) -> DataFrame:
 
 
 def distribution(df: DataFrame, column: str) -> DataFrame:
-    return df.agg(
-        F.min(column).alias("min"),
-        F.max(column).alias("max"),
-        F.avg(column).alias("mean"),
-        F.percentile(column, 0.5).alias("median"),
-    )
+    """Smallest, largest and mean value, and the exact median.
+
+    Equal values are counted first and the different ones dealt to ranges; the sums of the ranges, as many
+    as there are shuffle partitions, tell which of them hold the middle, and only those are looked at.
+    """
+    counted = df.filter(F.col(column).isNotNull()).groupBy(F.col(column).alias("v")).agg(F.count("*").alias("n"))
+    ranges = written(counted.repartitionByRange("v").withColumn("part", F.spark_partition_id()), "values")
+    sums = sorted(tuple(r) for r in ranges.groupBy("part").agg(F.sum("n")).collect())
+    total, before, starts = sum(n for _, n in sums), 0, {}
+    middle = [(total - 1) // 2, total // 2]
+    for part, n in sums:
+        if any(before <= m < before + n for m in middle):
+            starts[part] = before
+        before += n
+    sofar = Window.partitionBy("part").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+    begin = F.coalesce(*(F.when(F.col("part") == p, F.lit(b)) for p, b in starts.items()), F.lit(0))
+    near = ranges.filter(F.col("part").isin(list(starts))).withColumn("end", F.sum("n").over(sofar) + begin)
+    holds = [(F.col("end") > m) & (F.col("end") - F.col("n") <= m) for m in middle]
+    halves = near.agg(*(F.max(F.when(h, F.col("v"))).alias(f"m{i}") for i, h in enumerate(holds)))
+    median = halves.select(((F.col("m0") + F.col("m1")) / 2).cast("double").alias("m")).scalar()
+    return df.agg(F.min(column).alias("min"), F.max(column).alias("max"), F.avg(column).alias("mean")).withColumn("median", median)
 
 
 def text_checks(df: DataFrame, text: str, prefix: str, phrase: str) -> DataFrame:
@@ -86,11 +102,12 @@ def vector_checks(df: DataFrame, vector: str, dimension: int, tolerance: float =
     norm = vectors.norm(v)
     return df.agg(
         F.count("*").alias("rows"),
+        F.count_if(v.isNull()).alias("missing"),
         F.count_if(F.size(v) != dimension).alias("wrong_dimension"),
-        F.count_if(F.abs(norm - 1) > tolerance).alias("norm_off"),
+        F.count_if((F.abs(norm - 1) > tolerance) & vectors.is_finite(v)).alias("norm_off"),
         F.count_if(F.exists(v, lambda x: F.isnan(x))).alias("with_nan"),
         F.count_if(F.exists(v, lambda x: F.abs(x) == float("inf"))).alias("with_inf"),
-        F.avg(norm).alias("mean_norm"),
+        F.avg(F.when(vectors.is_finite(v), norm)).alias("mean_norm"),
     )
 
 

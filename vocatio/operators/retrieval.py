@@ -7,24 +7,29 @@ inside a task and only the best ``k`` of each block leave it.
 Three physical forms give the same rows:
 
 * the item side fits the broadcast limit: each query row finds its final top-k on the spot;
-* the query side fits: items stay where they are, each batch of items emits the best ``k`` per
-  query, one shuffle of those candidates merges them;
-* neither fits: both sides are cut into blocks of bounded size and every block of queries meets
-  every block of items exactly once in an equi-join on the block numbers.
+* the query side fits: items stay where they are. The best ``k`` of a sample of the items give each query
+  a bar that its ``k`` best of all must reach; each task emits only what reaches it, and one shuffle of
+  those candidates merges them;
+* neither fits: the queries go in rounds, each a part that fits, over items that stay where they are.
+
+Vectors that are null, hold null or non-finite components, or are not of the table's usual size take no part;
+:func:`rejected_vectors` counts them.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vocatio import presets
 from vocatio.functions.hashing import draw
-from vocatio.session import BROADCAST_LIMIT_BYTES
+from vocatio.functions.vectors import is_finite
+from vocatio.session import BROADCAST_LIMIT_BYTES, written
 
 SCALE = 1_000_000
 # Vectors of one block, as doubles; a task holds one block of each side. Every row is sent once per
@@ -33,6 +38,10 @@ BLOCK_BYTES = 128 * 1024 * 1024
 # Scores computed in one go, few enough to stay in a core's cache, and items they are computed for.
 SCORES_AT_ONCE = 500_000
 ITEMS_AT_ONCE = 2_048
+# Components of pairs whose scores are taken anew at once.
+COMPONENTS_AT_ONCE = 8_000_000
+# Items that the bars are taken from: the more, the fewer candidates leave the tasks; any number gives the same rows.
+BAR_ITEMS = 50_000
 
 
 def _arrow_matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
@@ -55,9 +64,9 @@ class _Leaders:
     comparison; only those that reach it are sorted, by score and then by id.
     """
 
-    def __init__(self, queries: np.ndarray, k: int):
+    def __init__(self, queries: np.ndarray, k: int, bar: np.ndarray | None = None):
         self.queries, self.k = queries, k
-        self.bar = np.full(len(queries), -np.inf)
+        self.bar = np.full(len(queries), -np.inf) if bar is None else bar.copy()
         self.parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         self.pending = 0
 
@@ -78,7 +87,7 @@ class _Leaders:
             # A little below the bar, so that rounding keeps every item that may reach it.
             near = np.flatnonzero(scores >= ((bar - 0.5 - 1e-3) / SCALE)[:, None])
             rows, cols = np.divmod(near, n)
-            units = _units(scores.ravel()[near])
+            units = self._exact(rows + start, items, cols)
             kept = units >= bar[rows]
             rows, cols, units = rows[kept], cols[kept], units[kept]
             self.parts.append((rows + start, ids[cols], units))
@@ -86,6 +95,14 @@ class _Leaders:
             if self.pending > max(SCORES_AT_ONCE, 4 * k * len(self.queries)):
                 self._sort()
 
+    def _exact(self, rows: np.ndarray, items: np.ndarray, cols: np.ndarray) -> np.ndarray:
+        """Units of the scores of single pairs, added up in one order whatever the shape of the blocks was."""
+        units, step = np.empty(len(rows)), max(1, COMPONENTS_AT_ONCE // max(1, items.shape[1]))
+        for at in range(0, len(rows), step):
+            part = slice(at, at + step)
+            units[part] = _units(np.einsum("ij,ij->i", self.queries[rows[part]], items[cols[part]]))
+        return units
+
     def _sort(self) -> None:
         rows, ids, units = (np.concatenate(column) for column in zip(*self.parts))
         order = np.lexsort((ids, -units, rows))
@@ -113,13 +130,36 @@ def _result_schema(queries: DataFrame, items: DataFrame) -> str:
 
 
 def _dimension(df: DataFrame) -> int:
-    first = df.select(F.size("vector").alias("d")).first()
+    """The most frequent size of the table's vectors, the smallest of equals."""
+    sizes = df.filter(F.size("vector") > 0).groupBy(F.size("vector").alias("d")).count()
+    first = sizes.orderBy(F.desc("count"), "d").first()
     return first["d"] if first else 0
 
 
-def _bytes(df: DataFrame) -> int:
-    """Size of a vector table in memory: its row count, which file footers tell, times one row."""
-    return df.count() * (_dimension(df) * 8 + 64)
+def _takes_part(dimension: int) -> Column:
+    return (F.size("vector") == dimension) & is_finite(F.col("vector"))
+
+
+def usable_vectors(df: DataFrame, dimension: int) -> DataFrame:
+    """The rows whose vector can be compared."""
+    return df.filter(_takes_part(dimension))
+
+
+def rejected_vectors(df: DataFrame, dimension: int | None = None) -> DataFrame:
+    """(reason, count) of the rows that a search leaves out."""
+    dimension = _dimension(df) if dimension is None else dimension
+    v = F.col("vector")
+    reason = (
+        F.when(v.isNull(), "null vector").when(F.size(v) != dimension, "wrong dimension").when(F.exists(v, lambda x: x.isNull()), "null component")
+        .when(F.exists(v, lambda x: F.isnan(x)), "NaN").otherwise("infinite")
+    )
+    return df.filter(F.coalesce(~_takes_part(dimension), F.lit(True))).groupBy(reason.alias("reason")).agg(F.count("*").alias("count"))
+
+
+def _bytes(df: DataFrame, id_column: str, dimension: int) -> int:
+    """Size of a vector table in memory; an id counts as often as the longest is long, since arrays hold all at that width."""
+    row = df.agg(F.count("*").alias("n"), F.max(F.length(F.col(id_column).cast("string"))).alias("longest")).first()
+    return row["n"] * (dimension * 8 + 64 + 4 * (row["longest"] or 0))
 
 
 def _ids(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
@@ -151,12 +191,32 @@ def _with_items_everywhere(queries: DataFrame, items: DataFrame, k: int, schema:
     return queries.select("query_id", "vector").mapInArrow(search, schema)
 
 
+def _bars(queries: DataFrame, items: DataFrame, k: int, schema: str, n_items: int) -> dict:
+    """For queries of checked size the ``k``-th best score among a sample of the items, in units, where there are ``k``.
+
+    The sample is part of the items, so the ``k``-th best of all is no lower.
+    """
+    share = min(1.0, BAR_ITEMS / max(1, n_items))
+    if share == 1.0:
+        return {}
+    sample = items.filter(draw(F.col("item_id"), 7) < int(share * (1 << 32)))
+    best = ranked(_offered(queries, sample, k, schema, {}), k).filter(F.col("rank") == k)
+    return {r["query_id"]: float(_units(np.float64(r["score"]))) for r in best.select("query_id", "score").collect()}
+
+
 def _with_queries_everywhere(queries: DataFrame, items: DataFrame, k: int, schema: str) -> DataFrame:
-    shared = queries.sparkSession.sparkContext.broadcast(_rows_of(queries, "query_id"))
+    return _offered(queries, items, k, schema, _bars(queries, items, k, schema, items.count()))
+
+
+def _offered(queries: DataFrame, items: DataFrame, k: int, schema: str, bars: dict) -> DataFrame:
+    """What each task of the items finds for the queries: at most ``k`` each, none below its bar."""
+    ids, matrix, id_type = _rows_of(queries, "query_id")
+    bar = np.array([bars.get(i, -np.inf) for i in ids.tolist()])
+    shared = queries.sparkSession.sparkContext.broadcast((ids, matrix, id_type, bar))
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, matrix, id_type = shared.value
-        leaders, item_type = _Leaders(matrix, k), None
+        ids, matrix, id_type, bar = shared.value
+        leaders, item_type = _Leaders(matrix, k, bar), None
         for batch in batches:
             if batch.num_rows and len(ids):
                 item_type = batch.column("item_id").type
@@ -164,13 +224,21 @@ def _with_queries_everywhere(queries: DataFrame, items: DataFrame, k: int, schem
         if item_type is not None:
             rows, found, scores = leaders.result()
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids[rows], type=id_type), pa.array(found, type=item_type), pa.array(scores)],
+                [pa.array(ids[rows].tolist(), type=id_type), pa.array(found.tolist(), type=item_type), pa.array(scores)],
                 names=["query_id", "item_id", "score"],
             )
 
     return items.select("item_id", "vector").mapInArrow(search, schema)
 
 
+def _in_rounds(queries: DataFrame, items: DataFrame, k: int, schema: str, rounds: int) -> DataFrame:
+    """The queries in parts that fit every task, each over items that are not moved."""
+    part = F.pmod(F.xxhash64("query_id"), F.lit(rounds))
+    queries = written(queries.select("query_id", "vector", part.cast("int").alias("part")), "queries")
+    found = [_with_queries_everywhere(queries.filter(F.col("part") == i), items, k, schema) for i in range(rounds)]
+    return reduce(DataFrame.unionByName, found)
+
+
 def _block_search(k: int):
     def search(left: pa.Table, right: pa.Table) -> pa.Table:
         names = ["query_id", "item_id", "score"]
@@ -221,7 +289,7 @@ def top_k(
     items: DataFrame,
     k: int = presets.CANDIDATES,
     broadcast_limit: int = BROADCAST_LIMIT_BYTES,
-    block_bytes: int = BLOCK_BYTES,
+    block_bytes: int = BROADCAST_LIMIT_BYTES,
 ) -> DataFrame:
     """The ``k`` most similar items of every query: (query_id, item_id, score, rank).
 
@@ -230,20 +298,14 @@ def top_k(
     """
     _same_encoder(queries, items)
     schema = _result_schema(queries, items)
-    item_bytes = _bytes(items)
-    if item_bytes <= broadcast_limit:
+    dimension = _dimension(items)
+    queries, items = usable_vectors(queries, dimension), usable_vectors(items, dimension)
+    if _bytes(items, "item_id", dimension) <= broadcast_limit:
         return ranked(_with_items_everywhere(queries, items, k, schema), k)
-    query_bytes = _bytes(queries)
+    query_bytes = _bytes(queries, "query_id", dimension)
     if query_bytes <= broadcast_limit:
-        found = _with_queries_everywhere(queries, items, k, schema)
-    else:
-        cut = {
-            "cell": F.lit(0),
-            "query_blocks": F.lit(_blocks(query_bytes, block_bytes)).cast("bigint"),
-            "item_blocks": F.lit(_blocks(item_bytes, block_bytes)).cast("bigint"),
-        }
-        found = _in_blocks(queries.withColumns(cut), items.withColumns(cut), k, schema)
-    return ranked(found, k)
+        return ranked(_with_queries_everywhere(queries, items, k, schema), k)
+    return ranked(_in_rounds(queries, items, k, schema, _blocks(query_bytes, block_bytes)), k)
 
 
 def _same_encoder(queries: DataFrame, items: DataFrame) -> None:
@@ -255,21 +317,36 @@ def _same_encoder(queries: DataFrame, items: DataFrame) -> None:
         raise ValueError(f"vectors come from different encoders: {sorted(map(str, names))}")
 
 
-def train_cells(items: DataFrame, cells: int = presets.IVF_CELLS, train_rows: int = presets.IVF_TRAIN_ROWS, seed: int = 42) -> DataFrame:
-    """Cell centres (cell, vector) by k-means on a sample of about ``train_rows`` vectors.
+def cells_for(n: int) -> int:
+    """A number of cells that grows with the table: four times the root of its rows, at least the usual number for tables that fill it."""
+    return max(1, min(n, max(min(presets.IVF_CELLS, n // 40), 4 * int(n**0.5))))
+
+
+def train_cells(
+    items: DataFrame,
+    cells: int | None = None,
+    train_rows: int | None = None,
+    seed: int = 42,
+    rounds: int = presets.IVF_ROUNDS,
+    tolerance: float = presets.IVF_TOLERANCE,
+) -> DataFrame:
+    """Cell centres (cell, vector) by k-means over all vectors, until no centre moves by more than ``tolerance``.
 
-    The draw is a hash of the id, so the same rows are sampled however the table is partitioned.
+    ``train_rows`` asks for a sample instead, drawn by a hash of the id, so the same rows are sampled
+    however the table is partitioned. Without ``cells`` their number follows from the rows.
     """
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
     spark = items.sparkSession
+    items = usable_vectors(items, _dimension(items))
     total = items.count()
-    share = min(1.0, train_rows / max(total, 1))
+    share = 1.0 if train_rows is None else min(1.0, train_rows / max(total, 1))
     sample = items if share == 1.0 else items.filter(draw(F.col("item_id"), seed) < int(share * (1 << 32)))
     points = sample.select(array_to_vector(F.col("vector").cast("array<double>")).alias("features")).persist()
     try:
-        model = KMeans(k=cells, seed=seed, distanceMeasure="cosine", maxIter=10).fit(points)
+        means = KMeans(k=cells or cells_for(total), seed=seed, distanceMeasure="cosine", maxIter=rounds, tol=tolerance)
+        model = means.fit(points)
     finally:
         points.unpersist()
     rows = [(i, [float(x) for x in centre]) for i, centre in enumerate(model.clusterCenters())]
@@ -310,11 +387,30 @@ def probed_cells(queries: DataFrame, centres: DataFrame, probes: int) -> DataFra
     )
 
 
+# Vectors of one file of an index; a cell with more is written by several tasks.
+ROWS_PER_INDEX_FILE = 100_000
+
+
 def write_cell_index(items: DataFrame, centres: DataFrame, path: str) -> None:
-    """Store the items by cell; a search then reads only the folders of the probed cells."""
-    placed = assign_cells(items, centres)
-    placed.write.mode("overwrite").partitionBy("cell").parquet(f"{path}/items")
-    centres.write.mode("overwrite").parquet(f"{path}/centres")
+    """Store the items by cell, with the rows of each cell beside its centre; a search reads the probed folders only.
+
+    A cell goes to as many tasks as its measured size asks for, so it has few files and none is too large.
+    """
+    placed = written(assign_cells(usable_vectors(items, _dimension(centres)), centres), "placed")
+    counts = placed.groupBy("cell").agg(F.count("*").alias("n"))
+    # One row for each cell: bounded by the number of cells.
+    sized = placed.join(F.broadcast(counts), "cell")
+    part = F.pmod(F.xxhash64("item_id"), F.ceil(F.col("n") / ROWS_PER_INDEX_FILE))
+    dealt = sized.withColumn("_part", part).repartition("cell", "_part").drop("_part", "n")
+    dealt.write.mode("overwrite").partitionBy("cell").parquet(f"{path}/items")
+    with_counts = centres.join(counts, "cell", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    with_counts.write.mode("overwrite").parquet(f"{path}/centres")
+
+
+def probed_items(placed_items: DataFrame, probed: DataFrame) -> DataFrame:
+    """The items of the cells that are probed; their list, bounded by the number of cells, prunes the folders that are read."""
+    cells = [r[0] for r in probed.select("cell").distinct().collect()]
+    return placed_items.filter(F.col("cell").isin(cells))
 
 
 def cell_top_k(
@@ -327,23 +423,29 @@ def cell_top_k(
 ) -> DataFrame:
     """Top-k among the items of the ``probes`` nearest cells of each query.
 
-    Fewer than ``k`` rows come back where the probed cells hold fewer items.
+    Fewer than ``k`` rows come back where the probed cells hold fewer items. Centres of a stored index
+    carry the rows of their cells (``n``); for others the items are counted.
     """
-    probed = probed_cells(queries, centres, probes)
-
-    row_bytes = _dimension(centres) * 8
+    dimension = _dimension(centres)
+    probed = written(probed_cells(usable_vectors(queries, dimension), centres, probes), "probed")
+    items = probed_items(placed_items, probed)
+    row_bytes = dimension * 8
 
-    def counted(side: DataFrame, name: str) -> DataFrame:
-        return side.groupBy("cell").agg(F.ceil(F.count("*") * row_bytes / F.lit(block_bytes)).alias(name))
+    def blocks(counts: DataFrame, name: str) -> DataFrame:
+        return counts.select("cell", F.ceil(F.col("n") * row_bytes / F.lit(block_bytes)).alias(name))
 
+    stored = centres.filter("n > 0") if "n" in centres.columns else items.groupBy("cell").agg(F.count("*").alias("n"))
+    asked = probed.groupBy("cell").agg(F.count("*").alias("n"))
     # One row per cell: bounded by the number of cells, so every task may hold it.
-    cells = F.broadcast(counted(probed, "query_blocks").join(counted(placed_items, "item_blocks"), "cell"))
+    cells = F.broadcast(blocks(asked, "query_blocks").join(blocks(stored, "item_blocks"), "cell"))
     schema = _result_schema(queries, placed_items)
-    return ranked(_in_blocks(probed.join(cells, "cell"), placed_items.join(cells, "cell"), k, schema), k)
+    return ranked(_in_blocks(probed.join(cells, "cell"), items.join(cells, "cell"), k, schema), k)
 
 
 def best_match(scored: DataFrame) -> DataFrame:
     """One row per query: the best score, earliest rank first on ties (anchor, match, score)."""
+    # NaN sorts above all numbers in Spark; as null it is below them.
+    scored = scored.withColumn("score", F.when(~F.isnan("score"), F.col("score")))
     best = F.max_by(F.struct("item_id", "score"), F.struct(F.col("score"), -F.col("rank")))
     return scored.groupBy(F.col("query_id").alias("anchor")).agg(best.alias("b")).select(
         "anchor", F.col("b.item_id").alias("match"), F.col("b.score").alias("score")
@@ -352,7 +454,8 @@ def best_match(scored: DataFrame) -> DataFrame:
 
 def rerank(matches: DataFrame, keep: int = presets.RERANK_KEEP) -> DataFrame:
     """New order by ``pair_score``; ``change`` is the old rank minus the new one."""
-    order = Window.partitionBy("query_id").orderBy(F.desc("pair_score"), F.asc("rank"))
+    usable = F.when(~F.isnan("pair_score"), F.col("pair_score"))
+    order = Window.partitionBy("query_id").orderBy(usable.desc_nulls_last(), F.asc("rank"))
     return (
         matches.withColumn("new_rank", F.row_number().over(order))
         .filter(F.col("new_rank") <= keep)

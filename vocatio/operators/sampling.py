@@ -69,15 +69,17 @@ def stratum_summary(before: DataFrame, after: DataFrame, stratum: str) -> DataFr
 def sample_n(df: DataFrame, id_column: str, n: int, seed: int = 42) -> DataFrame:
     """Exactly ``n`` rows (or all), chosen by the smallest draws.
 
-    A histogram over the upper bits of the draw (at most 4096 bins) tells the bin of row ``n``; a
-    bin that is itself large is cut again by the bits below. All rows below the bin pass a filter
-    and only the rows of the bin are sorted, so the cost does not grow with ``n`` and no task holds
-    the sample.
+    The draws and ids alone are written once. A histogram over the upper bits of the draw (at most 4096
+    bins) tells the bin of row ``n``; a bin that is itself large is cut again by the bits below. Only the
+    ids of the last bin are sorted, to find the last draw and id of the sample; the rows then pass a filter,
+    so their input is read once and no task holds the sample. Where several rows share that last id, as
+    many of them are taken as are needed.
     """
-    drawn = df.withColumn("_draw", draw(F.col(id_column), seed))
+    drawn_as = F.coalesce(draw(F.col(id_column), seed), F.lit(0))  # rows without an id are drawn first
+    draws = written(df.select(F.col(id_column).alias("_id"), drawn_as.alias("_draw")), "draws")
     low, taken, span = 0, 0, RANGE
     for width in (1 << 20, 1 << 8, 1):
-        part = drawn.filter((F.col("_draw") >= low) & (F.col("_draw") < low + span))
+        part = draws.filter((F.col("_draw") >= low) & (F.col("_draw") < low + span))
         bins = part.groupBy(F.floor((F.col("_draw") - low) / width).alias("bin")).count().collect()
         edge = None
         for row in sorted(bins, key=lambda r: r["bin"]):
@@ -90,11 +92,23 @@ def sample_n(df: DataFrame, id_column: str, n: int, seed: int = 42) -> DataFrame
         low, span = low + edge["bin"] * width, width
         if edge["count"] <= SORTED_AT_ONCE:
             break
-    below = drawn.filter(F.col("_draw") < low)
-    if taken < n:
-        at = drawn.filter((F.col("_draw") >= low) & (F.col("_draw") < low + span))
-        below = below.unionByName(at.orderBy("_draw", id_column).limit(n - taken))
-    return below.drop("_draw")
+    drawn = df.withColumn("_draw", drawn_as)
+    below = F.col("_draw") < low
+    if taken >= n:
+        return drawn.filter(below).drop("_draw")
+    at = draws.filter((F.col("_draw") >= low) & (F.col("_draw") < low + span))
+    edge = at.orderBy("_draw", "_id").limit(n - taken).agg(
+        F.max(F.struct("_draw", "_id")).alias("last"), F.count("*").alias("n")
+    ).first()["last"]
+    own = (F.col("_draw") == edge["_draw"]) & F.col(id_column).eqNullSafe(F.lit(edge["_id"]))
+    before = (F.col("_draw") == edge["_draw"]) & (F.coalesce(F.col(id_column) < F.lit(edge["_id"]), F.lit(edge["_id"] is not None)))
+    inside = (F.col("_draw") >= low) & (F.col("_draw") < edge["_draw"]) | before
+    same = at.filter((F.col("_draw") == edge["_draw"]) & F.col("_id").eqNullSafe(F.lit(edge["_id"]))).count()
+    if same == 1:
+        return drawn.filter(below | inside | own).drop("_draw")
+    smaller = F.coalesce(F.col("_id") < F.lit(edge["_id"]), F.lit(edge["_id"] is not None))
+    less = at.filter((F.col("_draw") < edge["_draw"]) | ((F.col("_draw") == edge["_draw"]) & smaller)).count()
+    return drawn.filter(below | inside).unionByName(drawn.filter(own).limit(n - taken - less)).drop("_draw")
 
 
 def split_of(key: Column, seed: int = 42, fractions=presets.SPLIT_FRACTIONS) -> Column:

@@ -65,24 +65,50 @@ def word_runs(texts: DataFrame, text_column: str, longest: int, *keep: str) -> D
     return placed.select(*keep, "pos", runs).select(*keep, "pos", "r.words", "r.run")
 
 
-def _marks_text(pos: Column, words: Column) -> Column:
-    """True for one run of every text, which is kept so that texts without a phrase are too."""
-    return (words == 1) & (F.coalesce(pos, F.lit(0)) == 0)
+def _starts(phrase_table: DataFrame) -> DataFrame:
+    """(first, lengths): the words that start a phrase, and in how many words such phrases are long."""
+    words = F.split("phrase", " ")
+    return phrase_table.groupBy(F.get(words, 0).alias("first")).agg(F.collect_set(F.size(words)).alias("lengths"))
 
 
-def _lookup(runs: DataFrame, phrase_table: DataFrame, n_bytes: int, spread: Column, limit: int) -> DataFrame:
-    """Left join of the runs of words with the phrases.
+def _matched(side: DataFrame, table: DataFrame, key: str, n_bytes: int, spread: Column, limit: int) -> DataFrame:
+    """Left join with a table of the dictionary.
 
-    A phrase table of measured small size goes to every task. A larger one is copied ``SALTS``
-    times and the runs are spread over the copies, so that a phrase found in a third of all texts
-    does not end in one task.
+    A dictionary of measured small size goes to every task. A larger one is copied ``SALTS`` times and the
+    rows are spread over the copies, so that a word found in a third of all texts does not end in one task.
     """
-    known = phrase_table.select(F.col("phrase").alias("run"), F.col("phrase"))
     if n_bytes <= limit:
-        return runs.join(F.broadcast(known), "run", "left")
-    copies = known.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    salted = runs.withColumn("salt", F.pmod(spread, F.lit(SALTS)).cast("int"))
-    return salted.join(copies, ["run", "salt"], "left").drop("salt")
+        return side.join(F.broadcast(table), key, "left")
+    copies = table.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = side.withColumn("_salt", F.pmod(spread, F.lit(SALTS)).cast("int"))
+    return salted.join(copies, [key, "_salt"], "left").drop("_salt")
+
+
+def phrase_hits(texts: DataFrame, phrase_table: DataFrame, id_column: str, text_column: str, limit: int) -> DataFrame:
+    """(id, pos, words, phrase): every phrase of the table in each text, and one row at least of every text.
+
+    Only words that start a phrase are looked at further, and only for the lengths of the phrases that they
+    start, so one long entry of the dictionary costs nothing where its first word does not occur.
+    """
+    longest, n_bytes = _measure(phrase_table)
+    words = texts.select(id_column, tokens(F.col(text_column)).alias("w"))
+    placed = words.select(id_column, "w", F.posexplode_outer("w").alias("pos", "first"))
+    if n_bytes > limit:
+        # These rows are shuffled: each takes along the words that a phrase from there may have, not all.
+        placed = placed.withColumn("w", F.slice("w", F.col("pos") + 1, F.lit(max(longest, 1))))
+        at, left = F.lit(1), F.size("w")
+    else:
+        at, left = F.col("pos") + 1, F.size("w") - F.col("pos")
+    spread = F.xxhash64(id_column, "pos")
+    found = _matched(placed, _starts(phrase_table), "first", n_bytes, spread, limit)
+    first = F.coalesce(F.col("pos"), F.lit(0)) == 0
+    fitting = F.filter("lengths", lambda n: n <= left)
+    runs = F.transform(fitting, lambda n: F.struct(n.alias("words"), F.array_join(F.slice("w", at, n), " ").alias("phrase")))
+    placed = found.filter(F.col("lengths").isNotNull() | first).select(id_column, "pos", F.explode_outer(runs).alias("r"))
+    known = phrase_table.select("phrase", F.lit(True).alias("known"))
+    hits = _matched(placed.select(id_column, "pos", "r.words", "r.phrase"), known, "phrase", n_bytes, spread, limit)
+    hits = hits.filter(F.col("known") | (F.coalesce(F.col("pos"), F.lit(0)) == 0))
+    return hits.select(id_column, "pos", "words", F.when(F.col("known"), F.col("phrase")).alias("phrase"))
 
 
 def find_phrases(
@@ -94,18 +120,12 @@ def find_phrases(
 ) -> DataFrame:
     """(id, found): sorted distinct phrases of the table that occur in each text; [] if none.
 
-    Overlapping phrases all count. Runs of words are looked up by an equi-join; one run of every
-    text is kept in any case, so texts without a phrase stay and no text is ever shuffled: what
-    leaves a task is one row per text with its phrases.
+    Overlapping phrases all count. Runs of words are looked up by equi-joins; one row of every text
+    is kept in any case, so texts without a phrase stay and no text is ever shuffled: what leaves a
+    task is one row per text with its phrases.
     """
-    longest, n_bytes = _measure(phrase_table)
-    runs = word_runs(texts, text_column, longest, id_column)
-    joined = _lookup(runs, phrase_table, n_bytes, F.xxhash64(id_column), broadcast_limit)
-    return (
-        joined.filter(F.col("phrase").isNotNull() | _marks_text(F.col("pos"), F.col("words")))
-        .groupBy(id_column)
-        .agg(F.array_sort(F.collect_set("phrase")).alias("found"))
-    )
+    hits = phrase_hits(texts, phrase_table, id_column, text_column, broadcast_limit)
+    return hits.groupBy(id_column).agg(F.array_sort(F.collect_set("phrase")).alias("found"))
 
 
 def find_phrases_in_order(
@@ -117,15 +137,11 @@ def find_phrases_in_order(
 ) -> DataFrame:
     """(id, found): distinct phrases longer than one character by first position, shorter first."""
     usable = phrase_table.filter(F.length("phrase") > 1)
-    longest, n_bytes = _measure(usable)
-    runs = word_runs(texts, text_column, longest, id_column)
-    joined = _lookup(runs, usable, n_bytes, F.xxhash64(id_column), broadcast_limit)
-    hits = F.array_sort(F.collect_list(F.when(F.col("phrase").isNotNull(), F.struct("pos", "words", "phrase"))))
-    return (
-        joined.filter(F.col("phrase").isNotNull() | _marks_text(F.col("pos"), F.col("words")))
-        .groupBy(id_column)
-        .agg(F.array_distinct(F.transform(hits, lambda s: s["phrase"])).alias("found"))
-    )
+    hits = phrase_hits(texts, usable, id_column, text_column, broadcast_limit)
+    # Repeats of a phrase fall away before its first place is remembered.
+    firsts = hits.groupBy(id_column, "phrase").agg(F.min(F.struct("pos", "words")).alias("at"))
+    listed = F.array_sort(F.collect_list(F.when(F.col("phrase").isNotNull(), F.struct("at.pos", "at.words", "phrase"))))
+    return firsts.groupBy(id_column).agg(F.transform(listed, lambda s: s["phrase"]).alias("found"))
 
 
 def with_counts(found: DataFrame) -> DataFrame:
@@ -148,8 +164,11 @@ def new_terms(terms: DataFrame, known: DataFrame, min_count: int = 2) -> DataFra
     return counted.join(known.select(F.lower("skill").alias("skill")).distinct(), "skill", "left_anti")
 
 
-def refresh_terms(texts: DataFrame, text_column: str, longest: int = 3) -> DataFrame:
-    """Candidate rows for a dictionary refresh: every run of up to ``longest`` words."""
+def refresh_terms(texts: DataFrame, text_column: str, longest: int = presets.LONGEST_NEW_TERM) -> DataFrame:
+    """Candidate rows for a dictionary refresh: every run of up to ``longest`` words.
+
+    ``longest`` is the caller's: runs of any length would be as many as a repeated text has words.
+    """
     runs = word_runs(texts, text_column, longest).select(F.col("run").alias("skill"))
     return runs.filter((F.length("skill") > 2) & ~F.col("skill").isin(*presets.REFRESH_STOP_TERMS))
 

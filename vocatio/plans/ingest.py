@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vocatio import presets
 from vocatio.functions.rules import occupation_group, occupation_name
 from vocatio.operators import joins, quality, sampling
 from vocatio.plans import views
@@ -119,7 +120,7 @@ def embedding_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
 def batched_write(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders written in files of at most 10,000 rows, counted per file when read back."""
     path = work_path(spark, "batched")
-    files.write_rows(views.table(spark, sf_dir, "orders"), path)
+    files.write_rows(views.table(spark, sf_dir, "orders"), path, presets.MESSAGES_PER_FILE)
     per_file = spark.read.parquet(path).groupBy(F.col("_metadata.file_path").alias("file")).agg(F.count("*").alias("n"))
     return per_file.agg(F.sum("n").alias("rows"), (F.max("n") <= 10_000).alias("bounded"))
 

@@ -23,11 +23,15 @@ def _long(*columns: str):
     return [F.col(c).cast("bigint").alias(c) for c in columns]
 
 
-@query("vector_quality", """WITH n AS (SELECT len(embedding) AS d, sqrt(list_sum([x * x for x in CAST(embedding AS DOUBLE[])])) AS norm FROM embeddings)
-SELECT count(*) AS rows, count(*) FILTER (WHERE d <> 64) AS wrong_dimension, count(*) FILTER (WHERE abs(norm - 1) > 1e-6) AS norm_off,
-  CAST(0 AS BIGINT) AS with_nan, CAST(0 AS BIGINT) AS with_inf, round(avg(norm), 6) AS mean_norm FROM n""")
+@query("vector_quality", """WITH e AS (SELECT vec_id % 40 AS m, CASE WHEN vec_id % 40 = 30 THEN CAST(embedding AS DOUBLE[])[1:5] ELSE CAST(embedding AS DOUBLE[]) END AS v FROM embeddings),
+n AS (SELECT m, len(v) AS d, sqrt(list_sum([x * x for x in v])) AS norm FROM e)
+SELECT count(*) AS rows, count(*) FILTER (WHERE m = 20) AS missing, count(*) FILTER (WHERE d <> 64 AND m <> 20) AS wrong_dimension,
+  count(*) FILTER (WHERE abs(norm - 1) > 1e-6 AND m NOT IN (0, 10, 20)) AS norm_off, count(*) FILTER (WHERE m = 0) AS with_nan,
+  count(*) FILTER (WHERE m = 10) AS with_inf, round(avg(norm) FILTER (WHERE m NOT IN (0, 10, 20)), 6) AS mean_norm FROM n""")
 def vector_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.vector_checks(views.table(spark, sf_dir, "embeddings"), "embedding", 64).withColumn("mean_norm", F.round("mean_norm", 6))
+    """The checks of a table in which every tenth vector is spoilt."""
+    rows = _with_bad_vectors(views.table(spark, sf_dir, "embeddings").withColumnRenamed("embedding", "vector"), "vec_id")
+    return quality.vector_checks(rows, "vector", 64).withColumn("mean_norm", F.round("mean_norm", 6))
 
 
 @query(
@@ -69,9 +73,45 @@ def knn_cvs_for_job(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("knn_in_blocks", RANKED_SQL + "SELECT query_id, item_id, score, CAST(rank AS INTEGER) AS rank FROM found WHERE rank <= 10")
 def knn_in_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The form for two large sides: nothing may be broadcast."""
+    """The form for two large sides: the queries go in rounds over the items."""
     queries, items = views.cv_vectors(spark, sf_dir).drop("label"), views.job_vectors(spark, sf_dir).drop("label")
-    return retrieval.top_k(queries, items, 10, broadcast_limit=0)
+    return retrieval.top_k(queries, items, 10, broadcast_limit=0, block_bytes=512 * 1024)
+
+
+def _with_bad_vectors(vectors: DataFrame, key: str) -> DataFrame:
+    """Every tenth vector spoilt: by NaN, an infinite component, as null, or cut short."""
+    v, n = F.col("vector"), F.col(key)
+    spoilt = (
+        F.when(n % 40 == 0, F.transform(v, lambda x, i: F.when(i == 0, F.lit(float("nan"))).otherwise(x.cast("double"))))
+        .when(n % 40 == 10, F.transform(v, lambda x, i: F.when(i == 3, F.lit(float("-inf"))).otherwise(x.cast("double"))))
+        .when(n % 40 == 20, F.lit(None).cast("array<double>"))
+        .when(n % 40 == 30, F.slice(v, 1, 5).cast("array<double>"))
+        .otherwise(v.cast("array<double>"))
+    )
+    return vectors.withColumn("vector", spoilt)
+
+
+@query(
+    "knn_with_rejects",
+    VEC_SQL
+    + """, good AS (SELECT * FROM job_vec WHERE CAST(substr(item_id, 2) AS BIGINT) % 10 <> 0),
+pairs AS (SELECT query_id, item_id, floor(list_dot_product(q.v, j.v) * 1000000 + 0.5) / 1000000 AS score FROM cv_vec q, good j)
+SELECT query_id, item_id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id) AS INTEGER) AS rank FROM pairs QUALIFY rank <= 10""",
+)
+def knn_with_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors that cannot be compared take no part, and take no one else's place."""
+    jobs = views.job_vectors(spark, sf_dir).drop("label").withColumn("n", F.substring("item_id", 2, 20).cast("bigint"))
+    return retrieval.top_k(views.cv_vectors(spark, sf_dir).drop("label"), _with_bad_vectors(jobs, "n").drop("n"), 10)
+
+
+@query(
+    "rejected_vectors",
+    """SELECT CASE vec_id % 40 WHEN 0 THEN 'NaN' WHEN 10 THEN 'infinite' WHEN 20 THEN 'null vector' ELSE 'wrong dimension' END AS reason,
+  count(*) AS count FROM embeddings WHERE vec_id % 10 = 0 GROUP BY 1""",
+)
+def rejected_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = views.table(spark, sf_dir, "embeddings").withColumnRenamed("embedding", "vector")
+    return retrieval.rejected_vectors(_with_bad_vectors(rows, "vec_id"))
 
 
 CELLS = 16

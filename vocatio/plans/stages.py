@@ -36,7 +36,7 @@ def ingest_messages(sent: DataFrame, order: str, out: str, at: Column | None = N
     """A batch of messages to unified rows, each id once, and dead letters."""
     parsed = messages.parsed(sent)
     first = messages.first_of_each_id(messages.records(parsed, extra=(order,)), order)
-    files.write_rows(first.drop(order, "deliveries"), f"{out}/raw_postings")
+    files.write_rows(first.drop(order, "deliveries"), f"{out}/raw_postings", presets.MESSAGES_PER_FILE)
     messages.dead_letters(parsed, at=at).write.mode("overwrite").parquet(f"{out}/dead_letters")
 
 
@@ -154,10 +154,10 @@ def training_pairs(spark: SparkSession, out: str, name: str, scorer: Callable[[D
     joins.with_texts(best, people, jobs).select("anchor_text", "positive_text").write.mode("overwrite").parquet(f"{out}/{name}_dataset")
 
 
-def build_index(spark: SparkSession, out: str, cells: int = presets.IVF_CELLS) -> None:
-    """Postings placed in cells for probed search."""
+def build_index(spark: SparkSession, out: str, cells: int | None = None, rounds: int = presets.IVF_ROUNDS) -> None:
+    """Postings placed in cells for probed search; without ``cells`` their number follows from the postings."""
     _, items = _vectors(spark, out, None)
-    retrieval.write_cell_index(items, retrieval.train_cells(items, cells), f"{out}/index")
+    retrieval.write_cell_index(items, retrieval.train_cells(items, cells, rounds=rounds), f"{out}/index")
 
 
 def search(spark: SparkSession, out: str, queries: DataFrame, k: int = presets.CANDIDATES, probes: int = presets.IVF_PROBES) -> DataFrame:
@@ -173,7 +173,7 @@ def evaluate(spark: SparkSession, out: str, name: str = "val") -> DataFrame:
     return retrieval.recall(retrieval.top_k(people, items, max(presets.RECALL_AT)), truth, people)
 
 
-def learn(spark: SparkSession, actions: DataFrame, out: str, version: str, threshold: int = presets.RETRAIN_THRESHOLD) -> bool:
+def learn(spark: SparkSession, actions: DataFrame, out: str, version: str, threshold: int = presets.RETRAIN_THRESHOLD, longest_term: int = presets.LONGEST_NEW_TERM) -> bool:
     """Dictionary refresh and training mix from the action log, if enough actions are due.
 
     The dictionary enters as a new version; the model itself is fitted elsewhere.
@@ -181,7 +181,7 @@ def learn(spark: SparkSession, actions: DataFrame, out: str, version: str, thres
     if not feedback.retrain_due(actions, threshold).first()["due"]:
         return False
     known = spark.read.parquet(f"{out}/all_skills")
-    terms = skills.refresh_terms(actions.filter(F.col("cv_text").isNotNull()), "cv_text")
+    terms = skills.refresh_terms(actions.filter(F.col("cv_text").isNotNull()), "cv_text", longest_term)
     files.write_version(skills.refreshed_dictionary(known, terms), f"{out}/dictionary", version)
     labelled = feedback.training_pairs(actions)
     labelled.write.mode("overwrite").parquet(f"{out}/feedback_pairs")

@@ -229,6 +229,7 @@ MIN_POSITIVE_WEIGHT = 0.5
 MIX_RATIO = 0.2
 MIN_TRAINING_PAIRS = 10
 MIN_PROPOSAL_FREQUENCY = 3
+LONGEST_NEW_TERM = 5
 
 # --- fixed values: retrieval, sampling, files ------------------------------------------------------
 CANDIDATES = 50
@@ -238,11 +239,13 @@ PAGE_SIZE = 10
 RECALL_AT = [1, 5, 10, 50]
 GREAT_ABOVE, GOOD_ABOVE = 5, 0
 IVF_CELLS = 1500
-IVF_TRAIN_ROWS = 100_000
+IVF_ROUNDS, IVF_TOLERANCE = 20, 1e-4
 IVF_PROBES = 20
 SAMPLE_BUFFER = 1.1
 SPLIT_FRACTIONS = (("train", 0.8), ("val", 0.1), ("test", 0.1))
 MESSAGES_PER_FILE = 10_000
+# Tables that are not written message by message: large files, so that a large table has few of them.
+ROWS_PER_FILE = 1_000_000
 EMBEDDINGS_PER_FILE = 50_000
 QUERY_PREFIX, PASSAGE_PREFIX = "query: ", "passage: "
 DOCUMENT_EXTENSIONS = [".txt", ".csv"]

@@ -20,6 +20,8 @@ def build_session(app_name: str = "vocatio", master: str | None = None, **conf:
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
+        # Chained joins on one id are split at a hot id too, at the price of a shuffle between them.
+        .config("spark.sql.adaptive.forceOptimizeSkewedJoin", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.sql.variant.allowDuplicateKeys", "true")
         .config(

@@ -144,7 +144,7 @@ def read_json_lines(spark: SparkSession, path: str, source: str) -> tuple[DataFr
     return good, bad
 
 
-def write_rows(df: DataFrame, path: str, rows_per_file: int = presets.MESSAGES_PER_FILE, single_file: bool = False) -> None:
+def write_rows(df: DataFrame, path: str, rows_per_file: int = presets.ROWS_PER_FILE, single_file: bool = False) -> None:
     """Parquet overwrite with a bound on the rows per file; one file only on request."""
     out = df.coalesce(1) if single_file else df
     writer = out.write.mode("overwrite")
