@@ -95,8 +95,8 @@ def _with_bad_vectors(vectors: DataFrame, key: str) -> DataFrame:
     "knn_with_rejects",
     VEC_SQL
     + """, good AS (SELECT * FROM job_vec WHERE CAST(substr(item_id, 2) AS BIGINT) % 10 <> 0),
-pairs AS (SELECT query_id, item_id, floor(list_dot_product(q.v, j.v) * 1000000 + 0.5) / 1000000 AS score FROM cv_vec q, good j)
-SELECT query_id, item_id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id) AS INTEGER) AS rank FROM pairs QUALIFY rank <= 10""",
+near AS (SELECT query_id, item_id, floor(list_dot_product(q.v, j.v) * 1000000 + 0.5) / 1000000 AS score FROM cv_vec q, good j)
+SELECT query_id, item_id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id) AS INTEGER) AS rank FROM near QUALIFY rank <= 10""",
 )
 def knn_with_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Vectors that cannot be compared take no part, and take no one else's place."""
