@@ -82,11 +82,23 @@ def test_full_run(spark, tmp_path):
     queries = spark.read.parquet(f"{out}/cvs_embedded").withColumnRenamed("id", "query_id")
     hits = stages.search(spark, out, queries, k=5, probes=4)
     assert hits.count() == 250
+    assert {"embedding_text", "isco_code"} <= set(spark.read.parquet(f"{out}/jobs_embedded").columns)
+    asked = spark.createDataFrame([(1, "Senior Engineer with python and sql"), (2, "a nurse")], "query_id int, text string")
+    scorer = lambda df: encode.score_pairs(df, "anchor_text", "positive_text", overlap)
+    found = stages.match_texts(spark, out, asked, scorer, k=20, keep=5, probes=4)
+    rows = found.collect()
+    assert {r["query_id"] for r in rows} == {1, 2} and all(r["embedding_text"] and r["isco_code"] is not None for r in rows)
+    best = max((r for r in rows if r["query_id"] == 1), key=lambda r: r["pair_score"])
+    assert best["new_rank"] == 1 and "python" in best["embedding_text"].lower()
 
     rows = [(i, ["apply", "skip", "not_interested"][i % 3], f"query: knows zig build {i % 2}", "passage: x") for i in range(90)]
     log = feedback.logged(spark.createDataFrame(rows, "id int, action string, cv_text string, job_text string"))
     assert stages.learn(spark, log, out, "1", threshold=100) is False
     assert stages.learn(spark, log, out, "1") is True
+    assert spark.read.parquet(f"{out}/model_log").first()["model_version"] == "1"
+    stages.record_actions(log.drop("weight"), out)
+    stages.record_actions(log.drop("weight"), out)
+    assert spark.read.parquet(f"{out}/action_log").count() == 180
     known = {r["skill"]: r["count"] for r in spark.read.parquet(f"{out}/dictionary").collect()}
     assert known["zig build"] == 1 and known["sql"] > 1
     mix = spark.read.parquet(f"{out}/training_mix").groupBy("origin").count().collect()

@@ -129,7 +129,7 @@ def _result_schema(queries: DataFrame, items: DataFrame) -> str:
     return f"query_id {query_type}, item_id {item_type}, score double"
 
 
-def _dimension(df: DataFrame) -> int:
+def dimension_of(df: DataFrame) -> int:
     """The most frequent size of the table's vectors, the smallest of equals."""
     sizes = df.filter(F.size("vector") > 0).groupBy(F.size("vector").alias("d")).count()
     first = sizes.orderBy(F.desc("count"), "d").first()
@@ -147,7 +147,7 @@ def usable_vectors(df: DataFrame, dimension: int) -> DataFrame:
 
 def rejected_vectors(df: DataFrame, dimension: int | None = None) -> DataFrame:
     """(reason, count) of the rows that a search leaves out."""
-    dimension = _dimension(df) if dimension is None else dimension
+    dimension = dimension_of(df) if dimension is None else dimension
     v = F.col("vector")
     reason = (
         F.when(v.isNull(), "null vector").when(F.size(v) != dimension, "wrong dimension").when(F.exists(v, lambda x: x.isNull()), "null component")
@@ -298,7 +298,7 @@ def top_k(
     """
     _same_encoder(queries, items)
     schema = _result_schema(queries, items)
-    dimension = _dimension(items)
+    dimension = dimension_of(items)
     queries, items = usable_vectors(queries, dimension), usable_vectors(items, dimension)
     if _bytes(items, "item_id", dimension) <= broadcast_limit:
         return ranked(_with_items_everywhere(queries, items, k, schema), k)
@@ -339,7 +339,7 @@ def train_cells(
     from pyspark.ml.functions import array_to_vector
 
     spark = items.sparkSession
-    items = usable_vectors(items, _dimension(items))
+    items = usable_vectors(items, dimension_of(items))
     total = items.count()
     share = 1.0 if train_rows is None else min(1.0, train_rows / max(total, 1))
     sample = items if share == 1.0 else items.filter(draw(F.col("item_id"), seed) < int(share * (1 << 32)))
@@ -396,7 +396,7 @@ def write_cell_index(items: DataFrame, centres: DataFrame, path: str) -> None:
 
     A cell goes to as many tasks as its measured size asks for, so it has few files and none is too large.
     """
-    placed = written(assign_cells(usable_vectors(items, _dimension(centres)), centres), "placed")
+    placed = written(assign_cells(usable_vectors(items, dimension_of(centres)), centres), "placed")
     counts = placed.groupBy("cell").agg(F.count("*").alias("n"))
     # One row for each cell: bounded by the number of cells.
     sized = placed.join(F.broadcast(counts), "cell")
@@ -426,7 +426,7 @@ def cell_top_k(
     Fewer than ``k`` rows come back where the probed cells hold fewer items. Centres of a stored index
     carry the rows of their cells (``n``); for others the items are counted.
     """
-    dimension = _dimension(centres)
+    dimension = dimension_of(centres)
     probed = written(probed_cells(usable_vectors(queries, dimension), centres, probes), "probed")
     items = probed_items(placed_items, probed)
     row_bytes = dimension * 8

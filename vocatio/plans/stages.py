@@ -6,6 +6,7 @@ run can stop and go on between stages.
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Mapping
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 from vocatio import presets
 from vocatio.functions import cvs, render, rules, text
 from vocatio.operators import encode, feedback, joins, retrieval, sampling, skills
+from vocatio.session import written
 from vocatio.sources import files, messages, postings
 
 Encoder = Callable[[DataFrame, str, str], DataFrame]
@@ -112,10 +114,20 @@ def sample_postings(spark: SparkSession, out: str, target: int, minimum: int) ->
 
 
 def embed(spark: SparkSession, out: str, encoder: Encoder = encode.hash_encode) -> None:
-    """Vectors of the sampled postings and of all CVs, with the encoder's name."""
+    """Vectors of the sampled postings and of all CVs, with the encoder's name.
+
+    Postings keep their text and occupation group beside the vector. All vectors of a table have the
+    size of most of them, or the write fails.
+    """
     jobs, people = spark.read.parquet(f"{out}/jobs_to_embed"), spark.read.parquet(f"{out}/cvs")
-    encoder(jobs, "job_id", "embedding_text").write.mode("overwrite").parquet(f"{out}/jobs_embedded")
-    encoder(people, "id", "text").write.mode("overwrite").parquet(f"{out}/cvs_embedded")
+    for rows, id_column, column, beside, name in (
+        (jobs, "job_id", "embedding_text", ["embedding_text", "isco_code"], "jobs_embedded"), (people, "id", "text", [], "cvs_embedded"),
+    ):
+        # Written before it is joined and measured, so that the encoder runs once.
+        vectors = written(encoder(rows, id_column, column), "vectors")
+        if beside:
+            vectors = vectors.join(rows.select(id_column, *beside), id_column)
+        files.write_embeddings(vectors, f"{out}/{name}", "vector", retrieval.dimension_of(vectors))
 
 
 def split(spark: SparkSession, out: str) -> None:
@@ -131,7 +143,8 @@ def _vectors(spark: SparkSession, out: str, anchors: DataFrame | None) -> tuple[
     people = spark.read.parquet(f"{out}/cvs_embedded").withColumnRenamed("id", "query_id")
     if anchors is not None:
         people = joins.only(people, anchors.withColumnRenamed("anchor", "query_id"), "query_id")
-    return people, spark.read.parquet(f"{out}/jobs_embedded").withColumnRenamed("job_id", "item_id")
+    jobs = spark.read.parquet(f"{out}/jobs_embedded").select(F.col("job_id").alias("item_id"), "vector", "encoder")
+    return people, jobs
 
 
 def training_pairs(spark: SparkSession, out: str, name: str, scorer: Callable[[DataFrame], DataFrame], k: int = presets.CANDIDATES) -> None:
@@ -166,6 +179,31 @@ def search(spark: SparkSession, out: str, queries: DataFrame, k: int = presets.C
     return retrieval.cell_top_k(queries, items, spark.read.parquet(f"{out}/index/centres"), k, probes)
 
 
+def match_texts(
+    spark: SparkSession, out: str, queries: DataFrame, scorer: Callable[[DataFrame], DataFrame], encoder: Encoder = encode.hash_encode,
+    k: int = presets.CANDIDATES, keep: int = presets.RERANK_KEEP, probes: int = presets.IVF_PROBES,
+) -> DataFrame:
+    """From texts (query_id, text) to re-ranked postings with their details, over the stored index.
+
+    The texts are encoded as the postings were, the nearest cells are searched, the found postings get
+    their texts, and ``scorer`` adds ``pair_score`` to rows with ``anchor_text`` and ``positive_text``.
+    """
+    asked = queries.withColumn("text", text.ensure_query_prefix(F.col("text")))
+    vectors = written(encoder(asked, "query_id", "text"), "query-vectors")
+    hits = search(spark, out, vectors, k, probes)
+    jobs = spark.read.parquet(f"{out}/jobs_embedded").select(F.col("job_id").alias("item_id"), "embedding_text", "isco_code")
+    pairs = joins.details(hits, jobs, "item_id").join(asked.select("query_id", F.col("text").alias("anchor_text")), "query_id")
+    scored = scorer(pairs.withColumnRenamed("embedding_text", "positive_text"))
+    return retrieval.rerank(scored, keep).select(
+        "query_id", "item_id", "score", "rank", "pair_score", "new_rank", "change", F.col("positive_text").alias("embedding_text"), "isco_code"
+    )
+
+
+def record_actions(actions: DataFrame, out: str) -> None:
+    """Users' actions with their weights into the action log of the run."""
+    feedback.append_actions(actions, f"{out}/action_log")
+
+
 def evaluate(spark: SparkSession, out: str, name: str = "val") -> DataFrame:
     """Recall of exact search on the pairs of a split."""
     truth = spark.read.parquet(f"{out}/{name}_pairs")
@@ -173,11 +211,13 @@ def evaluate(spark: SparkSession, out: str, name: str = "val") -> DataFrame:
     return retrieval.recall(retrieval.top_k(people, items, max(presets.RECALL_AT)), truth, people)
 
 
-def learn(spark: SparkSession, actions: DataFrame, out: str, version: str, threshold: int = presets.RETRAIN_THRESHOLD, longest_term: int = presets.LONGEST_NEW_TERM) -> bool:
+def learn(spark: SparkSession, actions: DataFrame, out: str, version: str, threshold: int = presets.RETRAIN_THRESHOLD, longest_term: int = presets.LONGEST_NEW_TERM, previous: str = "base") -> bool:
     """Dictionary refresh and training mix from the action log, if enough actions are due.
 
-    The dictionary enters as a new version; the model itself is fitted elsewhere.
+    The dictionary enters as a new version; the model itself is fitted elsewhere, the log of models
+    gets the row that says from what.
     """
+    began = time.monotonic()
     if not feedback.retrain_due(actions, threshold).first()["due"]:
         return False
     known = spark.read.parquet(f"{out}/all_skills")
@@ -191,4 +231,8 @@ def learn(spark: SparkSession, actions: DataFrame, out: str, version: str, thres
     original = spark.read.parquet(f"{out}/train_dataset")
     keyed = original.withColumn("_key", F.sha2(F.concat_ws("\u0001", "anchor_text", "positive_text"), 256))
     feedback.training_mix(positives, keyed, "_key").write.mode("overwrite").parquet(f"{out}/training_mix")
+    row = feedback.log_training(
+        actions, spark.read.parquet(f"{out}/feedback_pairs"), version, previous, time.monotonic() - began, F.current_timestamp()
+    )
+    row.coalesce(1).write.mode("append").parquet(f"{out}/model_log")
     return True
