@@ -240,3 +240,7 @@ def test_a_large_group_leaves_a_route_as_a_forest():
     codes = np.unique(np.random.default_rng(0).integers(0, 8, 200, dtype=np.uint64))
     a, b = simhash.links_in_routes(np.zeros(len(codes), np.int64), codes, 3)
     assert len(a) == len(codes) - 1
+
+
+def test_quality_query(spark, sf):
+    assert compare(queries.QUERIES["op6_line_first_quality"](spark, sf), duck(sf), queries.ORACLES["op6_line_first_quality"]) is None

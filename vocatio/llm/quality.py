@@ -39,8 +39,9 @@ SYMBOLS = "#*$%&|<>"
 TERMINAL = ".!?…:;。！？"
 CLOSING = "\"'”’»)]}"
 SENTENCE_END = re.compile(f"[{re.escape(TERMINAL)}][ \\t-\\r]")
-SEPARATORS = re.compile(r"[|»›·•→]|\s[>/-]\s")
-MARKED = re.compile(r"[!?#*$%&|<>~^=+_]{2,}(?=[ \t-\r]|$)")
+SEPARATORS = re.compile(r"[|»›·•→]|[ \t-\r][>/-][ \t-\r]")
+MARKS = r"[!?#*$%&|<>~^=+_]{2,}"
+MARKED = re.compile(MARKS + r"(?=[ \t-\r]|$)")
 BOILERPLATE = re.compile(
     "|".join(
         [

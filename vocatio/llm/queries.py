@@ -72,7 +72,45 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(table(spark, sf_dir, "embeddings"))
 
 
-@query("op6_line_first_quality")
+def quality_sql() -> str:
+    """The base counts and the line rules of ``quality`` over ``documents``."""
+    word = r"[^\x20\x09-\x0D]+"
+    blank = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+    closing, terminal = quality.CLOSING.replace("'", "''"), quality.TERMINAL
+    w = quality.WINDOW
+    return f"""
+    WITH d AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '{word}') AS w FROM documents),
+    windows AS (
+        SELECT doc_id, i, array_to_string(w[i:i + {w - 1}], ' ') AS part
+        FROM (SELECT doc_id, w, unnest(range(1, len(w) - {w - 2})) AS i FROM d WHERE len(w) >= {w})),
+    repeated AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, part) AS c FROM windows) WHERE c > 1),
+    covered AS (SELECT doc_id, count(DISTINCT i + o) AS n FROM repeated, (SELECT unnest(range({w})) AS o) GROUP BY doc_id),
+    cut AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM d),
+    lines AS (SELECT doc_id, line, trim(line, {blank}) AS bare, regexp_extract_all(line, '{word}') AS w FROM cut),
+    judged AS (
+        SELECT doc_id, line, len(w) AS n, rtrim(bare, '{closing}') <> ''
+            AND (regexp_matches(rtrim(bare, '{closing}'), '[{terminal}]$')
+                OR (len(w) > {quality.PASSAGE_WORDS} AND regexp_matches(bare, '[{terminal}][\\x20\\x09-\\x0D]')))
+            AND len(list_filter(w, lambda x: regexp_matches(x, '{quality.MARKS}$'))) <= {quality.MAX_MARKED} * len(w)
+            AND NOT (len(regexp_extract_all(bare, '{quality.SEPARATORS.pattern}')) >= {quality.NAV_SEPARATORS}
+                AND 4 * len(regexp_extract_all(bare, '{quality.SEPARATORS.pattern}')) >= len(w))
+            AND NOT regexp_matches(bare, '[{{}}]')
+            AND (len(w) > {quality.BOILERPLATE_WORDS} OR NOT regexp_matches(bare, '(?i){quality.BOILERPLATE.pattern}')) AS passes
+        FROM lines WHERE len(w) > 0),
+    by_doc AS (
+        SELECT doc_id, count(*) - count(DISTINCT line) AS n_dup_lines, coalesce(sum(n) FILTER (passes), 0) AS n_kept FROM judged GROUP BY doc_id),
+    counted AS (
+        SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
+            CAST(length(regexp_replace(text, '[^{quality.SYMBOLS}]', '', 'g')) AS BIGINT) AS n_symbols,
+            CAST(coalesce(n_dup_lines, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(c.n, 0) AS BIGINT) AS n_repeat_words, coalesce(n_kept, 0) AS n_kept
+        FROM d LEFT JOIN covered c ON c.doc_id = d.doc_id LEFT JOIN by_doc b ON b.doc_id = d.doc_id),
+    based AS (SELECT *, n_words < {quality.MIN_WORDS} OR 100 * n_repeat_words > {quality.MAX_REPEATED} * n_words AS base_failed FROM counted)
+    SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+        NOT base_failed AND n_kept >= {quality.MIN_KEPT} * n_words AS kept FROM based
+    """
+
+
+@query("op6_line_first_quality", quality_sql())
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.measure(table(spark, sf_dir, "documents"))
 
