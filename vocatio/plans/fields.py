@@ -38,17 +38,23 @@ def filter_project(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-SENIORITY_REGEX_SQL = r"""CASE WHEN regexp_matches(job_title, '\b(intern|internship)\b', 'i') THEN 'intern'
-  WHEN regexp_matches(job_title, '\b(jr\.?|junior|entry|graduate|trainee)\b', 'i') THEN 'junior'
-  WHEN regexp_matches(job_title, '\b(sr\.?|senior|ii|iii|iv)\b', 'i') THEN 'senior'
-  WHEN regexp_matches(job_title, '\b(principal|staff|head of|director|vp|chief|lead)\b', 'i') THEN 'lead/principal'
-  WHEN regexp_matches(job_title, '\bassociate\b', 'i') THEN 'junior' ELSE 'mid' END"""
-SENIORITY_SUBSTRING_SQL = r"""CASE WHEN trim({t}) = '' OR {t} IS NULL THEN NULL
-  WHEN regexp_matches(lower({t}), 'intern|internship|trainee') THEN 'intern'
-  WHEN regexp_matches(lower({t}), 'principal|staff|distinguished') THEN 'principal'
-  WHEN regexp_matches(lower({t}), 'lead|head of|director|vp|chief') THEN 'lead'
-  WHEN regexp_matches(lower({t}), 'senior|sr\.|sr ') THEN 'senior'
-  WHEN regexp_matches(lower({t}), 'junior|jr\.|jr |entry') THEN 'junior' ELSE 'mid' END"""
+SENIORITY_REGEX_SQL = (
+    "CASE "
+    + " ".join(f"WHEN regexp_matches(job_title, '{p.removeprefix('(?i)')}', 'i') THEN '{level}'" for level, p in presets.SENIORITY_REGEX_RULES)
+    + f" ELSE '{presets.SENIORITY_DEFAULT}' END"
+)
+# {t} stands for the title; substrings are looked for as they are.
+SENIORITY_SUBSTRING_SQL = (
+    "CASE WHEN trim({t}) = '' OR {t} IS NULL THEN NULL "
+    + " ".join(
+        "WHEN " + " OR ".join(f"contains(lower({{t}}), '{w}')" for w in words) + f" THEN '{level}'" for level, words in presets.SENIORITY_SUBSTRING_RULES
+    )
+    + f" ELSE '{presets.SENIORITY_DEFAULT}' END"
+)
+
+
+def _phrases(value: str, phrases, otherwise: str = "NULL") -> str:
+    return f"CASE {value} " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in phrases.items()) + f" ELSE {otherwise} END"
 
 
 @query("seniority_regex", views.with_views("postings") + f"SELECT id, job_title, {SENIORITY_REGEX_SQL} AS seniority FROM postings")
@@ -229,9 +235,7 @@ SKILLED_SQL = views.with_views("postings", "posting_skills") + ", skilled AS (SE
     + f""", l AS (SELECT *, {SENIORITY_REGEX_SQL} AS seniority FROM skilled)
 SELECT id, concat_ws(' ', 'Role of ' || job_title || ' at ' || company || ' in ' || job_location || '.',
   'Required skills: ' || array_to_string(string_split(skills, ', ')[1:15], ', ') || '.',
-  'Experience level: ' || CASE seniority WHEN 'intern' THEN 'Internship level' WHEN 'junior' THEN 'Junior level, 1-2 years experience'
-    WHEN 'mid' THEN 'Mid-level, 3-5 years experience' WHEN 'senior' THEN 'Senior level, 5+ years experience'
-    ELSE 'Principal level, 8+ years experience' END || '.',
+  'Experience level: ' || {_phrases("seniority", presets.LEVEL_PHRASES_SHORT)} || '.',
   CASE WHEN job_type <> 'nan' THEN 'Work type: ' || job_type || '.' END) AS embedding_text FROM l""",
 )
 def render_job_v1(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -240,16 +244,13 @@ def render_job_v1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("id", render.job_text(*[F.col(n) for n in names]).alias("embedding_text"))
 
 
-LEVEL_LONG_SQL = """CASE {c} WHEN 'intern' THEN 'Intern level, entry position' WHEN 'junior' THEN 'Junior level, 0-2 years experience'
-    WHEN 'mid' THEN 'Mid-level, 3-5 years experience' WHEN 'senior' THEN 'Senior level, 5+ years experience'
-    WHEN 'lead' THEN 'Lead level, 7+ years experience with leadership' WHEN 'principal' THEN 'Principal level, expert with technical leadership' END"""
+LEVEL_LONG_SQL = _phrases("{c}", presets.LEVEL_PHRASES_LONG)
 JOB_TEXT_SQL = f"""concat_ws(' ', 'Role of ' || job_title || ' at ' || company || ' in ' || job_location || '.',
   'Required skills: ' || array_to_string(string_split(skills, ', ')[1:10], ', ') || '.',
   'Experience level: ' || {LEVEL_LONG_SQL.format(c="seniority")} || '.',
   CASE WHEN salary_min > 0 AND salary_max > 0 AND salary_max > salary_min THEN 'Salary range: $' || format('{{:,.0f}}', salary_min) || ' to $' || format('{{:,.0f}}', salary_max) || '.'
     WHEN salary_min > 0 THEN 'Minimum salary: $' || format('{{:,.0f}}', salary_min) || '.' END,
-  'Work type: ' || CASE lower(job_type) WHEN 'remote' THEN 'Remote work available' WHEN 'hybrid' THEN 'Hybrid work, partially remote'
-    WHEN 'onsite' THEN 'Onsite' ELSE job_type END || '.')"""
+  'Work type: ' || {_phrases("lower(job_type)", presets.WORK_TYPE_PHRASES, "job_type")} || '.')"""
 
 
 def job_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -338,11 +339,13 @@ def prefix_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-DOCUMENT_TYPE_SQL = """CASE WHEN list_sum([CAST(contains(lower(text), w) AS INTEGER) for w in ['job description', 'responsibilities', 'requirements:',
-    'we are looking', 'apply now', 'salary range', 'benefits:', 'about the role', 'about us', 'position:', 'how to apply', 'equal opportunity',
-    'must have', 'nice to have']]) > list_sum([CAST(contains(lower(text), w) AS INTEGER) for w in ['resume', 'curriculum vitae', 'work experience',
-    'education', 'skills:', 'references', 'objective', 'career summary', 'professional experience', 'employment history', 'qualifications']])
-  THEN 'job' ELSE 'cv' END"""
+def _found(words) -> str:
+    """How many of the words a text has."""
+    listed = ", ".join(f"'{w}'" for w in words)
+    return f"list_sum([CAST(contains(lower(text), w) AS INTEGER) for w in [{listed}]])"
+
+
+DOCUMENT_TYPE_SQL = f"CASE WHEN {_found(presets.JOB_KEYWORDS)} > {_found(presets.CV_KEYWORDS)} THEN 'job' ELSE 'cv' END"
 
 
 @query(

@@ -14,11 +14,7 @@ from vocatio.session import spread, work_path
 from vocatio.sources import files, messages, postings
 from vocatio.streaming import ingest
 
-NAMES_CASE = (
-    "CASE g WHEN 0 THEN 'Military' WHEN 1 THEN 'Managers' WHEN 2 THEN 'Professionals' WHEN 3 THEN 'Technicians' "
-    "WHEN 4 THEN 'Clerical' WHEN 5 THEN 'Service/Sales' WHEN 6 THEN 'Agriculture' WHEN 7 THEN 'Craft/Trade' "
-    "WHEN 8 THEN 'Operators' WHEN 9 THEN 'Elementary' ELSE 'Unknown' END"
-)
+NAMES_CASE = "CASE g " + " ".join(f"WHEN {g} THEN '{n}'" for g, n in presets.OCCUPATION_NAMES.items()) + " ELSE 'Unknown' END"
 
 
 @query("csv_scan", "SELECT p_partkey, p_name, p_brand, p_type, p_size, p_retailprice FROM part")
@@ -382,18 +378,11 @@ def file_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return profile.select("rows", "files", (F.col("bytes") > 0).alias("has_bytes"))
 
 
-OCCUPATION_SQL = """CASE
-  WHEN t SIMILAR TO '.*(manager|director|chief|head of|president|vp |vice president|ceo|cfo|cto|coo|executive|supervisor|lead|principal).*' THEN 1
-  WHEN t SIMILAR TO '.*(engineer|developer|scientist|doctor|nurse|teacher|professor|architect|designer|analyst|consultant|specialist|attorney|lawyer|accountant|pharmacist|therapist|physician).*' THEN 2
-  WHEN t SIMILAR TO '.*(technician|associate|assistant|coordinator|representative|administrator|officer|agent|inspector|controller).*' THEN 3
-  WHEN t SIMILAR TO '.*(clerk|secretary|receptionist|cashier|teller|bookkeeper|data entry|typist|filing).*' THEN 4
-  WHEN t SIMILAR TO '.*(sales|retail|customer service|waiter|waitress|bartender|cook|chef|server|barista|store|shop).*' THEN 5
-  WHEN t SIMILAR TO '.*(farmer|agricultural|fisherman|forestry|gardener|rancher).*' THEN 6
-  WHEN t SIMILAR TO '.*(electrician|mechanic|plumber|carpenter|welder|machinist|installer|repair|maintenance|hvac).*' THEN 7
-  WHEN t SIMILAR TO '.*(driver|operator|machine|assembler|production|manufacturing|warehouse|forklift|truck).*' THEN 8
-  WHEN t SIMILAR TO '.*(cleaner|janitor|helper|laborer|packer|loader|dishwasher|housekeeper|security guard).*' THEN 9
-  WHEN t SIMILAR TO '.*(military|army|navy|marine|air force|soldier).*' THEN 0
-  ELSE 2 END"""
+OCCUPATION_SQL = (
+    "CASE "
+    + " ".join(f"WHEN t SIMILAR TO '.*({'|'.join(words)}).*' THEN {g}" for g, words in presets.OCCUPATION_RULES)
+    + f" ELSE {presets.OCCUPATION_DEFAULT} END"
+)
 GROUPED_SQL = views.with_views("postings") + f", grouped AS (SELECT *, CAST({OCCUPATION_SQL} AS INTEGER) AS g FROM (SELECT *, lower(job_title) AS t FROM postings))\n"
 # Rows wanted in all, and from every group at least.
 TARGET, MINIMUM = 1000, 100

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vocatio import presets
 from vocatio.functions import text
 from vocatio.operators import quality, skills
 from vocatio.plans import views
@@ -54,21 +55,14 @@ def _runs_sql(source: str, key: str, name: str, longest: int) -> str:
     return f"{name}_words AS ({words}),\n{name}_runs AS ({parts})"
 
 
-QUALITY_SQL = """length(run) >= 3 AND run NOT IN (
-  'a','an','the','and','or','but','in','on','at','to','for','of','with','by','from','as','is','was','are','were','been','be','have','has','had','do',
-  'does','did','will','would','could','should','may','might','must','shall','can','need','our','we','you','your','they','their','its','it','that','this',
-  'which','what','who','whom','any','all','some','more','most','other','each','few','many','such','no','not','only','same','so','than','too','very',
-  'just','also','now') AND run NOT IN (
-  'experience','years','strong','team','work','working','position','ability','able','excellent','good','great','skills','knowledge','understanding',
-  'familiarity','proficiency','expertise','demonstrated','proven','equivalent','gain','various','different','multiple','new','within','across','using',
-  'including','related','required','preferred','minimum','ideal','desirable','essential','degree','bachelor','master','diploma','intern','internship',
-  'job','role','opportunity','employment','company','organization','business','environment','requirements','responsibilities','status','seeking','level',
-  'current','support') AND run NOT IN (
-  'data','information','process','systems','solutions','pull','building','tools','supporting','identification','preparation','methodology',
-  'investigations','engagement','developer','engineer','analyst','scientist','manager','coordinator','director','supervisor','administrator','assistant',
-  'associate','officer','executive','remote','exposure','issues','structure','structures','oversight','computer','lead','maintenance')"""
+def _listed(words) -> str:
+    return ", ".join(f"'{w}'" for w in words)
+
+
+QUALITY_SQL = f"length(run) >= {presets.MIN_SKILL_LENGTH} AND run NOT IN ({_listed([*presets.STOPWORDS, *presets.GENERIC_WORDS, *presets.GENERIC_SINGLE_WORDS])})"
+REFRESH_SQL = f"length(run) > 2 AND run NOT IN ({_listed(presets.REFRESH_STOP_TERMS)})"
 TERMS_SQL = "WITH " + _runs_sql("benchmark", "item_id", "bench", 3) + f""",
-terms AS (SELECT run AS phrase, count(*) AS count FROM bench_runs WHERE length(run) > 2 AND run NOT IN ('experience', 'years', 'skills', 'work', 'team', 'project') GROUP BY run),
+terms AS (SELECT run AS phrase, count(*) AS count FROM bench_runs WHERE {REFRESH_SQL} GROUP BY run),
 phrases AS (SELECT phrase, count FROM (SELECT phrase AS run, phrase, count FROM terms) WHERE count >= 3 AND {QUALITY_SQL})
 """
 
@@ -112,8 +106,8 @@ def phrase_skills_ordered(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.concat_ws(", ", "found").alias("skills"))
 
 
-NEW_SQL = TERMS_SQL + ", " + _runs_sql("conversations", "conv_id", "conv", 2) + """,
-seen AS (SELECT run AS skill, count(*) AS count FROM conv_runs WHERE length(run) > 2 AND run NOT IN ('experience', 'years', 'skills', 'work', 'team', 'project')
+NEW_SQL = TERMS_SQL + ", " + _runs_sql("conversations", "conv_id", "conv", 2) + f""",
+seen AS (SELECT run AS skill, count(*) AS count FROM conv_runs WHERE {REFRESH_SQL}
   GROUP BY run HAVING count(*) >= 2),
 fresh AS (SELECT skill, count FROM seen WHERE skill NOT IN (SELECT phrase FROM phrases))
 """
