@@ -113,7 +113,7 @@ def test_message_roundtrip_keeps_nulls_out(spark):
 
 
 def test_shared_folder_is_the_clusters(spark):
-    assert work_path(spark, "x").startswith(shared_folder(spark) + "/vocatio/x-")
+    assert work_path(spark, "x").startswith(f"{shared_folder(spark)}/vocatio/{spark.sparkContext.applicationId}/x-")
     frame = written(spark.range(3), "small")
     assert frame.count() == 3 and "parquet" in frame.inputFiles()[0]
 
@@ -124,3 +124,12 @@ def test_broadcast_is_measured(spark):
     assert broadcast_if_small(rows, F.lit(8), 799)[1] is False
     assert spread(spark.range(0, 10, 1, 1)).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
     assert spread(spark.range(0, 100, 1, 20)).rdd.getNumPartitions() == 20
+
+
+def test_work_is_removed_at_the_end_of_a_run(spark, monkeypatch, tmp_path):
+    from vocatio import session
+
+    monkeypatch.setattr(session, "shared_folder", lambda spark: str(tmp_path))
+    frame = written(spark.range(3), "small")
+    assert frame.count() == 3 and len(list(tmp_path.glob("vocatio/*/small-*"))) == 1
+    assert session.remove_work(spark) is True and not list(tmp_path.glob("vocatio/*")) and session.remove_work(spark) is False

@@ -51,9 +51,23 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+def work_folder(spark: SparkSession) -> str:
+    """Where this session keeps its intermediate tables, apart from other sessions'."""
+    return f"{shared_folder(spark)}/vocatio/{spark.sparkContext.applicationId}"
+
+
 def work_path(spark: SparkSession, name: str) -> str:
-    """A fresh path below the shared folder."""
-    return f"{shared_folder(spark)}/vocatio/{name}-{uuid.uuid4().hex}"
+    """A fresh path below the session's folder."""
+    return f"{work_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def remove_work(spark: SparkSession) -> bool:
+    """Delete the session's intermediate tables, once nothing reads them any more; True if there were any.
+
+    Results that have not been written elsewhere read those tables, so this is left to the end of a run.
+    """
+    path = spark._jvm.org.apache.hadoop.fs.Path(work_folder(spark))
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
