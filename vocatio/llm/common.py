@@ -11,9 +11,8 @@ from pyspark.sql import functions as F
 
 from vocatio.session import written
 
-# Rows and bytes of one Arrow batch, so that a batch of long texts stays small.
-BATCH_ROWS = 1000
-BATCH_BYTES = 16 * 1024 * 1024
+# Bytes of one Arrow batch, so that a batch of long texts stays small.
+BATCH_BYTES = 8 * 1024 * 1024
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,10 +28,8 @@ def fresh(df: DataFrame, name: str) -> str:
 
 
 def arrow_map(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """``mapInArrow`` over batches bounded in rows and bytes."""
-    conf = df.sparkSession.conf
-    conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
-    conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+    """``mapInArrow`` over batches bounded in bytes; the rows of a batch stay at the session's bound."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     return df.mapInArrow(function, schema)
 
 
