@@ -409,3 +409,11 @@ def test_messages(spark):
     assert messages.dead_letters(parsed).count() == 5
     twice = messages.parsed(spark.createDataFrame([('{"id":"1","id":"2"}',)], "value string")).first()
     assert (twice["error_type"], twice["id"]) == (None, "2")
+
+
+def test_positions_are_those_of_the_shuffled_order(spark):
+    rows = spark.range(500).repartition(7)
+    order = [r["id"] for r in sampling.shuffled(rows, "id").collect()]
+    placed = {r["position"]: r["id"] for r in sampling.shuffled_positions(rows, "id").collect()}
+    assert [placed[n] for n in range(500)] == order and order != sorted(order)
+    assert sampling.shuffled_positions(rows.limit(0), "id").count() == 0

@@ -1,6 +1,7 @@
 """Streams drained over several batches give what the batch operators give."""
 
 import json
+import re
 
 from pyspark.sql import functions as F
 
@@ -73,9 +74,18 @@ def test_skill_tracker_over_batches(spark, tmp_path):
     box, out = tmp_path / "in", str(tmp_path / "out")
     for i, row in enumerate(rows):
         drop(box, f"{i}.json", [row])
-    running.track_skills(source(spark, box, "cv string, job string, at timestamp"), ["cv", "job"], "at", out).awaitTermination()
+    def drain():
+        running.track_skills(source(spark, box, "cv string, job string, at timestamp"), ["cv", "job"], "at", out).awaitTermination()
+
+    drain()
+    running.compact(spark, out, ["skill_name"], running.TRACKED_SCHEMA)
+    before = {r["skill_name"]: r["frequency"] for r in running.latest(spark, out, ["skill_name"], running.TRACKED_SCHEMA).collect()}
+    drop(box, "9.json", [{"cv": "Redis", "job": "Uses Kafka", "at": "2024-01-01T12:00:00Z"}])
+    drain()
+    plan = running.latest(spark, out, ["skill_name"], running.TRACKED_SCHEMA)._jdf.queryExecution().executedPlan().toString()
+    assert before["redis"] == 3 and "upto-" in plan and re.search(r"PartitionFilters: \[[^\]]*batch_id", plan)
     now = {r["skill_name"]: r for r in running.latest(spark, out, ["skill_name"], running.TRACKED_SCHEMA).collect()}
-    assert now["redis"]["frequency"] == 3 and now["redis"]["last_seen"].day == 2 and now["redis"]["first_seen"].day == 1
+    assert now["redis"]["frequency"] == 4 and now["redis"]["last_seen"].day == 2 and now["redis"]["first_seen"].day == 1
     batch = skills.tracked_skills(
         skills.term_sightings(spark.read.schema("cv string, job string, at timestamp").json(str(box)), ["cv", "job"], "at")
     )

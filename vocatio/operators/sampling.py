@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vocatio import presets
@@ -151,3 +151,22 @@ def split_overlap(split: DataFrame, id_column: str) -> DataFrame:
 def shuffled(df: DataFrame, id_column: str, seed: int = 42) -> DataFrame:
     """Rows in a repeatable random order."""
     return df.orderBy(draw(F.col(id_column), seed), id_column)
+
+
+def shuffled_positions(df: DataFrame, id_column: str, seed: int = 42) -> DataFrame:
+    """The rows with their ``position`` from 0 in the order of :func:`shuffled`, for readers that take them by number.
+
+    Rows are dealt to ranges of the order and written; the rows of each range, as many as there are shuffle
+    partitions, tell where its numbers begin, so nothing is numbered in one task.
+    """
+    order = ["_draw", id_column]
+    dealt = df.withColumn("_draw", draw(F.col(id_column), seed)).repartitionByRange(*order)
+    dealt = written(dealt.withColumn("_range", F.spark_partition_id()), "shuffled")
+    sizes = sorted(tuple(r) for r in dealt.groupBy("_range").count().collect())
+    before, entries = 0, []
+    for part, n in sizes:
+        entries += [F.lit(part), F.lit(before).cast("bigint")]
+        before += n
+    starts = F.element_at(F.create_map(*entries), F.col("_range")) if entries else F.lit(0).cast("bigint")
+    inside = F.row_number().over(Window.partitionBy("_range").orderBy(*order)) - 1
+    return dealt.withColumn("position", inside + starts).drop("_draw", "_range")

@@ -221,6 +221,11 @@ def sample_n(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sampling.sample_n(views.table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus"), "o_orderkey", 1000)
 
 
-@query("shuffled_rows", "SELECT o_orderkey, o_orderstatus FROM orders")
+@query(
+    "shuffled_rows",
+    """SELECT o_orderkey, o_orderstatus, row_number() OVER (ORDER BY ('0x' || substr(md5('42:' || o_orderkey), 1, 8))::BIGINT, o_orderkey) - 1 AS position
+FROM orders""",
+)
 def shuffled_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sampling.shuffled(views.table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus"), "o_orderkey")
+    """All orders in a random order, which the positions tell."""
+    return sampling.shuffled_positions(views.table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus"), "o_orderkey")

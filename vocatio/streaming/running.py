@@ -21,9 +21,34 @@ def _keep_latest(stream: DataFrame, out: str) -> StreamingQuery:
     )
 
 
+def _compacted_up_to(spark, out: str) -> int | None:
+    """The last batch that a finished snapshot covers."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{out}/base")
+    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(folder):
+        return None
+    found = [s.getPath() for s in fs.listStatus(folder)]
+    done = [p for p in found if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))]
+    return max((int(p.getName().removeprefix("upto-")) for p in done), default=None)
+
+
+def compact(spark, out: str, keys: list[str], schema: str) -> None:
+    """Write a snapshot of the current rows, so that :func:`latest` reads only the changes after it.
+
+    A snapshot counts once it is whole; changes that it covers may then be removed.
+    """
+    last = spark.read.schema(f"{schema}, batch_id bigint").parquet(f"{out}/changes").agg(F.max("batch_id")).first()[0]
+    if last is not None and last != _compacted_up_to(spark, out):
+        latest(spark, out, keys, schema).write.mode("overwrite").parquet(f"{out}/base/upto-{last}")
+
+
 def latest(spark, out: str, keys: list[str], schema: str) -> DataFrame:
-    """The current row of every key from the table of changes."""
+    """The current row of every key: from the newest snapshot, if there is one, and the changes after it."""
     changes = spark.read.schema(f"{schema}, batch_id bigint").parquet(f"{out}/changes")
+    upto = _compacted_up_to(spark, out)
+    if upto is not None:
+        base = spark.read.schema(schema).parquet(f"{out}/base/upto-{upto}").withColumn("batch_id", F.lit(upto).cast("bigint"))
+        changes = changes.filter(F.col("batch_id") > upto).unionByName(base)
     values = [c for c in changes.columns if c not in (*keys, "batch_id")]
     row = F.max_by(F.struct(*values), F.col("batch_id")).alias("r")
     return changes.groupBy(*keys).agg(row).select(*keys, "r.*")
