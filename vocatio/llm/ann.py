@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from vocatio.llm.common import arrow_map
+from vocatio.llm.common import among_lowest, arrow_map
 from vocatio.session import written
 
 DIMENSIONS = 8
@@ -172,7 +172,8 @@ def nearest(
     base = written(usable(vectors, id_col, vector_col), "vectors")
     trees = {}
     for dim, n in base.groupBy("dim").count().collect():  # one row for each length of vectors
-        sample = base.filter(F.col("dim") == dim).orderBy(F.xxhash64("id")).limit(SAMPLE).select("v").toPandas()
+        own = base.filter(F.col("dim") == dim).select("v", F.xxhash64("id").alias("h"))
+        sample = own.filter(among_lowest("h", SAMPLE, n)).orderBy("h").limit(SAMPLE).select("v").toPandas()
         levels = max(0, min(CELLS, n // cell_rows)).bit_length() - 1 if n >= cell_rows else 0
         trees[dim] = Cells(projected(_matrix(sample["v"]), m, seed), levels)
 

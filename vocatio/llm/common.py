@@ -78,5 +78,14 @@ class Remembered(dict):
         return found
 
 
+def among_lowest(hashed: str, limit: int, n: int) -> Column:
+    """A condition that some 8 times ``limit`` of ``n`` different 64-bit hashes meet, the smallest ones; all if there are fewer.
+
+    It stands before a sort with that limit, so that few rows, not ``limit`` of each partition, meet in the task that sorts.
+    """
+    share = 8 * limit / max(1, n)
+    return F.col(hashed) < -(1 << 63) + int(share * (1 << 64)) if share < 1 else F.lit(True)
+
+
 def union(frames: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)

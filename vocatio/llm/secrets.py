@@ -26,7 +26,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from vocatio.llm.common import fresh
+from vocatio.llm.common import among_lowest, fresh
 from vocatio.session import written
 
 LABELLED_DOCS = 400
@@ -139,7 +139,10 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def planted_findings(docs: DataFrame, text_col: str = "text", limit: int = LABELLED_DOCS) -> DataFrame:
     """Labelled findings (value, before, after, path, label) made from the words and hashes of ``limit`` documents."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    picked = docs.select(F.xxhash64(text).alias("h"), text.alias("text")).filter("text != ''").orderBy("h", "text").limit(limit)
+    hashed = docs.select(F.xxhash64(text).alias("h"), text.alias("text")).filter("text != ''")
+    n = hashed.agg(F.approx_count_distinct("h")).first()[0]
+    # Copies are one row before anything is sorted, so a text that fills a third of the table counts once.
+    picked = hashed.filter(among_lowest("h", limit, n)).groupBy("h").agg(F.min("text").alias("text")).orderBy("h").limit(limit)
     words = F.filter(F.split(F.col("text"), r"\s+"), lambda w: w != "")
     at = F.pmod("h", F.greatest(F.size("words"), F.lit(1))).cast("int") + 1
     near = picked.select("h", words.alias("words")).filter(F.size("words") > 0)
