@@ -73,6 +73,17 @@ def test_redact(docs_of, labelled):
     assert secrets.redact(docs.limit(0)).count() == 0
 
 
+KEYS = [HEX, "AKIA" + HEX[:16].upper(), "ghp_" + HEX[:36], "eyJhbGciOi1.eyJzdWIiOj2.c2lnbmF0dXJl", "c2VjcmV0IGtleSBvZiBhIHVzZXI0NQ=="]
+
+
+def test_candidates_end_before_punctuation(docs_of):
+    marks = [".", "...", ",", ".\n", ". Next", ";", ")", "!", ""]
+    rows = [(i, f"key {key}{mark}", key) for i, (key, mark) in enumerate((k, m) for k in KEYS for m in marks)]
+    rows += [(100, f'token = "{HEX}."', HEX + "."), (101, f"'{HEX}'.", HEX), (102, "a1" + "." * 50_000 + f" {HEX}.", HEX)]
+    found = secrets.candidates(docs_of([r[:2] for r in rows])).collect()
+    assert Counter((r.id, r.value) for r in found) == Counter((i, v) for i, _, v in rows)
+
+
 def test_scan_runs_no_python(docs_of, labelled):
     plan = secrets.scan(docs_of(TEXTS), labelled)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)

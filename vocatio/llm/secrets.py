@@ -35,9 +35,11 @@ THRESHOLD = 0.5
 TREES, DEPTH, SEED = 24, 7, 17
 REDACTED = "[REDACTED]"
 
-# A run of key characters with a letter and a digit, or a quoted value behind an assignment.
+# A run of key characters with a letter and a digit, or a quoted value behind an assignment. A run ends before the dots
+# behind it: it gives back these alone, as it begins at one place only. Quoted values keep their last dots.
 CANDIDATE = (
-    r"(?<![A-Za-z0-9+/_.=-])(?=[A-Za-z+/_.=-]*+[0-9])(?=[0-9+/_.=-]*+[A-Za-z])[A-Za-z0-9+/_-][A-Za-z0-9+/_.=-]{14,}+(?<![.])"
+    r"(?<=[=:][\"'])[A-Za-z0-9+/_.=-]{8,}+(?<=[.])(?=[\"'])|(?<=[=:] [\"'])[A-Za-z0-9+/_.=-]{8,}+(?<=[.])(?=[\"'])"
+    r"|(?<![A-Za-z0-9+/_.=-])(?=[A-Za-z+/_.=-]*+[0-9])(?=[0-9+/_.=-]*+[A-Za-z])[A-Za-z0-9+/_-][A-Za-z0-9+/_.=-]{14,}(?<![.])"
     r"|(?<=[=:][\"'])[^\s\"'<>]{8,}+(?=[\"'])|(?<=[=:] [\"'])[^\s\"'<>]{8,}+(?=[\"'])"
 )
 SECRET_NAMES = (
