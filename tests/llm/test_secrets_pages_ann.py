@@ -84,6 +84,19 @@ def test_candidates_end_before_punctuation(docs_of):
     assert Counter((r.id, r.value) for r in found) == Counter((i, v) for i, _, v in rows)
 
 
+def test_env_lines(docs_of, labelled):
+    names = ["api_key", "AWS_SECRET_ACCESS_KEY", "DB_PASSWORD", "AUTH_TOKEN_FOR_SERVICE_V2"]
+    rows = [(i, f"# settings\nDEBUG=on\n{n}={k}\nPORT=80\n", n, k) for i, (n, k) in enumerate((n, k) for n in names for k in (HEX, HEX[:32], KEYS[4]))]
+    found = [r for r in secrets.scan(docs_of([r[:2] for r in rows]), labelled).collect() if not r.value.startswith("AUTH")]
+    assert Counter((r.id, r.value) for r in found) == Counter((i, k) for i, _, _, k in rows)
+    assert all(r.before.endswith(f"{rows[r.id][2]}=") for r in found) and all(r.is_secret for r in found if r.value != KEYS[4])
+    harmless = docs_of([(0, f"see checksum={HEX} of it"), (1, f"page sha1={HEX}\n"), (2, "title=mountains of words")])
+    assert [(r.id, r.value, r.is_secret) for r in secrets.scan(harmless, labelled).orderBy("id").collect()] == [(0, HEX, False), (1, HEX, False), (2, "mountains", False)]
+    short = docs_of([(0, "DB_PASSWORD=abc12 x"), (1, "a token=123456789012 b"), (2, "abcdefghij0123456789=x"), (3, f"={HEX}.")])
+    assert [r.value for r in secrets.candidates(short).orderBy("id").collect()] == ["abc12", "123456789012", "abcdefghij0123456789", HEX]
+    assert secrets.candidates(short).filter("before IS NULL OR after IS NULL").count() == 0
+
+
 def test_scan_runs_no_python(docs_of, labelled):
     plan = secrets.scan(docs_of(TEXTS), labelled)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)

@@ -1,15 +1,17 @@
 """Secret scans: candidates by a pattern, false positives removed by a random forest.
 
-A candidate is a long run of key characters that mixes letters and digits, or a quoted value behind ``=`` or ``:``. A
-forest trained from labelled findings judges each by its length, its classes of characters and the changes between
-them, the share that dictionary words cover, words in the path it comes from, and the words that stand beside it.
+A candidate is a long run of key characters that mixes letters and digits, a value of 8 characters or more directly
+behind a name and ``=``, or a quoted value behind ``=`` or ``:``; names stay in the context of their values. A forest
+trained from labelled findings judges each by its length, its classes of characters and the changes between them, the
+share that dictionary words cover, words in the path it comes from, and the words that stand beside it.
 
 All of it is expressions of Spark's own and Spark's own forest. Texts stay in place: candidates leave them as rows with
 the text beside them, and a redacted text meets only the verdicts on its candidates.
 
 Labelled findings are a table (value, before, after, path, label). ``planted_findings`` makes one from the documents:
 values derived from their hashes, in contexts of their own words, under names of secrets (label 1) or as checksums,
-commits, ids, file names, addresses, long words and examples (label 0). It reads at most ``LABELLED_DOCS`` documents,
+commits, ids, file names, addresses, long words and examples (label 0). The planted texts are cut by the pattern of the
+scan, so that the forest learns from such rows as it judges. It reads at most ``LABELLED_DOCS`` documents,
 those of the smallest hashes: the bound on the rows that the classifier is fitted to. Scanning covers all documents.
 
 Rows: null and empty texts have no candidates; a null path counts as empty, a null id takes part; repeated rows give
@@ -35,11 +37,15 @@ THRESHOLD = 0.5
 TREES, DEPTH, SEED = 24, 7, 17
 REDACTED = "[REDACTED]"
 
-# A run of key characters with a letter and a digit, or a quoted value behind an assignment. A run ends before the dots
-# behind it: it gives back these alone, as it begins at one place only. Quoted values keep their last dots.
+# A run of key characters with a letter and a digit, or a value behind an assignment, quoted or not. A run ends before the
+# dots behind it: it gives back these alone, as it begins at one place only. Quoted values keep their last dots. An equals
+# sign ends a run, a name and its value are two; only signs that nothing follows are padding and belong to it.
+_RUN = r"[A-Za-z0-9+/_.-]{%d,}(?<![.])(?![.]*+[A-Za-z0-9+/_-])(?:=++(?![.]*+[A-Za-z0-9+/_-]|[\"'][A-Za-z0-9]))?+"
 CANDIDATE = (
     r"(?<=[=:][\"'])[A-Za-z0-9+/_.=-]{8,}+(?<=[.])(?=[\"'])|(?<=[=:] [\"'])[A-Za-z0-9+/_.=-]{8,}+(?<=[.])(?=[\"'])"
-    r"|(?<![A-Za-z0-9+/_.=-])(?=[A-Za-z+/_.=-]*+[0-9])(?=[0-9+/_.=-]*+[A-Za-z])[A-Za-z0-9+/_-][A-Za-z0-9+/_.=-]{14,}(?<![.])"
+    # The length of a mixed run counts with the name before its sign: short values of long names are candidates too.
+    r"|(?<![A-Za-z0-9+/_.-])(?=[A-Za-z+/_.-]*+[0-9])(?=[0-9+/_.-]*+[A-Za-z])" + _RUN % 1 + r"(?<=[A-Za-z0-9+/_.=-]{15})"
+    r"|(?<=[A-Za-z0-9_.\])-]=)" + _RUN % 8 +
     r"|(?<=[=:][\"'])[^\s\"'<>]{8,}+(?=[\"'])|(?<=[=:] [\"'])[^\s\"'<>]{8,}+(?=[\"'])"
 )
 SECRET_NAMES = (
@@ -129,8 +135,11 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     ).filter(F.size("values") > 0)
     # Between the candidates lie the other parts of the text, one more than there are candidates.
     cut = found.select("id", "t", "path", "values", F.split("text", CANDIDATE, -1).alias("parts"), F.monotonically_increasing_id().alias("row"))
+    # A name that is a candidate itself stays before its value.
+    part = F.get("parts", F.col("pos"))
+    before = F.concat(F.when(part.rlike("^=+[\"']?$"), F.coalesce(F.get("values", F.col("pos") - 1), F.lit(""))).otherwise(""), part)
     rows = cut.select("id", "t", "path", "row", "values", "parts", F.posexplode("values").alias("pos", "value")).select(
-        "id", "t", "path", "row", "pos", "value", F.right(F.get("parts", F.col("pos")), F.lit(CONTEXT)).alias("before"),
+        "id", "t", "path", "row", "pos", "value", F.right(before, F.lit(CONTEXT)).alias("before"),
         F.left(F.get("parts", F.col("pos") + 1), F.lit(CONTEXT)).alias("after"), F.length(F.get("parts", F.col("pos"))).alias("gap"),
     )
     sofar = Window.partitionBy("id", "t", "row").orderBy("pos")
@@ -161,9 +170,11 @@ def planted_findings(docs: DataFrame, text_col: str = "text", limit: int = LABEL
     name = lambda names: F.element_at(F.array(*map(F.lit, names)), (F.pmod("h", F.lit(len(names))) + 1).cast("int"))
     secret_name, harmless_name = name(SECRET_NAMES), name(HARMLESS_NAMES[:13])
     under = lambda n, sign, end: (F.concat(F.col("left"), F.lit(" "), n, F.lit(sign)), F.concat(F.lit(end), F.col("right")))
+    either = lambda a, b: tuple(F.when(F.pmod("h", F.lit(2)) == 0, x).otherwise(y) for x, y in zip(a, b))
     forms = [
         # (value, (before, after), path, label)
         (F.sha1(key), under(secret_name, ' = "', '" '), "", 1), (F.left(long_hex, F.lit(32)), under(secret_name, "=", " "), "", 1),
+        (F.left(base, F.lit(40)), under(F.concat(F.lit("APP_"), F.upper(secret_name)), "=", "\n"), "", 1),
         (F.left(base, F.lit(40)), under(secret_name, ': "', '", '), "", 1), (base, under(secret_name, "='", "' "), "", 1),
         (F.concat(F.lit("AKIA"), F.upper(F.left(long_hex, F.lit(16)))), plain(""), "", 1),
         (F.concat(F.lit("ghp_"), F.left(base, F.lit(36))), quoted("value"), "", 1),
@@ -173,14 +184,20 @@ def planted_findings(docs: DataFrame, text_col: str = "text", limit: int = LABEL
         (F.concat("word", F.lit("-2019/"), "word", F.lit(".html")), plain("http://"), "", 0),
         (F.concat(F.lit("version-"), F.pmod("h", F.lit(99)).cast("string"), F.lit(".2.0-release")), plain(""), "", 0),
         (F.concat(F.lit("example-password-"), "word", F.lit("1")), quoted("password"), "docs/example", 0),
-        (F.sha1(key), quoted("token"), "tests/fixture", 0), (F.concat("word", "word", F.lit("2")), quoted("title"), "", 0),
+        (F.sha1(key), quoted("token"), "tests/fixture", 0), (F.concat("word", "word", F.lit("2")), either(quoted("title"), plain("title=")), "", 0),
         (F.concat(F.lit("image_"), "word", F.lit("_file_2020.png")), plain("file "), "", 0),
     ]
     rows = [
         F.struct(v.alias("value"), b.alias("before"), a.alias("after"), F.lit(p).alias("path"), F.lit(float(y)).alias("label"))
         for v, (b, a), p, y in forms
     ]
-    return near.select("h", F.posexplode(F.array(*rows)).alias("form", "f")).select("h", "form", "f.*")
+    placed = near.select("h", F.posexplode(F.array(*rows)).alias("form", "f")).select(
+        F.struct("h", "form", "f.label", F.length("f.before").alias("first"), F.length(F.concat("f.before", "f.value")).alias("end")).alias("id"),
+        F.concat("f.before", "f.value", "f.after").alias("text"), "f.path",
+    )
+    # What the scan finds in the planted text, where it meets the planted value.
+    found = candidates(placed, "id", "text", "path").filter("start < id.end AND start + length(value) > id.first")
+    return found.select("id.h", "id.form", "start", "value", "before", "after", "path", "id.label")
 
 
 def train(labelled: DataFrame, trees: int = TREES, depth: int = DEPTH, seed: int = SEED) -> Model | None:
@@ -189,8 +206,8 @@ def train(labelled: DataFrame, trees: int = TREES, depth: int = DEPTH, seed: int
     ``labelled`` must be bounded by its maker: it is laid in order into one partition, so that the same findings give the
     same forest on every cluster.
     """
-    rows = with_features(labelled).select("features", "label", *[c for c in ("h", "form") if c in labelled.columns])
-    order = [c for c in ("h", "form") if c in rows.columns]
+    rows = with_features(labelled).select("features", "label", *[c for c in ("h", "form", "start") if c in labelled.columns])
+    order = [c for c in ("h", "form", "start") if c in rows.columns]
     placed = (rows.coalesce(1).sortWithinPartitions(*order) if order else rows).select("features", "label")
     if placed.select("label").distinct().count() < 2:
         return None
