@@ -120,6 +120,12 @@ def test_page_text():
     assert page.text([]) == TEXT
 
 
+def test_winning_path_without_blocks():
+    page = pages.Page('<body><article></article><div class="c"><p>The article stands here, at some length.</p></div><section><p>Beside.</p></section></body>')
+    article, section = (next(p for p in page.paths if p.endswith(f">{tag}")) for tag in ("article", "section"))
+    assert page.text([article]) == page.text([]) != "" and page.text([article, section]) == "Beside."
+
+
 @pytest.mark.parametrize("html, text", [
     ("", ""), ("plain text, no markup.", "plain text, no markup."), ("<", "<"), ("a < b", "a < b"), ("<p", ""), ("<p>a<p>b", "a\n\nb"), ("<b>a</i></b>c", "ac"),
     ("<script>never ends <p>x</p>", ""), ("<div><p>x &amp y &am</div>", "x & y &am"), ("</p></div>x", "x"), ('<p class="a>b">x</p>', "x"),

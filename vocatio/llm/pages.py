@@ -213,14 +213,19 @@ class Page:
         return max(range(len(scores)), key=lambda i: (scores[i] + self.priors[i], i))
 
     def text(self, paths: list[str]) -> str:
-        """Blocks below the first of ``paths`` that the page has, else below its own best container."""
+        """Blocks below the first of ``paths`` that has any on the page, else below its own best container."""
         have = set(self.paths)
-        path = next((p for p in paths if p in have), None)
-        roots = {i for i, p in enumerate(self.paths) if p == path} if path is not None else {self.best()}
+        for path in paths:
+            if path in have and (found := self.below({i for i, p in enumerate(self.paths) if p == path})):
+                return "\n\n".join(found)
+        return "\n\n".join(self.below({self.best()}))
+
+    def below(self, roots: set[int]) -> list[str]:
+        """Texts of the blocks in the containers ``roots`` and in those below them."""
         inside = [False] * len(self.paths)
         for i, parent in enumerate(self.parents):
             inside[i] = i in roots or (parent >= 0 and inside[parent])
-        return "\n\n".join([text for at, text, _, _ in self.blocks if inside[at]])
+        return [text for at, text, _, _ in self.blocks if inside[at]]
 
 
 def host_of(url: Column) -> Column:
