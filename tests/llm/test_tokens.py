@@ -7,12 +7,14 @@ import zlib
 from collections import Counter, defaultdict
 
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 from sentencepiece import SentencePieceProcessor
 from tokenizers import Tokenizer
 
 from vocatio.llm import bpe, packing, tokencounts
 from vocatio.llm.common import Remembered, table
+from vocatio.llm.queries import tokenizer
 
 
 def random_texts(n, seed=3):
@@ -115,3 +117,13 @@ def test_remembered():
     memory = Remembered(slow, limit=3)
     assert [memory[x] for x in (1, 2, 3, 4, 1, 1, 5, 6, 1)] == [2, 4, 6, 8, 2, 2, 10, 12, 2]
     assert len(memory) + len(memory.older) <= 6 and calls[1] == 1
+
+
+def test_digests_are_of_decoded_ids(docs_of, monkeypatch):
+    docs = docs_of([(1, "some words, and more.")])
+    monkeypatch.setattr(bpe, "arrow_map", lambda df, function, schema: function)
+    monkeypatch.setattr(bpe.WordBpe, "decode", lambda self, ids: f"{len(ids)} bytes")
+    batch = pa.RecordBatch.from_pylist([{"doc_id": 1, "text": "some words, and more."}])
+    (out,) = bpe.encode_texts(docs, tokenizer("word_bpe_49k.json"), digest=True)(iter([batch]))
+    row = out.to_pylist()[0]
+    assert row["decoded_sha256"] == hashlib.sha256(f"{4 * row['n_tokens']} bytes".encode()).hexdigest()

@@ -161,7 +161,7 @@ def encode_texts(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_
         for batch in batches:
             found = [bpe.encode(t) for t in texts_of(batch, text_col)]
             counts = pa.array([len(ids) // 4 for ids, _ in found], pa.int64())
-            decoded = [bpe.decode(ids) for ids, _ in found] if not digest else [text for _, text in found]
+            decoded = [bpe.decode(ids) for ids, _ in found]
             if digest:
                 columns = [pa.array([hashlib.sha256(ids).hexdigest() for ids, _ in found], pa.string())]
                 columns.append(pa.array([hashlib.sha256(t.encode()).hexdigest() for t in decoded], pa.string()))
