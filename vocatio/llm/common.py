@@ -1,4 +1,4 @@
-"""What the operators of this subpackage share: input tables, written steps, Arrow batches and row numbers."""
+"""What the operators of this subpackage share: input tables, written steps, Arrow batches, row numbers and running sums."""
 
 from __future__ import annotations
 
@@ -87,5 +87,46 @@ def among_lowest(hashed: str, limit: int, n: int) -> Column:
     return F.col(hashed) < -(1 << 63) + int(share * (1 << 64)) if share < 1 else F.lit(True)
 
 
+def laid(df: DataFrame, order: list[str], keep: list[str] | None = None) -> DataFrame:
+    """The rows of ``df`` sorted by ``order`` (nulls first) over ranges, written with ``_at``, a number that rises with the order.
+
+    ``keep`` names the columns that stay; the others only sort. A key with a third of all rows fills many ranges if the
+    order tells its rows apart. The number of the range stands in the upper bits of ``_at``.
+    """
+    ranges = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    by = [F.col(c).asc_nulls_first() for c in order]
+    dealt = df.repartitionByRange(ranges, *by).sortWithinPartitions(*by)
+    return written(dealt.select(*(keep or df.columns), F.monotonically_increasing_id().alias("_at")), "laid")
+
+
+def running(rows: DataFrame, group: list[str], sums: dict[str, Column], ahead: dict[str, str] | None = None) -> DataFrame:
+    """Running sums (this row included) within each group of ``laid`` rows, whose order began with the columns of ``group``.
+
+    A group may lie in many ranges: each range takes over what the ranges before it have summed of its first group, from
+    a table of one row for each range. ``ahead`` names new columns after the column whose value in the group's next row
+    they take (null in its last row).
+    """
+    ahead = ahead or {}
+    key = F.struct(F.lit(0).alias("_"), *group)
+    ranged = rows.withColumn("_range", F.shiftright("_at", 33))
+    each = ranged.groupBy("_range", *group).agg(*(F.sum(c).alias(f"_t_{n}") for n, c in sums.items()))
+    tail = each.groupBy("_range").agg(F.max(F.struct(key.alias("key"), *(f"_t_{n}" for n in sums))).alias("tail"))
+    first = F.min(F.struct("_at", key.alias("key"), *(F.col(v).alias(f"_v_{n}") for n, v in ahead.items()))).alias("first")
+    edges = tail.join(ranged.groupBy("_range").agg(first), "_range")
+    same, whole = Window.partitionBy("tail.key").orderBy("_range"), Window.orderBy("_range")
+    so_far = F.struct(F.col("tail.key").alias("key"), *(F.sum(f"tail._t_{n}").over(same).alias(n) for n in sums))
+    edges = edges.select("_range", "first", so_far.alias("so_far"))
+    edges = edges.select("_range", F.lag("so_far").over(whole).alias("_before"), F.lead("first").over(whole).alias("_after"))
+    inside = Window.partitionBy("_range", *group).orderBy("_at")
+    until = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    new = {n: F.sum(c).over(until) for n, c in sums.items()} | {n: F.lead(v).over(inside) for n, v in ahead.items()}
+    joined = ranged.withColumns(new).join(F.broadcast(edges), "_range", "left")
+    before, after = F.col("_before.key").eqNullSafe(key), F.col("_after.key").eqNullSafe(key)
+    last = F.when(F.col("_after").isNotNull() & after, F.lit(True)).otherwise(False)
+    out = {n: F.col(n) + F.when(F.col("_before").isNotNull() & before, F.col(f"_before.{n}")).otherwise(0) for n in sums}
+    out |= {n: F.coalesce(F.col(n), F.when(last, F.col(f"_after._v_{n}"))) for n in ahead}
+    return joined.select(*rows.columns, *(c.alias(n) for n, c in out.items()))
+
+
 def union(frames: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vocatio.llm import ann, bpe, linededup, packing, pages, quality, secrets, sharding, simhash, tokencounts
+from vocatio.llm import alignment, ann, bpe, chats, linededup, packing, pages, quality, secrets, sharding, simhash, tokencounts, trie
 from vocatio.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -138,3 +138,77 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_bpe_round_trip")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_texts(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"), digest=True)
+
+
+@query("op11_align_tokenizers")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), tokenizer("piece_bpe_32k.model"), digest=True)
+
+
+# CRC-32 bit by bit: each of the eight steps of a byte, the byte itself taken in before the first.
+CRC32_SQL = """xor(list_reduce(list_prepend(4294967295::BIGINT, range(8 * length(k))), lambda crc, i:
+    xor(xor(crc, CASE WHEN i % 8 = 0 THEN ascii(k[i // 8 + 1])::BIGINT ELSE 0 END) >> 1,
+        3988292384 * (xor(crc, CASE WHEN i % 8 = 0 THEN ascii(k[i // 8 + 1])::BIGINT ELSE 0 END) & 1))), 4294967295::BIGINT)"""
+
+
+@query(
+    "op12_prefix_trie_tour",
+    f"""
+    WITH turns AS (
+        SELECT conv_id AS c, coalesce(role, '') AS role, coalesce(text, '') AS text,
+            row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS pos
+        FROM conversations WHERE conv_id IS NOT NULL),
+    keyed AS (SELECT DISTINCT c, CAST(c AS VARCHAR) AS k FROM turns),
+    convs AS (SELECT c, c - c % 100 AS base, {CRC32_SQL} % {trie.SHARED} AS h FROM keyed),
+    rows AS (
+        SELECT v.c, 0 AS part, t.pos, t.role, t.text FROM convs v JOIN turns t ON t.c = v.base AND t.pos <= v.h
+        UNION ALL SELECT v.c, 1, t.pos, t.role, t.text FROM convs v JOIN turns t ON t.c = v.c AND t.pos > v.h),
+    numbered AS (SELECT c, role, text, row_number() OVER (PARTITION BY c ORDER BY part, pos) AS depth FROM rows),
+    chained AS (
+        SELECT c, depth, length(text) AS chars,
+            md5(string_agg(length(role) || ':' || length(text) || ':' || role || text, '' ) OVER (PARTITION BY c ORDER BY depth)) AS key
+        FROM numbered
+        UNION ALL SELECT c, 0, 0, '' FROM convs),
+    held AS (SELECT *, lag(key) OVER (PARTITION BY c ORDER BY depth) AS up, depth = max(depth) OVER (PARTITION BY c) AS last FROM chained),
+    nodes AS (
+        SELECT key, depth, any_value(up) AS up, min(c) AS conv_id, count(*) AS n_convs, max(chars) AS chars,
+            sha256(coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (last), '')) AS ends_sha256
+        FROM held GROUP BY key, depth),
+    children AS (SELECT up AS key, count(*) AS n FROM nodes WHERE depth > 0 GROUP BY up),
+    own AS (SELECT n.*, coalesce(k.n, 0) AS n_children, (n_convs - 1) * chars AS saved FROM nodes n LEFT JOIN children k ON k.key = n.key),
+    subtrees AS (
+        SELECT h.key, sum((o.n_children = 0)::INT) AS n_leaves, sum(o.saved) AS saved_tokens
+        FROM own o JOIN held h ON h.c = o.conv_id AND h.depth <= o.depth GROUP BY h.key)
+    SELECT o.conv_id, o.depth, p.conv_id AS parent_conv_id, o.n_convs, CAST(o.n_children AS BIGINT) AS n_children,
+        CAST(s.n_leaves AS BIGINT) AS n_leaves, CAST(s.saved_tokens AS BIGINT) AS saved_tokens, o.ends_sha256
+    FROM own o JOIN subtrees s ON s.key = o.key LEFT JOIN own p ON p.key = o.up AND p.depth = o.depth - 1
+    """,
+)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
+MARKED = "</s>[INST] ok [/INST]"  # what both turns of conversation -1 say
+
+
+@query(
+    "op13_reply_tree_chats",
+    f"""
+    WITH turns AS (
+        SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+        UNION ALL SELECT -1, 0, 'user', '{MARKED}' UNION ALL SELECT -1, 1, '{chats.LEARNT}', '{MARKED}'),
+    whole AS (
+        SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text) AS said,
+            coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = '{chats.LEARNT}'), '') AS learnt,
+            sum({len(chats.OPEN + chats.BETWEEN + chats.CLOSE)} + length(role) + length(text)
+                + len(regexp_extract_all(role, '{chats.CONTROL}')) + len(regexp_extract_all(text, '{chats.CONTROL}'))) AS chars
+        FROM turns GROUP BY conv_id)
+    SELECT conv_id, n_turns, sha256(said) AS turns_sha256, CAST(length(learnt) AS BIGINT) AS loss_chars, sha256(learnt) AS loss_sha256,
+        CAST(chars AS BIGINT) AS formatted_chars
+    FROM whole
+    """,
+)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    extra = spark.createDataFrame([(-1, 0, "user", MARKED), (-1, 1, chats.LEARNT, MARKED)], "conv_id long, turn long, role string, text string")
+    return chats.report(turns.unionByName(extra))
