@@ -35,7 +35,8 @@ from vocatio.llm.tokencounts import MARK, PieceCounter
 from vocatio.session import BROADCAST_LIMIT_BYTES, written
 
 BLOCK_CHARS = 1 << 20  # texts whose ends are intersected together, unless one text alone is longer
-STRIDE = 64
+STRIDE = 8
+WORDS = 400_000  # words and pre-tokens whose ids a task remembers
 PAIR_BYTES = 32  # of a pair with its count in a broadcast table
 HEAVY_ROWS = 100_000  # documents' pairs that may meet in one task
 
@@ -53,18 +54,16 @@ class ByteTokens:
         self.bytes = [b""] * (max(vocabulary.values()) + 1)
         for token, i in vocabulary.items():
             self.bytes[i] = bytes(map(byte.__getitem__, token)) if all(c in byte for c in token) else token.encode()
-        self.memory = Remembered(self.encoded)
+        self.memory, self.odd = Remembered(self.encoded, WORDS), False
 
-    def encoded(self, text: str) -> tuple[bytes, bool]:
-        """Ids as 32-bit numbers, and whether their bytes are those of the text."""
+    def encoded(self, text: str) -> bytes:
+        """Ids as 32-bit numbers; ``odd`` is set if their bytes are not those of the text."""
         ids = self.library.encode(text, add_special_tokens=False).ids
-        return array("I", ids).tobytes(), b"".join([self.bytes[i] for i in ids]) == text.encode()
+        self.odd = self.odd or b"".join([self.bytes[i] for i in ids]) != text.encode()
+        return array("I", ids).tobytes()
 
-    def ids(self, text: str) -> tuple[bytes, bool]:
-        if BEYOND_LATIN.search(text):
-            return self.encoded(text)
-        found = [self.memory[w] for w in LATIN_WORD.findall(text)]
-        return b"".join([f[0] for f in found]), all([f[1] for f in found])
+    def ids(self, text: str) -> bytes:
+        return self.encoded(text) if BEYOND_LATIN.search(text) else b"".join(map(self.memory.__getitem__, LATIN_WORD.findall(text)))
 
 
 class PieceTokens:
@@ -74,23 +73,21 @@ class PieceTokens:
         self.pieces = PieceCounter(path)
         self.library = self.pieces.library
         self.bytes = [self._bytes_of(self.library.id_to_piece(i), i) for i in range(self.library.get_piece_size())]
-        self.memory = Remembered(self.encoded)
+        self.memory, self.odd = Remembered(self.encoded, WORDS), False
 
     def _bytes_of(self, piece: str, i: int) -> bytes:
         if self.library.is_byte(i):
             return bytes([int(re.fullmatch("<0x([0-9A-F]{2})>", piece)[1], 16)])
         return piece.replace(MARK, " ").encode()
 
-    def encoded(self, token: str) -> tuple[bytes, bool]:
+    def encoded(self, token: str) -> bytes:
         # Behind a line end a token keeps its ids; the space and the line end before it are two tokens more.
         ids = self.library.encode("\n" + token, num_threads=1)[2:]
-        return array("I", ids).tobytes(), b"".join([self.bytes[i] for i in ids]) == token.encode()
+        self.odd = self.odd or b"".join([self.bytes[i] for i in ids]) != token.encode()
+        return array("I", ids).tobytes()
 
-    def ids(self, text: str) -> tuple[bytes, bool]:
-        if MARK in text:
-            return b"", False
-        found = [self.memory[w] for w in self.pieces.cut(" " + text)]
-        return b"".join([f[0] for f in found]), all([f[1] for f in found])
+    def ids(self, text: str) -> bytes:
+        return b"".join(map(self.memory.__getitem__, self.pieces.cut(" " + text)))
 
 
 def gallop(wanted: np.ndarray, among: np.ndarray, start: np.ndarray) -> np.ndarray:
@@ -114,6 +111,13 @@ def gallop(wanted: np.ndarray, among: np.ndarray, start: np.ndarray) -> np.ndarr
     return low
 
 
+def places(wanted: np.ndarray, among: np.ndarray) -> np.ndarray:
+    """``gallop`` from the start for rising ``wanted``: every STRIDE-th is found first, the others go on from the one before them."""
+    n = len(wanted)
+    anchors = places(wanted[::STRIDE], among) if n > STRIDE else np.zeros(1, np.int64)
+    return gallop(wanted, among, np.repeat(anchors, STRIDE)[:n])
+
+
 def common_ends(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Indices of the values that two rising lists share, in each of them. The shorter list is looked up in the longer one."""
     if len(a) > len(b):
@@ -121,9 +125,7 @@ def common_ends(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         return found[1], found[0]
     if not len(a):
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    # Every STRIDE-th end is found first; the others gallop on from the one before them.
-    anchors = gallop(a[::STRIDE], b, np.zeros(len(a[::STRIDE]), np.int64))
-    at = gallop(a, b, np.repeat(anchors, STRIDE)[: len(a)])
+    at = places(a, b)
     hit = np.flatnonzero((at < len(b)) & (b[np.minimum(at, len(b) - 1)] == a))
     return hit, at[hit]
 
@@ -140,8 +142,11 @@ class Aligner:
         """Ids of both sides, empty where the text has none."""
         if not text:
             return b"", b""
-        (a, a_whole), (b, b_whole) = self.a.ids(" " + text), self.b.ids(text)
-        if not (a_whole and b_whole):
+        if MARK in text:
+            return b"", b""
+        a, b = self.a.ids(" " + text), self.b.ids(text)
+        # As long as every piece so far had its own bytes, so have the texts.
+        if self.a.odd or self.b.odd:
             whole = (" " + text).encode()
             if any(b"".join([side.bytes[i] for i in memoryview(ids).cast("I")]) != whole for side, ids in ((self.a, a), (self.b, b))):
                 return b"", b""
