@@ -2,6 +2,8 @@
 
 import hashlib
 import re
+import time
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -73,6 +75,15 @@ def test_redact(docs_of, labelled):
     assert secrets.redact(docs.limit(0)).count() == 0
 
 
+def test_rows_that_differ_in_source_are_redacted_alike(docs_of, labelled):
+    text = f'words token = "{HEX}" then secret = "{HEX}" and more'
+    docs = docs_of([(1, text)] * 3 + [(2, text)])
+    docs = docs.withColumn("source", F.when(F.rand(3) < 0.5, "src0").otherwise("tests/fixture")).unionByName(docs.withColumn("source", F.lit("docs/example")))
+    docs = written(docs.unionByName(docs_of([(1, text)])), "test-sources")
+    assert docs.select("source").distinct().count() == 3
+    assert {r.text for r in secrets.redact(docs, labelled).collect()} == {'words token = "[REDACTED]" then secret = "[REDACTED]" and more'}
+
+
 KEYS = [HEX, "AKIA" + HEX[:16].upper(), "ghp_" + HEX[:36], "eyJhbGciOi1.eyJzdWIiOj2.c2lnbmF0dXJl", "c2VjcmV0IGtleSBvZiBhIHVzZXI0NQ=="]
 
 
@@ -116,13 +127,13 @@ TEXT = "A title & more\n\nOne bold word, three < four.\n\nSecond “block” end
 
 def test_page_text():
     page = pages.Page(PAGE % 12)
-    assert page.paths[page.best()] == ">html>body.has-sidebar>div.wrap>div.entry.post-#"
+    assert page.path(page.best()) == ">html>body.has-sidebar>div.wrap>div.entry.post-#"
     assert page.text([]) == TEXT
 
 
 def test_winning_path_without_blocks():
     page = pages.Page('<body><article></article><div class="c"><p>The article stands here, at some length.</p></div><section><p>Beside.</p></section></body>')
-    article, section = (next(p for p in page.paths if p.endswith(f">{tag}")) for tag in ("article", "section"))
+    article, section = (page.path(page.steps.index(tag)) for tag in ("article", "section"))
     assert page.text([article]) == page.text([]) != "" and page.text([article, section]) == "Beside."
 
 
@@ -135,6 +146,39 @@ def test_odd_pages(html, text):
     assert pages.Page(html).text([]) == text
 
 
+PROSE = "A long sentence that is part of the main text of this page, in every way."
+
+
+@pytest.mark.parametrize("html, text", [
+    (f'<p>{PROSE} <a href="/the-hidden-valley">A valley</a> ends.</p>', f"{PROSE} A valley ends."),
+    (f'<p>{PROSE} <a href="/x?id=comments">A link</a> ends.</p>', f"{PROSE} A link ends."),
+    (f'<p title="hidden gems">{PROSE}</p><p title=\'a hidden "gem"\'>{PROSE}</p>', f"{PROSE}\n\n{PROSE}"),
+    (f'<p data-role="dialog">{PROSE}</p><p data-id="promo-7">{PROSE}</p>', f"{PROSE}\n\n{PROSE}"),
+    (f'<div class="post-content ad-free"><p>{PROSE}</p></div>', PROSE),
+    (f'<article><p>{PROSE}</p><p class="social-history">{PROSE}</p></article>', f"{PROSE}\n\n{PROSE}"),
+    (f'<article><p>{PROSE}</p></article><article class="comment"><p>{PROSE} {PROSE} {PROSE}</p></article>', PROSE),
+    (f"<title>Not ended<body><div><p>{PROSE}</p></div>", PROSE),
+    (f'<div><p>{PROSE}</p><div class="ad-300x250"><p>Buy.</p></div><div class="social-links">Share it.</div><div id="related-posts">More.</div></div>', PROSE),
+    (f'<main><div class="notice-board"><p>{PROSE}</p></div></main>', PROSE), (f'<div class="widget"><p>{PROSE}</p></div><p>Short.</p>', f"{PROSE}\n\nShort."),
+    (f'<div hidden><p>{PROSE}</p></div><p>{PROSE}</p>', PROSE), (f'<div class="sidebar"><p>{PROSE}</p></div><p>{PROSE}</p>', PROSE),
+])
+def test_articles_keep_their_words(html, text):
+    assert pages.Page(html).text([]) == text
+
+
+@pytest.mark.parametrize("html", [
+    '<div class="a">' * 50_000 + f"<p>{PROSE}</p>", '<div class="a">' * 1000 + "</b></li></table><li></li>" * 20_000 + f"<p>{PROSE}</p>",
+])
+def test_deep_pages_are_small_and_quick(html):
+    tracemalloc.start()
+    began = time.process_time()
+    page = pages.Page(html)
+    path = page.path(page.best())
+    assert page.text([path]) == page.text([]) == PROSE
+    assert time.process_time() - began < 15 and tracemalloc.get_traced_memory()[1] < 200e6
+    tracemalloc.stop()
+
+
 def test_hosts(spark):
     urls = ["http://User@Www.Example.com:80/a?b#c", "//x.org", "https://x.org", "mailto:a@b.c", "", None, "ht!tp://?"]
     df = spark.createDataFrame([(u,) for u in urls], "url string")
@@ -206,15 +250,18 @@ def test_chi_square_quantile():
 
 def test_pipeline(spark, sf):
     docs, columns = table(spark, sf, "documents"), table(spark, sf, "documents").columns
-    sizes = [docs.count()]
+    sizes, stages = [docs.count()], []
     for name, stage in corpus_pipeline.STAGES[:-1]:
         docs = written(stage(spark, docs, sf), f"test-{name}")
         assert docs.columns == columns, name
         sizes.append(docs.count())
+        stages.append(docs)
     assert sizes == sorted(sizes, reverse=True) and sizes[-1] > sizes[0] / 2
     # No later stage's work is left undone in what the pipeline keeps.
-    assert simhash.components(docs).groupBy("component_id").count().count() <= docs.count()
-    assert linededup.report(docs).filter("n_dropped > 0").count() <= docs.count()
+    kept = dict(zip((n for n, _ in corpus_pipeline.STAGES), stages))
+    assert simhash.components(kept["near_dedup"]).groupBy("component_id").count().filter("count > 1").count() == 0
+    assert linededup.report(kept["line_dedup"]).filter("n_dropped > 0").count() == 0
+    assert secrets.scan(kept["secret_scan"], written(secrets.planted_findings(kept["near_dedup"]), "test-planted")).filter("is_secret").count() == 0
     labels = table(spark, sf, "labels").filter("quality = 0").select("doc_id")
     assert docs.join(labels, "doc_id").count() <= 0.1 * labels.count()
     packed = corpus_pipeline.run(spark, sf)

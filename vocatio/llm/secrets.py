@@ -15,7 +15,7 @@ scan, so that the forest learns from such rows as it judges. It reads at most ``
 those of the smallest hashes: the bound on the rows that the classifier is fitted to. Scanning covers all documents.
 
 Rows: null and empty texts have no candidates; a null path counts as empty, a null id takes part; repeated rows give
-repeated findings; an empty table gives none, judged by a forest that then has no labels and calls all candidates secret.
+repeated findings, and rows that differ in other columns than id and text are redacted alike, by the strictest verdict; an empty table gives none, judged by a forest that then has no labels and calls all candidates secret.
 ``redact`` keeps all columns, internal ones take names that the table doesn't have.
 """
 
@@ -244,14 +244,18 @@ def redact(
     """All rows and columns of ``docs``, each secret in their texts replaced by ``mark``."""
     found = scan(docs, labelled, id_col, text_col, path_col, threshold)
     names = [fresh(docs, n) for n in ("_id", "_t", "_verdicts")]
-    hits = found.groupBy("id", "t").agg(F.max("is_secret").alias("any"), F.collect_set(F.struct("pos", "is_secret")).alias("each"))
-    hits = hits.filter("any").select("id", "t", F.transform(F.sort_array("each"), lambda e: e["is_secret"]).alias("verdicts"))
+    # Rows of one id and text may differ in their paths: a candidate is a secret if any of them makes it one.
+    each = found.groupBy("id", "t", "pos").agg(F.max("is_secret").alias("is_secret"))
+    hits = each.groupBy("id", "t").agg(F.max("is_secret").alias("any"), F.array_sort(F.collect_list(F.struct("pos", "is_secret"))).alias("each"))
+    hits = hits.filter("any").select("id", "t", F.transform("each", lambda e: e["is_secret"]).alias("verdicts"))
     # Written, so that its size is known before the join is planned: only then may it be broadcast.
     hits = written(hits, "secrets").select(*(F.col(c).alias(n) for c, n in zip(("id", "t", "verdicts"), names)))
     text = F.coalesce(F.col(text_col), F.lit(""))
     i, t, verdicts = names
     joined = docs.join(hits, F.col(id_col).eqNullSafe(F.col(i)) & (F.xxhash64(text) == F.col(t)), "left")
     values = F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0))
+    whole = F.raise_error(F.lit("a text has not as many candidates as verdicts"))
+    values = F.when(F.size(values) == F.size(verdicts), values).otherwise(whole)
     swapped = F.zip_with(values, F.col(verdicts), lambda v, secret: F.when(secret, F.lit(mark)).otherwise(v))
     pairs = F.zip_with(F.split(text, CANDIDATE, -1), swapped, lambda p, v: F.concat(p, F.coalesce(v, F.lit(""))))
     new = {text_col: F.when(F.col(verdicts).isNull(), F.col(text_col)).otherwise(F.array_join(pairs, ""))}
