@@ -1,5 +1,7 @@
 """Operators against brute force on small fixtures, with the paths that large data takes."""
 
+import random
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -117,8 +119,54 @@ def test_a_long_entry_makes_no_rows_where_it_does_not_start(spark):
             1: ["machine learning", "python"], 2: [long_entry], 3: [], 4: []
         }
         assert {r["id"]: r["found"] for r in skills.find_phrases_in_order(texts, table, "id", "text", limit).collect()}[1] == ["python", "machine learning"]
-    hits = skills.phrase_hits(texts, table, "id", "text", 64 << 20).groupBy("id").count().collect()
-    assert {r["id"]: r["count"] for r in hits} == {1: 41, 2: 2, 3: 1, 4: 1}
+    hits = {limit: skills.phrase_hits(texts, table, "id", "text", limit).groupBy("id").count().collect() for limit in (64 << 20, 0)}
+    # The trie gives the first place of each phrase, the joins give every place; a text without one keeps a row.
+    assert {r["id"]: r["count"] for r in hits[64 << 20]} == {1: 2, 2: 1, 3: 1, 4: 1}
+    assert {r["id"]: r["count"] for r in hits[0]} == {1: 41, 2: 2, 3: 1, 4: 1}
+
+
+def test_phrase_trie_equals_substring_search():
+    rng = random.Random(3)
+    phrases = {" ".join(rng.choice("abc") for _ in range(rng.randint(1, 5))) for _ in range(60)}
+    root = skills.phrase_trie(sorted(phrases, key=lambda p: rng.random()))
+    for n in (0, 1, 2, 30, 200):
+        words = [rng.choice("abcd") for _ in range(n)]
+        joined = f" {' '.join(words)} "
+        found = skills.walk_trie(words, root)
+        assert set(found) == {p for p in phrases if f" {p} " in joined}
+        for p, (at, length) in found.items():
+            assert words[at : at + length] == p.split() and joined.index(f" {p} ") == len(" ".join(["", *words[:at]]) if at else "")
+
+
+def test_phrases_are_found_in_time_linear_in_the_text():
+    """A dictionary in which every word starts a phrase; steps are counted, so no other work on the machine matters."""
+
+    class Counted(dict):
+        steps = 0
+
+        def get(self, *a):
+            Counted.steps += 1
+            return super().get(*a)
+
+    def counted(node):
+        return node if isinstance(node, str) else Counted({w: counted(n) for w, n in node.items()})
+
+    vocabulary = [f"w{n}" for n in range(50)]
+    root = counted(skills.phrase_trie([f"{a} {b} {c}" for a in vocabulary for b in vocabulary[:10] for c in vocabulary[:5]] + vocabulary))
+    steps = {}
+    for n in (1000, 4000, 32_000):
+        Counted.steps = 0
+        skills.walk_trie([vocabulary[i * 7 % 50] for i in range(n)], root)
+        steps[n] = Counted.steps
+    assert steps[32_000] <= 33 * steps[1000] and steps[32_000] <= 5 * 32_000
+
+
+def test_long_texts_with_dense_dictionaries(spark):
+    vocabulary = [f"w{n}" for n in range(40)]
+    table = spark.createDataFrame([(f"{a} {b}",) for a in vocabulary for b in vocabulary[::3]] + [(a,) for a in vocabulary], "phrase string")
+    texts = spark.createDataFrame([(i, " ".join(vocabulary[(i + k * k // 7) % 40] for k in range(4000))) for i in range(4)], "id int, text string")
+    one, two = ({r["id"]: r["found"] for r in skills.find_phrases(texts, table, "id", "text", limit).collect()} for limit in (64 << 20, 0))
+    assert one == two and all(len(f) > 40 for f in one.values())
 
 
 @pytest.mark.parametrize("values", [[], [5.0], [1.0, 2.0], [3.0, 1.0, 2.0, 2.0, None], [7.0] * 40 + [8.0] * 39, [7.0] * 4 + [8.0] * 4, list(map(float, range(101)))])

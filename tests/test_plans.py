@@ -41,7 +41,7 @@ def test_phrases_shuffle_once_and_never_the_texts(spark, sf):
     texts = views.documents(spark, sf)
     table = skills.phrases(spark.createDataFrame([("the of",)], "skill string"))
     text = plan(skills.find_phrases(texts, table, "doc_id", "text"))
-    assert "BroadcastHashJoin" in text and "CartesianProduct" not in text and "NestedLoop" not in text
+    assert "MapInArrow" in text and "Join" not in text and text.split("Initial Plan")[0].count("Exchange hashpartitioning") == 1
     large = plan(skills.find_phrases(texts, table, "doc_id", "text", broadcast_limit=0))
     assert "salt" in large
 

@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vocatio import presets
 from vocatio.functions.rules import is_quality_skill
 from vocatio.functions.text import candidate_terms, normal_phrase, split_trim, tokens
-from vocatio.session import BROADCAST_LIMIT_BYTES
+from vocatio.session import bound_batches
 
+# Bytes of the largest dictionary that every task holds as a trie; some twenty times as much in a Python worker.
+TRIE_BYTES = 8 * 1024 * 1024
 # Copies of a dictionary that is too large to broadcast; a frequent phrase is then spread over
 # this many shuffle partitions.
 SALTS = 32
@@ -71,58 +76,116 @@ def _starts(phrase_table: DataFrame) -> DataFrame:
     return phrase_table.groupBy(F.get(words, 0).alias("first")).agg(F.collect_set(F.size(words)).alias("lengths"))
 
 
-def _matched(side: DataFrame, table: DataFrame, key: str, n_bytes: int, spread: Column, limit: int) -> DataFrame:
-    """Left join with a table of the dictionary.
+def _salted(side: DataFrame, table: DataFrame, key: str, spread: Column) -> DataFrame:
+    """Left join with a table of a large dictionary.
 
-    A dictionary of measured small size goes to every task. A larger one is copied ``SALTS`` times and the
-    rows are spread over the copies, so that a word found in a third of all texts does not end in one task.
+    It is copied ``SALTS`` times and the rows are spread over the copies, so that a word found in a third of all
+    texts does not end in one task.
     """
-    if n_bytes <= limit:
-        return side.join(F.broadcast(table), key, "left")
     copies = table.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     salted = side.withColumn("_salt", F.pmod(spread, F.lit(SALTS)).cast("int"))
     return salted.join(copies, [key, "_salt"], "left").drop("_salt")
 
 
-def phrase_hits(texts: DataFrame, phrase_table: DataFrame, id_column: str, text_column: str, limit: int) -> DataFrame:
-    """(id, pos, words, phrase): every phrase of the table in each text, and one row at least of every text.
+def phrase_trie(phrases: list[str]) -> dict:
+    """Phrases by their words: a node maps the next word to a node, or to the phrase if none goes on; '' is the phrase that ends there."""
+    root: dict = {}
+    for phrase in sorted(phrases):  # a phrase comes before those that it begins
+        node, words = root, phrase.split(" ")
+        for word in words[:-1]:
+            child = node.setdefault(word, {})
+            if isinstance(child, str):
+                child = node[word] = {"": child}
+            node = child
+        if isinstance(node.get(words[-1]), dict):
+            node[words[-1]][""] = phrase
+        else:
+            node[words[-1]] = phrase
+    return root
+
+
+def walk_trie(words: list[str], root: dict) -> dict[str, tuple[int, int]]:
+    """phrase -> (first place, words) of all phrases in a text; from each word on only as far as a phrase goes on."""
+    found: dict[str, tuple[int, int]] = {}
+    n = len(words)
+    for at, word in enumerate(words):
+        node, end = root.get(word), at + 1
+        while node is not None:
+            phrase = node if isinstance(node, str) else node.get("")
+            if phrase is not None and phrase not in found:
+                found[phrase] = (at, end - at)
+            if end == n or isinstance(node, str):
+                break
+            node, end = node.get(words[end]), end + 1
+    return found
+
+
+def _walked(texts: DataFrame, phrase_table: DataFrame, id_column: str, text_column: str) -> DataFrame:
+    """(id, pos, words, phrase) by a trie in every task: each phrase of a text where it stands first."""
+    spark = texts.sparkSession
+    shared = spark.sparkContext.broadcast([r["phrase"] for r in phrase_table.select("phrase").collect()])
+    hit = pa.struct([("pos", pa.int32()), ("words", pa.int32()), ("phrase", pa.string())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        root = phrase_trie(shared.value)
+        for batch in batches:
+            hits = [
+                [{"pos": at, "words": n, "phrase": p} for p, (at, n) in walk_trie(text.split(" "), root).items()]
+                for text in batch.column("_words").to_pylist()
+            ]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(hits, pa.list_(hit))], names=[id_column, "_hits"])
+
+    bound_batches(spark)
+    words = texts.select(id_column, normal_phrase(F.col(text_column)).alias("_words"))
+    schema = f"`{id_column}` {dict(texts.dtypes)[id_column]}, _hits array<struct<pos:int,words:int,phrase:string>>"
+    return words.mapInArrow(run, schema).select(id_column, F.explode_outer("_hits").alias("h")).select(id_column, "h.*")
+
+
+def _joined(texts: DataFrame, phrase_table: DataFrame, id_column: str, text_column: str, longest: int) -> DataFrame:
+    """The same by joins with a dictionary of any size: each phrase wherever it stands.
 
     Only words that start a phrase are looked at further, and only for the lengths of the phrases that they
-    start, so one long entry of the dictionary costs nothing where its first word does not occur.
+    start, so one long entry of the dictionary costs nothing where its first word does not occur. Rows that are
+    shuffled take along the words that a phrase from there may have, not all.
     """
-    longest, n_bytes = _measure(phrase_table)
     words = texts.select(id_column, tokens(F.col(text_column)).alias("w"))
     placed = words.select(id_column, "w", F.posexplode_outer("w").alias("pos", "first"))
-    if n_bytes > limit:
-        # These rows are shuffled: each takes along the words that a phrase from there may have, not all.
-        placed = placed.withColumn("w", F.slice("w", F.col("pos") + 1, F.lit(max(longest, 1))))
-        at, left = F.lit(1), F.size("w")
-    else:
-        at, left = F.col("pos") + 1, F.size("w") - F.col("pos")
+    placed = placed.withColumn("w", F.slice("w", F.col("pos") + 1, F.lit(max(longest, 1))))
     spread = F.xxhash64(id_column, "pos")
-    found = _matched(placed, _starts(phrase_table), "first", n_bytes, spread, limit)
+    found = _salted(placed, _starts(phrase_table), "first", spread)
     first = F.coalesce(F.col("pos"), F.lit(0)) == 0
-    fitting = F.filter("lengths", lambda n: n <= left)
-    runs = F.transform(fitting, lambda n: F.struct(n.alias("words"), F.array_join(F.slice("w", at, n), " ").alias("phrase")))
+    fitting = F.filter("lengths", lambda n: n <= F.size("w"))
+    runs = F.transform(fitting, lambda n: F.struct(n.alias("words"), F.array_join(F.slice("w", 1, n), " ").alias("phrase")))
     placed = found.filter(F.col("lengths").isNotNull() | first).select(id_column, "pos", F.explode_outer(runs).alias("r"))
     known = phrase_table.select("phrase", F.lit(True).alias("known"))
-    hits = _matched(placed.select(id_column, "pos", "r.words", "r.phrase"), known, "phrase", n_bytes, spread, limit)
+    hits = _salted(placed.select(id_column, "pos", "r.words", "r.phrase"), known, "phrase", spread)
     hits = hits.filter(F.col("known") | (F.coalesce(F.col("pos"), F.lit(0)) == 0))
     return hits.select(id_column, "pos", "words", F.when(F.col("known"), F.col("phrase")).alias("phrase"))
 
 
+def phrase_hits(texts: DataFrame, phrase_table: DataFrame, id_column: str, text_column: str, limit: int = TRIE_BYTES) -> DataFrame:
+    """(id, pos, words, phrase): the phrases of the table in each text, and one row at least of every text.
+
+    A dictionary of measured small size is a trie in every task, along which each text is walked once; a larger one
+    is joined.
+    """
+    longest, n_bytes = _measure(phrase_table)
+    if n_bytes <= limit:
+        return _walked(texts, phrase_table, id_column, text_column)
+    return _joined(texts, phrase_table, id_column, text_column, longest)
+
+
 def find_phrases(
     texts: DataFrame,
     phrase_table: DataFrame,
     id_column: str,
     text_column: str,
-    broadcast_limit: int = BROADCAST_LIMIT_BYTES,
+    broadcast_limit: int = TRIE_BYTES,
 ) -> DataFrame:
     """(id, found): sorted distinct phrases of the table that occur in each text; [] if none.
 
-    Overlapping phrases all count. Runs of words are looked up by equi-joins; one row of every text
-    is kept in any case, so texts without a phrase stay and no text is ever shuffled: what leaves a
-    task is one row per text with its phrases.
+    Overlapping phrases all count. One row of every text is kept in any case, so texts without a phrase stay and
+    no text is ever shuffled: what leaves a task is one row per text with its phrases.
     """
     hits = phrase_hits(texts, phrase_table, id_column, text_column, broadcast_limit)
     return hits.groupBy(id_column).agg(F.array_sort(F.collect_set("phrase")).alias("found"))
@@ -133,7 +196,7 @@ def find_phrases_in_order(
     phrase_table: DataFrame,
     id_column: str,
     text_column: str,
-    broadcast_limit: int = BROADCAST_LIMIT_BYTES,
+    broadcast_limit: int = TRIE_BYTES,
 ) -> DataFrame:
     """(id, found): distinct phrases longer than one character by first position, shorter first."""
     usable = phrase_table.filter(F.length("phrase") > 1)

@@ -90,6 +90,18 @@ def broadcast_if_small(df: DataFrame, row_bytes: Column, limit: int = BROADCAST_
     return (F.broadcast(df), True) if total <= limit else (df, False)
 
 
+# Bytes of one Arrow batch that a Python worker gets, so that long texts come few at a time.
+BATCH_BYTES = 8 * 1024 * 1024
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Lower the session's bound on the bytes of an Arrow batch, where it is unset or higher."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    set_to = str(spark.conf.get(name)).lower().rstrip("b")
+    if not set_to.isdigit() or not 0 < int(set_to) <= BATCH_BYTES:
+        spark.conf.set(name, BATCH_BYTES)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Rows of a scan over all cores where it yields fewer partitions, as a single small file does.
 
