@@ -1,6 +1,7 @@
 """Streams drained over several batches give what the batch operators give."""
 
 import json
+import os
 import re
 
 from pyspark.sql import functions as F
@@ -50,6 +51,24 @@ def test_dead_letters_and_repeated_batches(spark, tmp_path):
     assert spark.read.parquet(f"{out}/again").count() == 5
 
 
+def test_batches_look_up_their_own_ids_only(spark, tmp_path):
+    """Many batches with repeats of all earlier ones: what a batch reads and keeps does not grow with what came before."""
+    box, out, sent = tmp_path / "in", str(tmp_path / "out"), []
+    for batch in range(6):
+        new = [f"i{batch}-{n}" for n in range(40)]
+        again = [sent[n * 7 % len(sent)] for n in range(20)] if sent else []
+        drop(box, f"{batch}.json", [{"value": json.dumps({"id": i, "source": str(batch)})} for i in [*new, *again, new[0]]] + [{"value": "{bad"}])
+        os.utime(box / f"{batch}.json", (1e9 + batch, 1e9 + batch))
+        sent += new
+    query = ingest.ingest_with_dead_letters(source(spark, box, "value string"), out)
+    query.awaitTermination()
+    rows = spark.read.parquet(f"{out}/rows").collect()
+    assert sorted(r["id"] for r in rows) == sorted(sent) and all(r["id"].startswith(f"i{r['source']}-") for r in rows)
+    assert ingest.ingest_counts(spark, out).first().asDict() == {"received": 6 * 42 + 5 * 20, "malformed": 6, "kept": 240, "repeated": 6 + 100}
+    updated = [max(s["numRowsUpdated"] for s in p["stateOperators"]) for p in query.recentProgress if p["stateOperators"]]
+    assert len(updated) >= 6 and max(updated) <= 61 and not (tmp_path / "out" / "ids").exists()
+
+
 def test_running_pairs_equal_batch(spark, tmp_path):
     rows = [
         {"job_id": f"j{i % 3}", "cv_id": f"c{i % 2}", "signal_strength": [1.0, -0.3, 0.5, 0.0][i % 4], "timestamp": f"2024-01-01T00:00:{i:02d}Z"}

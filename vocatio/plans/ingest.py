@@ -46,8 +46,11 @@ def csv_by_name(spark: SparkSession, sf_dir: str) -> DataFrame:
     files.write_csv(documents.filter(key < 3).select("text", "doc_id"), f"{path}/a")
     files.write_csv(documents.filter(key > 3).select("source", "doc_id", "lang", "text"), f"{path}/b")
     broken = documents.filter(key == 3).select(F.concat(F.lit("r"), "doc_id", F.lit(",only two fields")).alias("value"))
-    lines = spark.createDataFrame([("doc_id,lang,text",)], "value string").unionAll(broken)
-    lines.coalesce(1).write.text(f"{path}/c")
+    # The first line of each file is a header.
+    first = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)) == 0
+    headed = broken.select("value", first.alias("first"))
+    lines = F.when(F.col("first"), F.array(F.lit("doc_id,lang,text"), "value")).otherwise(F.array("value"))
+    headed.select(F.explode(lines).alias("value")).write.text(f"{path}/c")
     folders, schema = [f"{path}/{x}" for x in "abc"], "doc_id string, text string"
     good = files.read_csv(spark, folders, schema, multi_line=True)
     bad = files.rejected_csv(spark, folders, schema, multi_line=True)
@@ -206,15 +209,24 @@ def _delivered(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     The first batch has the latest time of all, so a watermark would take nearly everything after it for late.
     Each batch holds one broken message.
     """
-    path, day = work_path(spark, name), F.dayofmonth("timestamp")
+    day = F.dayofmonth("timestamp")
     sent = _event_messages(views.table(spark, sf_dir, "events"))
     sent = sent.withColumn("part", F.when(day > 20, 1).when(day > 10, 2).otherwise(3))
+    return _in_batches(sent, [(1,), (2, 1), (3, 2)], work_path(spark, name))
+
+
+def _in_batches(sent: DataFrame, batches: list[tuple[int, ...]], path: str) -> DataFrame:
+    """A stream of one batch for each tuple of parts, each with one broken message more.
+
+    A batch is as many files as the table has splits, so that no task writes or reads all of it.
+    """
+    spark = sent.sparkSession
     broken = spark.createDataFrame([('{"id": ',)], "value string").withColumn("timestamp", F.lit("2024-01-01").cast("timestamp"))
-    for part in (1, 2, 3):
-        batch = sent.filter(F.col("part").isin(part, part - 1)).drop("part").unionByName(broken)
-        # One file is one batch of the stream.
-        batch.coalesce(1).write.mode("append").parquet(path)
-    return spark.readStream.schema(batch.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    n_files = max(1, sent.rdd.getNumPartitions())
+    for parts in batches:
+        batch = sent.filter(F.col("part").isin(*parts)).drop("part").unionByName(broken)
+        batch.repartition(n_files).write.mode("append").parquet(path)
+    return spark.readStream.schema(batch.schema).option("maxFilesPerTrigger", n_files).parquet(path)
 
 
 @query(
@@ -248,10 +260,9 @@ def stream_ingest_late(spark: SparkSession, sf_dir: str) -> DataFrame:
   CAST(user_id AS VARCHAR) AS company, props AS description, '' AS job_link FROM events""",
 )
 def stream_ingest_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same deliveries, with repeats told by the rows already written."""
-    twice = _event_messages(_table_stream(spark, sf_dir, "events")).union(
-        _event_messages(_table_stream(spark, sf_dir, "events"))
-    )
+    """Events in five batches: each comes again with the next one, a fifth of them once more with the last."""
+    sent = _event_messages(views.table(spark, sf_dir, "events")).withColumn("part", 1 + F.pmod(F.xxhash64("value"), F.lit(5)))
+    twice = _in_batches(sent, [(1,), (2, 1), (3, 2), (4, 3), (5, 4, 1)], work_path(spark, "stream-exact-in"))
     out = work_path(spark, "stream-exact")
     ingest.ingest_with_dead_letters(twice, out, order="timestamp").awaitTermination()
     return spark.read.parquet(f"{out}/rows").select("id", "source", "job_title", "company", "description", "job_link")

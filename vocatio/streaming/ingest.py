@@ -87,43 +87,35 @@ def batch_table(path: str):
     return write
 
 
-# Buckets of the ids that batches have written; a batch reads those of its own ids only.
-ID_BUCKETS = 64
-
-
 def ingest_with_dead_letters(
     stream: DataFrame, out: str, order: str | None = None, at: Column | None = None, schema: T.StructType = messages.POSTING_SCHEMA
 ) -> StreamingQuery:
     """Good messages, each id once, and dead letters of one stream into tables, batch by batch.
 
     As :func:`ingest`, but all tables of a batch are written together and replace themselves if the
-    batch runs again. A batch is reduced to one row per id, the earliest by ``order`` (without one, the
-    least row), before its shuffle. Ids of earlier batches are taken out by an anti join with a table of
-    ids alone, in buckets by hash, of which only those that the batch has ids in are read.
+    batch runs again. Which ids are new is told by the stream's state, in which a batch looks up its own
+    ids only, however many there have been; the state holds ids alone. Their rows are those of the batch: one
+    for each new id, the earliest by ``order`` (without one, the least row), reduced before its shuffle.
     """
+    read = messages.parsed(stream, schema)
+    new_ids = distinct_ids(messages.records(read, schema).select("id")).select(F.col("id").alias("_new_id"))
+    both = read.unionByName(new_ids, allowMissingColumns=True)
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        parsed = messages.parsed(batch, schema).persist()
+        batch.persist()
         try:
+            parsed = batch.filter(F.col("_new_id").isNull()).drop("_new_id")
+            new = batch.filter(F.col("_new_id").isNotNull()).select(F.col("_new_id").alias("id"))
             extra = (order,) if order else ()
             rows = messages.first_of_each_id(messages.records(parsed, schema, extra), order).drop(*extra, "deliveries")
-            bucket = F.pmod(F.xxhash64("id"), F.lit(ID_BUCKETS)).cast("int")
-            if batch_id:
-                # At most ID_BUCKETS rows.
-                buckets = [r[0] for r in parsed.filter("error_type IS NULL").select(bucket).distinct().collect()]
-                seen = spark.read.schema("id string, batch_id bigint, bucket int").parquet(f"{out}/ids")
-                rows = joins.without(rows, seen.filter((F.col("batch_id") < batch_id) & F.col("bucket").isin(buckets)), "id")
-            batch_table(f"{out}/rows")(rows, batch_id)
-            ids = spark.read.schema("id string").parquet(f"{out}/rows/batch_id={batch_id}").withColumn("bucket", bucket)
-            ids.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{out}/ids/batch_id={batch_id}")
+            batch_table(f"{out}/rows")(joins.only(rows, new, "id"), batch_id)
             batch_table(f"{out}/dead")(messages.dead_letters(parsed, at=at), batch_id)
             batch_table(f"{out}/counts")(_counts(parsed), batch_id)
         finally:
-            parsed.unpersist()
+            batch.unpersist()
 
     return (
-        stream.writeStream.foreachBatch(write)
+        both.writeStream.foreachBatch(write)
         .option("checkpointLocation", f"{out}/checkpoint")
         .trigger(availableNow=True)
         .start()
