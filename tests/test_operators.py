@@ -214,6 +214,31 @@ def test_many_blocks(spark):
     assert as_set(found) == brute(q, i, 5)
 
 
+def test_two_large_sides_multiply_few_blocks(spark):
+    """Groups of vectors in several directions and of a third copies: most pairs of blocks are ruled out, no result is lost."""
+    rng = np.random.default_rng(8)
+    axes = np.eye(12)
+    rows = [(n, (axes[n % 12] + rng.normal(size=12) / 20).tolist()) for n in range(900)]
+    rows += [(n, axes[0].tolist()) for n in range(900, 1300)]
+    items = spark.createDataFrame(rows, "item_id bigint, vector array<double>")
+    asked = [(n, (axes[n % 12] + rng.normal(size=12) / 20).tolist()) for n in range(120)]
+    queries = spark.createDataFrame(asked, "query_id bigint, vector array<double>")
+    rounded = lambda found: {(q, i, rank, round(s, 6)) for q, i, rank, s in found}
+    assert as_set(retrieval.top_k(queries, items, 6, broadcast_limit=0, block_bytes=3000)) == rounded(brute(asked, rows, 6))
+    multiplied, pairs = retrieval.block_pairs(queries, items, 6, block_bytes=3000)
+    assert multiplied <= 0.15 * pairs
+    few = items.filter("item_id < 4")
+    assert as_set(retrieval.top_k(queries, few, 6, broadcast_limit=0, block_bytes=300)) == rounded(brute(asked, rows[:4], 6))
+    assert retrieval.top_k(queries, items.limit(0), 6, broadcast_limit=0).count() == 0
+
+
+def test_two_large_sides_leave_the_driver_alone(spark, monkeypatch):
+    _, queries = vectors(spark, 60, "query_id", 1)
+    _, items = vectors(spark, 90, "item_id", 2)
+    monkeypatch.setattr(retrieval, "_rows_of", lambda *_: pytest.fail("a side goes through the driver"))
+    assert retrieval.top_k(queries, items, 5, broadcast_limit=0, block_bytes=2048).count() == 300
+
+
 def test_cells(spark):
     q, queries = vectors(spark, 30, "query_id", 3)
     rows = [(n, [float(x) + 0.01 for x in v]) for n, v in vectors(spark, 200, "item_id", 4)[0]]

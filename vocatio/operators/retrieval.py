@@ -10,7 +10,9 @@ Three physical forms give the same rows:
 * the query side fits: items stay where they are. The best ``k`` of a sample of the items give each query
   a bar that its ``k`` best of all must reach; each task emits only what reaches it, and one shuffle of
   those candidates merges them;
-* neither fits: the queries go in rounds, each a part that fits, over items that stay where they are.
+* neither fits: both sides are cut into blocks around pivots. A pair of blocks is multiplied only if the best score
+  that it can hold, by the distances of its vectors from their pivots, reaches the ``k`` best that the nearest blocks
+  have given. Blocks meet over a shuffle; of the tables only pivots and one row of bounds a block pass the driver.
 
 Vectors that are null, hold null or non-finite components, or are not of the table's usual size take no part;
 :func:`rejected_vectors` counts them.
@@ -19,7 +21,6 @@ Vectors that are null, hold null or non-finite components, or are not of the tab
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 from vocatio import presets
 from vocatio.functions.hashing import draw
 from vocatio.functions.vectors import is_finite
-from vocatio.session import BROADCAST_LIMIT_BYTES, written
+from vocatio.session import BROADCAST_LIMIT_BYTES, broadcast_if_small, written
 
 SCALE = 1_000_000
 # Vectors of one block, as doubles; a task holds one block of each side. Every row is sent once per
@@ -42,6 +43,8 @@ ITEMS_AT_ONCE = 2_048
 COMPONENTS_AT_ONCE = 8_000_000
 # Items that the bars are taken from: the more, the fewer candidates leave the tasks; any number gives the same rows.
 BAR_ITEMS = 50_000
+# Pivots that blocks lie around; more of them give closer bounds and cost a comparison more for each vector.
+PIVOTS = 256
 
 
 def _arrow_matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
@@ -231,12 +234,117 @@ def _offered(queries: DataFrame, items: DataFrame, k: int, schema: str, bars: di
     return items.select("item_id", "vector").mapInArrow(search, schema)
 
 
-def _in_rounds(queries: DataFrame, items: DataFrame, k: int, schema: str, rounds: int) -> DataFrame:
-    """The queries in parts that fit every task, each over items that are not moved."""
-    part = F.pmod(F.xxhash64("query_id"), F.lit(rounds))
-    queries = written(queries.select("query_id", "vector", part.cast("int").alias("part")), "queries")
-    found = [_with_queries_everywhere(queries.filter(F.col("part") == i), items, k, schema) for i in range(rounds)]
-    return reduce(DataFrame.unionByName, found)
+def _pivots(items: DataFrame, n_items: int, n: int = PIVOTS) -> np.ndarray:
+    """Vectors of at most ``n`` items, drawn by the hashes of their ids, without repeats."""
+    share = min(1.0, 4 * n / max(1, n_items))
+    drawn = items if share == 1.0 else items.filter(draw(F.col("item_id"), 11) < int(share * (1 << 32)))
+    rows = drawn.orderBy(draw(F.col("item_id"), 11), "item_id").select("vector").limit(n).collect()
+    return np.unique(np.array([r["vector"] for r in rows], dtype=np.float64), axis=0) if rows else np.zeros((0, 1))
+
+
+def _around_pivots(side: DataFrame, id_column: str, pivots: np.ndarray, row_bytes: int, block_bytes: int) -> DataFrame:
+    """(block, cell, away, id, vector): the nearest pivot and its distance, and a block of the vectors of that pivot.
+
+    A pivot with many vectors, copies of one for example, has many blocks, by the hash of the ids.
+    """
+    shared = side.sparkSession.sparkContext.broadcast(pivots)
+    kind = dict(side.dtypes)[id_column]
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pivots = shared.value
+        lengths = np.einsum("ij,ij->i", pivots, pivots)
+        for batch in batches:
+            matrix = _arrow_matrix(batch.column("vector"))
+            cells, away = np.zeros(len(matrix), np.int32), np.zeros(len(matrix))
+            for at in range(0, len(matrix), ITEMS_AT_ONCE):
+                part = matrix[at : at + ITEMS_AT_ONCE]
+                near = np.argmin(lengths - 2 * (part @ pivots.T), axis=1)
+                cells[at : at + len(part)] = near
+                away[at : at + len(part)] = np.linalg.norm(part - pivots[near], axis=1)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cells), pa.array(away)], names=[id_column, "vector", "cell", "away"])
+
+    placed = side.select(id_column, "vector").mapInArrow(place, f"{id_column} {kind}, vector array<double>, cell int, away double")
+    placed = written(placed, "around-pivots")
+    sizes = placed.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) * row_bytes / block_bytes).cast("long").alias("blocks"))
+    part = F.pmod(F.xxhash64(id_column), F.col("blocks"))
+    return placed.join(F.broadcast(sizes), "cell").select((F.shiftleft(F.col("cell").cast("long"), 32) + part).alias("block"), "cell", "away", id_column, "vector")
+
+
+def _bounds(placed: DataFrame, id_column: str) -> DataFrame:
+    """One row for each block: its pivot, the farthest of its vectors, how many there are and how many different ids."""
+    return placed.groupBy("block", "cell").agg(F.max("away").alias("radius"), F.count(F.lit(1)).alias("n"), F.countDistinct(id_column).alias("ids"))
+
+
+def _pairs(query_bounds: DataFrame, item_bounds: DataFrame, pivots: np.ndarray, k: int) -> DataFrame:
+    """(query_block, item_block) of the pairs of blocks that may hold one of the ``k`` best of a query.
+
+    With no column ``bar`` of the query blocks these are the nearest blocks, which hold ``k`` items (seeds); with it, all
+    others whose best possible score reaches the bar.
+    """
+    # Bounds are a few numbers for each block of items.
+    rows = item_bounds.select("block", "cell", "radius", "n").toPandas().sort_values("block")
+    shared = query_bounds.sparkSession.sparkContext.broadcast((pivots, *(rows[c].to_numpy() for c in ("block", "cell", "radius", "n"))))
+    seeds = "bar" not in query_bounds.columns
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pivots, blocks, cells, radius, n = shared.value
+        norms = np.linalg.norm(pivots, axis=1)
+        for batch in batches:
+            left, right = [], []
+            for row in batch.to_pylist():
+                near = pivots[cells] @ pivots[row["cell"]]
+                order = np.argsort(-near, kind="stable")
+                first = order[: np.searchsorted(np.cumsum(n[order]), k) + 1]
+                if seeds:
+                    hit = blocks[first]
+                else:
+                    best = near + norms[row["cell"]] * radius + norms[cells] * row["radius"] + radius * row["radius"]
+                    best += 1e-9 * (1 + np.abs(best))  # more than rounding takes away
+                    reach = best * SCALE + 1 >= row["bar"] * SCALE if row["bar"] is not None else np.ones(len(blocks), bool)
+                    reach[first] = False
+                    hit = blocks[reach]
+                left += [row["block"]] * len(hit)
+                right += hit.tolist()
+            yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["query_block", "item_block"])
+
+    columns = ["block", "cell", "radius", *([] if seeds else ["bar"])]
+    return query_bounds.select(*columns).mapInArrow(meet, "query_block long, item_block long")
+
+
+def _multiplied(queries: DataFrame, items: DataFrame, pairs: DataFrame, k: int, schema: str) -> DataFrame:
+    """The best ``k`` of each query in each pair of blocks; ``queries`` may have a ``bar`` that results must reach."""
+    keys = ["query_block", "item_block"]
+    pairs = written(pairs, "block-pairs")
+
+    def sent(side: DataFrame, own: str, other: str, *columns: str) -> DataFrame:
+        lists = pairs.groupBy(F.col(own).alias("block")).agg(F.collect_list(other).alias("others"))
+        lists, _ = broadcast_if_small(lists, 16 + 8 * F.size("others"))
+        return side.join(lists, "block").select(F.col("block").alias(own), F.explode("others").alias(other), *columns).groupBy(*keys)
+
+    bar = ["bar"] if "bar" in queries.columns else []
+    left, right = sent(queries, *keys, "query_id", "vector", *bar), sent(items, *reversed(keys), "item_id", "vector")
+    return left.cogroup(right).applyInArrow(_block_search(k), schema)
+
+
+def _in_pruned_blocks(queries: DataFrame, items: DataFrame, k: int, schema: str, dimension: int, block_bytes: int) -> tuple[DataFrame, DataFrame, int]:
+    """Candidates of all queries, the pairs of blocks that were multiplied, and how many pairs there are."""
+    n_items, row_bytes = items.count(), dimension * 8 + 64
+    pivots = _pivots(items, n_items)
+    if not len(pivots):
+        none = queries.sparkSession.createDataFrame([], schema)
+        return none, none.select(F.lit(0).alias("query_block"), F.lit(0).alias("item_block")), 0
+    queries = _around_pivots(queries, "query_id", pivots, row_bytes, block_bytes)
+    items = _around_pivots(items, "item_id", pivots, row_bytes, block_bytes)
+    query_bounds, item_bounds = written(_bounds(queries, "query_id"), "query-bounds"), written(_bounds(items, "item_id"), "item-bounds")
+    seeds = written(_pairs(query_bounds, item_bounds, pivots, k), "seeds")
+    first = written(_multiplied(queries, items, seeds, k, schema), "seed-scores")
+    bars = ranked(first, k).filter(F.col("rank") == k).select("query_id", F.col("score").alias("bar"))
+    barred = written(queries.join(bars, "query_id", "left"), "barred")
+    # A block's bar is its lowest; none if a query has not found k items yet.
+    low = barred.groupBy("block").agg(F.when(F.count("bar") == F.count(F.lit(1)), F.min("bar")).alias("bar"))
+    more = written(_pairs(query_bounds.join(low, "block"), item_bounds, pivots, k), "more-pairs")
+    rest = _multiplied(barred, items, more, k, schema)
+    return first.unionByName(rest), seeds.unionByName(more), query_bounds.count() * item_bounds.count()
 
 
 def _block_search(k: int):
@@ -245,7 +353,11 @@ def _block_search(k: int):
         query_ids, item_type = left.column("query_id"), right.column("item_id").type
         if not left.num_rows or not right.num_rows:
             return pa.table([query_ids.slice(0, 0), pa.array([], item_type), pa.array([], pa.float64())], names)
-        leaders = _Leaders(_arrow_matrix(left.column("vector")), k)
+        bar = None
+        if "bar" in left.column_names:
+            bar = left.column("bar").to_numpy().astype(np.float64)
+            bar = np.where(np.isnan(bar), -np.inf, _units(np.nan_to_num(bar)))
+        leaders = _Leaders(_arrow_matrix(left.column("vector")), k, bar)
         leaders.offer(_arrow_matrix(right.column("vector")), _ids(right.column("item_id")))
         rows, found, scores = leaders.result()
         return pa.table([query_ids.take(pa.array(rows)), pa.array(found, type=item_type), pa.array(scores)], names)
@@ -302,10 +414,17 @@ def top_k(
     queries, items = usable_vectors(queries, dimension), usable_vectors(items, dimension)
     if _bytes(items, "item_id", dimension) <= broadcast_limit:
         return ranked(_with_items_everywhere(queries, items, k, schema), k)
-    query_bytes = _bytes(queries, "query_id", dimension)
-    if query_bytes <= broadcast_limit:
+    if _bytes(queries, "query_id", dimension) <= broadcast_limit:
         return ranked(_with_queries_everywhere(queries, items, k, schema), k)
-    return ranked(_in_rounds(queries, items, k, schema, _blocks(query_bytes, block_bytes)), k)
+    return ranked(_in_pruned_blocks(queries, items, k, schema, dimension, block_bytes)[0], k)
+
+
+def block_pairs(queries: DataFrame, items: DataFrame, k: int = presets.CANDIDATES, block_bytes: int = BROADCAST_LIMIT_BYTES) -> tuple[int, int]:
+    """How many pairs of blocks a search of two large sides multiplies, and how many there are."""
+    dimension = dimension_of(items)
+    sides = usable_vectors(queries, dimension), usable_vectors(items, dimension)
+    _, pairs, n = _in_pruned_blocks(*sides, k, _result_schema(*sides), dimension, block_bytes)
+    return pairs.count(), n
 
 
 def _same_encoder(queries: DataFrame, items: DataFrame) -> None:
