@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from vocatio import presets
 from vocatio.functions.hashing import draw
 from vocatio.functions.vectors import is_finite
-from vocatio.session import BROADCAST_LIMIT_BYTES, broadcast_if_small, written
+from vocatio.session import BROADCAST_LIMIT_BYTES, written
 
 SCALE = 1_000_000
 # Vectors of one block, as doubles; a task holds one block of each side. Every row is sent once per
@@ -52,7 +52,7 @@ def _arrow_matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-    return flat.reshape(len(column), -1)
+    return flat.reshape(len(column), -1) if len(column) else np.zeros((0, 1))
 
 
 def _units(scores: np.ndarray) -> np.ndarray:
@@ -248,7 +248,7 @@ def _around_pivots(side: DataFrame, id_column: str, pivots: np.ndarray, row_byte
     A pivot with many vectors, copies of one for example, has many blocks, by the hash of the ids.
     """
     shared = side.sparkSession.sparkContext.broadcast(pivots)
-    kind = dict(side.dtypes)[id_column]
+    kinds = dict(side.dtypes)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pivots = shared.value
@@ -263,16 +263,16 @@ def _around_pivots(side: DataFrame, id_column: str, pivots: np.ndarray, row_byte
                 away[at : at + len(part)] = np.linalg.norm(part - pivots[near], axis=1)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cells), pa.array(away)], names=[id_column, "vector", "cell", "away"])
 
-    placed = side.select(id_column, "vector").mapInArrow(place, f"{id_column} {kind}, vector array<double>, cell int, away double")
+    placed = side.select(id_column, "vector").mapInArrow(place, f"{id_column} {kinds[id_column]}, vector {kinds['vector']}, cell int, away double")
     placed = written(placed, "around-pivots")
     sizes = placed.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) * row_bytes / block_bytes).cast("long").alias("blocks"))
     part = F.pmod(F.xxhash64(id_column), F.col("blocks"))
     return placed.join(F.broadcast(sizes), "cell").select((F.shiftleft(F.col("cell").cast("long"), 32) + part).alias("block"), "cell", "away", id_column, "vector")
 
 
-def _bounds(placed: DataFrame, id_column: str) -> DataFrame:
-    """One row for each block: its pivot, the farthest of its vectors, how many there are and how many different ids."""
-    return placed.groupBy("block", "cell").agg(F.max("away").alias("radius"), F.count(F.lit(1)).alias("n"), F.countDistinct(id_column).alias("ids"))
+def _bounds(placed: DataFrame) -> DataFrame:
+    """One row for each block: its pivot, how far away the farthest of its vectors is, and how many there are."""
+    return placed.groupBy("block", "cell").agg(F.max("away").alias("radius"), F.count(F.lit(1)).alias("n"))
 
 
 def _pairs(query_bounds: DataFrame, item_bounds: DataFrame, pivots: np.ndarray, k: int) -> DataFrame:
@@ -314,11 +314,10 @@ def _pairs(query_bounds: DataFrame, item_bounds: DataFrame, pivots: np.ndarray,
 def _multiplied(queries: DataFrame, items: DataFrame, pairs: DataFrame, k: int, schema: str) -> DataFrame:
     """The best ``k`` of each query in each pair of blocks; ``queries`` may have a ``bar`` that results must reach."""
     keys = ["query_block", "item_block"]
-    pairs = written(pairs, "block-pairs")
 
     def sent(side: DataFrame, own: str, other: str, *columns: str) -> DataFrame:
+        # One row a block, which Spark broadcasts where it turns out to be small.
         lists = pairs.groupBy(F.col(own).alias("block")).agg(F.collect_list(other).alias("others"))
-        lists, _ = broadcast_if_small(lists, 16 + 8 * F.size("others"))
         return side.join(lists, "block").select(F.col("block").alias(own), F.explode("others").alias(other), *columns).groupBy(*keys)
 
     bar = ["bar"] if "bar" in queries.columns else []
@@ -326,16 +325,17 @@ def _multiplied(queries: DataFrame, items: DataFrame, pairs: DataFrame, k: int,
     return left.cogroup(right).applyInArrow(_block_search(k), schema)
 
 
-def _in_pruned_blocks(queries: DataFrame, items: DataFrame, k: int, schema: str, dimension: int, block_bytes: int) -> tuple[DataFrame, DataFrame, int]:
-    """Candidates of all queries, the pairs of blocks that were multiplied, and how many pairs there are."""
+def _in_pruned_blocks(queries: DataFrame, items: DataFrame, k: int, schema: str, dimension: int, block_bytes: int) -> tuple[DataFrame, DataFrame, list[DataFrame]]:
+    """Candidates of all queries, the pairs of blocks that were multiplied, and the blocks of both sides."""
     n_items, row_bytes = items.count(), dimension * 8 + 64
-    pivots = _pivots(items, n_items)
+    # Some blocks for each that the items would fill, so that most of their pairs are far apart.
+    pivots = _pivots(items, n_items, min(PIVOTS, 4 * _blocks(n_items * row_bytes, block_bytes)))
     if not len(pivots):
         none = queries.sparkSession.createDataFrame([], schema)
-        return none, none.select(F.lit(0).alias("query_block"), F.lit(0).alias("item_block")), 0
+        return none, none.select(F.lit(0).alias("query_block"), F.lit(0).alias("item_block")), []
     queries = _around_pivots(queries, "query_id", pivots, row_bytes, block_bytes)
     items = _around_pivots(items, "item_id", pivots, row_bytes, block_bytes)
-    query_bounds, item_bounds = written(_bounds(queries, "query_id"), "query-bounds"), written(_bounds(items, "item_id"), "item-bounds")
+    query_bounds, item_bounds = written(_bounds(queries), "query-bounds"), written(_bounds(items), "item-bounds")
     seeds = written(_pairs(query_bounds, item_bounds, pivots, k), "seeds")
     first = written(_multiplied(queries, items, seeds, k, schema), "seed-scores")
     bars = ranked(first, k).filter(F.col("rank") == k).select("query_id", F.col("score").alias("bar"))
@@ -344,7 +344,7 @@ def _in_pruned_blocks(queries: DataFrame, items: DataFrame, k: int, schema: str,
     low = barred.groupBy("block").agg(F.when(F.count("bar") == F.count(F.lit(1)), F.min("bar")).alias("bar"))
     more = written(_pairs(query_bounds.join(low, "block"), item_bounds, pivots, k), "more-pairs")
     rest = _multiplied(barred, items, more, k, schema)
-    return first.unionByName(rest), seeds.unionByName(more), query_bounds.count() * item_bounds.count()
+    return first.unionByName(rest), seeds.unionByName(more), [query_bounds, item_bounds]
 
 
 def _block_search(k: int):
@@ -423,8 +423,8 @@ def block_pairs(queries: DataFrame, items: DataFrame, k: int = presets.CANDIDATE
     """How many pairs of blocks a search of two large sides multiplies, and how many there are."""
     dimension = dimension_of(items)
     sides = usable_vectors(queries, dimension), usable_vectors(items, dimension)
-    _, pairs, n = _in_pruned_blocks(*sides, k, _result_schema(*sides), dimension, block_bytes)
-    return pairs.count(), n
+    _, pairs, blocks = _in_pruned_blocks(*sides, k, _result_schema(*sides), dimension, block_bytes)
+    return pairs.count(), int(np.prod([b.count() for b in blocks])) if blocks else 0
 
 
 def _same_encoder(queries: DataFrame, items: DataFrame) -> None:

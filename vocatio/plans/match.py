@@ -73,7 +73,7 @@ def knn_cvs_for_job(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("knn_in_blocks", RANKED_SQL + "SELECT query_id, item_id, score, CAST(rank AS INTEGER) AS rank FROM found WHERE rank <= 10")
 def knn_in_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The form for two large sides: the queries go in rounds over the items."""
+    """The form for two large sides: blocks around pivots, of which those that may matter are multiplied."""
     queries, items = views.cv_vectors(spark, sf_dir).drop("label"), views.job_vectors(spark, sf_dir).drop("label")
     return retrieval.top_k(queries, items, 10, broadcast_limit=0, block_bytes=512 * 1024)
 
