@@ -191,6 +191,32 @@ def test_a_hot_id_in_chained_joins_is_split(spark):
     assert joins.enriched(base, one, two).filter("a = 'a' AND b = 'b'").count() == 3000
 
 
+def test_hot_ids_are_spread_without_session_settings(spark):
+    """A third of all rows on one id, copies of one row among them: no task gets much more than another."""
+    names = ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold", "spark.sql.shuffle.partitions")
+    kept = {n: spark.conf.get(n) for n in names}
+    try:
+        for n, v in zip(names, ("false", "-1", "16")):
+            spark.conf.set(n, v)
+        hot = F.when(F.col("id") % 3 == 0, -7).otherwise(F.col("id"))
+        base = spark.range(0, 12_000, 1, 24).select(hot.alias("id"), F.when(hot == -7, 0).otherwise(F.col("id")).alias("row"))
+        one = spark.range(12_000).select("id", F.lit("a").alias("a")).union(spark.createDataFrame([(-7, "hot"), (-7, "again"), (None, "x")], "id bigint, a string"))
+        two = spark.range(6000).select("id", F.lit("b").alias("b"))
+        plain = base.join(one, "id", "left").join(two, "id", "left")
+        assert joins.hot_keys(base, ["id", "row"], 500) == {"id": [-7], "row": [0]} and joins.hot_keys(base, ["id"]) == {"id": []}
+        found = joins.enriched(base, one, two, hot_rows=500)
+        assert found.columns == plain.columns and found.exceptAll(plain).count() == plain.exceptAll(found).count() == 0
+        largest = lambda df: max(df.groupBy(F.spark_partition_id()).count().select("count").toPandas()["count"])
+        # 8,000 rows of the hot id met in one task; now in as many as there are salts or parts of the input.
+        assert largest(plain) >= 8000 and largest(found) <= 3000
+        pairs = base.select(F.col("id").alias("anchor"), F.col("row").alias("match"))
+        people = spark.createDataFrame([(-7, "hot"), (0, "zero")], "id bigint, text string")
+        assert joins.with_texts(pairs, people, people, hot_rows=500).filter("anchor_text = 'hot' AND positive_text = 'zero'").count() == 4000
+    finally:
+        for n, v in kept.items():
+            spark.conf.set(n, v)
+
+
 def test_copies_and_small_steps(spark, monkeypatch):
     """A third of all items are the same vector; every path must break the ties by id."""
     rng = np.random.default_rng(5)

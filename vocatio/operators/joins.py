@@ -8,6 +8,40 @@ from pyspark.sql import functions as F
 from vocatio import presets
 
 
+# A key with so many rows, and with a thousandth of its table, is hot; at most HOT_KEYS keys can be.
+HOT_ROWS = 1_000_000
+HOT_KEYS = 1000
+SALTS = 64
+
+
+def hot_keys(df: DataFrame, keys: list[str], rows: int = HOT_ROWS) -> dict[str, list]:
+    """For each key column the values that would make a task of their own too large, by sketches in one pass; nulls are none."""
+    counted = [F.count(F.lit(1)).alias("n")]
+    counted += [F.expr(f"approx_top_k(`{k}`, {HOT_KEYS}, {8 * HOT_KEYS}) FILTER (WHERE `{k}` IS NOT NULL)").alias(f"top{i}") for i, k in enumerate(keys)]
+    found = df.agg(*counted).first()
+    least = max(rows, found["n"] / HOT_KEYS)
+    return {k: [t["item"] for t in found[f"top{i}"] or [] if t["count"] >= least] for i, k in enumerate(keys)}
+
+
+def left_joins(base: DataFrame, others: list[DataFrame], on: str, hot: list) -> DataFrame:
+    """Left joins on one key that share a partitioning, with the rows of the ``hot`` keys spread over ``SALTS`` tasks.
+
+    Only the rows of hot keys are copied on the other sides, once for each salt. It needs no setting of the session.
+    """
+    if not hot:
+        for other in others:
+            base = base.join(other, on, "left")
+        return base
+    is_hot, salts = F.col(on).isin(hot), F.sequence(F.lit(0), F.lit(SALTS - 1))
+    # A row's part of the input decides, so copies of one row are spread too.
+    salt = F.when(is_hot, F.pmod(F.spark_partition_id(), F.lit(SALTS))).otherwise(0)
+    joined = base.withColumn("_salt", salt)
+    for other in others:
+        copied = other.withColumn("_salt", F.explode(F.when(is_hot, salts).otherwise(F.array(F.lit(0)))))
+        joined = joined.join(copied, [on, "_salt"], "left")
+    return joined.select(*[c for c in joined.columns if c != "_salt"])
+
+
 def skills_by_link(skills: DataFrame) -> DataFrame:
     """One row per link, so that the join cannot multiply postings: different lists are merged.
 
@@ -22,29 +56,29 @@ def skills_by_link(skills: DataFrame) -> DataFrame:
     )
 
 
-def with_skills(postings: DataFrame, skills: DataFrame) -> DataFrame:
-    """Left join of postings with their skill list.
+def with_skills(postings: DataFrame, skills: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Left join of postings with their skill list; a link with very many postings is spread over tasks.
 
     Most sources have no link at all. A null key would send all their rows to one task, so a
     missing link is replaced by a value of the row's own, which no skill list has.
     """
     key = F.coalesce(F.col("job_link"), F.concat(F.lit("\u0000"), F.col("id").cast("string")))
     right = skills_by_link(skills).withColumnRenamed("job_link", "_key")
-    return postings.withColumn("_key", key).join(right, "_key", "left").drop("_key")
+    hot = hot_keys(postings, ["job_link"], hot_rows)["job_link"]
+    return left_joins(postings.withColumn("_key", key), [right], "_key", hot).drop("_key")
 
 
-def enriched(base: DataFrame, *others: DataFrame, on: str = "id") -> DataFrame:
-    """Left joins on one id; all share the partitioning of the first."""
-    for other in others:
-        base = base.join(other, on, "left")
-    return base
+def enriched(base: DataFrame, *others: DataFrame, on: str = "id", hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Left joins on one id; all share the partitioning of the first, hot ids are spread over tasks."""
+    return left_joins(base, list(others), on, hot_keys(base, [on], hot_rows)[on])
 
 
-def with_texts(pairs: DataFrame, cvs: DataFrame, jobs: DataFrame) -> DataFrame:
-    """Texts of both sides of (anchor, match); unknown ids give null."""
+def with_texts(pairs: DataFrame, cvs: DataFrame, jobs: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Texts of both sides of (anchor, match); unknown ids give null, an id with very many pairs is spread over tasks."""
     left = cvs.select(F.col("id").alias("anchor"), F.col("text").alias("anchor_text"))
     right = jobs.select(F.col("id").alias("match"), F.col("text").alias("positive_text"))
-    return pairs.join(left, "anchor", "left").join(right, "match", "left")
+    hot = hot_keys(pairs, ["anchor", "match"], hot_rows)
+    return left_joins(left_joins(pairs, [left], "anchor", hot["anchor"]), [right], "match", hot["match"])
 
 
 def only(df: DataFrame, ids: DataFrame, on: str) -> DataFrame:
