@@ -1,12 +1,16 @@
 """Operators against brute force on small fixtures, with the paths that large data takes."""
 
 import random
+import re
+from collections import Counter
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from vocatio import presets
 from vocatio.operators import encode, feedback, joins, quality, retrieval, sampling, skills
+from vocatio.operators.joins import left_joins
 from vocatio.sources import messages
 
 
@@ -516,3 +520,41 @@ def test_positions_are_those_of_the_shuffled_order(spark):
     placed = {r["position"]: r["id"] for r in sampling.shuffled_positions(rows, "id").collect()}
     assert [placed[n] for n in range(500)] == order and order != sorted(order)
     assert sampling.shuffled_positions(rows.limit(0), "id").count() == 0
+
+
+def test_terms_of_any_length(spark):
+    """Frequent runs equal those of a plain count, however long; a dictionary takes a term of twelve words."""
+    long_term = "senior certified cloud platform engineer for distributed data systems and search services"
+    rng = random.Random(5)
+    texts = [" ".join(rng.choice("abcd") * rng.randint(1, 2) for _ in range(rng.randint(0, 40))) for _ in range(60)]
+    texts += [f"we seek a {long_term} now", f"{long_term}!", None, "", "  ", texts[3] + " zz", texts[3]]
+    counts = Counter()
+    for t in texts:
+        words = re.findall(r"[\w+#]+", (t or "").lower())
+        counts.update(" ".join(words[i:j]) for i in range(len(words)) for j in range(i + 1, len(words) + 1))
+    for least in (2, 5):
+        expected = {r: n for r, n in counts.items() if n >= least and len(r) > 2 and r not in presets.REFRESH_STOP_TERMS}
+        got = skills.frequent_terms(spark.createDataFrame([(t,) for t in texts], "t string"), "t", least).collect()
+        assert len(got) == len(expected) and {r["skill"]: r["count"] for r in got} == expected
+    frame = spark.createDataFrame([(t,) for t in texts], "t string")
+    known = spark.createDataFrame([("Senior Certified", 4)], "skill string, count bigint")
+    fresh = {r["skill"]: r["count"] for r in skills.refreshed_dictionary(known, skills.frequent_terms(frame, "t")).collect()}
+    assert fresh[long_term] == 1 and fresh["Senior Certified"] == 4 and "senior certified" not in fresh
+    assert skills.frequent_terms(frame.limit(0), "t").count() == 0
+
+
+def test_terms_end_where_clauses_do(spark):
+    frame = spark.createDataFrame([("Java, data lake. Java\ndata lake",), (None,), (",",)], "t string")
+    got = {r["skill"]: r["count"] for r in skills.frequent_terms(skills.clauses(frame, "t"), "t").collect()}
+    assert got == {"java": 2, "data": 2, "lake": 2, "data lake": 2}
+
+
+def test_hot_runs_are_spread(spark, monkeypatch):
+    """A word that is a third of all rows goes to many tasks, and the terms stay the same."""
+    frame = spark.createDataFrame([(f"hot w{i} w{i}",) for i in range(400)], "t string")
+    plain = sorted(map(tuple, skills.frequent_terms(frame, "t").collect()))
+    seen = []
+    monkeypatch.setattr(skills, "HOT_ROWS", 100)
+    monkeypatch.setattr(skills, "left_joins", lambda base, others, on, hot: seen.extend(hot) or left_joins(base, others, on, hot))
+    assert sorted(map(tuple, skills.frequent_terms(frame, "t").collect())) == plain
+    assert seen

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -11,7 +12,8 @@ from pyspark.sql import functions as F
 from vocatio import presets
 from vocatio.functions.rules import is_quality_skill
 from vocatio.functions.text import candidate_terms, normal_phrase, split_trim, tokens
-from vocatio.session import bound_batches
+from vocatio.operators.joins import HOT_KEYS, HOT_ROWS, left_joins
+from vocatio.session import bound_batches, written
 
 # Bytes of the largest dictionary that every task holds as a trie; some twenty times as much in a Python worker.
 TRIE_BYTES = 8 * 1024 * 1024
@@ -218,27 +220,82 @@ def with_counts(found: DataFrame) -> DataFrame:
     )
 
 
-def new_terms(terms: DataFrame, known: DataFrame, min_count: int = 2) -> DataFrame:
-    """(skill, count): terms seen at least ``min_count`` times that the dictionary lacks.
-
-    Counting comes first: the anti join then sees one row per term, however often it occurs.
-    """
-    counted = terms.groupBy("skill").agg(F.count("*").alias("count")).filter(F.col("count") >= min_count)
+def new_terms(counted: DataFrame, known: DataFrame) -> DataFrame:
+    """The counted terms (skill, count) that the dictionary lacks; the anti join sees one row per term."""
     return counted.join(known.select(F.lower("skill").alias("skill")).distinct(), "skill", "left_anti")
 
 
-def refresh_terms(texts: DataFrame, text_column: str, longest: int = presets.LONGEST_NEW_TERM) -> DataFrame:
-    """Candidate rows for a dictionary refresh: every run of up to ``longest`` words.
+def refresh_terms(texts: DataFrame, text_column: str, longest: int) -> DataFrame:
+    """Rows of every run of 1..longest words of the texts that may be a term; :func:`frequent_terms` needs no length."""
+    runs = word_runs(texts, text_column, longest).select(F.col("run").alias("skill"))
+    return runs.filter(_may_be_term())
+
+
+def _may_be_term() -> Column:
+    return (F.length("skill") > 2) & ~F.col("skill").isin(*presets.REFRESH_STOP_TERMS)
+
+
+def clauses(texts: DataFrame, text_column: str) -> DataFrame:
+    """One row for each stretch of a text between marks and line ends: a term does not go beyond them."""
+    return texts.select(F.explode(F.split(text_column, presets.CLAUSE_END)).alias(text_column)).filter(F.col(text_column) != "")
 
-    ``longest`` is the caller's: runs of any length would be as many as a repeated text has words.
+
+def _repeated(runs: DataFrame, min_count: int) -> tuple[DataFrame, bool]:
+    """The rows (row, pos, h) whose hash stands in ``min_count`` rows or more, written, and whether there are any.
+
+    Hashes are counted before their shuffle; rows of very frequent ones are spread over tasks.
     """
-    runs = word_runs(texts, text_column, longest).select(F.col("run").alias("skill"))
-    return runs.filter((F.length("skill") > 2) & ~F.col("skill").isin(*presets.REFRESH_STOP_TERMS))
+    runs = written(runs, "runs")
+    counts = written(runs.groupBy("h").agg(F.count("*").alias("n")).filter(F.col("n") >= min_count), "run-counts")
+    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
+    # At most HOT_KEYS hashes can hold such a share of the rows.
+    hot = [r["h"] for r in counts.filter(F.col("n") >= max(HOT_ROWS, total / HOT_KEYS)).select("h").collect()]
+    kept = left_joins(runs, [counts.select("h", F.lit(True).alias("known"))], "h", hot).filter("known").drop("known")
+    return written(kept, "repeated-runs"), total > 0
 
 
-def refreshed_dictionary(known: DataFrame, terms: DataFrame, min_count: int = 2) -> DataFrame:
+def _reaches(words: DataFrame, min_count: int) -> DataFrame | None:
+    """(row, pos, reach): from each place the longest run of 1, 2, 4, ... words that is seen ``min_count`` times; None if there is none.
+
+    A level doubles the length: a run can be frequent only where both of its halves are, and its hash comes from theirs.
+    So runs of n words take log2(n) rounds, and only places that are still frequent go on.
+    """
+    level, some = _repeated(words.select("row", F.posexplode("w").alias("pos", "word")).select("row", "pos", F.xxhash64("word").alias("h")), min_count)
+    levels, length = [], 1
+    while some:
+        levels.append(level.select("row", "pos", F.lit(length).alias("reach")))
+        after = level.select("row", (F.col("pos") - length).alias("pos"), F.col("h").alias("h2"))
+        longer = level.join(after, ["row", "pos"]).select("row", "pos", F.xxhash64("h", "h2").alias("h"))
+        level, some = _repeated(longer, min_count)
+        length *= 2
+    if not levels:
+        return None
+    return reduce(DataFrame.unionByName, levels).groupBy("row", "pos").agg(F.max("reach").alias("reach"))
+
+
+def frequent_terms(texts: DataFrame, text_column: str, min_count: int = 2) -> DataFrame:
+    """(skill, count): every run of words, of any length, that stands at least ``min_count`` times in the texts.
+
+    Levels of doubling length find how far a frequent run may go from each place; only such runs are spelled out and
+    counted by their words, so equal hashes cannot make a term. Null and empty texts give none. The result is as
+    large as the repeats are: of a text that is there twice every run is a term; :func:`clauses` keeps runs short.
+    """
+    held = texts.select(F.monotonically_increasing_id().alias("row"), tokens(F.col(text_column)).alias("w"))
+    words = written(held.filter(F.size("w") > 0), "words")
+    reaches = _reaches(words, max(min_count, 1))
+    if reaches is None:
+        return texts.sparkSession.createDataFrame([], "skill string, count bigint")
+    # From a place whose longest power of two is r, a frequent run has less than 2 r words.
+    marked = reaches.groupBy("row").agg(F.collect_list(F.struct("pos", "reach")).alias("marks")).join(words, "row")
+    starts = F.explode(F.transform("marks", lambda m: F.slice("w", m["pos"] + 1, 2 * m["reach"] - 1))).alias("w")
+    sized = marked.select(starts).select("w", F.explode(F.sequence(F.lit(1), F.size("w"))).alias("n"))
+    runs = sized.select(F.array_join(F.slice("w", F.lit(1), F.col("n")), " ").alias("skill")).filter(_may_be_term())
+    return runs.groupBy("skill").agg(F.count("*").alias("count")).filter(F.col("count") >= min_count)
+
+
+def refreshed_dictionary(known: DataFrame, counted: DataFrame) -> DataFrame:
     """The dictionary plus its new terms, each entering with count 1."""
-    added = new_terms(terms, known, min_count).withColumn("count", F.lit(1).cast("bigint"))
+    added = new_terms(counted, known).withColumn("count", F.lit(1).cast("bigint"))
     return known.select("skill", "count").unionByName(added)
 
 

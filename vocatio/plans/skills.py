@@ -69,7 +69,7 @@ phrases AS (SELECT phrase, count FROM (SELECT phrase AS run, phrase, count FROM
 
 def term_dictionary(spark: SparkSession, sf_dir: str, min_count: int = 3) -> DataFrame:
     """Runs of up to three words of the benchmark texts that pass the quality filter, written once."""
-    runs = skills.refresh_terms(views.table(spark, sf_dir, "benchmark"), "text")
+    runs = skills.refresh_terms(views.table(spark, sf_dir, "benchmark"), "text", 3)
     counted = runs.groupBy("skill").agg(F.count("*").alias("count"))
     return written(skills.quality_skills(counted, min_count), "term-dictionary")
 
@@ -106,7 +106,15 @@ def phrase_skills_ordered(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.concat_ws(", ", "found").alias("skills"))
 
 
-NEW_SQL = TERMS_SQL + ", " + _runs_sql("conversations", "conv_id", "conv", 2) + f""",
+# A run can be frequent only if it is without its last word, so each round lengthens the frequent ones by a word.
+NEW_SQL = TERMS_SQL.replace("WITH", "WITH RECURSIVE", 1) + f""",
+conv_words AS (SELECT row_number() OVER () AS k, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}+#]+') AS w FROM conversations),
+conv_starts AS (SELECT k, w, unnest(range(1, len(w) + 1)) AS i FROM conv_words),
+grown AS (SELECT k, i, 1 AS n, w[i] AS run, count(*) OVER (PARTITION BY w[i]) AS c FROM conv_starts
+  UNION ALL
+  SELECT k, i, n + 1, run, count(*) OVER (PARTITION BY run) FROM (
+    SELECT k, i, n, run || ' ' || w[i + n] AS run FROM grown JOIN conv_words USING (k) WHERE c >= 2 AND i + n <= len(w))),
+conv_runs AS (SELECT run FROM grown),
 seen AS (SELECT run AS skill, count(*) AS count FROM conv_runs WHERE {REFRESH_SQL}
   GROUP BY run HAVING count(*) >= 2),
 fresh AS (SELECT skill, count FROM seen WHERE skill NOT IN (SELECT phrase FROM phrases))
@@ -115,14 +123,14 @@ fresh AS (SELECT skill, count FROM seen WHERE skill NOT IN (SELECT phrase FROM p
 
 @query("new_terms", NEW_SQL + "SELECT skill, count FROM fresh")
 def new_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    terms = skills.refresh_terms(spread(views.table(spark, sf_dir, "conversations")), "text", 2)
+    terms = skills.frequent_terms(spread(views.table(spark, sf_dir, "conversations")), "text")
     return skills.new_terms(terms, term_dictionary(spark, sf_dir))
 
 
 @query("dictionary_refresh", NEW_SQL + "SELECT phrase AS skill, count FROM phrases UNION ALL SELECT skill, CAST(1 AS BIGINT) FROM fresh")
 def dictionary_refresh(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The refreshed dictionary, written as a new version and read back."""
-    terms = skills.refresh_terms(spread(views.table(spark, sf_dir, "conversations")), "text", 2)
+    terms = skills.frequent_terms(spread(views.table(spark, sf_dir, "conversations")), "text")
     refreshed = skills.refreshed_dictionary(term_dictionary(spark, sf_dir), terms)
     path = files.write_version(refreshed, work_path(spark, "dictionary"), "2")
     return spark.read.schema(refreshed.schema).parquet(path)

@@ -211,7 +211,7 @@ def evaluate(spark: SparkSession, out: str, name: str = "val") -> DataFrame:
     return retrieval.recall(retrieval.top_k(people, items, max(presets.RECALL_AT)), truth, people)
 
 
-def learn(spark: SparkSession, actions: DataFrame, out: str, version: str, threshold: int = presets.RETRAIN_THRESHOLD, longest_term: int = presets.LONGEST_NEW_TERM, previous: str = "base") -> bool:
+def learn(spark: SparkSession, actions: DataFrame, out: str, version: str, threshold: int = presets.RETRAIN_THRESHOLD, previous: str = "base") -> bool:
     """Dictionary refresh and training mix from the action log, if enough actions are due.
 
     The dictionary enters as a new version; the model itself is fitted elsewhere, the log of models
@@ -221,7 +221,8 @@ def learn(spark: SparkSession, actions: DataFrame, out: str, version: str, thres
     if not feedback.retrain_due(actions, threshold).first()["due"]:
         return False
     known = spark.read.parquet(f"{out}/all_skills")
-    terms = skills.refresh_terms(actions.filter(F.col("cv_text").isNotNull()), "cv_text", longest_term)
+    # Many actions show the same CV, so terms end where its clauses do.
+    terms = skills.frequent_terms(skills.clauses(actions, "cv_text"), "cv_text")
     files.write_version(skills.refreshed_dictionary(known, terms), f"{out}/dictionary", version)
     labelled = feedback.training_pairs(actions)
     labelled.write.mode("overwrite").parquet(f"{out}/feedback_pairs")

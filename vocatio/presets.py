@@ -229,7 +229,8 @@ MIN_POSITIVE_WEIGHT = 0.5
 MIX_RATIO = 0.2
 MIN_TRAINING_PAIRS = 10
 MIN_PROPOSAL_FREQUENCY = 3
-LONGEST_NEW_TERM = 5
+# Marks and line ends that a term of a refresh does not go beyond.
+CLAUSE_END = r"[.,;:!?()\[\]{}|/\n\r\t\u2022]+"
 
 # --- fixed values: retrieval, sampling, files ------------------------------------------------------
 CANDIDATES = 50
