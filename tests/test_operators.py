@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from vocatio import presets
 from vocatio.operators import encode, feedback, joins, quality, retrieval, sampling, skills
 from vocatio.operators.joins import left_joins
+from vocatio.session import written
 from vocatio.sources import messages
 
 
@@ -284,6 +285,39 @@ def test_cells(spark):
     assert 0 < some.count() <= 300 and some.filter("rank > 10").count() == 0
 
 
+def test_cells_of_two_levels(spark, monkeypatch):
+    """Centres in groups: fitted and looked up on executors, near the best cell, and every cell probed is an exact search."""
+    rng = np.random.default_rng(8)
+    homes = rng.normal(size=(40, 8))
+    points = np.concatenate([homes[rng.integers(0, 40, 1200)] + 0.1 * rng.normal(size=(1200, 8)), np.tile(homes[0], (600, 1))])
+    points /= np.linalg.norm(points, axis=1, keepdims=True)
+    rows = [(i, [float(x) for x in v]) for i, v in enumerate(points)]
+    items = spark.createDataFrame(rows, "item_id bigint, vector array<double>")
+    collected, rows_of = [], retrieval._rows_of
+
+    def counted(df, name):
+        collected.append(df.count())
+        return rows_of(df, name)
+
+    monkeypatch.setattr(retrieval, "_rows_of", counted)
+    monkeypatch.setattr(retrieval, "BLOCK_BYTES", 8_000)  # the third of the table that is one vector becomes many blocks
+    centres = retrieval.train_cells(items, 64, rounds=4, flat_cells=8)
+    heads = centres.orderBy("cell").collect()
+    assert 32 <= len(heads) <= 64 and [r["cell"] for r in heads] == list(range(len(heads)))
+    placed = written(retrieval.assign_cells(items, centres), "placed")
+    assert max(collected) <= 8
+    scores = points @ np.array([r["vector"] for r in heads]).T
+    got = {r["item_id"]: r["cell"] for r in placed.collect()}
+    assert sorted(got) == list(range(len(rows)))
+    assert np.mean([scores[i, c] >= scores[i].max() - 1e-6 for i, c in got.items()]) >= 0.9
+    asked = [(i, [float(x) for x in points[i]]) for i in range(0, 1200, 60)]
+    queries = spark.createDataFrame(asked, "query_id bigint, vector array<double>")
+    exact = as_set(retrieval.top_k(queries, items, 10))
+    assert as_set(retrieval.cell_top_k(queries, placed, centres, 10, 64)) == exact
+    few = as_set(retrieval.cell_top_k(queries, placed, centres, 10, 8))
+    assert len({(q, i) for q, i, *_ in few} & {(q, i) for q, i, *_ in exact}) >= 0.9 * len(exact)
+
+
 def test_mixed_encoders_are_refused(spark):
     _, queries = vectors(spark, 3, "query_id", 1)
     _, items = vectors(spark, 3, "item_id", 2)

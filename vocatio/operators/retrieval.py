@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from vocatio import presets
 from vocatio.functions.hashing import draw
 from vocatio.functions.vectors import is_finite
-from vocatio.session import BROADCAST_LIMIT_BYTES, written
+from vocatio.session import BROADCAST_LIMIT_BYTES, broadcast_if_small, written
 
 SCALE = 1_000_000
 # Vectors of one block, as doubles; a task holds one block of each side. Every row is sent once per
@@ -43,6 +43,12 @@ ITEMS_AT_ONCE = 2_048
 COMPONENTS_AT_ONCE = 8_000_000
 # Items that the bars are taken from: the more, the fewer candidates leave the tasks; any number gives the same rows.
 BAR_ITEMS = 50_000
+# Cells of one level. More are trained in groups, each vector against the centres of its group alone.
+FLAT_CELLS = 2_048
+# Vectors for each cell that groups are fitted on, drawn by a hash; a table with fewer is taken whole.
+ROWS_PER_CELL = 256
+# Groups whose cells are looked at for a vector, at least: the nearest centre may lie beyond the border of a group.
+NEAR_GROUPS = 4
 # Pivots that blocks lie around; more of them give closer bounds and cost a comparison more for each vector.
 PIVOTS = 256
 
@@ -448,28 +454,138 @@ def train_cells(
     seed: int = 42,
     rounds: int = presets.IVF_ROUNDS,
     tolerance: float = presets.IVF_TOLERANCE,
+    flat_cells: int = FLAT_CELLS,
 ) -> DataFrame:
-    """Cell centres (cell, vector) by k-means over all vectors, until no centre moves by more than ``tolerance``.
+    """Cell centres (cell, vector) by k-means, until no centre moves by more than ``tolerance``.
 
-    ``train_rows`` asks for a sample instead, drawn by a hash of the id, so the same rows are sampled
-    however the table is partitioned. Without ``cells`` their number follows from the rows.
+    Without ``cells`` their number follows from the rows. Up to ``flat_cells`` are fitted at once, on all vectors;
+    ``train_rows`` asks for a sample instead, drawn by a hash of the id, so the same rows are sampled however the
+    table is partitioned. More cells are fitted in groups, as many as the root of their number, and also have ``grp``:
+    see :func:`_grouped_cells`.
     """
+    items = usable_vectors(items, dimension_of(items))
+    total = items.count()
+    cells = max(1, cells or cells_for(total))
+    if cells > flat_cells:
+        return _grouped_cells(items, total, cells, train_rows or ROWS_PER_CELL * cells, seed, rounds, tolerance)
+    sample = _sampled(items, total, train_rows, seed)
+    return sample.sparkSession.createDataFrame(_means(sample, cells, seed, rounds, tolerance), "cell int, vector array<double>")
+
+
+def _sampled(items: DataFrame, total: int, rows: int | None, seed: int) -> DataFrame:
+    if rows is None or rows >= total:
+        return items
+    return items.filter(draw(F.col("item_id"), seed) < int(rows / total * (1 << 32)))
+
+
+def _means(sample: DataFrame, cells: int, seed: int, rounds: int, tolerance: float) -> list[tuple[int, list[float]]]:
+    """Centres by Spark's k-means, few enough for the driver."""
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
-    spark = items.sparkSession
-    items = usable_vectors(items, dimension_of(items))
-    total = items.count()
-    share = 1.0 if train_rows is None else min(1.0, train_rows / max(total, 1))
-    sample = items if share == 1.0 else items.filter(draw(F.col("item_id"), seed) < int(share * (1 << 32)))
     points = sample.select(array_to_vector(F.col("vector").cast("array<double>")).alias("features")).persist()
     try:
-        means = KMeans(k=cells or cells_for(total), seed=seed, distanceMeasure="cosine", maxIter=rounds, tol=tolerance)
-        model = means.fit(points)
+        model = KMeans(k=cells, seed=seed, distanceMeasure="cosine", maxIter=rounds, tol=tolerance).fit(points)
     finally:
         points.unpersist()
-    rows = [(i, [float(x) for x in centre]) for i, centre in enumerate(model.clusterCenters())]
-    return spark.createDataFrame(rows, "cell int, vector array<double>")
+    return [(i, [float(x) for x in centre]) for i, centre in enumerate(model.clusterCenters())]
+
+
+def _grouped_cells(items: DataFrame, total: int, cells: int, rows: int, seed: int, rounds: int, tolerance: float) -> DataFrame:
+    """(cell, vector, grp): some ``cells`` centres in groups as many as their root.
+
+    The groups are k-means of few centres. Each group has cells by its share of the vectors, four roots at most, and a
+    vector is compared with the centres of its own group alone, so a round costs a root of the cells for each vector.
+    Rounds run on executors: blocks of a group's vectors meet its centres, give one sum for each cell, and the sums of the
+    blocks make the next centres. Groups of any size become many blocks.
+    """
+    spark = items.sparkSession
+    sample = written(_sampled(items, total, rows, seed).select("item_id", F.col("vector").cast("array<double>").alias("vector")), "cell-sample")
+    root = max(1, int(cells**0.5))
+    coarse = spark.createDataFrame(_means(sample, root, seed, rounds, tolerance), "cell int, vector array<double>")
+    dimension = dimension_of(coarse)
+    placed = written(assign_cells(sample, coarse).withColumnRenamed("cell", "grp"), "grouped")
+    sizes = {r["grp"]: r["n"] for r in placed.groupBy("grp").agg(F.count("*").alias("n")).collect()}
+    n_rows, first, plan = sum(sizes.values()), 0, []
+    for grp, n in sorted(sizes.items()):
+        own = max(1, min(4 * root, cells * n // n_rows))
+        plan.append((grp, first, own, _blocks(n * dimension * 8, BLOCK_BYTES)))
+        first += own
+    plan = F.broadcast(spark.createDataFrame(plan, "grp int, first int, own int, parts int"))  # a row for each group
+    order = Window.partitionBy("grp").orderBy(draw(F.col("item_id"), seed + 1), "item_id")
+    drawn = placed.withColumn("at", F.row_number().over(order)).filter(F.col("at") <= 4 * root).join(plan, "grp")
+    seeds = drawn.filter(F.col("at") <= F.col("own")).select((F.col("first") + F.col("at") - 1).alias("cell"), "vector", "grp")
+    centres = written(seeds, "cell-centres")
+    blocks = placed.join(plan, "grp").select("grp", F.pmod(F.xxhash64("item_id"), F.col("parts")).cast("int").alias("part"), "vector")
+    blocks = written(blocks, "cell-blocks")
+    for _ in range(rounds):
+        copied = centres.join(plan, "grp").select("grp", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "cell", "vector")
+        schema = "cell int, part int, total array<double>"
+        sums = blocks.groupBy("grp", "part").cogroup(copied.groupBy("grp", "part")).applyInArrow(_cell_sums, schema)
+        # A row for each block of a group; in their order, so that the sum does not depend on who was first.
+        listed = F.array_sort(F.collect_list(F.struct("part", "total")))
+        summed = F.aggregate(F.transform(listed, lambda x: x["total"]), F.array_repeat(F.lit(0.0), dimension), lambda a, b: F.zip_with(a, b, lambda x, y: x + y))
+        moved = sums.groupBy("cell").agg(summed.alias("sum")).withColumn("norm", F.sqrt(F.aggregate("sum", F.lit(0.0), lambda a, x: a + x * x)))
+        new = F.when(F.col("norm") > 0, F.transform("sum", lambda x: x / F.col("norm"))).otherwise(F.col("vector"))
+        step = F.aggregate(F.zip_with("vector", "new", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda a, x: a + x)
+        after = centres.join(moved, "cell", "left").withColumn("new", new)
+        after = written(after.select("cell", F.col("new").alias("vector"), "grp", step.alias("step")), "cell-centres")
+        centres = after.drop("step")
+        if (after.agg(F.max("step")).first()[0] or 0.0) <= tolerance * tolerance:
+            break
+    return centres
+
+
+def _cell_sums(vectors: pa.Table, centres: pa.Table) -> pa.Table:
+    """(cell, part, total): the sum of a block's vectors, as units, that are nearest to each centre of their group."""
+    names = ["cell", "part", "total"]
+    if not vectors.num_rows or not centres.num_rows:
+        return pa.table([pa.array([], pa.int32()), pa.array([], pa.int32()), pa.array([], pa.list_(pa.float64()))], names)
+    points, heads = _arrow_matrix(vectors.column("vector")), _arrow_matrix(centres.column("vector"))
+    lengths = np.linalg.norm(points, axis=1, keepdims=True)
+    points = np.divide(points, lengths, out=np.zeros_like(points), where=lengths > 0)
+    # Of centres that are equally near, the smallest cell; rows in one order, whatever the shuffle gave.
+    order = np.argsort(centres.column("cell").to_numpy())
+    heads, cells = heads[order], centres.column("cell").to_numpy()[order]
+    points = points[np.lexsort(points.T)]
+    step = max(1, SCORES_AT_ONCE // len(heads))
+    nearest = np.concatenate([np.argmax(points[at : at + step] @ heads.T, axis=1) for at in range(0, len(points), step)])
+    found = np.unique(nearest)
+    totals = [points[nearest == i].sum(axis=0) for i in found]
+    part = centres.column("part")[0].as_py()
+    columns = [pa.array(cells[found], pa.int32()), pa.array([part] * len(found), pa.int32()), pa.array(totals, pa.list_(pa.float64()))]
+    return pa.table(columns, names)
+
+
+def _group_heads(centres: DataFrame) -> DataFrame:
+    """(cell, vector): the mean direction of each group's centres; as many rows as groups, each from four roots of the cells at most."""
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("cell", "vector"))), lambda x: x["vector"])
+    total = F.reduce(F.slice(listed, 2, F.size(listed)), F.get(listed, F.lit(0)), lambda a, b: F.zip_with(a, b, lambda x, y: x + y))
+    heads = centres.groupBy("grp").agg(total.alias("sum")).withColumn("norm", F.sqrt(F.aggregate("sum", F.lit(0.0), lambda a, x: a + x * x)))
+    unit = F.transform("sum", lambda x: F.when(F.col("norm") > 0, x / F.col("norm")).otherwise(F.lit(0.0)))
+    return heads.select(F.col("grp").alias("cell"), unit.alias("vector"))
+
+
+def _probed_in_groups(queries: DataFrame, centres: DataFrame, probes: int, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """:func:`probed_cells` of grouped centres: nearest groups first, then the cells in them, block by block.
+
+    The groups' heads are few and go to every task; centres meet the queries over a shuffle.
+    """
+    groups, n_cells = centres.agg(F.count_distinct("grp"), F.count("*")).first()
+    near = groups if probes >= n_cells else min(groups, max(NEAR_GROUPS, probes))
+    rows = written(queries.select(F.monotonically_increasing_id().alias("_row"), "query_id", "vector"), "probing")
+    asked = written(probed_cells(rows.select(F.col("_row").alias("query_id"), "vector"), written(_group_heads(centres), "heads"), near), "near-groups")
+    row_bytes = dimension_of(centres) * 8
+
+    def blocks(df: DataFrame, key: str, name: str) -> DataFrame:
+        return df.groupBy(F.col(key).alias("cell")).agg(F.ceil(F.count("*") * row_bytes / F.lit(block_bytes)).alias(name))
+
+    # One row for each group: the root of the cells.
+    sizes = F.broadcast(blocks(asked, "cell", "query_blocks").join(blocks(centres, "grp", "item_blocks"), "cell"))
+    items = centres.select(F.col("grp").alias("cell"), F.col("cell").alias("item_id"), "vector").join(sizes, "cell")
+    found = ranked(_in_blocks(asked.join(sizes, "cell"), items, probes, "query_id bigint, item_id int, score double"), probes)
+    cells = found.select(F.col("query_id").alias("_row"), F.col("item_id").alias("cell"))
+    return rows.join(cells, "_row").select("query_id", "vector", "cell")
 
 
 def assign_cells(items: DataFrame, centres: DataFrame) -> DataFrame:
@@ -482,8 +598,11 @@ def assign_cells(items: DataFrame, centres: DataFrame) -> DataFrame:
 def probed_cells(queries: DataFrame, centres: DataFrame, probes: int) -> DataFrame:
     """One row per query and probed cell: (query_id, vector, cell).
 
-    The centres are bounded by the number of cells; queries are read once and not shuffled.
+    Centres of one level go to every task, queries are read once and not shuffled; those of two levels are looked up
+    by their groups.
     """
+    if "grp" in centres.columns:
+        return _probed_in_groups(queries, centres, probes)
     shared = queries.sparkSession.sparkContext.broadcast(_rows_of(centres, "cell"))
     vector_type = queries.schema["vector"].dataType.simpleString()
     query_type = queries.schema["query_id"].dataType.simpleString()
@@ -516,9 +635,8 @@ def write_cell_index(items: DataFrame, centres: DataFrame, path: str) -> None:
     A cell goes to as many tasks as its measured size asks for, so it has few files and none is too large.
     """
     placed = written(assign_cells(usable_vectors(items, dimension_of(centres)), centres), "placed")
-    counts = placed.groupBy("cell").agg(F.count("*").alias("n"))
-    # One row for each cell: bounded by the number of cells.
-    sized = placed.join(F.broadcast(counts), "cell")
+    counts = written(placed.groupBy("cell").agg(F.count("*").alias("n")), "cell-counts")
+    sized = placed.join(broadcast_if_small(counts, F.lit(16))[0], "cell")
     part = F.pmod(F.xxhash64("item_id"), F.ceil(F.col("n") / ROWS_PER_INDEX_FILE))
     dealt = sized.withColumn("_part", part).repartition("cell", "_part").drop("_part", "n")
     dealt.write.mode("overwrite").partitionBy("cell").parquet(f"{path}/items")
@@ -555,8 +673,8 @@ def cell_top_k(
 
     stored = centres.filter("n > 0") if "n" in centres.columns else items.groupBy("cell").agg(F.count("*").alias("n"))
     asked = probed.groupBy("cell").agg(F.count("*").alias("n"))
-    # One row per cell: bounded by the number of cells, so every task may hold it.
-    cells = F.broadcast(blocks(asked, "query_blocks").join(blocks(stored, "item_blocks"), "cell"))
+    cells = written(blocks(asked, "query_blocks").join(blocks(stored, "item_blocks"), "cell"), "cell-blocks")
+    cells, _ = broadcast_if_small(cells, F.lit(32))
     schema = _result_schema(queries, placed_items)
     return ranked(_in_blocks(probed.join(cells, "cell"), items.join(cells, "cell"), k, schema), k)
 
