@@ -42,6 +42,8 @@ def test_quality_counts(docs_of, odd_pairs, spark, sf):
     ("This is a sentence.", True), ('He said "yes."', True), ("Home | About | News | Contact.", False), ("A heading without an end", False),
     ("Buy now!! cheap!! pills!!", False), ("All rights reserved.", False), ("function() { return 1; };", False), ("...", True), ('"', False),
     ("A first sentence ends. " + "and a passage goes on " * 8 + "to the end of the page", True),
+    ("A sentence ends. " + "\u00a0".join(["word"] * 60), False), ("\u0939\u093f\u0928\u094d\u0926\u0940 \u0935\u093e\u0915\u094d\u092f\u0964", True),
+    ("\u0645\u0627 \u0647\u0630\u0627\u061f", True), ("\u06cc\u06c1 \u0627\u06cc\u06a9 \u062c\u0645\u0644\u06c1 \u06c1\u06d2\u06d4", True),
 ])
 def test_line_rules(line, passes):
     assert quality.line_passes(line) is passes
@@ -93,6 +95,13 @@ def test_line_dedup_of_nothing(docs_of):
     assert linededup.report(docs_of([])).count() == 0
 
 
+def test_line_dedup_leaves_no_tables(spark, docs_of):
+    before = {t.name for t in spark.catalog.listTables()}
+    found = linededup.report(docs_of([(i, f"the same long line\nline number {i} of all") for i in range(8)]), batches=4, fanout=2)
+    assert {t.name for t in spark.catalog.listTables()} == before
+    assert {r.doc_id: r.n_dropped for r in found.collect()} == {i: int(i > 0) for i in range(8)}
+
+
 def test_runs_are_levelled_and_read_without_a_shuffle(spark):
     state = linededup.LineRuns(spark, buckets=8, fanout=2)
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")

@@ -70,7 +70,7 @@ class LineRuns:
         return [self._keys(name) for level in self.levels for name in level]
 
     def drop(self) -> None:
-        """Forget all tables, once nothing reads the verdicts any more."""
+        """Take all tables out of the catalog once no batch comes any more; the files, and so the verdicts, stay."""
         for i in range(self.made):
             self.spark.sql(f"DROP TABLE IF EXISTS {self.name}_{i + 1}")
 
@@ -127,6 +127,7 @@ def dropped(
         verdicts = state.add(batch)
         met = batch.join(verdicts, ["h1", "h2"])
         lost.append(met.filter("seen OR id IS NULL OR id != keeper").select("id", "t", "pos"))
+    state.drop()  # the verdicts are read as files, and nothing meets the runs any more
     return union(lost).groupBy("id", "t").agg(F.collect_set("pos").alias("positions"))
 
 

@@ -36,7 +36,8 @@ PASSAGE_WORDS = 30
 NAV_SEPARATORS = 3
 BOILERPLATE_WORDS = 30
 SYMBOLS = "#*$%&|<>"
-TERMINAL = ".!?…:;。！？"
+# Full stops and question marks of Latin, East Asian, Indic, Arabic, Ethiopic, Armenian, Khmer and Burmese texts.
+TERMINAL = ".!?…:;。！？｡।॥؟۔؛።։។။"
 CLOSING = "\"'”’»)]}"
 SENTENCE_END = re.compile(f"[{re.escape(TERMINAL)}][ \\t-\\r]")
 SEPARATORS = re.compile(r"[|»›·•→]|[ \t-\r][>/-][ \t-\r]")
@@ -60,7 +61,7 @@ STEP, APART = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 def line_passes(line: str) -> bool:
     """Whether a line with at least one word passes all rules."""
     bare = line.strip(BLANK)
-    n = len(bare.split())
+    n = len(bare.encode().split())  # ASCII white space, as the words' definition has it
     end = bare.rstrip(CLOSING)[-1:]
     if not (end and end in TERMINAL) and not (n > PASSAGE_WORDS and SENTENCE_END.search(bare)):
         return False
