@@ -524,6 +524,55 @@ def test_user_models(spark):
     assert scored.first().asDict() == {"id": 1, "l": "query: ab", "r": "passage: abc", "pair_score": 23.0}
 
 
+def test_model_batches_keep_to_a_token_budget(spark, tmp_path):
+    """A counting model sees texts of like length within the budget, is loaded once per worker, and rows keep their values."""
+    log, words = str(tmp_path), [1, 50, 2, 49, 3, 48, 400, 1, 2, 3] * 30
+    texts = spark.createDataFrame([(i, " ".join(["w"] * n)) for i, n in enumerate(words)] + [(999, None)], "id int, text string").coalesce(2)
+
+    def load():
+        import os
+        import uuid
+
+        open(f"{log}/load-{os.getpid()}-{uuid.uuid4().hex}", "w").close()
+
+        def model(batch):
+            sizes = [len(t.split()) if t else 1 for t in batch]
+            with open(f"{log}/calls-{os.getpid()}", "a") as out:
+                out.write(f"{len(batch)} {max(sizes)} {sum(sizes)}\n")
+            return np.array([[1.0, s] for s in sizes])
+
+        return model
+
+    model = encode.LoadedOnce(load)
+    for _ in range(2):
+        got = encode.encode(texts, "id", "text", model, "counted", batch=32, budget=100, size=lambda t: len(t.split()) if t else 1).collect()
+        for i, n in [*enumerate(words), (999, 1)]:
+            (vector,) = [r["vector"] for r in got if r["id"] == i]
+            assert vector[1] / vector[0] == pytest.approx(n)
+    calls = [tuple(map(int, line.split())) for f in tmp_path.glob("calls-*") for line in f.read_text().splitlines()]
+    assert all(n <= 32 and (n * longest <= 100 or n == 1) for n, longest, _ in calls) and max(n for n, _, _ in calls) == 32
+    padded, real = sum(n * longest for n, longest, _ in calls), sum(total for _, _, total in calls)
+    assert real == 2 * (sum(words) + 1) and padded < 1.1 * real
+    workers = [f.name.split("-")[1] for f in tmp_path.glob("load-*")]
+    assert len(workers) == len(set(workers))
+
+
+def test_row_differences_name_what_is_lost(spark):
+    """One lost and one altered row among 10^5, whatever the order; rows of equal buckets are not shuffled."""
+    rows = spark.range(100_000).select(F.col("id").alias("k"), F.concat(F.lit("v"), F.col("id") % 7).alias("v"), F.lit(None).cast("int").alias("n"))
+    came = rows.filter("k <> 17").withColumn("v", F.when(F.col("k") == 4242, "other").otherwise(F.col("v"))).repartition(5, "v").withColumn("more", F.lit(1))
+    found = quality.row_differences(rows, came, "k")
+    assert sorted(tuple(r) for r in found.collect()) == [(17, "lost", 1, 0), (4242, "altered", 1, 1)]
+    tree = found._jdf.queryExecution().executedPlan().toString()
+    assert tree.split("Initial Plan")[0].count("BroadcastHashJoin") >= 1 and "CartesianProduct" not in tree
+    assert quality.row_differences(rows, rows.orderBy(F.desc("k")), "k").count() == 0
+    odd = spark.createDataFrame([(None, "a"), (None, "a"), (1, None), (2, ""), (3, "x"), (3, "x")], "k int, v string")
+    back = spark.createDataFrame([(None, "a"), (1, ""), (2, ""), (3, "x"), (3, "x"), (3, "x"), (4, "new")], "k int, v string")
+    got = {tuple(r) for r in quality.row_differences(odd, back, "k", buckets=2).collect()}
+    assert got == {(None, "lost", 1, 0), (1, "altered", 1, 1), (3, "added", 0, 1), (4, "added", 0, 1)}
+    assert quality.row_differences(odd.limit(0), odd.limit(0), "k").count() == 0
+
+
 def test_vector_checks(spark):
     rows = [([1.0, 0.0],), ([2.0, 0.0],), ([1.0],), ([float("nan"), 0.0],), ([float("inf"), 0.0],)]
     got = quality.vector_checks(spark.createDataFrame(rows, "v array<double>"), "v", 2).first().asDict()

@@ -61,6 +61,33 @@ def test_csv_columns_are_found_by_name(spark, tmp_path):
     assert files.rejected_csv(spark, str(tmp_path / "a.csv"), "company int", multi_line=True).first()["error_type"] == "TypeMismatch"
 
 
+def test_headers_of_many_files_take_few_jobs(spark, tmp_path):
+    """1,000 files with 20 headers: the headers are found by at most 3 jobs, and every row lies under its own names."""
+    for i in range(1000):
+        more = [f"extra{n}" for n in range(i % 20)]
+        (tmp_path / f"f {i}%20.csv").write_text(",".join([*more, "id", "v"]) + "\n" + ",".join([*("x" for _ in more), f"k{i}", str(i)]) + "\n")
+    tracker, group = spark.sparkContext.statusTracker(), f"headers-{tmp_path.name}"
+    spark.sparkContext.setJobGroup(group, "headers")
+    try:
+        found = files._headers(spark, str(tmp_path), False)
+        assert len(tracker.getJobIdsForGroup(group)) <= 3
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert sorted(len(v) for v in found.values()) == [50] * 20 and all(h[-2:] == ("id", "v") for h in found)
+    rows = files.read_csv(spark, str(tmp_path), "id string, v int").collect()
+    assert sorted((r["id"], r["v"]) for r in rows) == sorted((f"k{i}", i) for i in range(1000))
+
+
+def test_odd_headers(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('\n\n"two\nlines",id,,ID2,id2\n1,2,3,4,5\n')
+    (tmp_path / "empty.csv").write_text("")
+    (tmp_path / "b.csv").write_text('id,"two\nlines"\n"x\n""y""",7\n')
+    assert set(files._headers(spark, str(tmp_path), True)) == {("two\nlines", "id", "_c2", "ID23", "id24"), ("id", "two\nlines")}
+    rows = files.read_csv(spark, str(tmp_path), "id string", multi_line=True).collect()
+    assert sorted(r["id"] for r in rows) == ["2", 'x\n"y"']
+    assert files.read_csv(spark, str(tmp_path / "empty.csv"), "id string").count() == 0
+
+
 def test_csv_sources_to_one_schema(spark, tmp_path):
     (tmp_path / "in.csv").write_text('summary,job_title,company,location\n,"Nurse, night",Ward,nan\n"say ""hi""",Clerk,,Rome\n')
     rows = postings.unified(postings.read_source(spark, "indeed", str(tmp_path / "in.csv")), "indeed")

@@ -6,6 +6,7 @@ formula of :func:`weighted_score`; neither is meant to equal a neural model.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -57,23 +58,77 @@ def hash_encode(df: DataFrame, id_column: str, text_column: str, dimensions: int
     )
 
 
+_LOADED: dict[str, Callable] = {}
+
+
+class LoadedOnce:
+    """A model that is loaded at its first use in a Python worker and stays there for all later batches and tasks.
+
+    Only ``load`` travels to the workers, so it must be serialisable; the model itself need not be.
+    """
+
+    def __init__(self, load: Callable[[], Callable]):
+        self.load = load
+        self.key = uuid.uuid4().hex
+
+    def __call__(self, items: list) -> np.ndarray:
+        if self.key not in _LOADED:
+            _LOADED[self.key] = self.load()
+        return _LOADED[self.key](items)
+
+
+def _approximate_tokens(text: str | None) -> int:
+    """Words and a token more for every four bytes beyond them: a bound good enough to fill batches evenly."""
+    return 1 + max(len(text.split()), len(text.encode()) // 4) if text else 1
+
+
+def budgeted(sizes: np.ndarray, batch: int, budget: int | None) -> Iterator[np.ndarray]:
+    """Positions of items in batches: items of like size together, longest first, so that the largest batch comes first.
+
+    A batch has at most ``batch`` items and, padded to its longest, at most ``budget`` tokens; an item beyond the budget
+    is a batch of its own.
+    """
+    order = np.argsort(-sizes, kind="stable")
+    start = 0
+    while start < len(order):
+        longest = max(1, int(sizes[order[start]]))
+        take = batch if budget is None else max(1, min(batch, budget // longest))
+        yield order[start : start + take]
+        start += take
+
+
+def _in_budget(
+    items: list, sizes: list[int], model: Callable[[list], np.ndarray], batch: int, budget: int | None
+) -> np.ndarray | None:
+    """Results of ``model`` in the order of ``items``; None where there are no items."""
+    out = None
+    for at in budgeted(np.asarray(sizes, dtype=np.int64), batch, budget):
+        got = np.asarray(model([items[i] for i in at]), dtype=np.float64)
+        if len(got) != len(at):
+            raise ValueError(f"the model gave {len(got)} results for {len(at)} items")
+        if out is None:
+            out = np.empty((len(items), *got.shape[1:]))
+        out[at] = got
+    return out
+
+
 def encode(
-    df: DataFrame, id_column: str, text_column: str, model: Callable[[list[str]], np.ndarray], name: str, batch: int = 256
+    df: DataFrame, id_column: str, text_column: str, model: Callable[[list[str]], np.ndarray], name: str, batch: int = 256,
+    budget: int | None = None, size: Callable[[str], int] = _approximate_tokens,
 ) -> DataFrame:
-    """(id, vector, encoder) by a user's model, called with lists of up to ``batch`` texts.
+    """(id, vector, encoder) by a user's model, called with lists of up to ``batch`` texts of like length.
 
-    ``model`` must be serialisable, or load its weights on first use inside the task.
+    ``budget`` bounds the tokens of a call as a model pads them, texts times the longest; ``size`` counts the tokens of a
+    text. ``model`` must be serialisable; :class:`LoadedOnce` loads weights once per worker. Texts are sorted within an
+    Arrow batch only (bounded by :func:`vocatio.session.bound_batches`), so nothing is shuffled and rows keep their order.
     """
     id_type = df.schema[id_column].dataType.simpleString()
 
     def run(frames):
         for frame in frames:
-            parts = [
-                np.asarray(model(frame[text_column].iloc[i : i + batch].tolist()), dtype=np.float64)
-                for i in range(0, len(frame), batch)
-            ]
-            if parts:
-                matrix = np.vstack(parts)
+            texts = frame[text_column].tolist()
+            matrix = _in_budget(texts, [size(t) for t in texts], model, batch, budget)
+            if matrix is not None:
                 length = np.linalg.norm(matrix, axis=1, keepdims=True)
                 unit = np.divide(matrix, length, out=np.zeros_like(matrix), where=length > 0)
                 frame = frame[[id_column]].assign(vector=list(unit))
@@ -87,20 +142,22 @@ def encode(
 
 
 def score_pairs(
-    pairs: DataFrame, left: str, right: str, model: Callable[[list[tuple[str, str]]], np.ndarray], batch: int = 128
+    pairs: DataFrame, left: str, right: str, model: Callable[[list[tuple[str, str]]], np.ndarray], batch: int = 128,
+    budget: int | None = None, size: Callable[[str], int] = _approximate_tokens,
 ) -> DataFrame:
-    """Add ``pair_score`` from a user's model of two texts; prefixes are taken off first."""
+    """Add ``pair_score`` from a user's model of two texts; prefixes are taken off first.
+
+    Batches are formed as in :func:`encode`; the size of a pair is that of both texts.
+    """
     prepared = pairs.withColumn("_left", strip_prefixes(F.col(left))).withColumn("_right", strip_prefixes(F.col(right)))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pairs.schema.fields)
 
     def run(frames):
         for frame in frames:
             texts = list(zip(frame["_left"], frame["_right"]))
-            scores = [
-                np.asarray(model(texts[i : i + batch]), dtype=np.float64) for i in range(0, len(texts), batch)
-            ]
-            if scores:
-                yield frame.drop(columns=["_left", "_right"]).assign(pair_score=np.concatenate(scores))
+            scores = _in_budget(texts, [size(a) + size(b) for a, b in texts], model, batch, budget)
+            if scores is not None:
+                yield frame.drop(columns=["_left", "_right"]).assign(pair_score=scores)
 
     return prepared.mapInPandas(run, f"{fields}, pair_score double")
 

@@ -132,6 +132,46 @@ def reconciled(sent: DataFrame, received: DataFrame, key: str) -> DataFrame:
     )
 
 
+def row_differences(sent: DataFrame, received: DataFrame, key: str, buckets: int = 4096) -> DataFrame:
+    """(key, kind, sent, received): what was ``lost``, ``added`` or ``altered`` on the way, as rows of each kind per key.
+
+    Both sides must have the same columns; extra ones of ``received`` are left out. Rows count as often as they
+    occur, null keys and null values are values. Each side is first reduced to one digest per bucket of keys, which does
+    not depend on the order of rows (counts, sums and exclusive ors of two hashes of whole rows), so nothing but
+    ``buckets`` small rows is shuffled where all rows arrived. Only rows of buckets whose digests differ are then
+    shuffled and told apart by two 64-bit hashes.
+    """
+    columns = sent.columns
+
+    def hashed(df: DataFrame, side: str) -> DataFrame:
+        row = [F.struct(F.col(f"`{c}`").isNull(), F.col(f"`{c}`")) for c in columns]
+        return df.select(
+            F.col(f"`{key}`").alias("key"),
+            F.pmod(F.xxhash64(F.col(f"`{key}`")), F.lit(buckets)).cast("int").alias("bucket"),
+            F.xxhash64(*row).alias("h"),
+            F.xxhash64(F.lit("second"), *reversed(row)).alias("g"),
+            F.lit(int(side == "sent")).alias("s"),
+            F.lit(int(side == "received")).alias("r"),
+        )
+
+    both = [hashed(sent, "sent"), hashed(received.select(*(F.col(f"`{c}`") for c in columns)), "received")]
+
+    def sums(df: DataFrame) -> DataFrame:
+        exact = F.sum(F.col("h").cast("decimal(38,0)"))
+        return df.groupBy("bucket").agg(F.struct(F.count("*"), exact, F.bit_xor("h"), F.bit_xor("g")).alias("d"), F.max("s").alias("s"))
+
+    digests = sums(both[0]).unionAll(sums(both[1]))
+    digest = [F.max(F.when(F.col("s") == side, F.col("d"))) for side in (1, 0)]
+    unequal = digests.groupBy("bucket").agg(digest[0].eqNullSafe(digest[1]).alias("same")).filter(~F.col("same")).select("bucket")
+    # At most ``buckets`` rows of one number each.
+    near = [df.join(F.broadcast(unequal), "bucket", "left_semi") for df in both]
+    counted = near[0].unionAll(near[1]).groupBy("key", "h", "g").agg(F.sum("s").alias("s"), F.sum("r").alias("r"))
+    over = counted.select("key", F.greatest(F.col("s") - F.col("r"), F.lit(0)).alias("out"), F.greatest(F.col("r") - F.col("s"), F.lit(0)).alias("in"))
+    per_key = over.groupBy("key").agg(F.sum("out").alias("sent"), F.sum("in").alias("received")).filter("sent > 0 OR received > 0")
+    kind = F.when(F.col("received") == 0, "lost").when(F.col("sent") == 0, "added").otherwise("altered")
+    return per_key.select("key", kind.alias("kind"), "sent", "received")
+
+
 def file_profile(df: DataFrame) -> DataFrame:
     """Rows, files and bytes of a table read from files."""
     files = df.groupBy(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_size").alias("size")).agg(

@@ -378,6 +378,25 @@ def reconcile_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.reconciled(documents, received, "source")
 
 
+@query(
+    "reconcile_rows",
+    """SELECT doc_id AS "key", CASE WHEN doc_id % 101 = 0 THEN 'lost' WHEN doc_id % 103 = 0 THEN 'altered' ELSE 'added' END AS kind,
+  CAST(CASE WHEN doc_id % 101 = 0 OR doc_id % 103 = 0 THEN n ELSE 0 END AS BIGINT) AS sent,
+  CAST(CASE WHEN doc_id % 101 = 0 THEN 0 ELSE n END AS BIGINT) AS received
+FROM (SELECT doc_id, count(*) AS n FROM documents GROUP BY doc_id) WHERE doc_id % 101 = 0 OR doc_id % 103 = 0 OR doc_id % 107 = 0""",
+)
+def reconcile_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that were lost, altered or delivered twice on the way through messages, by name."""
+    documents = views.table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    key = F.col("doc_id")
+    text = F.when(key % 103 == 0, F.concat(F.coalesce("text", F.lit("")), F.lit("."))).otherwise(F.col("text"))
+    arriving = documents.filter(key % 101 != 0).withColumn("text", text)
+    again = documents.filter((key % 107 == 0) & (key % 103 != 0) & (key % 101 != 0))
+    sent = arriving.unionAll(again).select(F.to_json(F.struct("doc_id", "source", "text")).alias("value"))
+    received = sent.select(F.from_json("value", "doc_id bigint, source string, text string").alias("r")).select("r.*")
+    return quality.row_differences(documents, received, "doc_id")
+
+
 @query("source_profile", "SELECT source, count(*) AS count FROM documents GROUP BY source")
 def source_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.group_counts(views.table(spark, sf_dir, "documents"), "source")

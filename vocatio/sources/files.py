@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import csv
+from collections import Counter
+from collections.abc import Iterator
+from urllib.parse import unquote
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -10,13 +16,61 @@ from vocatio import presets
 from vocatio.session import broadcast_if_small, written
 
 
+# Makes every file one split of its own, so that a task can stop after the first record of its file.
+WHOLE_FILE = 1 << 40
+# Bytes behind a header that are still taken before a file is left.
+READ_ON = 1 << 18
+# Characters after which a quoted header is taken for one that never ends.
+LONGEST_HEADER = 1 << 24
+
+
+def _column_names(record: str) -> tuple[str, ...]:
+    """Names in a header record; nameless columns and all of one name get their position, as the CSV source names them."""
+    cells = next(csv.reader([record.removeprefix("\ufeff")]), [])
+    # Names are compared without case, as the session does unless told otherwise.
+    lowered = Counter(c.lower() for c in cells)
+    return tuple(f"_c{i}" if not c else f"{c}{i}" if lowered[c.lower()] > 1 else c for i, c in enumerate(cells))
+
+
 def _headers(spark: SparkSession, path: str | list[str], multi_line: bool) -> dict[tuple[str, ...], list[str]]:
-    """Files of each different header; only the first line of a file is read."""
-    listed = spark.read.format("binaryFile").load(path).select("path").collect()
+    """Files of each different header, from one job in which a task opens a file and stops after its first record.
+
+    Empty files have no header and no rows. The settings that make it so belong to a session of their own.
+    """
+    own = spark.newSession()
+    for name in ("maxPartitionBytes", "openCostInBytes"):
+        own.conf.set(f"spark.sql.files.{name}", WHOLE_FILE)
+    own.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 16)
+
+    def first_record(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lines, length, quotes, past = [], 0, 0, None
+        for batch in batches:
+            # A small file is read to its end, which leaves the Python worker for the next one.
+            if past is not None:
+                past += batch.nbytes
+                if past > READ_ON:
+                    return
+                continue
+            for file, line in zip(batch.column("file").to_pylist(), batch.column("value").to_pylist()):
+                if not lines and not line.strip():
+                    continue
+                lines.append(line)
+                length += len(line)
+                quotes += line.count('"')
+                # A line break inside quotes belongs to the record.
+                if not multi_line or quotes % 2 == 0:
+                    record = "\n".join(lines)
+                    yield pa.RecordBatch.from_arrays([pa.array([file]), pa.array([record])], names=["file", "header"])
+                    past = 0
+                    break
+                if length > LONGEST_HEADER:
+                    raise ValueError(f"a quote in the header of {file} is not closed")
+
+    every = own.read.text(path).select(F.col("_metadata.file_path").alias("file"), "value")
     by_header: dict[tuple[str, ...], list[str]] = {}
-    for (file,) in listed:
-        names = spark.read.option("header", True).option("escape", '"').option("multiLine", multi_line).csv(file).columns
-        by_header.setdefault(tuple(names), []).append(file)
+    # One short row for each file of the listing, which the driver holds anyway.
+    for file, record in every.mapInArrow(first_record, "file string, header string").collect():
+        by_header.setdefault(_column_names(record), []).append(unquote(file))
     return by_header
 
 
