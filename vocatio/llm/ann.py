@@ -11,8 +11,8 @@ fitted to a sample of at most ``SAMPLE`` vectors (a bound that only balances the
 cell; cells with more than ``BLOCK`` vectors are dealt to several blocks, so copies of one vector spread over blocks.
 The lower part is a kd-tree over each block, built in the task that searches it. Queries first search their own cell.
 Their k-th distance and the measured box of each cell tell which other cells the stopping test leaves, and only those
-are searched in a second step. Queries are dealt to chunks of at most ``QUERIES``, so neither side of a group grows with
-the table.
+are searched in a second step. The queries that visit a block are dealt to chunks of about ``QUERIES``, so neither side of
+a group grows with the table; a block goes once to each chunk of its own queries, and nowhere if it has none.
 
 Rows: vectors that are null, empty, zero, or hold null or non-finite components take no part; vectors are only compared
 with those of the same length; equal distances go to the smaller id; a row with a null id takes no part; rows
@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vocatio.llm.common import among_lowest, arrow_map
-from vocatio.session import written
+from vocatio.session import broadcast_if_small, written
 
 DIMENSIONS = 8
 CONFIDENCE = 0.98
@@ -159,6 +159,20 @@ def usable(table: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     return rows.filter(~bad & F.exists("v", lambda x: x != 0)).withColumn("dim", F.size("v"))
 
 
+def dealt(items: DataFrame, asked: DataFrame, query_chunk: int) -> tuple[DataFrame, DataFrame]:
+    """Both sides with a ``chunk``: the queries of a block (dim, cell, part) in chunks, the items of the block once for each.
+
+    Blocks that no query visits have no chunk, so their items stay where they are; one that at most ``query_chunk``
+    queries visit is copied once, whatever the number of queries in all.
+    """
+    block = ["dim", "cell", "part"]
+    counted = asked.groupBy(*block).agg(F.ceil(F.count(F.lit(1)) / query_chunk).cast("int").alias("chunks"))
+    # One small row for each block that is visited.
+    chunks, _ = broadcast_if_small(written(counted, "visited"), F.lit(32))
+    copies = items.join(chunks, block).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    return copies.drop("chunks"), asked.join(chunks, block).withColumn("chunk", F.pmod(F.xxhash64(F.lit(1), "id"), F.col("chunks")).cast("int")).drop("chunks")
+
+
 def _matrix(lists: pd.Series) -> np.ndarray:
     return np.array(lists.tolist(), float)
 
@@ -200,8 +214,6 @@ def nearest(
     box_dim, box_cell, box_parts = (boxes[c].to_numpy() for c in ("dim", "cell", "parts"))
     # Rows that repeat a query's id are one query, that of the least vector.
     queries = placed.filter(F.col("id") % every == 0).groupBy("id").agg(F.min(F.struct("v", "dim", "cell", "p")).alias("q")).select("id", "q.*")
-    chunks = max(1, -(-queries.count() // query_chunk))
-    queries = queries.withColumn("chunk", F.pmod(F.xxhash64(F.lit(1), "id"), F.lit(chunks)).cast("int"))
 
     def visits(first: bool):
         """Blocks that a query searches: those of its own cell, or those of the others that its bound leaves."""
@@ -224,9 +236,9 @@ def nearest(
                             rows.append(i)
                             to_cell.append(box_cell[b])
                             to_part.append(part)
-                sent = batch.select(["id", "v", "dim", "p", "chunk"]).take(pa.array(rows, pa.int64()))
+                sent = batch.select(["id", "v", "dim", "p"]).take(pa.array(rows, pa.int64()))
                 more = [pa.array(to_cell, pa.int32()), pa.array(to_part, pa.int32()), pa.array(bounds[rows] if rows else [], pa.float64())]
-                yield pa.RecordBatch.from_arrays([*sent.columns, *more], names=["id", "v", "dim", "p", "chunk", "cell", "part", "bound"])
+                yield pa.RecordBatch.from_arrays([*sent.columns, *more], names=["id", "v", "dim", "p", "cell", "part", "bound"])
 
         return run
 
@@ -234,7 +246,6 @@ def nearest(
     large = [x for (d, c), n in parts.items() if n > 1 for x in (F.lit(f"{d}/{c}"), F.lit(n))]
     of_cell = F.coalesce(F.try_element_at(F.create_map(*large), F.concat_ws("/", "dim", "cell")), F.lit(1)) if large else F.lit(1)
     items = placed.withColumn("part", F.pmod(F.xxhash64("id", "v"), of_cell).cast("int"))
-    items = items.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
 
     def search(own: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
         found = []
@@ -248,8 +259,9 @@ def nearest(
     key = ["dim", "cell", "part", "chunk"]
 
     def step(asked: DataFrame, first: bool) -> DataFrame:
-        sent = arrow_map(asked, visits(first), "id long, v array<double>, dim int, p array<double>, chunk int, cell int, part int, bound double")
-        return items.groupBy(*key).cogroup(sent.groupBy(*key)).applyInPandas(search, "query_id long, vec_id long, score double")
+        sent = arrow_map(asked, visits(first), "id long, v array<double>, dim int, p array<double>, cell int, part int, bound double")
+        own, sent = dealt(items, sent, query_chunk)
+        return own.groupBy(*key).cogroup(sent.groupBy(*key)).applyInPandas(search, "query_id long, vec_id long, score double")
 
     near = written(step(queries, True), "near")
     by_score = Window.partitionBy("query_id").orderBy("score", "vec_id")

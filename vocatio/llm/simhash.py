@@ -6,8 +6,8 @@ a stretch being the shared pattern of the route's root. Within a route entries s
 where neighbours share many bits. Runs of ``LEAF`` entries form a leaf, runs of ``FAN`` nodes a node above; a node has
 the mask of the bits that all below it share, and their pattern. Two nodes are compared by the differences in the bits
 that both share, which only grow from a node to the nodes below it: as soon as they exceed ``d``, all pairs
-between the two groups are pruned at once. Routes with more than ``ROUTE_LIMIT`` entries are routed once more by the
-stretches of their remaining bits, so hot patterns spread over many tasks.
+between the two groups are pruned at once. Routes with more than ``ROUTE_LIMIT`` entries are counted and routed again
+by stretches of the bits that they leave free, level by level, until none is above the limit.
 
 From a route only a spanning forest of its links leaves the task, never all pairs. Components follow by alternating
 large and small stars over those edges, each round written to the shared folder.
@@ -205,29 +205,46 @@ def _route_edges(d: int):
 BATCH_ENTRIES = 200_000
 
 
-def _taken(fp, bits: list[int]):
-    """The stretch ``bits`` (adjacent, rising) of a fingerprint as a number."""
-    return F.shiftrightunsigned(fp, bits[0]).bitwiseAND(F.lit((1 << len(bits)) - 1))
+def _masks(free: int, parts: int) -> list[int]:
+    """The bits of ``free`` cut into ``parts`` stretches of like length, as masks."""
+    bits = [b for b in range(BITS) if free >> b & 1]
+    return [sum(1 << b for b in part) for part in stretches(bits, parts)]
+
+
+def _signed(mask: int) -> int:
+    return mask - (1 << 64) if mask >> 63 else mask
 
 
 def routed(entries: DataFrame, d: int, limit: int = ROUTE_LIMIT) -> DataFrame:
-    """(route, fp): each entry once for every route; pairs within ``d`` bits share one."""
-    parts = stretches(list(range(BITS)), d + 1)
-    once = entries.select(
-        "fp", F.explode(F.array(*(F.struct(F.lit(i).alias("i"), _taken(F.col("fp"), p).alias("v")) for i, p in enumerate(parts)))).alias("r")
-    ).select("fp", "r.i", "r.v")
-    hot = once.groupBy("i", "v").count().filter(F.col("count") > limit).select("i", "v", F.lit(True).alias("hot"))
-    marked = once.join(hot, ["i", "v"], "left")
-    cool = marked.filter("hot IS NULL").select(F.xxhash64("i", "v").alias("route"), "fp")
-    more = []
-    for i in range(d + 1):
-        rest = [p for k, p in enumerate(parts) if k != i]
-        # The remaining stretches are cut again: each gives (d + 1) / d stretches, so at least d + 1 in all.
-        cut = [x for p in rest for x in stretches(p, -(-(d + 1) // d))]
-        struct = F.array(*(F.struct(F.lit(j).alias("j"), _taken(F.col("fp"), x).alias("w")) for j, x in enumerate(cut)))
-        again = marked.filter((F.col("i") == i) & F.col("hot")).select("fp", "i", "v", F.explode(struct).alias("s"))
-        more.append(again.select(F.xxhash64("i", "v", "s.j", "s.w").alias("route"), "fp"))
-    return union([cool, *more])
+    """(route, fp): each entry once for every route; pairs within ``d`` bits share one.
+
+    A route fixes one of ``d + 1`` stretches of bits. Routes above ``limit`` are counted and cut again by the bits that
+    they leave free, in which their pairs differ by at most ``d`` too, until no route is above the limit. The entries
+    must be different: then a route of ``f`` free bits has at most 2^f, and each cut leaves ``d / (d + 1)`` of them.
+    """
+    spark, frees, done = entries.sparkSession, {(1 << BITS) - 1}, []
+    now = entries.select(F.lit(0).cast("long").alias("route"), "fp", F.lit(-1).cast("long").alias("free"))
+    while True:
+        # At most (d + 1) ^ level different sets of free bits, whatever the table.
+        cuts = [(f, m) for f in sorted(frees) for m in _masks(f, d + 1)]
+        masks = spark.createDataFrame([(_signed(f), _signed(m)) for f, m in cuts], "free long, mask long")
+        now = now.join(F.broadcast(masks), "free").select(
+            F.xxhash64("route", "mask", F.col("fp").bitwiseAND(F.col("mask"))).alias("route"), "fp",
+            F.col("free").bitwiseAND(F.bitwise_not("mask")).alias("free"),
+        )
+        hot = written(now.groupBy("route").count().filter(F.col("count") > limit).select("route"), "hot-routes")
+        if hot.isEmpty():
+            return union([*done, now.select("route", "fp")])
+        done.append(now.join(hot, "route", "left_anti").select("route", "fp"))
+        frees = {f & ~m for f, m in cuts}
+        # Sets too small to be cut belong to routes of at most 2^d entries.
+        frees = {f for f in frees if f.bit_count() > d}
+        again = now.join(hot, "route", "left_semi")
+        small = F.bit_count("free") <= d
+        done.append(again.filter(small).select("route", "fp"))
+        if not frees:
+            return union(done)
+        now = written(again.filter(~small), "routes")
 
 
 def link_edges(entries: DataFrame, d: int, limit: int = ROUTE_LIMIT) -> DataFrame:
