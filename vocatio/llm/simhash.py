@@ -227,8 +227,12 @@ def routed(entries: DataFrame, d: int, limit: int = ROUTE_LIMIT) -> DataFrame:
     while True:
         # At most (d + 1) ^ level different sets of free bits, whatever the table.
         cuts = [(f, m) for f in sorted(frees) for m in _masks(f, d + 1)]
-        masks = spark.createDataFrame([(_signed(f), _signed(m)) for f, m in cuts], "free long, mask long")
-        now = now.join(F.broadcast(masks), "free").select(
+        if len(frees) == 1:
+            cut = now.withColumn("mask", F.explode(F.array(*(F.lit(_signed(m)) for _, m in cuts))))
+        else:
+            masks = spark.createDataFrame([(_signed(f), _signed(m)) for f, m in cuts], "free long, mask long")
+            cut = now.join(F.broadcast(masks), "free")
+        now = cut.select(
             F.xxhash64("route", "mask", F.col("fp").bitwiseAND(F.col("mask"))).alias("route"), "fp",
             F.col("free").bitwiseAND(F.bitwise_not("mask")).alias("free"),
         )
