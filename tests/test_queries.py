@@ -21,3 +21,13 @@ def test_query(spark, sf, con, name):
         assert result.count() > 0
     else:
         assert compare(result, con, sql) is None
+
+
+@pytest.mark.parametrize("name", ["stream_dead_letters", "stream_skill_tracker", "stream_feedback_pairs"])
+def test_stream_of_a_table_of_many_files(spark, sf, con, name, tmp_path):
+    """Large tables are folders of files; their streams read all of them."""
+    for table in ("documents", "events"):
+        spark.read.parquet(f"{sf}/{table}.parquet").repartition(3).write.parquet(f"{tmp_path}/{table}.parquet")
+    (tmp_path / "benchmark.parquet").symlink_to(f"{sf}/benchmark.parquet")
+    result = entry.queries()[name](spark, str(tmp_path))
+    assert compare(result, con, entry.oracle_sql()[name]) is None

@@ -198,11 +198,6 @@ def _event_messages(events: DataFrame) -> DataFrame:
     return events.select(F.to_json(record).alias("value"), F.col("ts").cast("timestamp").alias("timestamp"))
 
 
-def _table_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    schema = views.table(spark, sf_dir, name).schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
-
-
 def _delivered(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """Events as a stream of three batches, late days of all months first; each comes again with the next batch.
 
@@ -321,7 +316,7 @@ FROM sent""",
 def stream_dead_letters(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = work_path(spark, "stream-dead")
     ingest.ingest_with_dead_letters(
-        _document_messages(_table_stream(spark, sf_dir, "documents")), out
+        _document_messages(views.table_stream(spark, sf_dir, "documents")), out
     ).awaitTermination()
     good = spark.read.parquet(f"{out}/rows").select(F.lit("good").alias("kind"), F.col("id").alias("content"))
     dead = spark.read.parquet(f"{out}/dead").select(F.col("error_type").alias("kind"), F.col("original_message").alias("content"))

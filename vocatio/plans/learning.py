@@ -40,10 +40,8 @@ def feedback_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("stream_feedback_pairs", PAIR_SQL + PAIR_COLUMNS)
 def stream_feedback_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The running aggregate over a stream of events, normalised when it is read."""
-    schema = views.table(spark, sf_dir, "events").schema
-    stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
     out = work_path(spark, "feedback-pairs")
-    running.track_feedback(views.feedback_events(stream), out).awaitTermination()
+    running.track_feedback(views.feedback_events(views.table_stream(spark, sf_dir, "events")), out).awaitTermination()
     return _rounded(feedback.normalised_pairs(running.latest(spark, out, ["job_id", "cv_id"], running.PAIRS_SCHEMA)))
 
 
