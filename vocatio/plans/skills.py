@@ -250,9 +250,7 @@ def skill_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("stream_skill_tracker", TRACKED_SQL + f"SELECT {TRACKED_COLUMNS} FROM tracked")
 def stream_skill_tracker(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The tracker fed by a stream of documents, read back without the known words."""
-    schema = views.table(spark, sf_dir, "documents").schema
-    stream = spark.readStream.schema(schema).option("pathGlobFilter", "documents.parquet").parquet(sf_dir)
-    texts = timed_texts(stream, views.table(spark, sf_dir, "benchmark"))
+    texts = timed_texts(views.table_stream(spark, sf_dir, "documents"), views.table(spark, sf_dir, "benchmark"))
     out = work_path(spark, "skill-tracker")
     running.track_skills(texts, ["text", "job_text"], "seen_at", out).awaitTermination()
     current = running.latest(spark, out, ["skill_name"], running.TRACKED_SCHEMA)
