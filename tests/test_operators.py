@@ -641,3 +641,38 @@ def test_hot_runs_are_spread(spark, monkeypatch):
     monkeypatch.setattr(skills, "left_joins", lambda base, others, on, hot: seen.extend(hot) or left_joins(base, others, on, hot))
     assert sorted(map(tuple, skills.frequent_terms(frame, "t").collect())) == plain
     assert seen
+
+
+def test_single_precision_loses_no_item(monkeypatch):
+    """Scores that differ in the seventh digit, and vectors too long for single precision, rank as in double precision."""
+    rng = np.random.default_rng(3)
+    for scale in (1.0, 300.0, 1e16):
+        queries = rng.normal(size=(20, 64)) * scale
+        base = rng.normal(size=(1, 64))
+        items = (base + rng.normal(size=(3000, 64)) * 1e-7) / scale
+        units = np.floor(np.stack([np.einsum("ij,ij->i", np.repeat(queries[[q]], len(items), 0), items) for q in range(20)]) * 1e6 + 0.5)
+        leaders = retrieval._Leaders(queries, 7)
+        for at in range(0, 3000, 500):
+            leaders.offer(items[at : at + 500], np.arange(at, at + 500))
+        rows, found, _ = leaders.result()
+        best = [np.lexsort((np.arange(3000), -units[q]))[:7].tolist() for q in range(20)]
+        assert [found[rows == q].tolist() for q in range(20)] == best
+
+
+def test_a_task_holds_a_bounded_number_of_results(spark, monkeypatch):
+    """Queries that ask for many results are dealt to more tasks; what a task holds does not grow with the tables."""
+    held, leaders = 40, retrieval._Leaders
+    assert retrieval._rows_held(50, 576) * 50 <= retrieval.RESULTS_AT_ONCE
+    bounds = spark.createDataFrame([(n, 7) for n in range(100)], "block long, n long")
+    sizes = [r["n"] for r in retrieval._stripes(bounds, held).groupBy("stripe").agg((F.count("*") * 7).alias("n")).collect()]
+    assert max(sizes) <= held and sum(sizes) == 700
+    assert leaders(np.ones((2, 2)), 3).pending == 0
+    _, queries = vectors(spark, 300, "query_id", 1)
+    _, items = vectors(spark, 400, "item_id", 2)
+    exact = as_set(retrieval.top_k(queries, items, 5))
+    monkeypatch.setattr(retrieval, "RESULTS_AT_ONCE", 200)
+    monkeypatch.setattr(retrieval, "STREAM_BYTES", 4000)
+    assert as_set(retrieval.top_k(queries, items, 5)) == exact
+    assert as_set(retrieval.top_k(queries, items, 5, broadcast_limit=0)) == exact
+    text = retrieval.top_k(queries, items, 5, broadcast_limit=0)._jdf.queryExecution().toString()
+    assert "FlatMapCoGroups" not in text

@@ -12,7 +12,10 @@ Three physical forms give the same rows:
   those candidates merges them;
 * neither fits: both sides are cut into blocks around pivots. A pair of blocks is multiplied only if the best score
   that it can hold, by the distances of its vectors from their pivots, reaches the ``k`` best that the nearest blocks
-  have given. Blocks meet over a shuffle; of the tables only pivots and one row of bounds a block pass the driver.
+  have given. Blocks meet over a shuffle: a task holds some blocks of queries, as many as have room with their results,
+  and the items that may matter to them stream past. So memory does not depend on the tables, items are sent once for
+  each such stripe of queries, not for each block, and a task returns no more than ``k`` rows a query. Of the tables
+  only pivots and one row of bounds a block pass the driver.
 
 Vectors that are null, hold null or non-finite components, or are not of the table's usual size take no part;
 :func:`rejected_vectors` counts them.
@@ -30,15 +33,23 @@ from pyspark.sql import functions as F
 from vocatio import presets
 from vocatio.functions.hashing import draw
 from vocatio.functions.vectors import is_finite
-from vocatio.session import BROADCAST_LIMIT_BYTES, broadcast_if_small, written
+from vocatio.session import broadcast_if_small, written
 
 SCALE = 1_000_000
-# Vectors of one block, as doubles; a task holds one block of each side. Every row is sent once per
-# block of the other side, so blocks should be as large as a task can hold, and equal on both sides.
-BLOCK_BYTES = 128 * 1024 * 1024
+# Vectors that a task holds at once, as doubles: each Python worker has them, several times while they are read.
+BLOCK_BYTES = 16 * 1024 * 1024
+# Results that a task holds at once; with many for each query it holds fewer queries.
+RESULTS_AT_ONCE = 500_000
+# Vectors of items that stream past the queries of one task, as doubles; more are dealt to several tasks.
+STREAM_BYTES = 256 * 1024 * 1024
+# Blocks around pivots: the smaller they are, the closer their bounds.
+PIVOT_BLOCK_BYTES = 4 * 1024 * 1024
 # Scores computed in one go, few enough to stay in a core's cache, and items they are computed for.
 SCORES_AT_ONCE = 500_000
 ITEMS_AT_ONCE = 2_048
+# Vectors up to this length are compared in single precision first; products of components below TINY may vanish there.
+LONGEST_IN_SINGLE = 1e15
+TINY = 1e-30
 # Components of pairs whose scores are taken anew at once.
 COMPONENTS_AT_ONCE = 8_000_000
 # Items that the bars are taken from: the more, the fewer candidates leave the tasks; any number gives the same rows.
@@ -70,38 +81,55 @@ class _Leaders:
     """The best ``k`` items so far of each query of a block.
 
     Once a query has ``k`` items, its lowest score is a bar that most later items fail in one
-    comparison; only those that reach it are sorted, by score and then by id.
+    comparison; only those that reach it are sorted, by score and then by id. The comparison is made in
+    single precision with a bound on its error, unless vectors are too long for that; scores that may
+    reach the bar are taken anew in double precision.
     """
 
     def __init__(self, queries: np.ndarray, k: int, bar: np.ndarray | None = None):
         self.queries, self.k = queries, k
+        self.lengths = np.linalg.norm(queries, axis=1)
+        self.short = not len(queries) or self.lengths.max() < LONGEST_IN_SINGLE
+        self.rough = queries.astype(np.float32) if self.short else queries
         self.bar = np.full(len(queries), -np.inf) if bar is None else bar.copy()
         self.parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         self.pending = 0
 
-    def offer(self, items: np.ndarray, ids: np.ndarray) -> None:
+    def offer(self, items: np.ndarray, ids: np.ndarray, among: np.ndarray | None = None) -> None:
+        """``among``: the rows of the queries that the items may matter to, all without it."""
+        among = np.arange(len(self.queries)) if among is None else among
         n = len(items)
         for at in range(0, n, ITEMS_AT_ONCE):
-            self._offer(items[at : at + ITEMS_AT_ONCE], ids[at : at + ITEMS_AT_ONCE])
+            self._offer(items[at : at + ITEMS_AT_ONCE], ids[at : at + ITEMS_AT_ONCE], among)
 
-    def _offer(self, items: np.ndarray, ids: np.ndarray) -> None:
+    def _offer(self, items: np.ndarray, ids: np.ndarray, among: np.ndarray) -> None:
         n, k = len(items), self.k
-        step = max(1, SCORES_AT_ONCE // n)
-        for start in range(0, len(self.queries), step):
-            scores = self.queries[start : start + step] @ items.T
-            bar = self.bar[start : start + step]
+        step, longest = max(1, SCORES_AT_ONCE // n), np.linalg.norm(items, axis=1).max()
+        single = self.short and longest < LONGEST_IN_SINGLE
+        queries, rough = (self.rough, items.astype(np.float32)) if single else (self.queries, items)
+        # A product of single precision is off by no more than this share of the lengths.
+        error = (items.shape[1] + 4) * 2.0**-23 * longest if single else 0.0
+        for start in range(0, len(among), step):
+            asked = among[start : start + step]
+            scores = queries[asked] @ rough.T
+            bar, off = self.bar[asked], error * self.lengths[asked] + (TINY if single else 0.0)
             new = np.isneginf(bar)
             if n > k and new.any():
-                bar[new] = _units(np.partition(scores[new], n - k, axis=1)[:, n - k])
+                # One unit less, since these scores are rounded otherwise than those of single pairs.
+                bar[new] = _units(np.partition(scores[new], n - k, axis=1)[:, n - k].astype(np.float64) - off[new]) - 1
+                self.bar[asked] = bar
             # A little below the bar, so that rounding keeps every item that may reach it.
-            near = np.flatnonzero(scores >= ((bar - 0.5 - 1e-3) / SCALE)[:, None])
+            least = (bar - 0.5 - 1e-3) / SCALE - off
+            if single:
+                least = (least - 2.0**-22 * np.where(np.isinf(least), 0.0, np.abs(least))).astype(np.float32)
+            near = np.flatnonzero(scores >= least[:, None])
             rows, cols = np.divmod(near, n)
-            units = self._exact(rows + start, items, cols)
+            units = self._exact(asked[rows], items, cols)
             kept = units >= bar[rows]
             rows, cols, units = rows[kept], cols[kept], units[kept]
-            self.parts.append((rows + start, ids[cols], units))
+            self.parts.append((asked[rows], ids[cols], units))
             self.pending += len(rows)
-            if self.pending > max(SCORES_AT_ONCE, 4 * k * len(self.queries)):
+            if self.pending > max(SCORES_AT_ONCE, 2 * k * len(self.queries)):
                 self._sort()
 
     def _exact(self, rows: np.ndarray, items: np.ndarray, cols: np.ndarray) -> np.ndarray:
@@ -114,8 +142,12 @@ class _Leaders:
 
     def _sort(self) -> None:
         rows, ids, units = (np.concatenate(column) for column in zip(*self.parts))
-        order = np.lexsort((ids, -units, rows))
+        order = np.lexsort((-units, rows))
         rows, ids, units = rows[order], ids[order], units[order]
+        # Ids may be strings, which are slow to sort: only those of equal scores are.
+        same = np.flatnonzero((rows[1:] == rows[:-1]) & (units[1:] == units[:-1]))
+        tied = np.union1d(same, same + 1)
+        ids[tied] = ids[tied][np.lexsort((ids[tied], -units[tied], rows[tied]))]
         place = np.arange(len(rows)) - np.searchsorted(rows, rows, side="left")
         last = place == self.k - 1
         self.bar[rows[last]] = units[last]
@@ -182,6 +214,24 @@ def _rows_of(df: DataFrame, id_column: str) -> tuple[np.ndarray, np.ndarray, pa.
     return _ids(column), _arrow_matrix(table.column("vector")), column.type
 
 
+def _rows_held(k: int, row_bytes: int) -> int:
+    """Queries that a task holds at once, with ``k`` results each."""
+    return max(1, min(RESULTS_AT_ONCE // max(1, k), BLOCK_BYTES // max(1, row_bytes)))
+
+
+def _slices(batch: pa.RecordBatch, rows: int) -> Iterator[pa.RecordBatch]:
+    for at in range(0, batch.num_rows, rows):
+        yield batch.slice(at, rows)
+
+
+def _results(leaders: _Leaders, query_ids: pa.Array, item_type: pa.DataType) -> Iterator[pa.RecordBatch]:
+    rows, found, scores = leaders.result()
+    for at in range(0, len(rows), RESULTS_AT_ONCE // 10):
+        part = slice(at, at + RESULTS_AT_ONCE // 10)
+        columns = [query_ids.take(pa.array(rows[part])), pa.array(found[part].tolist(), type=item_type), pa.array(scores[part])]
+        yield pa.RecordBatch.from_arrays(columns, names=["query_id", "item_id", "score"])
+
+
 def _with_items_everywhere(queries: DataFrame, items: DataFrame, k: int, schema: str) -> DataFrame:
     shared = queries.sparkSession.sparkContext.broadcast(_rows_of(items, "item_id"))
 
@@ -189,13 +239,10 @@ def _with_items_everywhere(queries: DataFrame, items: DataFrame, k: int, schema:
         ids, matrix, id_type = shared.value
         for batch in batches:
             if batch.num_rows and len(ids):
-                leaders = _Leaders(_arrow_matrix(batch.column("vector")), k)
-                leaders.offer(matrix, ids)
-                rows, found, scores = leaders.result()
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("query_id").take(pa.array(rows)), pa.array(found, type=id_type), pa.array(scores)],
-                    names=["query_id", "item_id", "score"],
-                )
+                for part in _slices(batch, _rows_held(k, 1)):
+                    leaders = _Leaders(_arrow_matrix(part.column("vector")), k)
+                    leaders.offer(matrix, ids)
+                    yield from _results(leaders, part.column("query_id"), id_type)
 
     return queries.select("query_id", "vector").mapInArrow(search, schema)
 
@@ -281,11 +328,18 @@ def _bounds(placed: DataFrame) -> DataFrame:
     return placed.groupBy("block", "cell").agg(F.max("away").alias("radius"), F.count(F.lit(1)).alias("n"))
 
 
+def _reaches(near, query_norm, query_radius, item_norm, item_radius, bar):
+    """Whether the best score, in units, that vectors so far from pivots of these products and lengths can have is as high as the bar."""
+    best = near + query_norm * item_radius + item_norm * query_radius + query_radius * item_radius
+    best = best + 1e-9 * (1 + np.abs(best))  # more than rounding takes away
+    return best * SCALE + 1 >= bar
+
+
 def _pairs(query_bounds: DataFrame, item_bounds: DataFrame, pivots: np.ndarray, k: int) -> DataFrame:
     """(query_block, item_block) of the pairs of blocks that may hold one of the ``k`` best of a query.
 
     With no column ``bar`` of the query blocks these are the nearest blocks, which hold ``k`` items (seeds); with it, all
-    others whose best possible score reaches the bar.
+    whose best possible score reaches the bar.
     """
     # Bounds are a few numbers for each block of items.
     rows = item_bounds.select("block", "cell", "radius", "n").toPandas().sort_values("block")
@@ -299,16 +353,12 @@ def _pairs(query_bounds: DataFrame, item_bounds: DataFrame, pivots: np.ndarray,
             left, right = [], []
             for row in batch.to_pylist():
                 near = pivots[cells] @ pivots[row["cell"]]
-                order = np.argsort(-near, kind="stable")
-                first = order[: np.searchsorted(np.cumsum(n[order]), k) + 1]
                 if seeds:
-                    hit = blocks[first]
+                    order = np.argsort(-near, kind="stable")
+                    hit = blocks[order[: np.searchsorted(np.cumsum(n[order]), k) + 1]]
                 else:
-                    best = near + norms[row["cell"]] * radius + norms[cells] * row["radius"] + radius * row["radius"]
-                    best += 1e-9 * (1 + np.abs(best))  # more than rounding takes away
-                    reach = best * SCALE + 1 >= row["bar"] * SCALE if row["bar"] is not None else np.ones(len(blocks), bool)
-                    reach[first] = False
-                    hit = blocks[reach]
+                    bar = -np.inf if row["bar"] is None else row["bar"] * SCALE
+                    hit = blocks[_reaches(near, norms[row["cell"]], row["radius"], norms[cells], radius, bar)]
                 left += [row["block"]] * len(hit)
                 right += hit.tolist()
             yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["query_block", "item_block"])
@@ -317,23 +367,30 @@ def _pairs(query_bounds: DataFrame, item_bounds: DataFrame, pivots: np.ndarray,
     return query_bounds.select(*columns).mapInArrow(meet, "query_block long, item_block long")
 
 
-def _multiplied(queries: DataFrame, items: DataFrame, pairs: DataFrame, k: int, schema: str) -> DataFrame:
-    """The best ``k`` of each query in each pair of blocks; ``queries`` may have a ``bar`` that results must reach."""
-    keys = ["query_block", "item_block"]
+def _sent(side: DataFrame, lists: DataFrame, other: str) -> DataFrame:
+    """The rows of each block once for each number that its list names; a list is one row, which Spark broadcasts where they turn out to be few."""
+    return side.join(lists, "block").withColumn(other, F.explode("others")).drop("others")
+
 
-    def sent(side: DataFrame, own: str, other: str, *columns: str) -> DataFrame:
-        # One row a block, which Spark broadcasts where it turns out to be small.
-        lists = pairs.groupBy(F.col(own).alias("block")).agg(F.collect_list(other).alias("others"))
-        return side.join(lists, "block").select(F.col("block").alias(own), F.explode("others").alias(other), *columns).groupBy(*keys)
+def _listed(pairs: DataFrame, own: str, other: str) -> DataFrame:
+    return pairs.groupBy(F.col(own).alias("block")).agg(F.collect_set(other).alias("others"))
 
-    bar = ["bar"] if "bar" in queries.columns else []
-    left, right = sent(queries, *keys, "query_id", "vector", *bar), sent(items, *reversed(keys), "item_id", "vector")
-    return left.cogroup(right).applyInArrow(_block_search(k), schema)
+
+def _stripes(query_bounds: DataFrame, most: int) -> DataFrame:
+    """(block, stripe): query blocks that one task holds together, ``most`` rows of them unless one block has more."""
+    # Bounds are a few numbers for each block of queries.
+    rows, stripe, held = [], 0, 0
+    for block, n in query_bounds.select("block", "n").orderBy("block").collect():
+        stripe, held = (stripe + 1, n) if held and held + n > most else (stripe, held + n)
+        rows.append((block, stripe))
+    return query_bounds.sparkSession.createDataFrame(rows, "block long, stripe long")
 
 
 def _in_pruned_blocks(queries: DataFrame, items: DataFrame, k: int, schema: str, dimension: int, block_bytes: int) -> tuple[DataFrame, DataFrame, list[DataFrame]]:
-    """Candidates of all queries, the pairs of blocks that were multiplied, and the blocks of both sides."""
+    """Candidates of all queries, the pairs of blocks that may hold them, and the blocks of both sides."""
     n_items, row_bytes = items.count(), dimension * 8 + 64
+    most = _rows_held(k, row_bytes)
+    block_bytes = min(block_bytes, most * row_bytes)
     # Some blocks for each that the items would fill, so that most of their pairs are far apart.
     pivots = _pivots(items, n_items, min(PIVOTS, 4 * _blocks(n_items * row_bytes, block_bytes)))
     if not len(pivots):
@@ -343,30 +400,108 @@ def _in_pruned_blocks(queries: DataFrame, items: DataFrame, k: int, schema: str,
     items = _around_pivots(items, "item_id", pivots, row_bytes, block_bytes)
     query_bounds, item_bounds = written(_bounds(queries), "query-bounds"), written(_bounds(items), "item-bounds")
     seeds = written(_pairs(query_bounds, item_bounds, pivots, k), "seeds")
-    first = written(_multiplied(queries, items, seeds, k, schema), "seed-scores")
+    asked = queries.withColumn("query_block", F.col("block"))
+    offered = _sent(items, _listed(seeds, "item_block", "query_block"), "query_block")
+    first = written(_streamed(asked, offered, ["query_block"], k, schema, pivots), "seed-scores")
     bars = ranked(first, k).filter(F.col("rank") == k).select("query_id", F.col("score").alias("bar"))
     barred = written(queries.join(bars, "query_id", "left"), "barred")
     # A block's bar is its lowest; none if a query has not found k items yet.
     low = barred.groupBy("block").agg(F.when(F.count("bar") == F.count(F.lit(1)), F.min("bar")).alias("bar"))
-    more = written(_pairs(query_bounds.join(low, "block"), item_bounds, pivots, k), "more-pairs")
-    rest = _multiplied(barred, items, more, k, schema)
-    return first.unionByName(rest), seeds.unionByName(more), [query_bounds, item_bounds]
-
-
-def _block_search(k: int):
-    def search(left: pa.Table, right: pa.Table) -> pa.Table:
-        names = ["query_id", "item_id", "score"]
-        query_ids, item_type = left.column("query_id"), right.column("item_id").type
-        if not left.num_rows or not right.num_rows:
-            return pa.table([query_ids.slice(0, 0), pa.array([], item_type), pa.array([], pa.float64())], names)
-        bar = None
-        if "bar" in left.column_names:
-            bar = left.column("bar").to_numpy().astype(np.float64)
+    pairs = written(_pairs(query_bounds.join(low, "block"), item_bounds, pivots, k), "pairs")
+    # Stripes enough for all cores; each item is sent to those that have a block of a pair with its own.
+    n_queries, cores = query_bounds.agg(F.sum("n")).first()[0] or 0, queries.sparkSession.sparkContext.defaultParallelism
+    stripes = written(_stripes(query_bounds, min(most, -(-n_queries // (2 * cores)))), "stripes")
+    wanted = pairs.join(stripes.withColumnRenamed("block", "query_block"), "query_block")
+    parts = _blocks(n_items * row_bytes, STREAM_BYTES)
+    copies = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(parts - 1).cast("bigint")))
+    asked = barred.join(F.broadcast(stripes), "block").withColumn("part", copies)
+    offered = _sent(items, _listed(wanted, "item_block", "stripe"), "stripe").withColumn("part", F.pmod(F.xxhash64("block"), F.lit(parts)))
+    return _streamed(asked, offered, ["stripe", "part"], k, schema, pivots), seeds.unionByName(pairs).distinct(), [query_bounds, item_bounds]
+
+
+def _streamed(queries: DataFrame, items: DataFrame, keys: list[str], k: int, schema: str, pivots: np.ndarray | None = None) -> DataFrame:
+    """The best ``k`` of each query among the items with the same ``keys``.
+
+    The rows of a key come to one task, queries first: it holds those and takes the items as they come. Queries may have
+    a ``bar`` that results must reach. With ``pivots`` both sides are blocks around them, and items are multiplied with
+    the blocks of queries that they may matter to.
+    """
+    kind = "array<double>" if queries.schema["vector"].dataType != items.schema["vector"].dataType else queries.schema["vector"].dataType
+    placed = ["block", "cell", "away"] if pivots is not None else []
+
+    def side(df: DataFrame, number: int, *columns: str) -> DataFrame:
+        return df.select(*keys, F.lit(number).alias("_side"), *columns, F.col("vector").cast(kind).alias("vector"), *placed)
+
+    left = side(queries, 0, "query_id", *(["bar"] if "bar" in queries.columns else []))
+    both = left.unionByName(side(items, 1, "item_id"), allowMissingColumns=True).repartition(*keys)
+    shared = None if pivots is None else queries.sparkSession.sparkContext.broadcast(pivots)
+    return both.sortWithinPartitions(*keys, "_side", *placed[:1]).mapInArrow(_stream_search(keys, k, shared), schema)
+
+
+def _changes(columns: list[np.ndarray], n: int) -> list[tuple[int, int]]:
+    """(start, end) of the stretches of rows that agree in the columns."""
+    cuts = np.zeros(n, bool)
+    for column in columns:
+        cuts[1:] |= column[1:] != column[:-1]
+    starts = [0, *np.flatnonzero(cuts).tolist()]
+    return list(zip(starts, [*starts[1:], n]))
+
+
+class _Held:
+    """Queries of one key and what they have found."""
+
+    def __init__(self, parts: list[pa.RecordBatch], k: int, pivots: np.ndarray | None):
+        rows = pa.Table.from_batches(parts).combine_chunks()
+        self.ids, bar = rows.column("query_id").combine_chunks(), None
+        if "bar" in rows.column_names:
+            bar = rows.column("bar").to_numpy().astype(np.float64)
             bar = np.where(np.isnan(bar), -np.inf, _units(np.nan_to_num(bar)))
-        leaders = _Leaders(_arrow_matrix(left.column("vector")), k, bar)
-        leaders.offer(_arrow_matrix(right.column("vector")), _ids(right.column("item_id")))
-        rows, found, scores = leaders.result()
-        return pa.table([query_ids.take(pa.array(rows)), pa.array(found, type=item_type), pa.array(scores)], names)
+        self.leaders, self.pivots, self.item_type = _Leaders(_arrow_matrix(rows.column("vector")), k, bar), pivots, None
+        if pivots is not None:
+            self.products, self.norms = pivots @ pivots.T, np.linalg.norm(pivots, axis=1)
+            self.starts = np.array([at for at, _ in _changes([rows.column("block").to_numpy()], rows.num_rows)])
+            self.sizes = np.diff(np.append(self.starts, rows.num_rows))
+            self.cells = rows.column("cell").to_numpy()[self.starts]
+            self.radius = np.maximum.reduceat(rows.column("away").to_numpy(), self.starts)
+
+    def _among(self, cell: int, radius: float) -> np.ndarray:
+        """The rows of the blocks that items so far around a pivot may matter to."""
+        low = np.minimum.reduceat(self.leaders.bar, self.starts)
+        reach = _reaches(self.products[cell, self.cells], self.norms[self.cells], self.radius, self.norms[cell], radius, low)
+        return np.flatnonzero(np.repeat(reach, self.sizes))
+
+    def offer(self, items: pa.RecordBatch) -> None:
+        self.item_type = items.column("item_id").type
+        stretches = [(0, items.num_rows)] if self.pivots is None else _changes([items.column("block").to_numpy()], items.num_rows)
+        for start, end in stretches:
+            for part in _slices(items.slice(start, end - start), ITEMS_AT_ONCE):
+                among = None
+                if self.pivots is not None:
+                    among = self._among(part.column("cell")[0].as_py(), part.column("away").to_numpy().max())
+                    if not len(among):
+                        continue
+                self.leaders.offer(_arrow_matrix(part.column("vector")), _ids(part.column("item_id")), among)
+
+
+def _stream_search(keys: list[str], k: int, shared):
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pivots = None if shared is None else shared.value
+        key, parts, held = None, [], None
+        for batch in batches:
+            columns = [batch.column(c).to_numpy() for c in (*keys, "_side")]
+            for start, end in _changes(columns, batch.num_rows) if batch.num_rows else []:
+                part, here = batch.slice(start, end - start), tuple(c[start] for c in columns[:-1])
+                if here != key:
+                    if held:
+                        yield from _results(held.leaders, held.ids, held.item_type)
+                    key, parts, held = here, [], None
+                if columns[-1][start] == 0:
+                    parts.append(part)
+                elif parts:
+                    held = held or _Held(parts, k, pivots)
+                    held.offer(part)
+        if held:
+            yield from _results(held.leaders, held.ids, held.item_type)
 
     return search
 
@@ -386,10 +521,9 @@ def _in_blocks(queries: DataFrame, items: DataFrame, k: int, schema: str) -> Dat
             .select("cell", "query_block", "item_block", id_column, "vector")
         )
 
-    keys = ["cell", "query_block", "item_block"]
-    left = cut(queries, "query_id", "query_block", "item_block").groupBy(*keys)
-    right = cut(items, "item_id", "item_block", "query_block").groupBy(*keys)
-    return left.cogroup(right).applyInArrow(_block_search(k), schema)
+    left = cut(queries, "query_id", "query_block", "item_block")
+    right = cut(items, "item_id", "item_block", "query_block")
+    return _streamed(left, right, ["cell", "query_block", "item_block"], k, schema)
 
 
 def _blocks(n_bytes: int, block_bytes: int) -> int:
@@ -406,8 +540,8 @@ def top_k(
     queries: DataFrame,
     items: DataFrame,
     k: int = presets.CANDIDATES,
-    broadcast_limit: int = BROADCAST_LIMIT_BYTES,
-    block_bytes: int = BROADCAST_LIMIT_BYTES,
+    broadcast_limit: int = BLOCK_BYTES,
+    block_bytes: int = PIVOT_BLOCK_BYTES,
 ) -> DataFrame:
     """The ``k`` most similar items of every query: (query_id, item_id, score, rank).
 
@@ -420,12 +554,12 @@ def top_k(
     queries, items = usable_vectors(queries, dimension), usable_vectors(items, dimension)
     if _bytes(items, "item_id", dimension) <= broadcast_limit:
         return ranked(_with_items_everywhere(queries, items, k, schema), k)
-    if _bytes(queries, "query_id", dimension) <= broadcast_limit:
+    if _bytes(queries, "query_id", dimension) <= broadcast_limit and queries.count() * k <= RESULTS_AT_ONCE:
         return ranked(_with_queries_everywhere(queries, items, k, schema), k)
     return ranked(_in_pruned_blocks(queries, items, k, schema, dimension, block_bytes)[0], k)
 
 
-def block_pairs(queries: DataFrame, items: DataFrame, k: int = presets.CANDIDATES, block_bytes: int = BROADCAST_LIMIT_BYTES) -> tuple[int, int]:
+def block_pairs(queries: DataFrame, items: DataFrame, k: int = presets.CANDIDATES, block_bytes: int = PIVOT_BLOCK_BYTES) -> tuple[int, int]:
     """How many pairs of blocks a search of two large sides multiplies, and how many there are."""
     dimension = dimension_of(items)
     sides = usable_vectors(queries, dimension), usable_vectors(items, dimension)
@@ -577,11 +711,13 @@ def _probed_in_groups(queries: DataFrame, centres: DataFrame, probes: int, block
     asked = written(probed_cells(rows.select(F.col("_row").alias("query_id"), "vector"), written(_group_heads(centres), "heads"), near), "near-groups")
     row_bytes = dimension_of(centres) * 8
 
-    def blocks(df: DataFrame, key: str, name: str) -> DataFrame:
-        return df.groupBy(F.col(key).alias("cell")).agg(F.ceil(F.count("*") * row_bytes / F.lit(block_bytes)).alias(name))
+    held = min(block_bytes, _rows_held(probes, row_bytes) * row_bytes)
+
+    def blocks(df: DataFrame, key: str, name: str, most: int) -> DataFrame:
+        return df.groupBy(F.col(key).alias("cell")).agg(F.ceil(F.count("*") * row_bytes / F.lit(most)).alias(name))
 
     # One row for each group: the root of the cells.
-    sizes = F.broadcast(blocks(asked, "cell", "query_blocks").join(blocks(centres, "grp", "item_blocks"), "cell"))
+    sizes = F.broadcast(blocks(asked, "cell", "query_blocks", held).join(blocks(centres, "grp", "item_blocks", block_bytes), "cell"))
     items = centres.select(F.col("grp").alias("cell"), F.col("cell").alias("item_id"), "vector").join(sizes, "cell")
     found = ranked(_in_blocks(asked.join(sizes, "cell"), items, probes, "query_id bigint, item_id int, score double"), probes)
     cells = found.select(F.col("query_id").alias("_row"), F.col("item_id").alias("cell"))
@@ -611,14 +747,15 @@ def probed_cells(queries: DataFrame, centres: DataFrame, probes: int) -> DataFra
         ids, centre, id_type = shared.value
         for batch in batches:
             if batch.num_rows:
-                leaders = _Leaders(_arrow_matrix(batch.column("vector")), probes)
-                leaders.offer(centre, ids)
-                rows, cells, _ = leaders.result()
-                take = pa.array(rows)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("query_id").take(take), batch.column("vector").take(take), pa.array(cells, type=id_type)],
-                    names=["query_id", "vector", "cell"],
-                )
+                for part in _slices(batch, max(1, 2 * ITEMS_AT_ONCE // probes)):
+                    leaders = _Leaders(_arrow_matrix(part.column("vector")), probes)
+                    leaders.offer(centre, ids)
+                    rows, cells, _ = leaders.result()
+                    take = pa.array(rows)
+                    yield pa.RecordBatch.from_arrays(
+                        [part.column("query_id").take(take), part.column("vector").take(take), pa.array(cells, type=id_type)],
+                        names=["query_id", "vector", "cell"],
+                    )
 
     return queries.select("query_id", "vector").mapInArrow(
         probe, f"query_id {query_type}, vector {vector_type}, cell int"
@@ -656,7 +793,7 @@ def cell_top_k(
     centres: DataFrame,
     k: int = presets.CANDIDATES,
     probes: int = presets.IVF_PROBES,
-    block_bytes: int = BLOCK_BYTES,
+    block_bytes: int = STREAM_BYTES,
 ) -> DataFrame:
     """Top-k among the items of the ``probes`` nearest cells of each query.
 
@@ -667,13 +804,14 @@ def cell_top_k(
     probed = written(probed_cells(usable_vectors(queries, dimension), centres, probes), "probed")
     items = probed_items(placed_items, probed)
     row_bytes = dimension * 8
+    held = min(block_bytes, _rows_held(k, row_bytes) * row_bytes)
 
-    def blocks(counts: DataFrame, name: str) -> DataFrame:
-        return counts.select("cell", F.ceil(F.col("n") * row_bytes / F.lit(block_bytes)).alias(name))
+    def blocks(counts: DataFrame, name: str, most: int) -> DataFrame:
+        return counts.select("cell", F.ceil(F.col("n") * row_bytes / F.lit(most)).alias(name))
 
     stored = centres.filter("n > 0") if "n" in centres.columns else items.groupBy("cell").agg(F.count("*").alias("n"))
     asked = probed.groupBy("cell").agg(F.count("*").alias("n"))
-    cells = written(blocks(asked, "query_blocks").join(blocks(stored, "item_blocks"), "cell"), "cell-blocks")
+    cells = written(blocks(asked, "query_blocks", held).join(blocks(stored, "item_blocks", block_bytes), "cell"), "cell-blocks")
     cells, _ = broadcast_if_small(cells, F.lit(32))
     schema = _result_schema(queries, placed_items)
     return ranked(_in_blocks(probed.join(cells, "cell"), items.join(cells, "cell"), k, schema), k)
