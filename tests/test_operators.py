@@ -183,6 +183,18 @@ def test_median_from_counts(spark, values):
     assert got["median"] == (median(present) if present else None) and got["max"] == (max(present) if present else None)
 
 
+def test_distribution_does_the_work_before_it_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def slow(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    got = quality.distribution(spark.range(100).mapInArrow(slow, "id long"), "id").first()
+    assert got.asDict() == {"min": 0, "max": 99, "mean": 49.5, "median": 49.5} and seen.value == 100
+
+
 def test_exact_sample_with_repeated_ids(spark):
     rows = spark.createDataFrame([(n % 7,) for n in range(70)] + [(None,)] * 5, "id bigint")
     for n in (0, 1, 5, 33, 74, 75, 80):

@@ -59,9 +59,11 @@ def column_summary(df: DataFrame, column: str) -> DataFrame:
 def distribution(df: DataFrame, column: str) -> DataFrame:
     """Smallest, largest and mean value, and the exact median.
 
+    The column is written once, since what it comes from may be long work, and read for the counts and for the rest.
     Equal values are counted first and the different ones dealt to ranges; the sums of the ranges, as many
     as there are shuffle partitions, tell which of them hold the middle, and only those are looked at.
     """
+    df = written(df.select(column), "distribution")
     counted = df.filter(F.col(column).isNotNull()).groupBy(F.col(column).alias("v")).agg(F.count("*").alias("n"))
     ranges = written(counted.repartitionByRange("v").withColumn("part", F.spark_partition_id()), "values")
     sums = sorted(tuple(r) for r in ranges.groupBy("part").agg(F.sum("n")).collect())
