@@ -638,6 +638,22 @@ def test_terms_of_any_length(spark):
     assert skills.frequent_terms(frame.limit(0), "t").count() == 0
 
 
+def test_rare_words_leave_no_rows(spark, monkeypatch):
+    """Only places of frequent words go on: what is written beside the words is as large as the repeats."""
+    texts = [" ".join(f"w{n}" for n in range(at, at + 100)) for at in range(0, 2000, 100)] + ["data lake or data lake"]
+    rows = []
+
+    def counted(df, name):
+        out = written(df, name)
+        rows.append((name, out.count()))
+        return out
+
+    monkeypatch.setattr(skills, "written", counted)
+    got = {r["skill"]: r["count"] for r in skills.frequent_terms(spark.createDataFrame([(t,) for t in texts], "t string"), "t").collect()}
+    assert got == {"data": 2, "lake": 2, "data lake": 2}
+    assert sum(n for name, n in rows if name != "words") < 50
+
+
 def test_terms_end_where_clauses_do(spark):
     frame = spark.createDataFrame([("Java, data lake. Java\ndata lake",), (None,), (",",)], "t string")
     got = {r["skill"]: r["count"] for r in skills.frequent_terms(skills.clauses(frame, "t"), "t").collect()}

@@ -6,7 +6,7 @@ from collections.abc import Iterator
 from functools import reduce
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vocatio import presets
@@ -240,57 +240,89 @@ def clauses(texts: DataFrame, text_column: str) -> DataFrame:
     return texts.select(F.explode(F.split(text_column, presets.CLAUSE_END)).alias(text_column)).filter(F.col(text_column) != "")
 
 
+def _known(base: DataFrame, counts: DataFrame) -> DataFrame:
+    """The rows whose hash ``h`` is counted in ``counts`` (h, n); rows of very frequent ones are spread over tasks."""
+    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
+    # At most HOT_KEYS hashes can hold such a share of the rows.
+    hot = [r["h"] for r in counts.filter(F.col("n") >= max(HOT_ROWS, total / HOT_KEYS)).select("h").collect()]
+    return left_joins(base, [counts.select("h", F.lit(True).alias("known"))], "h", hot).filter("known").drop("known")
+
+
 def _repeated(runs: DataFrame, min_count: int) -> tuple[DataFrame, bool]:
     """The rows (row, pos, h) whose hash stands in ``min_count`` rows or more, written, and whether there are any.
 
-    Hashes are counted before their shuffle; rows of very frequent ones are spread over tasks.
+    Hashes are counted before their shuffle.
     """
     runs = written(runs, "runs")
     counts = written(runs.groupBy("h").agg(F.count("*").alias("n")).filter(F.col("n") >= min_count), "run-counts")
-    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
-    # At most HOT_KEYS hashes can hold such a share of the rows.
-    hot = [r["h"] for r in counts.filter(F.col("n") >= max(HOT_ROWS, total / HOT_KEYS)).select("h").collect()]
-    kept = left_joins(runs, [counts.select("h", F.lit(True).alias("known"))], "h", hot).filter("known").drop("known")
-    return written(kept, "repeated-runs"), total > 0
+    return written(_known(runs, counts), "repeated-runs"), not counts.isEmpty()
+
 
+def _pairs(words: DataFrame, counted: DataFrame) -> DataFrame:
+    """(row, pos, h): the hash of each pair of words whose first is one of the ``counted`` (skill, count)."""
+    pair = F.posexplode(F.arrays_zip(F.col("w").alias("a"), F.slice("w", F.lit(2), F.size("w")).alias("b"))).alias("pos", "z")
+    pairs = words.filter(F.size("w") > 1).select("row", pair).filter(F.col("z.b").isNotNull())
+    pairs = pairs.select("row", "pos", F.xxhash64("z.a").alias("h"), F.xxhash64("z.b").alias("h2"))
+    counts = written(counted.groupBy(F.xxhash64("skill").alias("h")).agg(F.sum("count").alias("n")), "word-counts")
+    return _known(pairs, counts).select("row", "pos", F.xxhash64("h", "h2").alias("h"))
 
-def _reaches(words: DataFrame, min_count: int) -> DataFrame | None:
-    """(row, pos, reach): from each place the longest run of 1, 2, 4, ... words that is seen ``min_count`` times; None if there is none.
 
-    A level doubles the length: a run can be frequent only where both of its halves are, and its hash comes from theirs.
-    So runs of n words take log2(n) rounds, and only places that are still frequent go on.
+def _repeats(longer: DataFrame, min_count: int) -> DataFrame | None:
+    """(row, length, pos): the places of each text from which a run of 2, 4, 8, ... words is seen ``min_count`` times; None if there are none.
+
+    Of ``longer``, the pairs, a level doubles the length: a run can be frequent only where both of its halves are, and its hash
+    comes from theirs. So runs of n words take log2(n) rounds, and only places that are still frequent go on. Halves meet in a
+    window over their text, not in a join of the level with itself.
     """
-    level, some = _repeated(words.select("row", F.posexplode("w").alias("pos", "word")).select("row", "pos", F.xxhash64("word").alias("h")), min_count)
-    levels, length = [], 1
-    while some:
-        levels.append(level.select("row", "pos", F.lit(length).alias("reach")))
-        after = level.select("row", (F.col("pos") - length).alias("pos"), F.col("h").alias("h2"))
-        longer = level.join(after, ["row", "pos"]).select("row", "pos", F.xxhash64("h", "h2").alias("h"))
+    levels, length = [], 2
+    while True:
         level, some = _repeated(longer, min_count)
+        if not some:
+            return reduce(DataFrame.unionByName, levels) if levels else None
+        levels.append(level.select("row", F.lit(length).cast("long").alias("length"), "pos"))
+        behind = Window.partitionBy("row").orderBy("pos").rangeBetween(length, length)
+        longer = level.withColumn("h2", F.first("h").over(behind)).filter(F.col("h2").isNotNull()).select("row", "pos", F.xxhash64("h", "h2").alias("h"))
         length *= 2
-    if not levels:
-        return None
-    return reduce(DataFrame.unionByName, levels).groupBy("row", "pos").agg(F.max("reach").alias("reach"))
+
+
+def _spelled(repeats: DataFrame, words: DataFrame) -> DataFrame:
+    """(skill): the runs of 2 words and more that may be frequent, wherever they stand.
+
+    A run that is longer than a level's by less than that again is frequent only if the level's run is at each place on its way,
+    so from a place it goes on as far as the places of its level follow each other.
+    """
+    # A place is one number: the level's length, and behind it 32 bits of the position.
+    place = F.shiftleft("length", 32) + F.col("pos")
+    placed = repeats.groupBy("row").agg(F.sort_array(F.collect_list(place)).alias("at")).join(words, "row")
+
+    def longest(start: Column, i: Column) -> Column:
+        length, pos = F.shiftright(start, 32).cast("int"), start.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int")
+        follow = F.filter(F.sequence(F.lit(1), length - 1), lambda k: F.get("at", i + k) == start + k)
+        return F.struct(length.alias("least"), F.slice("w", pos + 1, length + F.size(follow)).alias("w"))
+
+    starts = placed.select(F.explode(F.transform("at", longest)).alias("s"))
+    sized = starts.select("s.w", F.explode(F.sequence("s.least", F.size("s.w"))).alias("n"))
+    return sized.select(F.array_join(F.slice("w", F.lit(1), F.col("n")), " ").alias("skill"))
 
 
 def frequent_terms(texts: DataFrame, text_column: str, min_count: int = 2) -> DataFrame:
     """(skill, count): every run of words, of any length, that stands at least ``min_count`` times in the texts.
 
     Levels of doubling length find how far a frequent run may go from each place; only such runs are spelled out and
-    counted by their words, so equal hashes cannot make a term. Null and empty texts give none. The result is as
-    large as the repeats are: of a text that is there twice every run is a term; :func:`clauses` keeps runs short.
+    counted by their words, so equal hashes cannot make a term. Single words are counted as they are. Null and empty texts give none.
+    The result is as large as the repeats are: of a text that is there twice every run is a term; :func:`clauses` keeps runs short.
     """
-    held = texts.select(F.monotonically_increasing_id().alias("row"), tokens(F.col(text_column)).alias("w"))
-    words = written(held.filter(F.size("w") > 0), "words")
-    reaches = _reaches(words, max(min_count, 1))
-    if reaches is None:
-        return texts.sparkSession.createDataFrame([], "skill string, count bigint")
-    # From a place whose longest power of two is r, a frequent run has less than 2 r words.
-    marked = reaches.groupBy("row").agg(F.collect_list(F.struct("pos", "reach")).alias("marks")).join(words, "row")
-    starts = F.explode(F.transform("marks", lambda m: F.slice("w", m["pos"] + 1, 2 * m["reach"] - 1))).alias("w")
-    sized = marked.select(starts).select("w", F.explode(F.sequence(F.lit(1), F.size("w"))).alias("n"))
-    runs = sized.select(F.array_join(F.slice("w", F.lit(1), F.col("n")), " ").alias("skill")).filter(_may_be_term())
-    return runs.groupBy("skill").agg(F.count("*").alias("count")).filter(F.col("count") >= min_count)
+    least = max(min_count, 1)
+    # A filter on the words before they are written would cut the texts twice.
+    words = written(texts.select(F.monotonically_increasing_id().alias("row"), tokens(F.col(text_column)).alias("w")), "words")
+
+    def counted(runs: DataFrame) -> DataFrame:
+        return runs.groupBy("skill").agg(F.count("*").alias("count")).filter(F.col("count") >= least)
+
+    single = written(counted(words.select(F.explode("w").alias("skill"))), "single-words")
+    repeats = _repeats(_pairs(words, single), least)
+    terms = single.filter(_may_be_term())
+    return terms if repeats is None else terms.unionByName(counted(_spelled(repeats, words).filter(_may_be_term())))
 
 
 def refreshed_dictionary(known: DataFrame, counted: DataFrame) -> DataFrame:
