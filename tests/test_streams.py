@@ -6,6 +6,7 @@ import os
 from pyspark.sql import functions as F
 
 from vocatio.operators import feedback, skills
+from vocatio.sources import messages
 from vocatio.streaming import ingest, running
 
 
@@ -68,6 +69,26 @@ def test_batches_look_up_their_own_ids_only(spark, tmp_path):
     assert len(updated) >= 6 and max(updated) <= 61 and not (tmp_path / "out" / "ids").exists()
 
 
+def test_a_hot_id_is_dropped_before_the_state(spark, tmp_path):
+    """Ids are kept once in the state, repeats within the input do not reach it, and a message is parsed once."""
+    box, out = tmp_path / "in", str(tmp_path / "out")
+    ids = [i for n in range(1000) for i in ("hot", f"i{n}", "hot")]
+    for part in range(2):
+        drop(box, f"{part}.json", [{"value": json.dumps({"id": i, "source": str(part)})} for i in ids] + [{"value": "{bad"}])
+        os.utime(box / f"{part}.json", (1e9 + part, 1e9 + part))
+    streams = ingest.ingest(source(spark, box, "value string"), out)
+    streams.awaitTermination()
+    rows = spark.read.parquet(f"{out}/rows").collect()
+    assert sorted(r["id"] for r in rows) == sorted(set(ids)) and {r["source"] for r in rows} == {"0"}
+    assert ingest.ingest_counts(spark, out).first().asDict() == {"received": 6002, "malformed": 2, "kept": 1001, "repeated": 4999}
+    states = [p["stateOperators"] for p in streams[0].recentProgress if p["numInputRows"]]
+    assert len(states) == 2 and all(len(ops) == 1 for ops in states)
+    assert sum(ops[0]["customMetrics"]["numDroppedDuplicateRows"] for ops in states) <= 1001 + 4
+    spark.createDataFrame([("{}",)], "value string").write.parquet(str(tmp_path / "sent"))
+    read = messages.records(messages.parsed(spark.read.parquet(str(tmp_path / "sent"))))
+    assert read._jdf.queryExecution().executedPlan().toString().count("parseJson") == 1
+
+
 def test_running_pairs_equal_batch(spark, tmp_path):
     rows = [
         {"job_id": f"j{i % 3}", "cv_id": f"c{i % 2}", "signal_strength": [1.0, -0.3, 0.5, 0.0][i % 4], "timestamp": f"2024-01-01T00:00:{i:02d}Z"}

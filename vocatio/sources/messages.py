@@ -64,9 +64,10 @@ def parsed(messages: DataFrame, schema: T.StructType = POSTING_SCHEMA, value: st
     """Fields of each message with ``error_type``, null for good ones; absent fields become ''.
 
     A message that is no JSON, one that is no object, and one without an id are errors. The text
-    is parsed once, into a variant column; the fields are looked up in that.
+    is parsed once, into a variant column; the fields are looked up in that. The column is exploded from an
+    array of one, since a filter on fields would else be moved before it and parse the text again.
     """
-    read = messages.withColumn("_json", F.try_parse_json(value))
+    read = messages.select("*", F.explode(F.array(F.try_parse_json(value))).alias("_json"))
     is_object = F.ltrim(F.col(value), F.lit(" \t\r\n")).startswith("{")
 
     def field(name: str) -> Column:

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
@@ -11,6 +15,7 @@ from vocatio import presets
 from vocatio.functions.rules import stripped
 from vocatio.functions.text import word_count
 from vocatio.operators import joins
+from vocatio.session import bound_batches
 from vocatio.sources import messages
 
 
@@ -22,16 +27,24 @@ class Streams(list):
             query.awaitTermination()
 
 
-def distinct_ids(rows: DataFrame, salts: int = 16) -> DataFrame:
+def _one_of_each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The first row of each id of an Arrow batch."""
+    for batch in batches:
+        codes = batch.column("id").dictionary_encode("encode").indices.to_numpy()
+        first = np.sort(np.unique(codes, return_index=True)[1])
+        yield batch if len(first) == len(codes) else batch.take(pa.array(first))
+
+
+def distinct_ids(rows: DataFrame) -> DataFrame:
     """The first row of every id, however late it or its repeats come.
 
     The ids are kept in the stream's state (RocksDB, so on disk) without a watermark: a watermark
     would bound the state, but would also throw away ids that are seen for the first time after it.
-    Repeats are first dropped per id and part of the input, so an id that makes up a third of a
-    batch is spread over ``salts`` tasks and only one row of each reaches the task that keeps the id.
+    Repeats are first dropped within each Arrow batch, which needs no state, so of an id that makes up a
+    third of a batch only a row for some thousands reaches the task that keeps the id.
     """
-    salted = rows.withColumn("_salt", F.pmod(F.spark_partition_id(), F.lit(salts)))
-    return salted.dropDuplicates(["id", "_salt"]).drop("_salt").dropDuplicates(["id"])
+    bound_batches(rows.sparkSession)
+    return rows.mapInArrow(_one_of_each, rows.schema).dropDuplicates(["id"])
 
 
 def ingest(stream: DataFrame, out: str, schema: T.StructType = messages.POSTING_SCHEMA, at: Column | None = None) -> Streams:
@@ -51,12 +64,12 @@ def ingest(stream: DataFrame, out: str, schema: T.StructType = messages.POSTING_
     )
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.persist()
-        try:
-            batch_table(f"{out}/dead")(messages.dead_letters(batch, at=at), batch_id)
-            batch_table(f"{out}/counts")(_counts(batch), batch_id)
-        finally:
-            batch.unpersist()
+        # Counted on the way to the dead letters, so that the batch is read once and not kept.
+        counts = Observation()
+        seen = batch.observe(counts, F.count(F.lit(1)).alias("received"), F.count("error_type").alias("malformed"))
+        batch_table(f"{out}/dead")(messages.dead_letters(seen, at=at), batch_id)
+        row = batch.sparkSession.range(1).select(*(F.lit(counts.get[c]).cast("long").alias(c) for c in ("received", "malformed")))
+        batch_table(f"{out}/counts")(row, batch_id)
 
     dead = (
         parsed.writeStream.foreachBatch(write)
