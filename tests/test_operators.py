@@ -704,3 +704,47 @@ def test_a_task_holds_a_bounded_number_of_results(spark, monkeypatch):
     assert as_set(retrieval.top_k(queries, items, 5, broadcast_limit=0)) == exact
     text = retrieval.top_k(queries, items, 5, broadcast_limit=0)._jdf.queryExecution().toString()
     assert "FlatMapCoGroups" not in text
+
+
+def test_results_held_are_small_whatever_the_ids_are(spark):
+    """A task's results hold numbers, not ids; bounds reach the executors without Python workers of another kind."""
+    import tracemalloc
+
+    rng = np.random.default_rng(4)
+    queries, items = rng.normal(size=(2000, 8)), rng.normal(size=(6000, 8))
+    names = np.array([f"{n:040}" for n in rng.permutation(6000)])
+    tracemalloc.start()
+    try:
+        leaders = retrieval._Leaders(queries, 50)
+        # Few at a time, so that all of the first are results.
+        for at in range(0, 6000, 50):
+            leaders.offer(items[at : at + 50], names[at : at + 50])
+        rows, found, scores = leaders.result()
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 60e6
+    for q in range(0, 2000, 200):
+        units = np.floor(np.einsum("ij,ij->i", np.repeat(queries[[q]], 6000, 0), items) * 1e6 + 0.5)
+        best = np.lexsort((names, -units))[:50]
+        assert found[rows == q].tolist() == names[best].tolist() and scores[rows == q].tolist() == (units[best] / 1e6).tolist()
+    bounds = spark.createDataFrame([(n, 7) for n in range(10)], "block long, n long")
+    assert "ExistingRDD" not in retrieval._stripes(bounds, 40)._jdf.queryExecution().toString()
+
+
+def test_ids_of_items_that_lost_their_place_are_dropped(monkeypatch):
+    """Ids are looked through again and again, between and within slices, and numbered anew; ties still go to the smaller id."""
+    monkeypatch.setattr(retrieval, "ID_BYTES", 500)
+    monkeypatch.setattr(retrieval, "SCORES_AT_ONCE", 64)
+    rng = np.random.default_rng(6)
+    queries, items = rng.integers(-2, 3, size=(30, 4)).astype(float), rng.integers(-2, 3, size=(2000, 4)).astype(float)
+    names = np.array([("é" if n % 3 else "z") + str(n) for n in rng.permutation(2000)])
+    leaders = retrieval._Leaders(queries, 6)
+    for at in range(0, 2000, 35):
+        leaders.offer(items[at : at + 35], names[at : at + 35])
+        assert leaders.n_ids <= 2000 and leaders.id_bytes <= 500 + 3 * leaders.id_bytes_kept + 2000
+    rows, found, _ = leaders.result()
+    for q in range(30):
+        best = np.lexsort((names, -(items @ queries[q])))[:6]
+        assert found[rows == q].tolist() == names[best].tolist()
+    assert leaders.n_ids <= 30 * 6

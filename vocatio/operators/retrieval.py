@@ -27,6 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -51,7 +52,9 @@ ITEMS_AT_ONCE = 2_048
 LONGEST_IN_SINGLE = 1e15
 TINY = 1e-30
 # Components of pairs whose scores are taken anew at once.
-COMPONENTS_AT_ONCE = 8_000_000
+COMPONENTS_AT_ONCE = 1_000_000
+# Bytes of item ids that may gather before those of items that lost their place are dropped.
+ID_BYTES = 8 * 1024 * 1024
 # Items that the bars are taken from: the more, the fewer candidates leave the tasks; any number gives the same rows.
 BAR_ITEMS = 50_000
 # Cells of one level. More are trained in groups, each vector against the centres of its group alone.
@@ -84,6 +87,9 @@ class _Leaders:
     comparison; only those that reach it are sorted, by score and then by id. The comparison is made in
     single precision with a bound on its error, unless vectors are too long for that; scores that may
     reach the bar are taken anew in double precision.
+
+    A result is 16 bytes, a row, a number and a score: ids, which may be long, are held once for all queries and under
+    their numbers. Half as many results as are kept may wait to be sorted, so the sum is bounded by ``k`` and the queries.
     """
 
     def __init__(self, queries: np.ndarray, k: int, bar: np.ndarray | None = None):
@@ -94,16 +100,19 @@ class _Leaders:
         self.bar = np.full(len(queries), -np.inf) if bar is None else bar.copy()
         self.parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         self.pending = 0
+        # Ids of items that have a result, by their numbers, and their bytes, now and when they were last looked through.
+        self.ids: list[pa.Array] = []
+        self.n_ids = self.id_bytes = self.id_bytes_kept = 0
 
-    def offer(self, items: np.ndarray, ids: np.ndarray, among: np.ndarray | None = None) -> None:
+    def offer(self, items: np.ndarray, ids: pa.Array | np.ndarray, among: np.ndarray | None = None) -> None:
         """``among``: the rows of the queries that the items may matter to, all without it."""
         among = np.arange(len(self.queries)) if among is None else among
-        n = len(items)
+        n, ids = len(items), ids if isinstance(ids, pa.Array) else pa.array(ids)
         for at in range(0, n, ITEMS_AT_ONCE):
             self._offer(items[at : at + ITEMS_AT_ONCE], ids[at : at + ITEMS_AT_ONCE], among)
 
-    def _offer(self, items: np.ndarray, ids: np.ndarray, among: np.ndarray) -> None:
-        n, k = len(items), self.k
+    def _offer(self, items: np.ndarray, ids: pa.Array, among: np.ndarray) -> None:
+        n, k, first = len(items), self.k, None
         step, longest = max(1, SCORES_AT_ONCE // n), np.linalg.norm(items, axis=1).max()
         single = self.short and longest < LONGEST_IN_SINGLE
         queries, rough = (self.rough, items.astype(np.float32)) if single else (self.queries, items)
@@ -127,10 +136,22 @@ class _Leaders:
             units = self._exact(asked[rows], items, cols)
             kept = units >= bar[rows]
             rows, cols, units = rows[kept], cols[kept], units[kept]
-            self.parts.append((asked[rows], ids[cols], units))
+            if not len(rows):
+                continue
+            if first is None:
+                first = self._numbered(ids)
+            self.parts.append((asked[rows].astype(np.int32), (first + cols).astype(np.int32), units))
             self.pending += len(rows)
-            if self.pending > max(SCORES_AT_ONCE, 2 * k * len(self.queries)):
+            if self.pending > max(SCORES_AT_ONCE, k * len(self.queries)) // 2 or self.id_bytes > ID_BYTES + 2 * self.id_bytes_kept:
                 self._sort()
+                first = None  # numbers are given anew
+
+    def _numbered(self, ids: pa.Array) -> int:
+        """The number of the first of the ids; they are copied, since a slice would hold the vectors of its batch."""
+        first, own = self.n_ids, ids.take(pa.array(np.arange(len(ids))))
+        self.ids.append(own)
+        self.n_ids, self.id_bytes = first + len(own), self.id_bytes + own.nbytes
+        return first
 
     def _exact(self, rows: np.ndarray, items: np.ndarray, cols: np.ndarray) -> np.ndarray:
         """Units of the scores of single pairs, added up in one order whatever the shape of the blocks was."""
@@ -141,27 +162,42 @@ class _Leaders:
         return units
 
     def _sort(self) -> None:
-        rows, ids, units = (np.concatenate(column) for column in zip(*self.parts))
+        rows, numbers, units = (np.concatenate(column) for column in zip(*self.parts))
+        self.parts, ids = [], pa.concat_arrays(self.ids)
         order = np.lexsort((-units, rows))
-        rows, ids, units = rows[order], ids[order], units[order]
+        rows, numbers, units = rows[order], numbers[order], units[order]
         # Ids may be strings, which are slow to sort: only those of equal scores are.
         same = np.flatnonzero((rows[1:] == rows[:-1]) & (units[1:] == units[:-1]))
-        tied = np.union1d(same, same + 1)
-        ids[tied] = ids[tied][np.lexsort((ids[tied], -units[tied], rows[tied]))]
+        if len(same):
+            tied = np.union1d(same, same + 1)
+            alike, at = np.unique(numbers[tied], return_inverse=True)
+            place = np.empty(len(alike), np.int32)
+            place[pc.array_sort_indices(ids.take(pa.array(alike))).to_numpy()] = np.arange(len(alike))
+            numbers[tied] = numbers[tied][np.lexsort((place[at], -units[tied], rows[tied]))]
         place = np.arange(len(rows)) - np.searchsorted(rows, rows, side="left")
         last = place == self.k - 1
         self.bar[rows[last]] = units[last]
         kept = place < self.k
-        self.parts = [(rows[kept], ids[kept], units[kept])]
-        self.pending = 0
+        rows, numbers, units = rows[kept], numbers[kept], units[kept]
+        named = np.zeros(len(ids), bool)
+        named[numbers] = True
+        numbers = (np.cumsum(named, dtype=np.int32) - 1)[numbers]
+        self.parts, self.ids, self.pending = [(rows, numbers, units)], [ids.filter(pa.array(named))], 0
+        self.n_ids = len(self.ids[0])
+        self.id_bytes = self.id_bytes_kept = self.ids[0].nbytes
+
+    def best(self) -> tuple[np.ndarray, np.ndarray, pa.Array, np.ndarray]:
+        """Row numbers of the queries, numbers of the items, ids under those numbers, and scores."""
+        if not self.parts:
+            return np.empty(0, np.int32), np.empty(0, np.int32), pa.array([], pa.int64()), np.empty(0)
+        self._sort()
+        (rows, numbers, units), ids = self.parts[0], self.ids[0]
+        return rows, numbers, ids, units / SCALE
 
     def result(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Row numbers of the queries, item ids and scores."""
-        if not self.parts:
-            return np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64), np.empty(0)
-        self._sort()
-        rows, ids, units = self.parts[0]
-        return rows, ids, units / SCALE
+        rows, numbers, ids, scores = self.best()
+        return rows, _ids(ids.take(pa.array(numbers))), scores
 
 
 def _result_schema(queries: DataFrame, items: DataFrame) -> str:
@@ -207,11 +243,10 @@ def _ids(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     return np.array(column.to_pylist())
 
 
-def _rows_of(df: DataFrame, id_column: str) -> tuple[np.ndarray, np.ndarray, pa.DataType]:
+def _rows_of(df: DataFrame, id_column: str) -> tuple[pa.Array, np.ndarray]:
     """A side of checked size as arrays, for a broadcast variable."""
     table = df.select(id_column, "vector").toArrow()
-    column = table.column(id_column)
-    return _ids(column), _arrow_matrix(table.column("vector")), column.type
+    return table.column(id_column).combine_chunks(), _arrow_matrix(table.column("vector"))
 
 
 def _rows_held(k: int, row_bytes: int) -> int:
@@ -224,11 +259,11 @@ def _slices(batch: pa.RecordBatch, rows: int) -> Iterator[pa.RecordBatch]:
         yield batch.slice(at, rows)
 
 
-def _results(leaders: _Leaders, query_ids: pa.Array, item_type: pa.DataType) -> Iterator[pa.RecordBatch]:
-    rows, found, scores = leaders.result()
+def _results(leaders: _Leaders, query_ids: pa.Array) -> Iterator[pa.RecordBatch]:
+    rows, numbers, ids, scores = leaders.best()
     for at in range(0, len(rows), RESULTS_AT_ONCE // 10):
         part = slice(at, at + RESULTS_AT_ONCE // 10)
-        columns = [query_ids.take(pa.array(rows[part])), pa.array(found[part].tolist(), type=item_type), pa.array(scores[part])]
+        columns = [query_ids.take(pa.array(rows[part])), ids.take(pa.array(numbers[part])), pa.array(scores[part])]
         yield pa.RecordBatch.from_arrays(columns, names=["query_id", "item_id", "score"])
 
 
@@ -236,13 +271,13 @@ def _with_items_everywhere(queries: DataFrame, items: DataFrame, k: int, schema:
     shared = queries.sparkSession.sparkContext.broadcast(_rows_of(items, "item_id"))
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, matrix, id_type = shared.value
+        ids, matrix = shared.value
         for batch in batches:
             if batch.num_rows and len(ids):
                 for part in _slices(batch, _rows_held(k, 1)):
                     leaders = _Leaders(_arrow_matrix(part.column("vector")), k)
                     leaders.offer(matrix, ids)
-                    yield from _results(leaders, part.column("query_id"), id_type)
+                    yield from _results(leaders, part.column("query_id"))
 
     return queries.select("query_id", "vector").mapInArrow(search, schema)
 
@@ -266,23 +301,17 @@ def _with_queries_everywhere(queries: DataFrame, items: DataFrame, k: int, schem
 
 def _offered(queries: DataFrame, items: DataFrame, k: int, schema: str, bars: dict) -> DataFrame:
     """What each task of the items finds for the queries: at most ``k`` each, none below its bar."""
-    ids, matrix, id_type = _rows_of(queries, "query_id")
-    bar = np.array([bars.get(i, -np.inf) for i in ids.tolist()])
-    shared = queries.sparkSession.sparkContext.broadcast((ids, matrix, id_type, bar))
+    ids, matrix = _rows_of(queries, "query_id")
+    bar = np.array([bars.get(i, -np.inf) for i in ids.to_pylist()])
+    shared = queries.sparkSession.sparkContext.broadcast((ids, matrix, bar))
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, matrix, id_type, bar = shared.value
-        leaders, item_type = _Leaders(matrix, k, bar), None
+        ids, matrix, bar = shared.value
+        leaders = _Leaders(matrix, k, bar)
         for batch in batches:
             if batch.num_rows and len(ids):
-                item_type = batch.column("item_id").type
-                leaders.offer(_arrow_matrix(batch.column("vector")), _ids(batch.column("item_id")))
-        if item_type is not None:
-            rows, found, scores = leaders.result()
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(ids[rows].tolist(), type=id_type), pa.array(found.tolist(), type=item_type), pa.array(scores)],
-                names=["query_id", "item_id", "score"],
-            )
+                leaders.offer(_arrow_matrix(batch.column("vector")), batch.column("item_id"))
+        yield from _results(leaders, ids)
 
     return items.select("item_id", "vector").mapInArrow(search, schema)
 
@@ -379,11 +408,13 @@ def _listed(pairs: DataFrame, own: str, other: str) -> DataFrame:
 def _stripes(query_bounds: DataFrame, most: int) -> DataFrame:
     """(block, stripe): query blocks that one task holds together, ``most`` rows of them unless one block has more."""
     # Bounds are a few numbers for each block of queries.
-    rows, stripe, held = [], 0, 0
+    blocks, stripes, stripe, held = [], [], 0, 0
     for block, n in query_bounds.select("block", "n").orderBy("block").collect():
         stripe, held = (stripe + 1, n) if held and held + n > most else (stripe, held + n)
-        rows.append((block, stripe))
-    return query_bounds.sparkSession.createDataFrame(rows, "block long, stripe long")
+        blocks.append(block)
+        stripes.append(stripe)
+    # Rows given as a list would pass Python workers of another kind, which stay beside those of the search.
+    return query_bounds.sparkSession.createDataFrame(pa.table({"block": pa.array(blocks, pa.int64()), "stripe": pa.array(stripes, pa.int64())}))
 
 
 def _in_pruned_blocks(queries: DataFrame, items: DataFrame, k: int, schema: str, dimension: int, block_bytes: int) -> tuple[DataFrame, DataFrame, list[DataFrame]]:
@@ -456,7 +487,7 @@ class _Held:
         if "bar" in rows.column_names:
             bar = rows.column("bar").to_numpy().astype(np.float64)
             bar = np.where(np.isnan(bar), -np.inf, _units(np.nan_to_num(bar)))
-        self.leaders, self.pivots, self.item_type = _Leaders(_arrow_matrix(rows.column("vector")), k, bar), pivots, None
+        self.leaders, self.pivots = _Leaders(_arrow_matrix(rows.column("vector")), k, bar), pivots
         if pivots is not None:
             self.products, self.norms = pivots @ pivots.T, np.linalg.norm(pivots, axis=1)
             self.starts = np.array([at for at, _ in _changes([rows.column("block").to_numpy()], rows.num_rows)])
@@ -471,7 +502,6 @@ class _Held:
         return np.flatnonzero(np.repeat(reach, self.sizes))
 
     def offer(self, items: pa.RecordBatch) -> None:
-        self.item_type = items.column("item_id").type
         stretches = [(0, items.num_rows)] if self.pivots is None else _changes([items.column("block").to_numpy()], items.num_rows)
         for start, end in stretches:
             for part in _slices(items.slice(start, end - start), ITEMS_AT_ONCE):
@@ -480,7 +510,7 @@ class _Held:
                     among = self._among(part.column("cell")[0].as_py(), part.column("away").to_numpy().max())
                     if not len(among):
                         continue
-                self.leaders.offer(_arrow_matrix(part.column("vector")), _ids(part.column("item_id")), among)
+                self.leaders.offer(_arrow_matrix(part.column("vector")), part.column("item_id"), among)
 
 
 def _stream_search(keys: list[str], k: int, shared):
@@ -493,15 +523,16 @@ def _stream_search(keys: list[str], k: int, shared):
                 part, here = batch.slice(start, end - start), tuple(c[start] for c in columns[:-1])
                 if here != key:
                     if held:
-                        yield from _results(held.leaders, held.ids, held.item_type)
+                        yield from _results(held.leaders, held.ids)
                     key, parts, held = here, [], None
                 if columns[-1][start] == 0:
                     parts.append(part)
-                elif parts:
-                    held = held or _Held(parts, k, pivots)
+                elif held or parts:
+                    if not held:
+                        held, parts = _Held(parts, k, pivots), []
                     held.offer(part)
         if held:
-            yield from _results(held.leaders, held.ids, held.item_type)
+            yield from _results(held.leaders, held.ids)
 
     return search
 
@@ -744,7 +775,7 @@ def probed_cells(queries: DataFrame, centres: DataFrame, probes: int) -> DataFra
     query_type = queries.schema["query_id"].dataType.simpleString()
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, centre, id_type = shared.value
+        ids, centre = shared.value
         for batch in batches:
             if batch.num_rows:
                 for part in _slices(batch, max(1, 2 * ITEMS_AT_ONCE // probes)):
@@ -753,7 +784,7 @@ def probed_cells(queries: DataFrame, centres: DataFrame, probes: int) -> DataFra
                     rows, cells, _ = leaders.result()
                     take = pa.array(rows)
                     yield pa.RecordBatch.from_arrays(
-                        [part.column("query_id").take(take), part.column("vector").take(take), pa.array(cells, type=id_type)],
+                        [part.column("query_id").take(take), part.column("vector").take(take), pa.array(cells, type=ids.type)],
                         names=["query_id", "vector", "cell"],
                     )
 
