@@ -89,7 +89,7 @@ class _Leaders:
     reach the bar are taken anew in double precision.
 
     A result is 16 bytes, a row, a number and a score: ids, which may be long, are held once for all queries and under
-    their numbers. Half as many results as are kept may wait to be sorted, so the sum is bounded by ``k`` and the queries.
+    their numbers. Those that wait to be sorted are half as many as are kept, or as SCORES_AT_ONCE, and those of one step.
     """
 
     def __init__(self, queries: np.ndarray, k: int, bar: np.ndarray | None = None):
